@@ -96,20 +96,24 @@ def payload_field_query(spark, sf):
 # ---- validation and dedup ------------------------------------------------------------------
 
 
-def _validated(spark, sf):
-    """All sources; the payments are judged at one moment, the rest when they arrived."""
-    clock = F.when(
-        F.col("source_type") == PAYMENT_PROCESSOR, F.lit(tb.PAYMENTS_AS_OF).cast("timestamp")
-    ).otherwise(F.col("ingested_at"))
-    return validate.validate(tb.unified(spark, sf), clock)
+def _rules():
+    """Payments are judged at one moment, everything else when it arrived."""
+    clock = (
+        f"CASE WHEN source_type = '{PAYMENT_PROCESSOR}' THEN TIMESTAMP '{tb.PAYMENTS_AS_OF}' ELSE ingested_at END"
+    )
+    return validate.ingest_rules(clock)
+
+
+def _rejected(spark, sf):
+    return validate.rejected_rows(tb.unified(spark, sf), _rules())
 
 
 def _valid_any_age(spark, sf):
-    return validate.valid_rows(validate.validate(tb.unified(spark, sf), max_age_days=None))
+    return validate.valid_rows(tb.unified(spark, sf), validate.ingest_rules(max_age_days=None))
 
 
 def validation_rejects(spark, sf):
-    return validate.rejected_rows(_validated(spark, sf)).select(
+    return _rejected(spark, sf).select(
         "source_id",
         "source_type",
         "amount",
@@ -120,20 +124,23 @@ def validation_rejects(spark, sf):
 
 
 def large_reversals(spark, sf):
-    flagged = _validated(spark, sf).where("large_reversal")
-    return flagged.select("source_id", "amount", F.col("reject_reason").isNotNull().alias("is_rejected"))
+    flagged = tb.unified(spark, sf).where(validate.is_large_reversal())
+    judged = validate.with_reject_reasons(flagged, _rules())
+    return judged.select("source_id", "amount", F.col("reject_reason").isNotNull().alias("is_rejected"))
 
 
 def ingest_outcomes(spark, sf):
-    return dedup.classify_outcomes(_validated(spark, sf)).select("source_id", "amount", "outcome")
+    outcomes = dedup.classify_outcomes(tb.unified(spark, sf), _rules())
+    return outcomes.select("source_id", "amount", "outcome")
 
 
 def ingest_report(spark, sf):
-    return reports.ingest_report(dedup.count_outcomes(_validated(spark, sf)))
+    return reports.ingest_report(dedup.count_outcomes(tb.unified(spark, sf), _rules()))
 
 
 def pipeline_counters(spark, sf):
-    return reports.pipeline_counters(dedup.count_outcomes(_validated(spark, sf))).where("records > 0")
+    outcomes = dedup.count_outcomes(tb.unified(spark, sf), _rules())
+    return reports.pipeline_counters(outcomes).where("records > 0")
 
 
 def dedup_first_wins(spark, sf):
@@ -153,7 +160,7 @@ def drop_stored(spark, sf):
 
 
 def _dead_letters(spark, sf):
-    return tables.to_dead_letters(validate.rejected_rows(_validated(spark, sf)))
+    return tables.to_dead_letters(_rejected(spark, sf))
 
 
 def dead_letter_report(spark, sf):

@@ -1,9 +1,8 @@
-"""Source status words -> PENDING / SETTLED / REVERSED."""
+"""Source status words -> PENDING / SETTLED / REVERSED, as SQL expressions over a column."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from collections.abc import Mapping
 
 from centsible.schemas import PENDING, REVERSED, SETTLED, STATUSES
 
@@ -20,21 +19,20 @@ CARD_CLEARING_STATUS = {
 }
 
 
-def _lookup(word: Column, table: dict[str, str]) -> Column:
-    found = F.lit(None).cast("string")
-    for key, value in table.items():
-        found = F.when(word == key, value).otherwise(found)
-    return F.coalesce(found, F.lit(PENDING))
+def translate(column: str, words: Mapping[str, str], otherwise: str = "NULL") -> str:
+    """A CASE expression that replaces words; ``otherwise`` is SQL for all other values."""
+    arms = " ".join(f"WHEN '{word}' THEN '{meaning}'" for word, meaning in words.items())
+    return f"CASE {column} {arms} ELSE {otherwise} END"
 
 
-def payment_status(event_type: Column) -> Column:
-    return _lookup(event_type, PAYMENT_EVENT_STATUS)
+def payment_status(column: str) -> str:
+    return translate(column, PAYMENT_EVENT_STATUS, f"'{PENDING}'")
 
 
-def card_status(clearing_status: Column) -> Column:
-    return _lookup(clearing_status, CARD_CLEARING_STATUS)
+def card_status(column: str) -> str:
+    return translate(column, CARD_CLEARING_STATUS, f"'{PENDING}'")
 
 
-def bank_status(status: Column) -> Column:
+def bank_status(column: str) -> str:
     """Bank status words are already canonical; any other word becomes null and is rejected."""
-    return F.when(status.isin(*STATUSES), status)
+    return translate(column, {status: status for status in STATUSES})

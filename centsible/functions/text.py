@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The characters that make a text blank.
+# The characters that make a text blank, as escapes of a SQL literal.
 BLANK_CHARACTERS = (
-    " \t\n\u000b\f\r\u001c\u001d\u001e\u001f"
-    "\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2008\u2009\u200a"
-    "\u2028\u2029\u205f\u3000"
+    r" \t\n\u000b\u000c\r\u001c\u001d\u001e\u001f"
+    r"\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2008\u2009\u200a"
+    r"\u2028\u2029\u205f\u3000"
 )
 
 
-def is_blank(text: Column) -> Column:
-    """True for null, empty and whitespace-only text; never null."""
-    return text.isNull() | (F.length(F.btrim(text, F.lit(BLANK_CHARACTERS))) == 0)
+def is_blank(column: str) -> str:
+    """SQL test: true for null, empty and whitespace-only text; never null."""
+    return f"({column} IS NULL OR length(btrim({column}, '{BLANK_CHARACTERS}')) = 0)"
 
 
 def contains_ignore_case(text: Column, term: str) -> Column:

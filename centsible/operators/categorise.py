@@ -41,7 +41,7 @@ def keyword_rules(categories: DataFrame) -> Column:
     keyword = F.lower(F.btrim("keyword"))
     return (
         categories.select("id", F.explode("keywords").alias("keyword"))
-        .where(~is_blank(F.col("keyword")))
+        .where(f"NOT {is_blank('keyword')}")
         .agg(F.collect_list(F.struct(F.col("id"), keyword.alias("keyword"))))
         .scalar()
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from centsible.operators.validate import outcome, rejected_rows, valid_rows
+from centsible.operators.validate import Rule, rejected_rows, valid_rows
 from centsible.schemas import ACCEPTED, DUPLICATE, FAILED
 from centsible.sources.adapters import ADAPTERS
 
@@ -42,13 +42,15 @@ def drop_stored(batch: DataFrame, stored: DataFrame, key: str = "source_id") ->
     return batch.join(hits, key, "left_anti")
 
 
-def classify_outcomes(validated: DataFrame, key: str = "source_id", order: str = "arrival_seq") -> DataFrame:
-    """Mark every row ACCEPTED, DUPLICATE or FAILED without dropping any.
+def classify_outcomes(
+    df: DataFrame, rules: list[Rule], key: str = "source_id", order: str = "arrival_seq"
+) -> DataFrame:
+    """Mark every row FAILED, ACCEPTED or DUPLICATE in ``outcome`` without dropping any.
 
-    Valid rows of one key are numbered in SPREAD sub-groups first. Then only the first row of
-    each sub-group competes for the key, while every other row is known to be a repeat and is
-    put into a group of its own. So no task gets more than a small share of a hot key, and the
-    result is the same as numbering the key as a whole.
+    Validation comes first. Valid rows of one key are then numbered in SPREAD sub-groups, and
+    only the first row of each sub-group competes for the key, while every other row is known
+    to be a repeat and is put into a group of its own. So no task gets more than a small share
+    of a hot key, and the result is the same as numbering the key as a whole.
     """
     lane = F.pmod(F.xxhash64(order), F.lit(SPREAD))
     lane_position = F.row_number().over(Window.partitionBy(key, "_lane").orderBy(order))
@@ -56,40 +58,44 @@ def classify_outcomes(validated: DataFrame, key: str = "source_id", order: str =
     key_position = F.row_number().over(Window.partitionBy(key, "_repeat").orderBy(order))
     is_repeat = F.col("_repeat").isNotNull() | (F.col("_key_position") > 1)
     numbered = (
-        validated.where(F.col("reject_reason").isNull())
+        valid_rows(df, rules)
         .withColumn("_lane", lane)
         .withColumn("_lane_position", lane_position)
         .withColumn("_repeat", repeat)
         .withColumn("_key_position", key_position)
-        .withColumn("outcome", outcome(is_repeat))
-        .drop("_lane", "_lane_position", "_repeat", "_key_position")
+        .withColumn("outcome", F.when(is_repeat, DUPLICATE).otherwise(ACCEPTED))
     )
-    failed = rejected_rows(validated).withColumn("outcome", outcome(F.lit(False)))
-    return numbered.unionByName(failed)
+    failed = rejected_rows(df, rules).withColumn("outcome", F.lit(FAILED))
+    columns = [*df.columns, "outcome"]
+    return numbered.select(*columns).unionByName(failed.select(*columns))
 
 
-def count_outcomes(validated: DataFrame, key: str = "source_id", order: str = "arrival_seq") -> DataFrame:
-    """Records per source and outcome. Only the first row of each key is accepted, so the
-    duplicates are the valid rows less the accepted ones and no repeat has to be numbered."""
-    by = "source_type"
-    is_valid = F.col("reject_reason").isNull()
-    totals = validated.groupBy(by).agg(
-        F.count_if(is_valid).alias("valid"), F.count_if(~is_valid).alias(FAILED)
-    )
-    accepted = (
-        first_wins(valid_rows(validated).select(by, key, order), key, order)
-        .groupBy(by)
-        .agg(F.count(F.lit(1)).alias(ACCEPTED))
-    )
+def count_outcomes(
+    df: DataFrame, rules: list[Rule], key: str = "source_id", order: str = "arrival_seq"
+) -> DataFrame:
+    """Records per source and outcome. Only the first row of each key is accepted, so no
+    repeat has to be numbered."""
+    firsts = first_wins(valid_rows(df, rules).select("source_type", key, order), key, order)
+    return outcome_counts(df, rules, firsts)
+
+
+def outcome_counts(df: DataFrame, rules: list[Rule], accepted: DataFrame) -> DataFrame:
+    """Records per source and outcome when the accepted rows are known: what else is valid is a
+    duplicate, the rest failed."""
+    total = df.groupBy("source_type").agg(F.count(F.lit(1)).alias("total"))
+    valid = valid_rows(df, rules).groupBy("source_type").agg(F.count(F.lit(1)).alias("valid"))
+    kept = accepted.groupBy("source_type").agg(F.count(F.lit(1)).alias("kept"))
     return (
-        totals.join(accepted, by, "left")
+        total.join(valid, "source_type", "left")
+        .join(kept, "source_type", "left")
+        .na.fill(0, ["valid", "kept"])
         .select(
-            by,
-            F.coalesce(ACCEPTED, F.lit(0)).alias(ACCEPTED),
-            (F.col("valid") - F.coalesce(ACCEPTED, F.lit(0))).alias(DUPLICATE),
-            FAILED,
+            "source_type",
+            F.col("kept").alias(ACCEPTED),
+            (F.col("valid") - F.col("kept")).alias(DUPLICATE),
+            (F.col("total") - F.col("valid")).alias(FAILED),
         )
-        .unpivot(by, [ACCEPTED, DUPLICATE, FAILED], "outcome", "records")
+        .unpivot("source_type", [ACCEPTED, DUPLICATE, FAILED], "outcome", "records")
     )
 
 

@@ -1,8 +1,7 @@
 """Validation: every rule is one boolean column, so a scan-stage filter decides each row.
 
-``reject_reason`` is the first rule a row breaks (null = valid) and is all the hot path reads.
-``reject_reasons`` lists every broken rule; Spark computes it only for rows that are written
-as dead letters.
+Rules are a list of ``(reason, broken)`` pairs, the second being a SQL condition. Valid rows are selected by one small condition
+per rule, which Spark pushes down on its own; the reasons are computed for rejected rows only.
 """
 
 from __future__ import annotations
@@ -14,16 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from centsible.functions.text import is_blank
-from centsible.schemas import (
-    ACCEPTED,
-    CARD_NETWORK,
-    DUPLICATE,
-    FAILED,
-    PAYMENT_PROCESSOR,
-    REVERSED,
-    SOURCE_TYPES,
-    STATUSES,
-)
+from centsible.schemas import CARD_NETWORK, PAYMENT_PROCESSOR, REVERSED, SOURCE_TYPES, STATUSES
+
+Rule = tuple[str, str]  # reason, SQL condition that breaks it (null means not broken)
 
 # Fixed values.
 CLOCK_SKEW_MINUTES = 5
@@ -34,86 +26,88 @@ LARGE_REVERSAL_AMOUNT = Decimal("50000.00")
 CURRENCY_PATTERN = "^[A-Z]{3}$"
 
 
-def _not(known: Column) -> Column:
+def _unless(known: str) -> str:
     """True unless the test is surely true (null counts as broken)."""
-    return ~F.coalesce(known, F.lit(False))
+    return f"NOT coalesce({known}, false)"
+
+
+def _one_of(column: str, values: tuple[str, ...]) -> str:
+    return f"{column} IN ({', '.join(repr(value) for value in values)})"
 
 
-def structural_rules() -> list[tuple[str, Column]]:
+def structural_rules() -> list[Rule]:
     """What every canonical transaction must have."""
     return [
-        ("source_id_blank", is_blank(F.col("source_id"))),
-        ("source_type_unknown", _not(F.col("source_type").isin(*SOURCE_TYPES))),
-        ("account_id_blank", is_blank(F.col("account_id"))),
-        ("amount_not_positive", _not(F.col("amount") > 0)),
-        ("currency_missing", _not(F.col("currency").rlike(CURRENCY_PATTERN))),
-        ("merchant_name_blank", is_blank(F.col("merchant_name"))),
-        ("transacted_at_missing", F.col("transacted_at").isNull()),
-        ("status_unknown", _not(F.col("status").isin(*STATUSES))),
+        ("source_id_blank", is_blank("source_id")),
+        ("source_type_unknown", _unless(_one_of("source_type", SOURCE_TYPES))),
+        ("account_id_blank", is_blank("account_id")),
+        ("amount_not_positive", _unless("amount > 0")),
+        ("currency_missing", _unless(f"currency RLIKE '{CURRENCY_PATTERN}'")),
+        ("merchant_name_blank", is_blank("merchant_name")),
+        ("transacted_at_missing", "transacted_at IS NULL"),
+        ("status_unknown", _unless(_one_of("status", STATUSES))),
     ]
 
 
-def source_rules() -> list[tuple[str, Column]]:
+def source_rules() -> list[Rule]:
     """What one source asks for beyond the structural rules. Bank feeds need a currency and a
     time and payments an account, which the structural rules already cover."""
     return [
-        ("card_mcc_blank", (F.col("source_type") == CARD_NETWORK) & is_blank(F.col("merchant_mcc"))),
-        ("payment_account_blank", (F.col("source_type") == PAYMENT_PROCESSOR) & is_blank(F.col("account_id"))),
+        ("card_mcc_blank", f"source_type = '{CARD_NETWORK}' AND {is_blank('merchant_mcc')}"),
+        ("payment_account_blank", f"source_type = '{PAYMENT_PROCESSOR}' AND {is_blank('account_id')}"),
     ]
 
 
 def business_rules(
-    as_of: Column,
+    as_of: datetime | str | None = None,
     clock_skew_minutes: int = CLOCK_SKEW_MINUTES,
     max_age_days: int | None = MAX_AGE_DAYS,
     max_amount: Decimal | None = MAX_AMOUNT,
-) -> list[tuple[str, Column]]:
-    """Limits relative to the moment of ingest; all bounds themselves are allowed.
-    ``None`` switches a limit off."""
-    at = F.col("transacted_at")
-    rules = [("in_future", at > as_of + F.expr(f"INTERVAL {clock_skew_minutes} MINUTES"))]
+) -> list[Rule]:
+    """Limits relative to the moment of ingest; the bounds themselves are allowed and ``None``
+    switches a limit off.
+
+    ``as_of`` is a time or a SQL expression. By default it is the record's own arrival time,
+    which, unlike the current time, gives the same verdict when a batch is replayed.
+    """
+    if as_of is None:
+        as_of = "ingested_at"
+    elif isinstance(as_of, datetime):
+        as_of = f"TIMESTAMP '{as_of}'"
+    rules = [("in_future", f"transacted_at > {as_of} + INTERVAL {clock_skew_minutes} MINUTES")]
     if max_age_days is not None:
-        rules.append(("too_old", at < as_of - F.expr(f"INTERVAL {max_age_days * 24} HOURS")))
+        rules.append(("too_old", f"transacted_at < {as_of} - INTERVAL {max_age_days * 24} HOURS"))
     if max_amount is not None:
-        rules.append(("amount_too_large", F.col("amount") > F.lit(max_amount)))
+        rules.append(("amount_too_large", f"amount > {max_amount}"))
     return rules
 
 
-def as_of_column(as_of: datetime | Column | None) -> Column:
-    """The clock of the age rules. By default it is the record's own arrival time, which,
-    unlike the current time, gives the same verdict when a batch is replayed."""
-    if as_of is None:
-        return F.col("ingested_at")
-    return as_of if isinstance(as_of, Column) else F.lit(as_of).cast("timestamp")
+def ingest_rules(as_of: datetime | str | None = None, **limits) -> list[Rule]:
+    """All rules in the order they are reported; ``limits`` are those of ``business_rules``."""
+    return structural_rules() + source_rules() + business_rules(as_of, **limits)
 
 
-def validate(df: DataFrame, as_of: datetime | Column | None = None, **limits) -> DataFrame:
-    """Add ``reject_reason``, ``reject_reasons`` and ``large_reversal``; no row is dropped."""
-    rules = structural_rules() + source_rules() + business_rules(as_of_column(as_of), **limits)
-    broken = [F.when(bad, F.lit(reason)) for reason, bad in rules]
-    return df.select(
-        "*",
-        F.coalesce(*broken).alias("reject_reason"),
-        F.array_compact(F.array(*broken)).alias("reject_reasons"),
-        F.coalesce(
-            (F.col("status") == REVERSED) & (F.col("amount") > F.lit(LARGE_REVERSAL_AMOUNT)),
-            F.lit(False),
-        ).alias("large_reversal"),
-    )
+def valid_rows(df: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Rows that break no rule."""
+    return df.where(" AND ".join(f"NOT coalesce({broken}, false)" for _, broken in rules))
 
 
-def valid_rows(validated: DataFrame) -> DataFrame:
-    return validated.where(F.col("reject_reason").isNull()).drop("reject_reason", "reject_reasons")
+def with_reject_reasons(df: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Add ``reject_reason`` (the first broken rule, null for a valid row) and
+    ``reject_reasons`` (all of them)."""
+    reasons = ", ".join(f"CASE WHEN {broken} THEN '{reason}' END" for reason, broken in rules)
+    return df.selectExpr(
+        "*",
+        f"coalesce({reasons}) AS reject_reason",
+        f"array_compact(array({reasons})) AS reject_reasons",
+    )
 
 
-def rejected_rows(validated: DataFrame) -> DataFrame:
-    return validated.where(F.col("reject_reason").isNotNull())
+def rejected_rows(df: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Rows that break a rule, with their reasons."""
+    return with_reject_reasons(df, rules).where(F.col("reject_reason").isNotNull())
 
 
-def outcome(is_repeat: Column) -> Column:
-    """Validation comes first, then the duplicate check."""
-    return (
-        F.when(F.col("reject_reason").isNotNull(), FAILED)
-        .when(is_repeat, DUPLICATE)
-        .otherwise(ACCEPTED)
-    )
+def is_large_reversal() -> Column:
+    """A reversal above the limit is allowed but worth a look."""
+    return F.expr(f"coalesce(status = '{REVERSED}' AND amount > {LARGE_REVERSAL_AMOUNT}, false)")

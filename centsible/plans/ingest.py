@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 
 from centsible.operators.categorise import Classifier, categorise
 from centsible.operators.dedup import drop_source_repeats, first_wins
-from centsible.operators.validate import valid_rows, validate
+from centsible.operators.validate import ingest_rules, valid_rows
 from centsible.schemas import PAYMENT_PROCESSOR
 from centsible.sources.adapters import normalise_all
 from centsible.sources.tables import to_transactions
@@ -32,6 +32,6 @@ def ingest(
     **limits,
 ) -> DataFrame:
     """Validate, keep the first row of every source id, categorise and shape for storage."""
-    validated = validate(normalised(raw_by_source), as_of, **limits)
-    accepted = first_wins(valid_rows(validated), "source_id")
+    valid = valid_rows(normalised(raw_by_source), ingest_rules(as_of, **limits))
+    accepted = first_wins(valid, "source_id")
     return to_transactions(categorise(accepted, categories, classifier))

@@ -127,6 +127,7 @@ TRANSACTION_SCHEMA = _struct(
     batch_id=LONG,
     transacted_date=DATE,
 )
+TRANSACTION_BASE_SCHEMA = T.StructType(TRANSACTION_SCHEMA.fields + [T.StructField("generation", LONG)])
 ROLLUP_KEYS = ["account_id", "category_id", "period_date", "period_type"]
 ROLLUP_SCHEMA = _struct(
     account_id=STRING,
@@ -177,8 +178,8 @@ EVENT_SCHEMA = _struct(
     value=STRING,
     batch_id=LONG,
 )
-# Versions of the compacted rollup base.
+# Versions of a compacted table.
 MANIFEST_SCHEMA = _struct(
-    version=LONG,
     covers_batch=LONG,
+    version=LONG,
 )

@@ -12,39 +12,28 @@ from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from centsible.functions.status import bank_status, card_status, payment_status
 from centsible.schemas import (
     BANK_FEED,
-    BANK_SCHEMA,
     CARD_NETWORK,
-    CARD_SCHEMA,
-    MONEY,
     NORMALISED_SCHEMA,
     PAYMENT_PROCESSOR,
-    PAYMENT_SCHEMA,
+    SOURCE_SCHEMAS,
 )
 
 ARRIVAL_COLUMNS = ("ingested_at", "arrival_seq")
 
 
-def payload_json(columns: list[str]) -> Column:
-    """The whole source record as JSON, ``{}`` when it cannot be written."""
-    record = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
-    return F.coalesce(record, F.lit("{}"))
-
-
-def _canonical(raw: DataFrame, source_type: str, payload_columns: list[str], **mapped: Column) -> DataFrame:
-    mapped = {
-        **mapped,
-        "source_type": F.lit(source_type),
-        "amount": mapped["amount"].cast(MONEY),
-        "raw_payload": payload_json(payload_columns),
-    }
-    arrival = [F.col(c) for c in ARRIVAL_COLUMNS if c in raw.columns]
-    return raw.select(*[mapped[name].alias(name) for name in NORMALISED_SCHEMA.names], *arrival)
+def _canonical(raw: DataFrame, source_type: str, mapping: Mapping[str, str]) -> DataFrame:
+    """Map SQL expressions to the canonical columns and keep the whole source record as JSON
+    (``{}`` when it cannot be written)."""
+    record = ", ".join(SOURCE_SCHEMAS[source_type].names)
+    payload = f"coalesce(to_json(struct({record}), map('ignoreNullFields', 'false')), '{{}}')"
+    mapping = {**mapping, "source_type": f"'{source_type}'", "raw_payload": payload}
+    arrival = [name for name in ARRIVAL_COLUMNS if name in raw.columns]
+    return raw.selectExpr(*[f"{mapping[name]} AS {name}" for name in NORMALISED_SCHEMA.names], *arrival)
 
 
 def normalise_bank(raw: DataFrame) -> DataFrame:
@@ -52,15 +41,16 @@ def normalise_bank(raw: DataFrame) -> DataFrame:
     return _canonical(
         raw,
         BANK_FEED,
-        BANK_SCHEMA.names,
-        source_id=F.col("transaction_id"),
-        account_id=F.col("account_id"),
-        amount=F.col("amount"),
-        currency=F.col("currency"),
-        merchant_name=F.col("merchant_name"),
-        merchant_mcc=F.lit(None).cast("string"),
-        transacted_at=F.col("transacted_at"),
-        status=bank_status(F.col("status")),
+        {
+            "source_id": "transaction_id",
+            "account_id": "account_id",
+            "amount": "amount",
+            "currency": "currency",
+            "merchant_name": "merchant_name",
+            "merchant_mcc": "CAST(NULL AS STRING)",
+            "transacted_at": "transacted_at",
+            "status": bank_status("status"),
+        },
     )
 
 
@@ -69,15 +59,16 @@ def normalise_payment(raw: DataFrame) -> DataFrame:
     return _canonical(
         raw,
         PAYMENT_PROCESSOR,
-        PAYMENT_SCHEMA.names,
-        source_id=F.col("payment_id"),
-        account_id=F.col("customer_id"),
-        amount=F.col("amount"),
-        currency=F.col("currency"),
-        merchant_name=F.col("merchant_descriptor"),
-        merchant_mcc=F.lit(None).cast("string"),
-        transacted_at=F.col("created_at"),
-        status=payment_status(F.col("event_type")),
+        {
+            "source_id": "payment_id",
+            "account_id": "customer_id",
+            "amount": "amount",
+            "currency": "currency",
+            "merchant_name": "merchant_descriptor",
+            "merchant_mcc": "CAST(NULL AS STRING)",
+            "transacted_at": "created_at",
+            "status": payment_status("event_type"),
+        },
     )
 
 
@@ -86,15 +77,16 @@ def normalise_card(raw: DataFrame) -> DataFrame:
     return _canonical(
         raw,
         CARD_NETWORK,
-        CARD_SCHEMA.names,
-        source_id=F.col("record_id"),
-        account_id=F.col("pan_last_four"),
-        amount=F.col("amount"),
-        currency=F.col("currency"),
-        merchant_name=F.col("merchant_name"),
-        merchant_mcc=F.col("mcc"),
-        transacted_at=F.coalesce(F.col("cleared_at"), F.col("authorised_at")),
-        status=card_status(F.col("clearing_status")),
+        {
+            "source_id": "record_id",
+            "account_id": "pan_last_four",
+            "amount": "amount",
+            "currency": "currency",
+            "merchant_name": "merchant_name",
+            "merchant_mcc": "mcc",
+            "transacted_at": "coalesce(cleared_at, authorised_at)",
+            "status": card_status("clearing_status"),
+        },
     )
 
 

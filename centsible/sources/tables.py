@@ -50,22 +50,64 @@ class Store:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(f"{self.path(table)}/batch_id={batch_id}")
 
-    # transactions
+    # manifests: which compacted version is current, and the last batch it covers
 
-    def transactions(self) -> DataFrame:
+    def _newest(self, manifest: str) -> tuple[int, int]:
+        """(version, last batch covered); (0, -1) before the first compaction."""
+        newest = self._read(manifest, S.MANIFEST_SCHEMA).agg(
+            F.max(F.struct("version", "covers_batch")).alias("newest")
+        )
+        found = newest.select("newest.*").first()
+        return (found.version, found.covers_batch) if found.version is not None else (0, -1)
+
+    def _commit(self, manifest: str, version: int, covers_batch: int) -> None:
+        """Written last: until then readers use the version before."""
+        row = self.spark.range(1).select(
+            F.lit(covers_batch).cast("bigint").alias("covers_batch")
+        )
+        row.coalesce(1).write.mode("overwrite").parquet(f"{self.path(manifest)}/version={version}")
+
+    # transactions: a compacted base partitioned by day, plus the batches since
+
+    def _recent_transactions(self) -> DataFrame:
         return self._read("transactions", S.TRANSACTION_SCHEMA)
 
+    def transactions(self) -> DataFrame:
+        """Every stored transaction. A range of days reads only those day folders of the base
+        and skips row groups of the recent batches, whose files are sorted by day."""
+        generation, covered = self._newest("transactions_manifest")
+        recent = self._recent_transactions().where(F.col("batch_id") > covered)
+        if generation == 0:
+            return recent
+        base = self._read("transactions_base", S.TRANSACTION_BASE_SCHEMA)
+        committed = base.where(F.col("generation") <= generation).drop("generation")
+        return committed.unionByName(recent)
+
     def batch_transactions(self, batch_id: int) -> DataFrame:
-        return self.transactions().where(F.col("batch_id") == batch_id)
+        return self._recent_transactions().where(F.col("batch_id") == batch_id)
 
     def write_transactions(self, rows: DataFrame, batch_id: int) -> None:
-        """Partitioned by day. The rebalance hint sizes the files: AQE merges small days and
-        splits a day that holds too much for one task. Sorting by account inside a file lets
-        account filters skip row groups."""
-        sized = rows.hint("rebalance", "transacted_date").sortWithinPartitions(
-            "transacted_date", "account_id"
+        """Few files per batch: the rebalance hint lets AQE merge small partitions and split
+        large ones."""
+        sized = rows.hint("rebalance").sortWithinPartitions("transacted_date", "account_id")
+        self._write_batch(sized, "transactions", batch_id)
+
+    def compact_transactions(self, up_to_batch: int) -> None:
+        """Rewrite the batches since the last compaction as a new generation of the base,
+        partitioned by day. Earlier generations are not touched, so the cost follows the new
+        rows only. AQE merges small days and splits a day too large for one task."""
+        generation, covered = self._newest("transactions_manifest")
+        batches = self._recent_transactions().where(
+            (F.col("batch_id") > covered) & (F.col("batch_id") <= up_to_batch)
+        )
+        (
+            batches.hint("rebalance", "transacted_date")
+            .sortWithinPartitions("transacted_date", "account_id")
+            .write.mode("overwrite")
+            .partitionBy("transacted_date")
+            .parquet(self.path(f"transactions_base/generation={generation + 1}"))
         )
-        self._write_batch(sized, "transactions", batch_id, ["transacted_date"])
+        self._commit("transactions_manifest", generation + 1, max(up_to_batch, covered))
 
     # dead letters and outcome counts
 
@@ -97,17 +139,9 @@ class Store:
     def write_rollup_part(self, daily: DataFrame, batch_id: int) -> None:
         self._write_batch(daily, "rollup_parts", batch_id)
 
-    def _base_version(self) -> tuple[int, int]:
-        """(version of the current base, last batch it covers); (0, -1) when there is none."""
-        newest = self._read("rollup_manifest", S.MANIFEST_SCHEMA).agg(
-            F.max(F.struct("version", "covers_batch")).alias("newest")
-        )
-        found = newest.select("newest.*").first()
-        return (found.version, found.covers_batch) if found.version is not None else (0, -1)
-
     def rollup(self, period_types: tuple[str, ...] = S.PERIOD_TYPES) -> DataFrame:
         """The current rollup: base plus every part the base does not cover."""
-        version, covered = self._base_version()
+        version, covered = self._newest("rollup_manifest")
         parts = merge_daily(self.rollup_parts().where(F.col("batch_id") > covered))
         fresh = expand_periods(parts, period_types)
         if version == 0:
@@ -119,7 +153,7 @@ class Store:
         """Fold the parts up to a batch into a new base version. The old base and the parts
         stay untouched for readers that started before; the manifest row, written last, makes
         the new version current."""
-        version, covered = self._base_version()
+        version, covered = self._newest("rollup_manifest")
         parts = self.rollup_parts().where(
             (F.col("batch_id") > covered) & (F.col("batch_id") <= up_to_batch)
         )
@@ -135,13 +169,7 @@ class Store:
             .partitionBy("period_type")
             .parquet(self.path(f"rollup_base/version={new}"))
         )
-        manifest = self.spark.range(1).select(
-            F.lit(new).cast("bigint").alias("version"),
-            F.lit(max(up_to_batch, covered)).cast("bigint").alias("covers_batch"),
-        )
-        manifest.coalesce(1).write.mode("overwrite").parquet(
-            self.path(f"rollup_manifest/base={new}")
-        )
+        self._commit("rollup_manifest", new, max(up_to_batch, covered))
 
 
 def to_transactions(categorised: DataFrame, batch_id: int | Column = 0) -> DataFrame:

@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from centsible.functions.status import translate
 from centsible.functions.text import stable_id
 from centsible.plans.ingest import ingest, normalised
-from centsible.schemas import BANK_FEED, CARD_NETWORK, MONEY, PAYMENT_PROCESSOR
+from centsible.schemas import BANK_FEED, CARD_NETWORK, PAYMENT_PROCESSOR
 from centsible.sources.categories import load_categories
 
 # Fixed values of the mapping.
@@ -50,27 +51,38 @@ CATEGORIES = [
 PAYMENTS_AS_OF = datetime(2024, 1, 25)
 
 
+# The columns used of each table; with a schema given, no footer has to be read to plan.
+TABLES = {
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+    "l_extendedprice double, l_returnflag string, l_shipdate timestamp_ntz",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz",
+    "customer": "c_custkey bigint, c_mktsegment string, c_nationkey int",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def categories(spark: SparkSession) -> DataFrame:
     return load_categories(spark, CATEGORIES)
 
 
-def _pick(word: Column, mapping: dict[str, str], otherwise: Column | None = None) -> Column:
-    chosen = F.lit(None).cast("string") if otherwise is None else otherwise
-    for key, value in mapping.items():
-        chosen = F.when(word == key, value).otherwise(chosen)
-    return chosen
-
-
-def _currency(number: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(c) for c in CURRENCIES]), (number % 4 + 1).cast("int"))
+def _currency(number: str) -> str:
+    codes = ", ".join(f"'{code}'" for code in CURRENCIES)
+    return f"element_at(array({codes}), CAST({number} % 4 + 1 AS INT))"
 
 
-def _padded(number: Column) -> Column:
-    return F.lpad(number.cast("string"), 4, "0")
+def _arrival(at: str, price: str, first: str, second: str, day: str) -> list[str]:
+    """Records arrive an hour after they happen; copies arrive in the given order."""
+    return [
+        f"{at} + INTERVAL 1 HOUR AS ingested_at",
+        f"""named_struct('price', {price}, 'first', CAST({first} AS BIGINT),
+            'second', CAST({second} AS BIGINT), 'day', {day}) AS arrival_seq""",
+    ]
 
 
 def card_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,22 +93,23 @@ def card_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(parts, F.col("l_partkey") == F.col("p_partkey"))
     )
-    authorised = F.col("o_orderdate").cast("timestamp")
-    cleared = F.when(F.col("l_returnflag") != "A", F.col("l_shipdate").cast("timestamp"))
-    return lines.select(
-        F.concat_ws("-", F.lit("CN"), "l_orderkey", "l_linenumber").alias("record_id"),
-        F.concat(F.lit("AUTH"), F.col("l_suppkey").cast("string")).alias("auth_code"),
-        _padded(F.col("o_custkey") % 10000).alias("pan_last_four"),
-        F.col("p_name").alias("merchant_name"),
-        F.col("p_brand").alias("merchant_city"),
-        _pick(F.col("p_type"), PART_TYPE_MCC).alias("mcc"),
-        F.col("l_extendedprice").cast(MONEY).alias("amount"),
-        _currency(F.col("o_custkey")).alias("currency"),
-        authorised.alias("authorised_at"),
-        cleared.alias("cleared_at"),
-        _pick(F.col("l_returnflag"), CLEARING_STATUS).alias("clearing_status"),
-        _an_hour_after(F.coalesce(cleared, authorised)).alias("ingested_at"),
-        F.struct("l_extendedprice", "l_partkey", "l_suppkey", "l_shipdate").alias("arrival_seq"),
+    authorised = "CAST(o_orderdate AS TIMESTAMP)"
+    cleared = "CASE WHEN l_returnflag <> 'A' THEN CAST(l_shipdate AS TIMESTAMP) END"
+    return lines.selectExpr(
+        "concat_ws('-', 'CN', l_orderkey, l_linenumber) AS record_id",
+        "concat('AUTH', l_suppkey) AS auth_code",
+        "lpad(CAST(o_custkey % 10000 AS STRING), 4, '0') AS pan_last_four",
+        "p_name AS merchant_name",
+        "p_brand AS merchant_city",
+        f"{translate('p_type', PART_TYPE_MCC)} AS mcc",
+        "CAST(l_extendedprice AS DECIMAL(19,4)) AS amount",
+        f"{_currency('o_custkey')} AS currency",
+        f"{authorised} AS authorised_at",
+        f"{cleared} AS cleared_at",
+        f"{translate('l_returnflag', CLEARING_STATUS)} AS clearing_status",
+        *_arrival(
+            f"coalesce({cleared}, {authorised})", "l_extendedprice", "l_partkey", "l_suppkey", "l_shipdate"
+        ),
     )
 
 
@@ -105,51 +118,35 @@ def bank_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").join(
         customers, F.col("o_custkey") == F.col("c_custkey")
     )
-    at = F.col("o_orderdate").cast("timestamp")
-    return orders.select(
-        F.concat(F.lit("BF-"), F.col("o_orderkey").cast("string")).alias("transaction_id"),
-        F.concat(F.lit("ACC-"), _padded(F.col("o_custkey"))).alias("account_id"),
-        F.col("c_mktsegment").alias("merchant_name"),
-        F.col("o_totalprice").cast(MONEY).alias("amount"),
-        _currency(F.col("c_nationkey")).alias("currency"),
-        at.alias("transacted_at"),
-        _pick(F.col("o_orderstatus"), BANK_STATUS).alias("status"),
-        _an_hour_after(at).alias("ingested_at"),
-        _sequence(F.col("o_totalprice"), F.col("o_custkey"), F.lit(0), F.col("o_orderdate")),
+    at = "CAST(o_orderdate AS TIMESTAMP)"
+    return orders.selectExpr(
+        "concat('BF-', o_orderkey) AS transaction_id",
+        "concat('ACC-', lpad(CAST(o_custkey AS STRING), 4, '0')) AS account_id",
+        "c_mktsegment AS merchant_name",
+        "CAST(o_totalprice AS DECIMAL(19,4)) AS amount",
+        f"{_currency('c_nationkey')} AS currency",
+        f"{at} AS transacted_at",
+        f"{translate('o_orderstatus', BANK_STATUS)} AS status",
+        *_arrival(at, "o_totalprice", "o_custkey", "0", "o_orderdate"),
     )
 
 
 def payment_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = F.col("ts").cast("timestamp")
-    return table(spark, sf_dir, "events").select(
-        F.concat(F.lit("evt_"), F.col("event_id").cast("string")).alias("event_id"),
-        _pick(F.col("event_type"), PAYMENT_EVENT_TYPE, F.col("event_type")).alias("event_type"),
-        F.concat(F.lit("pi_"), F.col("event_id").cast("string")).alias("payment_id"),
-        F.concat(F.lit("cus_"), F.col("user_id").cast("string")).alias("customer_id"),
-        F.col("event_type").alias("merchant_descriptor"),
-        F.col("value").cast(MONEY).alias("amount"),
-        _currency(F.col("user_id")).alias("currency"),
-        at.alias("created_at"),
-        F.lit(0).alias("retry_attempt"),
-        _an_hour_after(at).alias("ingested_at"),
-        _sequence(F.col("value"), F.col("user_id"), F.lit(0), F.col("ts")),
+    at = "CAST(ts AS TIMESTAMP)"
+    return table(spark, sf_dir, "events").selectExpr(
+        "concat('evt_', event_id) AS event_id",
+        f"{translate('event_type', PAYMENT_EVENT_TYPE, 'event_type')} AS event_type",
+        "concat('pi_', event_id) AS payment_id",
+        "concat('cus_', user_id) AS customer_id",
+        "event_type AS merchant_descriptor",
+        "CAST(value AS DECIMAL(19,4)) AS amount",
+        f"{_currency('user_id')} AS currency",
+        f"{at} AS created_at",
+        "0 AS retry_attempt",
+        *_arrival(at, "value", "user_id", "0", "ts"),
     )
 
 
-def _an_hour_after(at: Column) -> Column:
-    return at + F.expr("INTERVAL 1 HOUR")
-
-
-def _sequence(price: Column, first: Column, second: Column, at: Column) -> Column:
-    """Arrival order in the shape the card records have."""
-    return F.struct(
-        price.alias("l_extendedprice"),
-        first.cast("bigint").alias("l_partkey"),
-        second.cast("bigint").alias("l_suppkey"),
-        at.alias("l_shipdate"),
-    ).alias("arrival_seq")
-
-
 def raw_sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {
         CARD_NETWORK: card_records(spark, sf_dir),
@@ -173,22 +170,21 @@ def transactions(spark: SparkSession, sf_dir: str, classifier=None) -> DataFrame
 def part_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A category tree taken from the part table: part types are the roots, the brands of a
     type its children; a child lists the codes of the part sizes it comes in."""
-    number = _pick(F.col("p_type"), {name: str(i) for i, name in enumerate(PART_TYPE_MCC, start=1)})
-    parts = table(spark, sf_dir, "part").select(
-        (number.cast("bigint") * 1000).alias("type_id"),
-        F.lower("p_type").alias("type"),
-        F.col("p_type").alias("type_label"),
-        F.lower(F.replace(F.col("p_brand"), F.lit("#"), F.lit("_"))).alias("brand"),
-        F.col("p_brand").alias("brand_label"),
-        F.split_part(F.col("p_brand"), F.lit("#"), F.lit(2)).cast("bigint").alias("brand_number"),
-        F.concat(F.lit("50"), F.lpad(F.col("p_size").cast("string"), 2, "0")).alias("mcc"),
+    numbers = {name: str(i) for i, name in enumerate(PART_TYPE_MCC, start=1)}
+    parts = table(spark, sf_dir, "part").selectExpr(
+        f"CAST({translate('p_type', numbers)} AS BIGINT) * 1000 AS type_id",
+        "lower(p_type) AS type",
+        "p_type AS type_label",
+        "concat_ws('_', lower(p_type), lower(replace(p_brand, '#', '_'))) AS code",
+        "p_brand AS brand_label",
+        "CAST(split_part(p_brand, '#', 2) AS BIGINT) AS brand_number",
+        "concat('50', lpad(CAST(p_size AS STRING), 2, '0')) AS mcc",
     )
-    code = F.concat_ws("_", "type", "brand")
-    roots = parts.groupBy("type_id", "type", "type_label").agg(F.lit(None).cast("array<string>").alias("mcc_codes"))
-    children = parts.groupBy("type_id", "type", "brand", "brand_label", "brand_number").agg(
+    no_list = F.lit(None).cast("array<string>")
+    roots = parts.select("type_id", "type", "type_label").distinct()
+    children = parts.groupBy("type_id", "type", "code", "brand_label", "brand_number").agg(
         F.sort_array(F.collect_set("mcc")).alias("mcc_codes")
     )
-    keywords = F.lit(None).cast("array<string>").alias("keywords")
     return roots.select(
         F.col("type_id").alias("id"),
         stable_id(F.col("type")).alias("external_id"),
@@ -196,17 +192,17 @@ def part_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("type_label").alias("label"),
         F.col("type").alias("path"),
         F.lit(None).cast("bigint").alias("parent_id"),
-        "mcc_codes",
-        keywords,
+        no_list.alias("mcc_codes"),
+        no_list.alias("keywords"),
     ).unionByName(
         children.select(
             (F.col("type_id") + F.col("brand_number")).alias("id"),
-            stable_id(code).alias("external_id"),
-            code.alias("code"),
+            stable_id(F.col("code")).alias("external_id"),
+            "code",
             F.col("brand_label").alias("label"),
-            F.concat_ws(".", "type", code).alias("path"),
+            F.concat_ws(".", "type", "code").alias("path"),
             F.col("type_id").alias("parent_id"),
             "mcc_codes",
-            keywords,
+            no_list.alias("keywords"),
         )
     )
