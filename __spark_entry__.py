@@ -378,33 +378,33 @@ def transaction_by_id(spark, sf):
 # ---- comparison ----------------------------------------------------------------------------
 
 
-def _comparison(spark, sf, request=YEAR_1998, per=()):
-    rows = _rollup(spark, sf, request.period_type)
-    return compare.compare(rows, tb.categories(spark), request, per)
+def _category_sums(spark, sf, per=()):
+    return compare.category_sums(_rollup(spark, sf, DAILY), tb.categories(spark), YEAR_1998, per)
 
 
 def compare_periods(spark, sf):
-    return _comparison(spark, sf).periods
+    return compare.period_summaries(compare.report_totals(_category_sums(spark, sf)), YEAR_1998)
 
 
 def compare_delta(spark, sf):
-    return _comparison(spark, sf).delta
+    return compare.spend_delta(compare.report_totals(_category_sums(spark, sf)))
 
 
 def compare_by_category(spark, sf):
-    return _comparison(spark, sf).by_category
+    return compare.category_breakdown(_category_sums(spark, sf), tb.categories(spark))
 
 
 def compare_by_account(spark, sf):
-    return _comparison(spark, sf, per=["account_id"]).by_category
+    per = ["account_id"]
+    return compare.category_breakdown(_category_sums(spark, sf, per), tb.categories(spark), per)
 
 
 def compare_series(spark, sf):
-    return _comparison(spark, sf, YEAR_1998_BY_MONTH).time_series
+    return compare.compare_series(_rollup(spark, sf, MONTHLY), tb.categories(spark), YEAR_1998_BY_MONTH)
 
 
 def anomalies(spark, sf):
-    return _comparison(spark, sf, per=["account_id"]).anomalies
+    return compare.detect_anomalies(compare_by_account(spark, sf), ["account_id"])
 
 
 # ---- category dimension --------------------------------------------------------------------

@@ -25,9 +25,9 @@ def contains_ignore_case(text: Column, term: str) -> Column:
 
 def stable_id(key: Column) -> Column:
     """A UUID-shaped id computed from the key, so a retried task gives the same id again."""
-    return F.regexp_replace(
-        F.md5(key), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"
-    )
+    digest = F.md5(key)
+    cuts = [(1, 8), (9, 4), (13, 4), (17, 4), (21, 12)]
+    return F.concat_ws("-", *[F.substring(digest, start, length) for start, length in cuts])
 
 
 def comma_list(text: Column) -> Column:

@@ -38,7 +38,7 @@ def drop_stored(batch: DataFrame, stored: DataFrame, key: str = "source_id") ->
     those of this batch (only the key column is read; the batch's ids are broadcast when AQE
     finds them small, else both sides are shuffled) and only the hits are joined back.
     """
-    hits = stored.select(key).join(batch.select(key), key, "left_semi").distinct()
+    hits = stored.select(key).join(batch.select(key).distinct(), key, "left_semi").distinct()
     return batch.join(hits, key, "left_anti")
 
 
@@ -76,26 +76,30 @@ def count_outcomes(
     """Records per source and outcome. Only the first row of each key is accepted, so no
     repeat has to be numbered."""
     firsts = first_wins(valid_rows(df, rules).select("source_type", key, order), key, order)
-    return outcome_counts(df, rules, firsts)
-
-
-def outcome_counts(df: DataFrame, rules: list[Rule], accepted: DataFrame) -> DataFrame:
-    """Records per source and outcome when the accepted rows are known: what else is valid is a
-    duplicate, the rest failed."""
-    total = df.groupBy("source_type").agg(F.count(F.lit(1)).alias("total"))
-    valid = valid_rows(df, rules).groupBy("source_type").agg(F.count(F.lit(1)).alias("valid"))
-    kept = accepted.groupBy("source_type").agg(F.count(F.lit(1)).alias("kept"))
-    return (
-        total.join(valid, "source_type", "left")
-        .join(kept, "source_type", "left")
-        .na.fill(0, ["valid", "kept"])
-        .select(
-            "source_type",
-            F.col("kept").alias(ACCEPTED),
-            (F.col("valid") - F.col("kept")).alias(DUPLICATE),
-            (F.col("total") - F.col("valid")).alias(FAILED),
-        )
-        .unpivot("source_type", [ACCEPTED, DUPLICATE, FAILED], "outcome", "records")
+    broken = " OR ".join(f"coalesce({condition}, false)" for _, condition in rules)
+    records = df.groupBy("source_type").agg(
+        F.count(F.lit(1)).alias("total"), F.count_if(F.expr(broken)).alias(FAILED)
+    )
+    return _outcome_rows(records, firsts)
+
+
+def batch_outcomes(batch: DataFrame, rejected: DataFrame, accepted: DataFrame) -> DataFrame:
+    """The same for a batch whose rejected and accepted rows are written: whatever else came
+    in is a duplicate."""
+    total = batch.groupBy("source_type").agg(F.count(F.lit(1)).alias("total"))
+    failed = rejected.groupBy("source_type").agg(F.count(F.lit(1)).alias(FAILED))
+    # null-safe: a record that could not be read has no source type
+    same = total["source_type"].eqNullSafe(failed["source_type"])
+    records = total.join(failed, same, "left").select(total["source_type"], "total", FAILED)
+    return _outcome_rows(records, accepted)
+
+
+def _outcome_rows(records: DataFrame, accepted: DataFrame) -> DataFrame:
+    kept = accepted.groupBy("source_type").agg(F.count(F.lit(1)).alias(ACCEPTED))
+    counted = records.join(kept, "source_type", "left").na.fill(0, [ACCEPTED, FAILED])
+    duplicates = F.col("total") - F.col(ACCEPTED) - F.col(FAILED)
+    return counted.select("source_type", ACCEPTED, duplicates.alias(DUPLICATE), FAILED).unpivot(
+        "source_type", [ACCEPTED, DUPLICATE, FAILED], "outcome", "records"
     )
 
 
