@@ -168,7 +168,7 @@ def dead_letter_report(spark, sf):
 
 
 def dead_letter_context(spark, sf):
-    return reports.dead_letter_context(_dead_letters(spark, sf))
+    return reports.dead_letter_context(_dead_letters(spark, sf)).drop("origin")
 
 
 # ---- categorisation ------------------------------------------------------------------------
@@ -391,10 +391,11 @@ def compare_delta(spark, sf):
 
 
 def compare_by_category(spark, sf):
-    return compare.category_breakdown(_category_sums(spark, sf), tb.categories(spark))
+    return compare.by_spend(compare.category_breakdown(_category_sums(spark, sf), tb.categories(spark)))
 
 
 def compare_by_account(spark, sf):
+    """One report per account, for all accounts in one job."""
     per = ["account_id"]
     return compare.category_breakdown(_category_sums(spark, sf, per), tb.categories(spark), per)
 

@@ -39,6 +39,7 @@ def dead_letter_context(dead_letters: DataFrame) -> DataFrame:
         "amount",
         "currency",
         "status",
+        "origin",
         "stage",
         "batch_id",
         F.array_join("reject_reasons", ",").alias("failure_cause"),

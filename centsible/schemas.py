@@ -162,6 +162,7 @@ DEAD_LETTER_SCHEMA = _struct(
     status=STRING,
     raw_payload=STRING,
     ingested_at=TIMESTAMP,
+    origin=STRING,
     stage=STRING,
     reject_reason=STRING,
     reject_reasons=STRINGS,

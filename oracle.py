@@ -230,7 +230,7 @@ def _anomalies(frame: str, report: str, columns: str) -> str:
                 count(*) OVER w AS n
             FROM (SELECT *, {delta} AS delta, {one_decimal} AS tenths FROM {frame})
             WINDOW w AS (PARTITION BY {report}))
-        WHERE n >= 3 AND abs(z) > 2"""
+        WHERE n >= 3 AND abs(z) > 2 + 1e-9"""
 
 
 def _breakdown(frame: str, columns: str = "") -> str:

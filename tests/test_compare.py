@@ -157,7 +157,14 @@ def test_drop_and_order(rollup, categories):
 
 
 @pytest.mark.parametrize(
-    "pairs", [[(100, 900), (100, 100)], [(100, 120)] * 8, [(100, 900), (100, 100), (100, 100)]]
+    "pairs",
+    [
+        [(100, 900), (100, 100)],
+        [(100, 120)] * 8,
+        [(100, 900), (100, 100), (100, 100)],
+        [(100, 133.37), (100, 100), (100, 100), (100, 100), (100, 100)],  # z is exactly 2
+        [(100, 177.77), (0, 100), (0, 10), (0, 1), (0, 3)],
+    ],
 )
 def test_no_anomalies(rollup, categories, pairs):
     assert cp.compare(changes(rollup, *pairs), categories, MARCH).anomalies.count() == 0
