@@ -464,11 +464,11 @@ def _ingested_cards(spark, sf):
 
 
 def stream_dedup(spark, sf):
-    """State that outlives the whole history, so that every repeat is caught."""
+    """State without an end, so that every repeat of the whole history is caught."""
     out, checkpoint = scratch_path(spark, "accepted"), scratch_path(spark, "checkpoint")
 
     def run(raw):
-        accepted = pipeline.accepted_stream(raw, ttl="10000 days", max_age_days=None)
+        accepted = pipeline.accepted_stream(raw, ttl=None, max_age_days=None)
         return pipeline.start_file_sink(accepted.select("source_id", "account_id"), out, checkpoint)
 
     _card_stream(spark, sf, run)

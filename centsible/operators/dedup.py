@@ -104,9 +104,15 @@ def _outcome_rows(records: DataFrame, accepted: DataFrame) -> DataFrame:
 
 
 def drop_stream_repeats(
-    events: DataFrame, key: str = "source_id", event_time: str = "ingested_at", ttl: str = "24 hours"
+    events: DataFrame, key: str = "source_id", event_time: str = "ingested_at", ttl: str | None = "24 hours"
 ) -> DataFrame:
     """Streaming duplicate check with a time to live, counted from the first arrival and not
-    prolonged by repeats. Put it after validation: only accepted rows may enter the state."""
-    return events.withWatermark(event_time, ttl).dropDuplicatesWithinWatermark([key])
+    prolonged by repeats. Put it after validation: only accepted rows may enter the state.
 
+    Without a ``ttl`` a key is remembered for good. The state is in RocksDB, so a batch looks
+    up its own keys only, however many are stored. Copies that differ and reach the same
+    micro-batch have no fixed order here; ``first_wins`` has one.
+    """
+    if ttl is None:
+        return events.dropDuplicates([key])
+    return events.withWatermark(event_time, ttl).dropDuplicatesWithinWatermark([key])
