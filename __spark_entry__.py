@@ -156,7 +156,7 @@ def drop_stored(spark, sf):
     """Rows whose id was not seen before in a record below 50000."""
     valid = _valid_any_age(spark, sf)
     stored = valid.where("amount < 50000").select("source_id")
-    return dedup.drop_stored(dedup.first_wins(valid, "source_id"), stored).select(*CANONICAL)
+    return dedup.drop_stored(dedup.first_wins(valid, "source_id"), stored, keys=valid).select(*CANONICAL)
 
 
 def _dead_letters(spark, sf):

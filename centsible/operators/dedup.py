@@ -31,14 +31,18 @@ def drop_source_repeats(raw: DataFrame, source_type: str, order: str = "arrival_
     return keyed.unionByName(raw.where(F.col(key).isNull()))
 
 
-def drop_stored(batch: DataFrame, stored: DataFrame, key: str = "source_id") -> DataFrame:
+def drop_stored(
+    batch: DataFrame, stored: DataFrame, key: str = "source_id", keys: DataFrame | None = None
+) -> DataFrame:
     """Remove rows whose key is already stored.
 
     The stored side can be huge and the batch is not, so the stored ids are first reduced to
     those of this batch (only the key column is read; the batch's ids are broadcast when AQE
-    finds them small, else both sides are shuffled) and only the hits are joined back.
+    finds them small, else both sides are shuffled) and only the hits are joined back. ``keys``
+    may name a cheaper source of the batch's keys than the batch itself.
     """
-    hits = stored.select(key).join(batch.select(key).distinct(), key, "left_semi").distinct()
+    wanted = (batch if keys is None else keys).select(key).distinct()
+    hits = stored.select(key).join(wanted, key, "left_semi").distinct()
     return batch.join(hits, key, "left_anti")
 
 
