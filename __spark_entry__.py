@@ -25,7 +25,7 @@ from centsible.session import prepare, scratch_path  # noqa: E402
 from centsible.sources import tables  # noqa: E402
 from centsible.sources.adapters import normalise  # noqa: E402
 from centsible.sources.readers import stream_records  # noqa: E402
-from centsible.streaming import pipeline  # noqa: E402
+from centsible.streaming import ingest  # noqa: E402
 from centsible.streaming import rollup as stream_rollup  # noqa: E402
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -138,9 +138,9 @@ def ingest_report(spark, sf):
     return reports.ingest_report(dedup.count_outcomes(tb.unified(spark, sf), _rules()))
 
 
-def pipeline_counters(spark, sf):
+def processing_counters(spark, sf):
     outcomes = dedup.count_outcomes(tb.unified(spark, sf), _rules())
-    return reports.pipeline_counters(outcomes).where("records > 0")
+    return reports.processing_counters(outcomes).where("records > 0")
 
 
 def dedup_first_wins(spark, sf):
@@ -458,7 +458,7 @@ def _ingested_cards(spark, sf):
     _card_stream(
         spark,
         sf,
-        lambda raw: pipeline.start_ingest(raw, store, tb.categories(spark), checkpoint, max_age_days=None),
+        lambda raw: ingest.start_ingest(raw, store, tb.categories(spark), checkpoint, max_age_days=None),
     )
     return store
 
@@ -468,8 +468,8 @@ def stream_dedup(spark, sf):
     out, checkpoint = scratch_path(spark, "accepted"), scratch_path(spark, "checkpoint")
 
     def run(raw):
-        accepted = pipeline.accepted_stream(raw, ttl=None, max_age_days=None)
-        return pipeline.start_file_sink(accepted.select("source_id", "account_id"), out, checkpoint)
+        accepted = ingest.accepted_stream(raw, ttl=None, max_age_days=None)
+        return ingest.start_file_sink(accepted.select("source_id", "account_id"), out, checkpoint)
 
     _card_stream(spark, sf, run)
     return spark.read.parquet(out)
@@ -510,7 +510,7 @@ _QUERIES: dict[str, Query] = {
         large_reversals,
         ingest_outcomes,
         ingest_report,
-        pipeline_counters,
+        processing_counters,
         dedup_first_wins,
         source_repeats,
         drop_stored,

@@ -13,7 +13,7 @@ def ingest_report(outcomes: DataFrame) -> DataFrame:
     return outcomes.groupBy("source_type", "outcome").agg(F.sum("records").alias("records"))
 
 
-def pipeline_counters(outcomes: DataFrame) -> DataFrame:
+def processing_counters(outcomes: DataFrame) -> DataFrame:
     """Records per source, as successes (accepted or known already) and failures."""
     result = F.when(F.col("outcome").isin(ACCEPTED, DUPLICATE), "success").otherwise("failure")
     return outcomes.groupBy("source_type", result.alias("result")).agg(

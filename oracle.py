@@ -283,7 +283,7 @@ def oracle_sql() -> dict[str, str]:
             "numbered",
         ),
         "ingest_report": sql(COUNTS, "v", "numbered"),
-        "pipeline_counters": sql(
+        "processing_counters": sql(
             """SELECT source_type, CASE WHEN len(reasons) > 0 THEN 'failure' ELSE 'success' END AS result,
             count(*) AS records FROM v GROUP BY ALL""",
             "v",
