@@ -11,24 +11,30 @@ from pyspark.sql import types as T
 from centsible.schemas import TOTAL
 
 
+COUNT = T.DecimalType(24, 0)
+
+
 def ten_thousandths(part: Column, whole: Column) -> Column:
     """``part / whole`` rounded half-up to 4 decimals, as a count of 1/10000; 0 when whole is 0.
 
-    Decimal division would first round to the type's own scale and so round twice; this
-    adds half the divisor and divides as integers. ``whole`` must not be negative.
+    Decimal division would first round to the type's own scale and so round twice. Here the
+    whole quotient and the remainder are divided as integers, the latter after half a divisor
+    is added. ``whole`` must not be negative.
     """
     part, whole = part.cast(TOTAL), whole.cast(TOTAL)
-    doubled = whole * 2
-    # nullif keeps the division safe in the branch that is not taken
-    size = F.call_function("div", F.abs(part) * 20000 + whole, F.nullif(doubled, F.lit(0)))
-    signed = F.when(part < 0, -size).otherwise(size)
-    return F.when(whole == 0, F.lit(0).cast("bigint")).otherwise(signed)
+    size = F.abs(part)
+    divisor = F.nullif(whole, F.lit(0).cast(TOTAL))  # safe in the branch that is not taken
+    quotient = F.call_function("div", size, divisor).cast(COUNT)
+    remainder = (size % divisor).cast(TOTAL)
+    rest = F.call_function("div", remainder * 20000 + whole, divisor * 2).cast(COUNT)
+    count = (quotient * 10000 + rest).cast(COUNT)
+    return F.when(whole == 0, F.lit(0).cast(COUNT)).otherwise(F.when(part < 0, -count).otherwise(count))
 
 
 def percent(part: Column, whole: Column, scale: int = 2) -> Column:
     """``part / whole`` in percent; the ratio is rounded to 4 decimals first."""
-    hundredths = ten_thousandths(part, whole).cast("decimal(20,0)") * F.lit(Decimal("0.01"))
-    return hundredths.cast(T.DecimalType(19 + scale, scale))
+    hundredths = ten_thousandths(part, whole) * F.lit(Decimal("0.01"))
+    return hundredths.cast(T.DecimalType(22 + scale, scale))
 
 
 def direction(change: Column) -> Column:

@@ -39,6 +39,8 @@ MARCH = cp.ComparisonRequest(date(2026, 3, 1), date(2026, 3, 31))
         ("1", "30000", "0.00"),
         ("5", "0", "0.00"),
         ("900000000000", "0.01", "9000000000000000.00"),
+        ("123456789012.3456", "0.0001", "123456789012345600.00"),
+        ("-123456789012.3456", "0.0001", "-123456789012345600.00"),
     ],
 )
 def test_percent_rounds_half_up_once(spark, part, whole, expected):
