@@ -565,6 +565,17 @@ _QUERIES: dict[str, Query] = {
 _QUERIES["stream_rollup"] = stream_rollup_monthly
 
 
+def _corpus() -> tuple[dict[str, Query], dict[str, str]]:
+    """The text corpus queries and their SQL; none where that subpackage is not installed."""
+    try:
+        from centsible.llm import queries as corpus_queries
+    except ModuleNotFoundError as error:
+        if error.name not in ("centsible.llm", "corpus_pipeline"):
+            raise
+        return {}, {}
+    return corpus_queries.QUERIES, corpus_queries.SQL
+
+
 def _registered(query: Query) -> Query:
     return lambda spark, sf_dir: present(query(prepare(spark), sf_dir))
 
@@ -575,8 +586,8 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {name: _registered(query) for name, query in _QUERIES.items()}
+    return {name: _registered(query) for name, query in {**_QUERIES, **_corpus()[0]}.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.oracle_sql()
+    return {**oracle.oracle_sql(), **_corpus()[1]}
