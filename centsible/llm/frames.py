@@ -59,3 +59,13 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
             waiting.append(batch)
     if waiting:
         yield pa.Table.from_batches(waiting)
+
+
+def table_rows_per_range(rows: DataFrame, column: str) -> list[int]:
+    """Cut points that split a whole-number column into about equal ranges, one per shuffle partition."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if parts < 2:
+        return []
+    shares = [n / parts for n in range(1, parts)]
+    cuts = rows.agg(F.percentile_approx(column, shares, max(10_000, 10 * parts)).alias("cuts")).first()["cuts"]
+    return sorted(set(cuts or []))

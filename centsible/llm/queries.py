@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import os
+
+import public_tokenizers
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from centsible.llm import secrets, sharding, sql, urls
+from centsible.llm import bpe, fingerprints, langid, quality, secrets, sharding, sql, urls
 from centsible.llm.frames import table
 
 # fixed values: host, path and verdict of the rules of the URL query
@@ -16,6 +20,57 @@ URL_RULES = [
     ("com", "/de/", "block"),
 ]
 
+#: Folder of the public vocabulary files.
+TOKENIZERS = os.environ.get("TOKENIZERS_DIR", os.path.dirname(public_tokenizers.__file__))
+LEAST_QUALITY = 0.3
+
+
+def sha256(text: Column) -> Column:
+    return F.sha2(F.encode(text, "UTF-8"), 256)
+
+
+def quality_model(spark, docs, sf_dir):
+    """Learned from the labelled documents outside the held-out fold."""
+    labels = table(spark, sf_dir, "labels").where(~quality.is_held_out(F.col("doc_id"), 5, 0))
+    return quality.fit(docs, labels)
+
+
+def op3_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score(docs, quality_model(spark, docs, sf_dir))
+    return scored.select(
+        "doc_id",
+        quality.is_held_out(F.col("doc_id"), 5, 0).alias("held_out"),
+        "score",
+        (F.col("score") >= LEAST_QUALITY).cast("int").alias("predicted"),
+        "n_passages",
+        "top_passage",
+    )
+
+
+def op4_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held_out = quality.is_held_out(F.col("doc_id"), 4, 2)
+    model = langid.fit(docs.where(~held_out))
+    judged = langid.predict(docs.select("doc_id", "text"), model)
+    return judged.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op5_fingerprint(spark, sf_dir):
+    return fingerprints.edited_neighbours(table(spark, sf_dir, "documents"))
+
+
+def op6_bpe(spark, sf_dir):
+    path = os.path.join(TOKENIZERS, "word_bpe_49k.json")
+    encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    decoded = bpe.decode(encoded.drop("text"), path)
+    return decoded.select(
+        "doc_id",
+        "n_tokens",
+        sha256(F.concat_ws(" ", F.col("ids").cast("array<string>"))).alias("ids_sha256"),
+        sha256(F.col("decoded")).alias("decoded_sha256"),
+    )
+
 
 def op8_rendezvous_shards(spark, sf_dir):
     placed = sharding.assign_shards(table(spark, sf_dir, "documents"), [1.0] * 8, [1.0] * 9)
@@ -42,6 +97,10 @@ def op10_secret_scan(spark, sf_dir):
 QUERIES = {
     function.__name__: function
     for function in (
+        op3_quality,
+        op4_language,
+        op5_fingerprint,
+        op6_bpe,
         op8_rendezvous_shards,
         op9_url_filter,
         op10_secret_scan,

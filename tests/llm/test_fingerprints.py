@@ -1,0 +1,91 @@
+from __future__ import annotations
+
+import hashlib
+
+import numpy as np
+import pyarrow as pa
+
+from centsible.llm import fingerprints as fp
+from centsible.llm import queries
+from centsible.llm.arrays import quiet
+
+SF = "/root/testdata/sf0.001"
+
+
+def sets(texts):
+    with quiet():
+        digests, begin = fp.paragraph_digests(pa.array(texts, pa.string()))
+    return [set(digests[a:b].tolist()) for a, b in zip(begin, begin[1:])], (digests, begin)
+
+
+def by_hand(rows):
+    """(doc_id, n_chars, sha of the edited text, likeness of both) from (doc_id, text)."""
+    rows = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+    out = []
+    for n, (doc_id, text) in enumerate(rows):
+        text, after = text or "", rows[(n + 1) % len(rows)][1] or ""
+        cut = len(text) // 3
+        edited = text[: len(text) - cut] + after[:cut]
+        (a, b, c), _ = sets([text, edited, after])
+        like = lambda x, y: 1.0 - len(x ^ y) / max(1, len(x) + len(y))
+        out.append((doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), like(a, b), like(a, c)))
+    return out
+
+
+def result(rows):
+    return [(r.doc_id, r.n_chars, r.edited_sha256, r.near_edited, r.near_next) for r in rows]
+
+
+def test_query(spark):
+    texts = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    rows = queries.op5_fingerprint(spark, SF).collect()
+    key = lambda r: -r[0]
+    assert sorted(result(rows), key=key) == sorted(by_hand(texts), key=key)
+    by_text = {}
+    own = dict(texts)
+    for r in rows:
+        assert by_text.setdefault(own[r.doc_id], r.fingerprint) == r.fingerprint
+    assert len(set(by_text.values())) == len(by_text)
+    assert np.median([r.near_edited for r in rows]) > 0.6 > 0.1 > np.median([r.near_next for r in rows])
+
+
+def test_nulls_ties_and_clashing_names(spark):
+    rows = [(3, "c\nd é" * 20), (3, "a b c d e f"), (2, None), (None, "last one"), (None, "last one"), (9, ""), (5, "x" * 50_000)]
+    docs = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, part int, closing int")
+    key = lambda r: (str(r[0]), r[1:])
+    assert sorted(result(fp.edited_neighbours(docs).collect()), key=key) == sorted(by_hand(rows), key=key)
+
+
+def test_one_row_and_none(spark):
+    one = spark.createDataFrame([(1, "abcdef")], "doc_id long, text string")
+    (row,) = fp.edited_neighbours(one).collect()
+    assert row.edited_sha256 == hashlib.sha256(b"abcdab").hexdigest() and row.near_next == 1.0
+    assert fp.edited_neighbours(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_parts_make_up_the_text():
+    texts = ["", "   ", "one", " one two\n\nthree  ", "w " * 500, "\n", None, "a\nb"]
+    found, _ = sets(texts)
+    assert [len(f) > 0 for f in found] == [bool(t) for t in texts]
+    assert sets(["one two", "one two "])[0][0] != sets(["one two", "one two "])[0][1]
+
+
+def test_peeling_recovers_every_difference():
+    rng = np.random.default_rng(1)
+    a_rows, b_rows = [], []
+    for n in (0, 1, 5, 40, 700):
+        common = rng.integers(1, 1 << 62, n, dtype=np.uint64)
+        a_rows.append(np.concatenate((common, rng.integers(1, 1 << 62, n // 2 + 1, dtype=np.uint64))))
+        b_rows.append(np.concatenate((common, rng.integers(1, 1 << 62, 3 * n, dtype=np.uint64))))
+    side = lambda rows: (np.concatenate(rows), np.concatenate(([0], np.cumsum([len(r) for r in rows]))))
+    every = np.arange(len(a_rows))
+    with quiet():
+        got = fp.differences(side(a_rows), every, side(b_rows), every)
+    assert got.tolist() == [len(set(x.tolist()) ^ set(y.tolist())) for x, y in zip(a_rows, b_rows)]
+
+
+def test_fingerprints_frame(spark):
+    docs = spark.createDataFrame([(1, "same text"), (2, "same text"), (3, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in fp.fingerprints(docs).collect()}
+    assert got[1].fingerprint == got[2].fingerprint != got[3].fingerprint
+    assert set(got[3].fingerprint) == {"0"} and got[3].n_digests == 0
