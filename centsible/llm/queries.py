@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from centsible.llm import bpe, fingerprints, langid, quality, secrets, sharding, sql, urls
+from centsible.llm import bpe, decontaminate, fingerprints, langid, quality, secrets, sharding, sql, urls
 from centsible.llm.frames import table
 
 # fixed values: host, path and verdict of the rules of the URL query
@@ -35,6 +35,20 @@ def quality_model(spark, docs, sf_dir):
     return quality.fit(docs, labels)
 
 
+def op2_decontaminate(spark, sf_dir):
+    docs, benchmark = (table(spark, sf_dir, name) for name in ("documents", "benchmark"))
+    found = decontaminate.find_contamination(docs.select("doc_id", "text"), benchmark, keep=["doc_id"])
+    found = found.withColumn("n_hit", decontaminate.n_hit(F.col("spans")))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        sha256(F.array_join("items", ",")).alias("items_sha256"),
+        decontaminate.is_contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"),
+    )
+
+
 def op3_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = quality.score(docs, quality_model(spark, docs, sf_dir))
@@ -97,6 +111,7 @@ def op10_secret_scan(spark, sf_dir):
 QUERIES = {
     function.__name__: function
     for function in (
+        op2_decontaminate,
         op3_quality,
         op4_language,
         op5_fingerprint,
