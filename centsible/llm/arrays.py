@@ -100,14 +100,33 @@ def spans(inside: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, begin)
 
 
+class Runs:
+    """Hashes of runs of 64-bit values, each in constant time: equal runs have equal hashes wherever they stand."""
+
+    def __init__(self, values: np.ndarray):
+        up, self.down = powers(len(values) + 1)
+        self.total = np.zeros(len(values) + 1, U64)
+        np.cumsum(values * up[: len(values)], out=self.total[1:])
+
+    def raw(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return (self.total[ends] - self.total[starts]) * self.down[starts]
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix(self.raw(starts, ends) + (ends - starts).astype(U64) * LENGTHS)
+
+    def without(self, starts: np.ndarray, ends: np.ndarray, gone: np.ndarray) -> np.ndarray:
+        """Hashes of the runs without the value at ``gone``; equal to ``hashes`` of the shorter run."""
+        rest = (self.total[ends] - self.total[gone + 1]) * U64(pow(BASE, -1, 1 << 64))
+        raw = (self.total[gone] - self.total[starts] + rest) * self.down[starts]
+        return mix(raw + (ends - starts - 1).astype(U64) * LENGTHS)
+
+
+LENGTHS = U64(0x9E3779B97F4A7C15)
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans; equal bytes (by ``table``) have equal hashes wherever they stand."""
-    if not len(starts):
-        return np.zeros(0, U64)
-    up, down = powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, U64)
-    np.cumsum(table[data] * up[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U64) * U64(0x9E3779B97F4A7C15))
+    """64-bit hashes of byte spans; equal bytes (by ``table``) have equal hashes."""
+    return Runs(table[data]).hashes(starts, ends) if len(starts) else np.zeros(0, U64)
 
 
 def byte_class(*ranges: tuple[int, int]) -> np.ndarray:

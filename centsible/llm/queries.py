@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from centsible.llm import bpe, decontaminate, fingerprints, langid, quality, secrets, sharding, sql, urls
+from centsible.llm import bpe, decontaminate, fingerprints, langid, linededup, quality, secrets, sharding, sql, urls
 from centsible.llm.frames import table
 
 # fixed values: host, path and verdict of the rules of the URL query
@@ -86,6 +86,17 @@ def op6_bpe(spark, sf_dir):
     )
 
 
+def op7_line_dedup(spark, sf_dir):
+    judged = linededup.with_decisions(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    one = lambda d: F.concat_ws(":", *(d[n].cast("string") for n in ("line", "first_doc_id", "first_line", "distance")))
+    return judged.select(
+        "doc_id",
+        "n_lines",
+        F.size("dropped").cast("long").alias("n_dropped"),
+        F.array_join(F.transform("dropped", one), ",").alias("dropped"),
+    )
+
+
 def op8_rendezvous_shards(spark, sf_dir):
     placed = sharding.assign_shards(table(spark, sf_dir, "documents"), [1.0] * 8, [1.0] * 9)
     return placed.withColumn("law", F.lit("key"))
@@ -116,6 +127,7 @@ QUERIES = {
         op4_language,
         op5_fingerprint,
         op6_bpe,
+        op7_line_dedup,
         op8_rendezvous_shards,
         op9_url_filter,
         op10_secret_scan,

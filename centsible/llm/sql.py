@@ -3,6 +3,30 @@
 from __future__ import annotations
 
 SQL = {
+    # document, line and earliest equal or near line; words as lists, a line's class as its words joined
+    "op7_line_dedup": """
+        WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents),
+        every AS (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) - 1 AS line FROM split),
+        worded AS (SELECT doc_id, line, list_filter(regexp_split_to_array(
+            translate(part, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x09-\\x0D\\x20]+'),
+            lambda w: w <> '') AS words FROM every),
+        lines AS (SELECT doc_id, line, len(words) AS n, array_to_string(words, ' ') AS class, words FROM worded WHERE len(words) > 0),
+        placed AS (SELECT *, row_number() OVER (ORDER BY doc_id, line) AS place FROM lines),
+        firsts AS (SELECT class, min(place) AS place, any_value(words) AS words, any_value(n) AS n FROM placed GROUP BY class),
+        gaps AS (SELECT place, class, words, n, unnest(range(1, n + 1)) AS gap FROM firsts WHERE n >= 8),
+        cut AS (SELECT place, class, n, gap, array_to_string(list_concat(words[1:gap - 1], words[gap + 1:]), ' ') AS rest FROM gaps),
+        replaced AS (SELECT n, gap, rest, min(place) AS low FROM cut GROUP BY n, gap, rest HAVING count(*) > 1),
+        pairs AS (
+            SELECT c.place, r.low AS near FROM cut c JOIN replaced r ON c.n = r.n AND c.gap = r.gap AND c.rest = r.rest WHERE r.low < c.place
+            UNION ALL SELECT greatest(c.place, f.place), least(c.place, f.place) FROM cut c JOIN firsts f ON c.rest = f.class AND f.n >= 8),
+        near AS (SELECT place, min(near) AS near FROM pairs GROUP BY place),
+        judged AS (SELECT p.doc_id, p.line, p.place <> f.place AS again, CASE WHEN p.place <> f.place THEN f.place ELSE e.near END AS target
+            FROM placed p JOIN firsts f ON p.class = f.class LEFT JOIN near e ON e.place = f.place),
+        dropped AS (SELECT j.doc_id, count(*) AS n_lines, count(j.target) AS n_dropped, string_agg(CASE WHEN j.target IS NOT NULL THEN
+            concat(j.line, ':', t.doc_id, ':', t.line, ':', CASE WHEN j.again THEN 0 ELSE 1 END) END, ',' ORDER BY j.line) AS dropped
+            FROM judged j LEFT JOIN placed t ON t.place = j.target GROUP BY j.doc_id)
+        SELECT d.doc_id, CAST(coalesce(x.n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(x.n_dropped, 0) AS BIGINT) AS n_dropped,
+            coalesce(x.dropped, '') AS dropped FROM documents d LEFT JOIN dropped x ON d.doc_id = x.doc_id""",
     "op9_url_filter": """
         WITH rules(host, path, verdict) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'),
             ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
