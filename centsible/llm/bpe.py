@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from centsible.llm.arrays import pieces, text_column
+from centsible.llm.frames import map_batches
 
 SHORT = 200
 #: Words kept with their ids per Python worker; all are forgotten when the number is reached.
@@ -199,7 +200,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
                 )
 
     added = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType())]
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
+    return map_batches(docs, run, T.StructType([*docs.schema.fields, *added]))
 
 
 def decode(docs: DataFrame, path: str, column: str = "decoded") -> DataFrame:
@@ -221,7 +222,7 @@ def decode(docs: DataFrame, path: str, column: str = "decoded") -> DataFrame:
                 [*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, column]
             )
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(column, T.StringType())]))
+    return map_batches(docs, run, T.StructType([*docs.schema.fields, T.StructField(column, T.StringType())]))
 
 
 def _slices(batch: pa.RecordBatch, size: int = 4 << 20):

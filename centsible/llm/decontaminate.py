@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 
 from centsible.llm.arrays import LOWER, WORD_BYTES, pieces, quiet, ranges, span_hashes, spans, text_column
 from centsible.llm.fmindex import FmIndex
+from centsible.llm.frames import map_batches
 
 PHRASE = 13
 BLOCK_BYTES = 16 << 20
@@ -243,7 +244,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str] |
         def run(batches, held=held, columns=columns, more=n > 0):
             return _batches(held.value, columns, more, batches)
 
-        found = found.mapInArrow(run, T.StructType([*(docs.schema[c] for c in columns), *ADDED]))
+        found = map_batches(found, run, T.StructType([*(docs.schema[c] for c in columns), *ADDED]))
     return found
 
 

@@ -37,7 +37,7 @@ from centsible.llm.arrays import (
     spans,
     text_column,
 )
-from centsible.llm.frames import table_rows_per_range
+from centsible.llm.frames import map_batches, ship_package, table_rows_per_range
 
 CUT = 3
 TABLES = 3
@@ -188,7 +188,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_digests long, fingerprint string")
+    return map_batches(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_digests long, fingerprint string")
 
 
 # ---- a document, its edited version and its neighbour ---------------------------------------
@@ -265,6 +265,7 @@ def edited_neighbours(docs: DataFrame) -> DataFrame:
     are read for that, and the texts are shuffled once. Rows that share a doc_id stay in one range.
     """
     spark = docs.sparkSession
+    ship_package(spark)
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     cuts = table_rows_per_range(ids, "doc_id")
     held = spark.sparkContext.broadcast(np.array(cuts, np.int64))  # one number per shuffle partition
@@ -295,7 +296,7 @@ def edited_neighbours(docs: DataFrame) -> DataFrame:
     in_order = sent.repartition(len(order), "part").sortWithinPartitions(
         "part", "closing", F.col("doc_id").desc_nulls_last(), "text"
     )
-    return in_order.mapInArrow(_neighbours, ", ".join(f"{name} {kind}" for name, kind in EDITED))
+    return map_batches(in_order, _neighbours, ", ".join(f"{name} {kind}" for name, kind in EDITED))
 
 
 def _series(values):

@@ -2,14 +2,41 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import os
+import tempfile
+import zipfile
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from centsible.session import scratch_path
 
+PACKAGE = Path(__file__).resolve().parent.parent
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let the executors import this package, wherever their Python starts: Spark serves it to them once."""
+    context = spark.sparkContext
+    if getattr(context, "_centsible_shipped", False):
+        return
+    # a file of the driver alone; Spark copies it to the executors itself
+    target = os.path.join(tempfile.mkdtemp(prefix="centsible-"), "centsible.zip")
+    with zipfile.ZipFile(target, "w") as archive:
+        for source in sorted(PACKAGE.rglob("*.py")):
+            archive.write(source, source.relative_to(PACKAGE.parent))
+    context.addPyFile(target)
+    context._centsible_shipped = True
+
+
+def map_batches(df: DataFrame, function: Callable, schema) -> DataFrame:
+    """``mapInArrow`` with this package at hand on the executors."""
+    ship_package(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -34,8 +61,6 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
     Each table holds whole groups, as many as one batch completes. Only the last group of a batch
     waits for the next one.
     """
-    import numpy as np
-
     waiting: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from centsible.llm.arrays import NOT_SPACE, U64, constants, pieces, quiet, ranges, spans, text_column
-from centsible.llm.frames import grouped
+from centsible.llm.frames import grouped, map_batches
 
 GRAM = 4
 BUCKETS = 1 << 16
@@ -110,8 +110,8 @@ def fit(docs: DataFrame) -> LanguageModel:
 
     schema = "lang string, block int, counts binary"
     learned = docs.where("lang IS NOT NULL AND text IS NOT NULL").select(F.col("lang").cast("string").alias("lang"), "text")
-    parts = learned.mapInArrow(count, schema).repartition("lang", "block").sortWithinPartitions("lang", "block")
-    rows = sorted((r.lang, r.block, bytes(r.counts)) for r in parts.mapInArrow(add, schema).toLocalIterator())
+    parts = map_batches(learned, count, schema).repartition("lang", "block").sortWithinPartitions("lang", "block")
+    rows = sorted((r.lang, r.block, bytes(r.counts)) for r in map_batches(parts, add, schema).toLocalIterator())
     languages = sorted({lang for lang, _, _ in rows})
     counts = np.zeros((BUCKETS, len(languages)))
     for lang, block, data in rows:
@@ -212,4 +212,4 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
             columns = [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(shares, pa.map_(pa.string(), pa.float64()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *(f.name for f in added)])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
+    return map_batches(docs, run, T.StructType([*docs.schema.fields, *added]))

@@ -40,7 +40,7 @@ from centsible.llm.arrays import (
     spans,
     text_column,
 )
-from centsible.llm.frames import text_id, written
+from centsible.llm.frames import map_batches, text_id, written
 
 NEAR_WORDS = 8
 FRONT, BACK, PLACED, PLACE = constants(4, 601)
@@ -103,7 +103,7 @@ def line_rows(docs: DataFrame) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, tid long, line int, hash long, n_words int, n_bytes long, halves array<long>"
-    return docs.select("doc_id", text_id().alias("tid"), "text").mapInArrow(run, schema)
+    return map_batches(docs.select("doc_id", text_id().alias("tid"), "text"), run, schema)
 
 
 def _at() -> Column:
@@ -158,7 +158,7 @@ def variants(lines: DataFrame) -> DataFrame:
                     )
 
     kind = lines.schema["doc_id"].dataType.simpleString()
-    return lines.mapInArrow(run, f"key long, kind int, doc_id {kind}, tid long, line int")
+    return map_batches(lines, run, f"key long, kind int, doc_id {kind}, tid long, line int")
 
 
 def within_one(a: list[str], b: list[str]) -> bool:
@@ -183,7 +183,7 @@ def _verified(pairs: DataFrame) -> DataFrame:
             keep = [within_one(_words(x), _words(y)) for x, y in texts]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return pairs.mapInArrow(run, pairs.schema)
+    return map_batches(pairs, run, pairs.schema)
 
 
 def near_lines(docs: DataFrame, firsts: DataFrame, lines: DataFrame) -> DataFrame:

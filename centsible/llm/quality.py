@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from centsible.llm.arrays import LOWER, NOT_SPACE, pieces, quiet, span_hashes, spans, text_column
-from centsible.llm.frames import text_id
+from centsible.llm.frames import map_batches, text_id
 
 PASSAGE = 128
 MAX_DOCS = 6000
@@ -217,7 +217,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_passag
 
     schema = T.StructType([*(rows.schema[n] for n in ("doc_id", "tid", "quality")), T.StructField("features", T.BinaryType())])
     # at most max_docs documents of max_passages passages
-    got = sorted(rows.mapInArrow(run, schema).toLocalIterator(), key=lambda r: (r.doc_id, r.tid))
+    got = sorted(map_batches(rows, run, schema).toLocalIterator(), key=lambda r: (r.doc_id, r.tid))
     if not got:
         return 0.5
     label = np.array([float(r.quality) for r in got])
@@ -255,4 +255,4 @@ def score(docs: DataFrame, model: MilModel | float) -> DataFrame:
                     [*batch.schema.names, *(n for n, _ in added)],
                 )
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t in added)]))
+    return map_batches(docs, run, T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t in added)]))

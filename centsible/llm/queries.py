@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from centsible.llm import bpe, decontaminate, fingerprints, langid, linededup, quality, secrets, sharding, sql, urls
+from centsible.llm import bpe, decontaminate, fingerprints, langid, linededup, ngramjoin, quality, secrets, sharding, sql, urls
 from centsible.llm.frames import table
 
 # fixed values: host, path and verdict of the rules of the URL query
@@ -35,6 +35,11 @@ def quality_model(spark, docs, sf_dir):
     return quality.fit(docs, labels)
 
 
+def op1_ngram_join(spark, sf_dir):
+    found = ngramjoin.shingle_components(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op2_decontaminate(spark, sf_dir):
     docs, benchmark = (table(spark, sf_dir, name) for name in ("documents", "benchmark"))
     found = decontaminate.find_contamination(docs.select("doc_id", "text"), benchmark, keep=["doc_id"])
@@ -122,6 +127,7 @@ def op10_secret_scan(spark, sf_dir):
 QUERIES = {
     function.__name__: function
     for function in (
+        op1_ngram_join,
         op2_decontaminate,
         op3_quality,
         op4_language,

@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from centsible.llm.frames import map_batches
+
 WORDS = 8  # of 32 bits: one block of the filter
 BITS_PER_KEY = 16
 MAX_FILTER_BYTES = 64 << 20
@@ -135,7 +137,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
             yield pa.RecordBatch.from_arrays([*(batch.column(at(n)) for n in names), hits], [*names, "hits"])
 
     schema = T.StructType([*rows.schema.fields, T.StructField("hits", T.ArrayType(T.StringType()))])
-    possible = asked.mapInArrow(probe, schema)
+    possible = map_batches(asked, probe, schema)
     joined = possible.withColumn("form", F.explode_outer("hits")).join(listed, "form", "left")
     best = F.max(
         F.when(
