@@ -436,8 +436,10 @@ def shingle_components(docs: DataFrame) -> DataFrame:
 
 
 def one_per_component(docs: DataFrame) -> DataFrame:
-    """All columns of the rows of ``docs`` whose doc_id is the smallest of their component; of repeated rows the
-    first of that id in the order of the other columns stays, and rows without words or without a doc_id all stay."""
+    """All columns of the rows of ``docs`` that stay if each component keeps one document: the one with the
+    smallest doc_id. Rows that repeat that id stay too; rows without words or without a doc_id all stay."""
     found = shingle_components(docs)
-    gone = found.where("cls IS NOT NULL AND doc_id IS NOT NULL AND doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone.withColumnRenamed("doc_id", "gone_id"), F.col("doc_id") == F.col("gone_id"), "left_anti")
+    gone = found.where("cls IS NOT NULL AND doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    # a table of known size: Spark broadcasts it if it is small and shuffles the documents if not
+    gone = written(gone, "gone")
+    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")

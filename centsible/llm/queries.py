@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import os
-
-import public_tokenizers
-from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from centsible.llm import bpe, decontaminate, fingerprints, langid, linededup, ngramjoin, quality, secrets, sharding, sql, urls
+import corpus_pipeline
+from centsible.llm import decontaminate, fingerprints, langid, linededup, ngramjoin, quality, secrets, sharding, sql, urls
 from centsible.llm.frames import table
+from centsible.llm.settings import LEAST_QUALITY, quality_model, sha256, token_digests
 
 # fixed values: host, path and verdict of the rules of the URL query
 URL_RULES = [
@@ -20,21 +18,6 @@ URL_RULES = [
     ("com", "/de/", "block"),
 ]
 
-#: Folder of the public vocabulary files.
-TOKENIZERS = os.environ.get("TOKENIZERS_DIR", os.path.dirname(public_tokenizers.__file__))
-LEAST_QUALITY = 0.3
-
-
-def sha256(text: Column) -> Column:
-    return F.sha2(F.encode(text, "UTF-8"), 256)
-
-
-def quality_model(spark, docs, sf_dir):
-    """Learned from the labelled documents outside the held-out fold."""
-    labels = table(spark, sf_dir, "labels").where(~quality.is_held_out(F.col("doc_id"), 5, 0))
-    return quality.fit(docs, labels)
-
-
 def op1_ngram_join(spark, sf_dir):
     found = ngramjoin.shingle_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_shingles", "component_id")
@@ -56,7 +39,7 @@ def op2_decontaminate(spark, sf_dir):
 
 def op3_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    scored = quality.score(docs, quality_model(spark, docs, sf_dir))
+    scored = quality.score(docs, quality_model(docs, table(spark, sf_dir, "labels")))
     return scored.select(
         "doc_id",
         quality.is_held_out(F.col("doc_id"), 5, 0).alias("held_out"),
@@ -80,15 +63,7 @@ def op5_fingerprint(spark, sf_dir):
 
 
 def op6_bpe(spark, sf_dir):
-    path = os.path.join(TOKENIZERS, "word_bpe_49k.json")
-    encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
-    decoded = bpe.decode(encoded.drop("text"), path)
-    return decoded.select(
-        "doc_id",
-        "n_tokens",
-        sha256(F.concat_ws(" ", F.col("ids").cast("array<string>"))).alias("ids_sha256"),
-        sha256(F.col("decoded")).alias("decoded_sha256"),
-    )
+    return token_digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op7_line_dedup(spark, sf_dir):
@@ -139,4 +114,7 @@ QUERIES = {
         op10_secret_scan,
     )
 }
-SQL = sql.SQL
+QUERIES["pipeline"] = corpus_pipeline.run
+SQL = dict(sql.SQL)
+if corpus_pipeline.ORACLE_SQL:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

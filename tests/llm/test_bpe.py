@@ -2,16 +2,15 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 import random
 
 import pytest
 from tokenizers import Tokenizer
 
-from centsible.llm import bpe, queries
+from centsible.llm import bpe, queries, settings
 
 SF = "/root/testdata/sf0.001"
-PATH = os.path.join(queries.TOKENIZERS, "word_bpe_49k.json")
+PATH = settings.VOCABULARY
 TEXTS = [
     "Hello world's café ΑΣ ﬁ <|endoftext|> a",
     "<|startoftext|><|endoftext|>x<|end <",
