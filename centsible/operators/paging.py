@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from centsible.session import shared_dir
+from centsible.session import scratch_path
 
 DEFAULT_PAGE_SIZE = 20
-# Up to this many leading rows a page is a plain top-k; deeper pages are found by position.
-TOP_K_ROWS = 100_000
+
+
+class SortKey(NamedTuple):
+    name: str
+    descending: bool = False
+
+    @property
+    def column(self) -> Column:
+        return F.col(self.name).desc() if self.descending else F.col(self.name).asc()
 
 
 class Page(NamedTuple):
@@ -22,39 +31,37 @@ class Page(NamedTuple):
     meta: DataFrame
 
 
-def sort_keys(allowed: Mapping[str, str], order: str, direction: str, tie_break: str) -> list[Column]:
+def sort_keys(allowed: Mapping[str, str], order: str, direction: str, tie_break: str) -> list[SortKey]:
     """Sort by an allow-listed column, then by a unique column so that pages never overlap."""
     if order not in allowed:
         raise ValueError(f"order must be one of {sorted(allowed)}, got {order!r}")
     if direction.lower() not in ("asc", "desc"):
         raise ValueError(f"direction must be asc or desc, got {direction!r}")
-    column = F.col(allowed[order])
-    return [column.desc() if direction.lower() == "desc" else column.asc(), F.col(tie_break).asc()]
+    return [SortKey(allowed[order], direction.lower() == "desc"), SortKey(tie_break)]
 
 
-def take_page(
-    df: DataFrame, keys: list[Column], page: int, size: int, top_k_rows: int = TOP_K_ROWS
-) -> DataFrame:
-    """Rows ``page * size`` up to ``(page + 1) * size`` of the sorted rows; pages start at 0."""
-    if page < 0 or size < 1:
-        raise ValueError("page must be >= 0 and size >= 1")
-    if (page + 1) * size <= top_k_rows:
-        return df.orderBy(*keys).offset(page * size).limit(size)
-    return _take_deep_page(df, keys, page * size, size)
+def sorted_by(df: DataFrame, keys: list[SortKey]) -> DataFrame:
+    return df.orderBy(*[key.column for key in keys])
 
 
-def _take_deep_page(df: DataFrame, keys: list[Column], skip: int, size: int) -> DataFrame:
-    """A page far down, without passing all rows before it through one task.
+def take_page(df: DataFrame, keys: list[SortKey], page: int, size: int) -> DataFrame:
+    """Rows ``page * size`` up to ``(page + 1) * size`` of the sorted rows; pages start at 0.
 
-    Rows are range-partitioned by the sort keys and counted per partition; the running total
-    of those counts gives the place of each partition, and only partitions that overlap the
-    page are numbered. The range bounds are sampled, so the partitioned rows are
-    checkpointed: counting and reading must see the same bounds.
+    Only the sort keys are sorted. They are range-partitioned and written to the shared folder (counting
+    and reading must see the same ranges); the ranges' running counts give the place of each range, only
+    ranges that overlap the page are numbered, and the rows of the page are then picked by
+    their keys, at most ``size``. So no task holds what lies before the page, at any depth. The keys together
+    must be unique. The first page needs no counting: it is a top-k of ``size`` rows.
     """
-    shared_dir(df.sparkSession)
-    ranged = (
-        df.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()).checkpoint()
-    )
+    if page < 0 or size < 1:
+        raise ValueError("page must be >= 0 and size >= 1")
+    if page == 0:
+        return sorted_by(df, keys).limit(size)
+    skip, names, columns = page * size, [key.name for key in keys], [key.column for key in keys]
+    path = scratch_path(df.sparkSession, "sort-keys")
+    ranged = df.select(*names).repartitionByRange(*columns).withColumn("_part", F.spark_partition_id())
+    ranged.write.parquet(path)
+    ranged = df.sparkSession.read.schema(ranged.schema).parquet(path)
     sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
     before = F.coalesce(
         F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
@@ -62,14 +69,37 @@ def _take_deep_page(df: DataFrame, keys: list[Column], skip: int, size: int) ->
     starts = sizes.withColumn("_start", before).where(
         (F.col("_start") < skip + size) & (F.col("_start") + F.col("_rows") > skip)
     )
-    place = F.col("_start") + F.row_number().over(Window.partitionBy("_part").orderBy(*keys)) - 1
-    return (
+    place = F.col("_start") + F.row_number().over(Window.partitionBy("_part").orderBy(*columns)) - 1
+    picked = (
         ranged.join(starts.select("_part", "_start"), "_part")
         .withColumn("_place", place)
         .where((F.col("_place") >= skip) & (F.col("_place") < skip + size))
-        .select(*df.columns)
-        .orderBy(*keys)
+        .select(*[F.col(name).alias(f"_{name}") for name in names])
     )
+    same = reduce(and_, (F.col(name).eqNullSafe(F.col(f"_{name}")) for name in names))
+    return sorted_by(df.join(picked, same, "left_semi"), keys)
+
+
+def take_after(df: DataFrame, keys: list[SortKey], after: Sequence | None, size: int) -> DataFrame:
+    """The ``size`` rows that follow the row with the key values ``after`` (None: from the start).
+
+    A filter that reaches the scan and a top-k: every page costs the same. Sort values must not be null.
+    """
+    if size < 1:
+        raise ValueError("size must be >= 1")
+    if after is not None:
+        if len(after) != len(keys):
+            raise ValueError(f"{len(keys)} key values needed, got {len(after)}")
+        beyond, equal = F.lit(False), F.lit(True)
+        for key, value in zip(keys, after):
+            column = F.col(key.name)
+            beyond = beyond | (equal & (column < F.lit(value) if key.descending else column > F.lit(value)))
+            equal = equal & (column == F.lit(value))
+        # the bound on the first key alone can be pushed to the scan
+        first = F.col(keys[0].name)
+        bound = first <= F.lit(after[0]) if keys[0].descending else first >= F.lit(after[0])
+        df = df.where(bound).where(beyond)
+    return sorted_by(df, keys).limit(size)
 
 
 def page_meta(df: DataFrame, page: int, size: int) -> DataFrame:

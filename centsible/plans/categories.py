@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from centsible.operators.paging import DEFAULT_PAGE_SIZE, Page, page_meta, sort_keys, take_page
+from centsible.operators.paging import DEFAULT_PAGE_SIZE, Page, page_meta, sort_keys, sorted_by, take_page
 
 # Public sort names.
 CATEGORY_ORDER = {"path": "path", "label": "label", "code": "code"}
@@ -20,7 +20,7 @@ def project_categories(categories: DataFrame) -> DataFrame:
 def _page_of(matching: DataFrame, page: int, page_size: int, order: str, direction: str) -> Page:
     keys = sort_keys(CATEGORY_ORDER, order, direction, "code")
     rows = take_page(matching, keys, page, page_size)
-    return Page(project_categories(rows).orderBy(*keys), page_meta(matching, page, page_size))
+    return Page(sorted_by(project_categories(rows), keys), page_meta(matching, page, page_size))
 
 
 def list_categories(
@@ -47,7 +47,7 @@ def categories_by_mcc(
     mcc_codes: str,
     page: int = 0,
     page_size: int = DEFAULT_PAGE_SIZE,
-    order: str = "path",
+    order: str = "label",
     direction: str = "asc",
 ) -> Page:
     """Categories that list any of the comma-separated codes."""

@@ -9,7 +9,16 @@ from pyspark.sql import functions as F
 
 from centsible.functions.text import contains_ignore_case
 from centsible.operators.categorise import with_category
-from centsible.operators.paging import DEFAULT_PAGE_SIZE, Page, page_meta, sort_keys, take_page, top_k
+from centsible.operators.paging import (
+    DEFAULT_PAGE_SIZE,
+    Page,
+    page_meta,
+    sort_keys,
+    sorted_by,
+    take_after,
+    take_page,
+    top_k,
+)
 from centsible.schemas import TOTAL
 
 # Public sort names.
@@ -83,7 +92,7 @@ def _page_of(
     keys = sort_keys(TRANSACTION_ORDER, order, direction, "source_id")
     rows = take_page(matching, keys, page, page_size)
     # the category is joined to the page only
-    return Page(project(rows, categories).orderBy(*keys), page_meta(matching, page, page_size))
+    return Page(sorted_by(project(rows, categories), keys), page_meta(matching, page, page_size))
 
 
 def list_transactions(
@@ -96,13 +105,32 @@ def list_transactions(
     page: int = 0,
     page_size: int = DEFAULT_PAGE_SIZE,
     order: str = "createdAt",
-    direction: str = "desc",
+    direction: str = "asc",
     time_col: str = "created_at",
 ) -> Page:
     matching = select_transactions(transactions, account_id, status, date_from, date_to, time_col)
     return _page_of(matching, categories, page, page_size, order, direction)
 
 
+def list_transactions_after(
+    transactions: DataFrame,
+    categories: DataFrame,
+    after: tuple | None = None,
+    page_size: int = DEFAULT_PAGE_SIZE,
+    order: str = "createdAt",
+    direction: str = "asc",
+    account_id: str | None = None,
+    status: str | None = None,
+    date_from: date | None = None,
+    date_to: date | None = None,
+    time_col: str = "created_at",
+) -> DataFrame:
+    """The page after the row with ``after`` = (sort value, source_id); costs the same at any depth."""
+    matching = select_transactions(transactions, account_id, status, date_from, date_to, time_col)
+    keys = sort_keys(TRANSACTION_ORDER, order, direction, "source_id")
+    return sorted_by(project(take_after(matching, keys, after, page_size), categories), keys)
+
+
 def merchant_search(
     transactions: DataFrame,
     categories: DataFrame,
@@ -112,7 +140,7 @@ def merchant_search(
     page: int = 0,
     page_size: int = DEFAULT_PAGE_SIZE,
     order: str = "createdAt",
-    direction: str = "desc",
+    direction: str = "asc",
     time_col: str = "created_at",
 ) -> Page:
     """Transactions whose merchant name contains the text, in any case."""

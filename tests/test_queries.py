@@ -38,7 +38,7 @@ def test_pages_cover_everything_once(facts, categories):
     for page in range(6):
         seen += [r.source_id for r in pt.list_transactions(facts, categories, page=page, page_size=17).data.collect()]
     assert len(seen) == 90 and len(set(seen)) == 90
-    by_time = [r.source_id for r in facts.orderBy(F.desc("created_at"), "source_id").collect()]
+    by_time = [r.source_id for r in facts.orderBy("created_at", "source_id").collect()]
     assert seen == by_time
 
 
@@ -69,18 +69,43 @@ def test_sort_is_allow_listed(facts, categories, order, direction):
         pt.list_transactions(facts, categories, order=order, direction=direction)
 
 
-def test_page_is_a_top_k(facts):
-    keys = [F.col("amount").desc(), F.col("source_id").asc()]
-    plan = paging.take_page(facts, keys, 2, 10)._jdf.queryExecution().executedPlan().toString()
+KEYS = [paging.SortKey("amount", descending=True), paging.SortKey("source_id")]
+
+
+def test_pages_sort_only_their_keys(facts):
+    """The first page is a top-k; the others sort and write the two keys, never whole rows."""
+    plan = paging.take_page(facts, KEYS, 0, 10)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan
+    plan = paging.take_page(facts, KEYS, 2, 10)._jdf.queryExecution().optimizedPlan().toString()
+    scans = [line for line in plan.splitlines() if line.endswith("parquet")]  # the written keys
+    assert "LeftSemi" in plan and scans and all("raw_payload" not in line for line in scans)
 
 
 @pytest.mark.parametrize("page, size", [(0, 7), (3, 20), (8, 10), (9, 10), (40, 10)])
-def test_deep_page_equals_top_k_page(facts, page, size):
-    keys = [F.col("amount").desc(), F.col("source_id").asc()]
-    shallow = [r.source_id for r in paging.take_page(facts, keys, page, size).collect()]
-    deep = [r.source_id for r in paging.take_page(facts, keys, page, size, top_k_rows=0).collect()]
-    assert deep == shallow
+def test_page_equals_slice_of_all(facts, page, size):
+    everything = [r.source_id for r in paging.sorted_by(facts, KEYS).collect()]
+    found = [r.source_id for r in paging.take_page(facts, KEYS, page, size).collect()]
+    assert found == everything[page * size : (page + 1) * size]
+
+
+@pytest.mark.parametrize("direction", ["asc", "desc"])
+def test_pages_after_a_row_cover_everything_once(facts, categories, direction):
+    seen, after = [], None
+    while True:
+        rows = pt.list_transactions_after(facts, categories, after, 40, "amount", direction).collect()
+        if not rows:
+            break
+        seen += [r.source_id for r in rows]
+        after = (rows[-1].amount, rows[-1].source_id)
+    keys = [paging.SortKey("amount", direction == "desc"), paging.SortKey("source_id")]
+    assert seen == [r.source_id for r in paging.sorted_by(facts, keys).collect()]
+
+
+def test_page_after_checks_its_arguments(facts):
+    with pytest.raises(ValueError):
+        paging.take_after(facts, KEYS, ("a",), 10)
+    with pytest.raises(ValueError):
+        paging.take_after(facts, KEYS, None, 0)
 
 
 @pytest.mark.parametrize(
