@@ -6,6 +6,7 @@ import os
 import sys
 from collections.abc import Callable
 from datetime import date
+from decimal import Decimal
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -20,11 +21,13 @@ from centsible.operators import classify, dedup, paging, rollup, validate  # noq
 from centsible.plans import categories as pc  # noqa: E402
 from centsible.plans import compare, reports, spending  # noqa: E402
 from centsible.plans import transactions as pt  # noqa: E402
-from centsible.schemas import CARD_NETWORK, DAILY, MONTHLY, PAYMENT_PROCESSOR, WEEKLY  # noqa: E402
+from centsible.plans.ingest import ingest as batch_ingest  # noqa: E402
+from centsible.schemas import BANK_SCHEMA, CARD_NETWORK, DAILY, MONTHLY, PAYMENT_PROCESSOR, WEEKLY  # noqa: E402
 from centsible.session import prepare, scratch_path  # noqa: E402
 from centsible.sources import tables  # noqa: E402
-from centsible.sources.adapters import normalise  # noqa: E402
-from centsible.sources.readers import stream_records  # noqa: E402
+from centsible.sources.adapters import SourceAdapter, normalise, register_adapter  # noqa: E402
+from centsible.sources.categories import load_categories  # noqa: E402
+from centsible.sources.readers import parse_events, stream_records  # noqa: E402
 from centsible.streaming import ingest  # noqa: E402
 from centsible.streaming import rollup as stream_rollup  # noqa: E402
 
@@ -140,7 +143,7 @@ def ingest_report(spark, sf):
 
 def processing_counters(spark, sf):
     outcomes = dedup.count_outcomes(tb.unified(spark, sf), _rules())
-    return reports.processing_counters(outcomes).where("records > 0")
+    return reports.processing_counters(outcomes)
 
 
 def dedup_first_wins(spark, sf):
@@ -171,6 +174,42 @@ def dead_letter_context(spark, sf):
     return reports.dead_letter_context(_dead_letters(spark, sf)).drop("origin")
 
 
+def _distorted(spark, sf):
+    """All sources with one field blanked or distorted, chosen by the last digit of the source id."""
+    digit = F.substring("source_id", -1, 1)
+    change = {
+        "0": ("source_id", F.lit(" ")),
+        "1": ("account_id", F.lit("")),
+        "2": ("currency", F.lit("QQQ")),
+        "3": ("merchant_name", F.lit(None).cast("string")),
+        "4": ("transacted_at", F.lit(None).cast("timestamp")),
+        "5": ("status", F.lit("ODD")),
+        "6": ("source_type", F.lit("UNHEARD_OF")),
+        "7": ("merchant_mcc", F.lit("\t")),
+        "8": ("amount", -F.col("amount")),
+    }
+    broken = {name: F.when(digit == d, value).otherwise(F.col(name)) for d, (name, value) in change.items()}
+    return tb.unified(spark, sf).withColumns(broken)
+
+
+def validation_all_rules(spark, sf):
+    """How often each of the rules fires on records that break them all."""
+    rejected = validate.rejected_rows(_distorted(spark, sf), _rules())
+    return reports.dead_letter_report(tables.to_dead_letters(rejected))
+
+
+def registered_source_ingest(spark, sf):
+    """A source that is not built in: bank records as a ledger of its own, with a rule of its own."""
+
+    def normalise_ledger(raw):
+        return normalise(raw, "BANK_FEED").withColumn("source_type", F.lit("LEDGER"))
+
+    rules = (("ledger_amount_too_small", "amount < 1000"),)
+    register_adapter("LEDGER", SourceAdapter(normalise_ledger, "transaction_id", BANK_SCHEMA, rules))
+    stored = batch_ingest({"LEDGER": tb.bank_records(spark, sf)}, tb.categories(spark), max_age_days=None)
+    return stored.select(*CANONICAL)
+
+
 # ---- categorisation ------------------------------------------------------------------------
 
 
@@ -214,6 +253,16 @@ def accepted_transactions(spark, sf):
     )
 
 
+def categorise_seed(spark, sf):
+    """Merchants of the raw records under the real category seed."""
+    records = tb.unified(spark, sf).select("merchant_name", "merchant_mcc").distinct()
+    return cg.categorise(records, load_categories(spark))
+
+
+def category_by_code(spark, sf):
+    return pc.category_by_code(load_categories(spark), "fuel").select("id", "code", "label", "path", "parent_id")
+
+
 def _event_fields(events, *names):
     fields = [F.get_json_object("value", f"$.{n}").alias(n) for n in names]
     return events.select("key", *fields).withColumn("amount", F.col("amount").cast("decimal(19,4)"))
@@ -365,9 +414,46 @@ def merchant_search_meta(spark, sf):
 
 
 def deep_page(spark, sf):
-    """A page found by position instead of by top-k, as for pages far down."""
-    keys = [F.col("amount").asc(), F.col("source_id").asc()]
-    return paging.take_page(tb.transactions(spark, sf).select(*CANONICAL), keys, 100, 100, top_k_rows=0)
+    keys = [paging.SortKey("amount"), paging.SortKey("source_id")]
+    return paging.take_page(tb.transactions(spark, sf).select(*CANONICAL), keys, 100, 100)
+
+
+def list_transactions_after(spark, sf):
+    """The page after a given row."""
+    return pt.list_transactions_after(
+        tb.transactions(spark, sf),
+        tb.categories(spark),
+        after=(Decimal("20000.0000"), "CN-1-1"),
+        page_size=50,
+        order="amount",
+    )
+
+
+def _stored(spark, sf):
+    """All transactions in a store, compacted by day with Bloom filters on the ids."""
+    store = tables.Store(spark, scratch_path(spark, "stored"))
+    store.write_transactions(tb.transactions(spark, sf), 0)
+    store.compact_transactions(up_to_batch=0)
+    return store.transactions()
+
+
+def stored_listing(spark, sf):
+    """The listing of one account, on the stored table; the days are folders."""
+    return pt.list_transactions(
+        _stored(spark, sf),
+        tb.categories(spark),
+        account_id="cus_8",
+        date_from=date(2024, 1, 3),
+        date_to=date(2024, 1, 28),
+        time_col="transacted_at",
+        page_size=30,
+    ).data
+
+
+def stored_by_id(spark, sf):
+    return pt.transaction_by_id(
+        _stored(spark, sf), tb.categories(spark), "30b80e7d-e46c-8d83-f242-e603b1affd7e"
+    )
 
 
 def transaction_by_id(spark, sf):
@@ -441,21 +527,24 @@ def root_categories(spark, sf):
 # ---- streams -------------------------------------------------------------------------------
 
 
-def _card_stream(spark, sf, run):
-    """Land the card records in a folder in two steps, the cheaper copies first, and run the
-    streaming job (``run(stream)`` starts it) after each step on the same checkpoint."""
-    folder = scratch_path(spark, "cards")
-    records = tb.card_records(spark, sf)
-    for step, cheap in enumerate(("amount < 50000", "amount >= 50000")):
-        records.where(cheap).write.parquet(f"{folder}/step{step}")
-        stream = stream_records(spark, CARD_NETWORK, f"{folder}/*", "parquet", records.schema)
-        run({CARD_NETWORK: stream}).awaitTermination()
+def _streams(spark, sf, run):
+    """Land the records of all sources in two steps, the cheaper copies first, and run the
+    streaming job (``run(streams)`` starts it) after each step on the same checkpoint."""
+    folder = scratch_path(spark, "raw")
+    raw = tb.raw_sources(spark, sf)
+    for step, wanted in enumerate((True, False)):
+        streams = {}
+        for source, records in raw.items():
+            cheap = F.coalesce(F.col("amount") < 50000, F.lit(False))
+            records.where(cheap == wanted).write.parquet(f"{folder}/{source}/step{step}")
+            streams[source] = stream_records(spark, source, f"{folder}/{source}/*", "parquet", records.schema)
+        run(streams).awaitTermination()
 
 
-def _ingested_cards(spark, sf):
+def _ingested(spark, sf):
     store = tables.Store(spark, scratch_path(spark, "store"))
     checkpoint = scratch_path(spark, "checkpoint")
-    _card_stream(
+    _streams(
         spark,
         sf,
         lambda raw: ingest.start_ingest(raw, store, tb.categories(spark), checkpoint, max_age_days=None),
@@ -464,27 +553,45 @@ def _ingested_cards(spark, sf):
 
 
 def stream_dedup(spark, sf):
-    """State without an end, so that every repeat of the whole history is caught."""
+    """First arrivals of all sources, as the ingest job stores them."""
+    return _ingested(spark, sf).transactions().select(*CANONICAL)
+
+
+def stream_dedup_ttl(spark, sf):
+    """Accepted stream with the default time to live; records of any age arrive, none is late."""
     out, checkpoint = scratch_path(spark, "accepted"), scratch_path(spark, "checkpoint")
 
     def run(raw):
-        accepted = ingest.accepted_stream(raw, ttl=None, max_age_days=None)
+        accepted = ingest.accepted_stream(raw, max_age_days=None)
         return ingest.start_file_sink(accepted.select("source_id", "account_id"), out, checkpoint)
 
-    _card_stream(spark, sf, run)
+    _streams(spark, sf, run)
     return spark.read.parquet(out)
 
 
 def stream_transactions(spark, sf):
-    return _ingested_cards(spark, sf).transactions().select("source_id", "amount", "category_id", "category_tier")
+    return _ingested(spark, sf).transactions().select("source_id", "amount", "category_id", "category_tier")
 
 
 def stream_outcomes(spark, sf):
-    return reports.ingest_report(_ingested_cards(spark, sf).outcomes())
+    return reports.ingest_report(_ingested(spark, sf).outcomes())
 
 
 def stream_rollup_monthly(spark, sf):
-    return _ingested_cards(spark, sf).rollup((MONTHLY,)).select(*ROLLUP)
+    return _ingested(spark, sf).rollup((MONTHLY,)).select(*ROLLUP)
+
+
+def topic_round_trip(spark, sf):
+    """Accepted events read back from a topic."""
+    return parse_events(tables.accepted_events(tb.transactions(spark, sf))).select(*CANONICAL)
+
+
+def topic_bad_field(spark, sf):
+    """Events with an amount that is no number: rejected, and the dead letter keeps the event's text."""
+    events = tables.accepted_events(tb.transactions(spark, sf)).where("endswith(key, '7')")
+    broken = events.withColumn("value", F.regexp_replace("value", '"amount":[0-9.]+', '"amount":"oops"'))
+    letters = tables.to_dead_letters(validate.rejected_rows(parse_events(broken), validate.ingest_rules(max_age_days=None)))
+    return letters.select("source_id", "reject_reason", F.contains("raw_payload", F.lit("oops")).alias("keeps_text"))
 
 
 def windowed_rollup(spark, sf):
@@ -492,10 +599,10 @@ def windowed_rollup(spark, sf):
     folder, out = scratch_path(spark, "facts"), scratch_path(spark, "weekly")
     facts = tb.transactions(spark, sf).select("account_id", "category_id", "status", "amount", "transacted_at")
     facts.write.parquet(folder)
-    stream = spark.readStream.schema(facts.schema).parquet(folder)
-    weekly = stream_rollup.windowed_rollup(stream, WEEKLY, lateness="10000 days")
-    stream_rollup.start_update_sink(weekly, out, scratch_path(spark, "checkpoint")).awaitTermination()
-    return stream_rollup.latest_rows(spark.read.parquet(out)).select(*ROLLUP)
+    stream = spark.readStream.schema(facts.schema).option("maxFilesPerTrigger", 2).parquet(folder)
+    checkpoint = scratch_path(spark, "checkpoint")
+    stream_rollup.start_windowed_rollup(stream, WEEKLY, out, checkpoint).awaitTermination()
+    return stream_rollup.windowed_rollup(spark.read.parquet(out)).select(*ROLLUP)
 
 
 _QUERIES: dict[str, Query] = {
@@ -516,6 +623,12 @@ _QUERIES: dict[str, Query] = {
         drop_stored,
         dead_letter_report,
         dead_letter_context,
+        validation_all_rules,
+        registered_source_ingest,
+        topic_round_trip,
+        topic_bad_field,
+        categorise_seed,
+        category_by_code,
         categorise_mcc,
         categorise_keyword,
         categorise_tiers,
@@ -543,6 +656,9 @@ _QUERIES: dict[str, Query] = {
         merchant_search,
         merchant_search_meta,
         deep_page,
+        list_transactions_after,
+        stored_listing,
+        stored_by_id,
         transaction_by_id,
         compare_periods,
         compare_delta,
@@ -557,6 +673,7 @@ _QUERIES: dict[str, Query] = {
         category_tree,
         root_categories,
         stream_dedup,
+        stream_dedup_ttl,
         stream_transactions,
         stream_outcomes,
         windowed_rollup,

@@ -42,11 +42,9 @@ def direction(change: Column) -> Column:
 
 
 def three_significant_digits(value: Column) -> Column:
-    """Round a value of size 1 to 999 half-up to 3 significant digits."""
+    """Round half-up to 3 significant digits; sizes below 1 keep two decimals."""
     size = F.abs(value)
-    rounded = (
-        F.when(size < 10, F.round(value, 2))
-        .when(size < 100, F.round(value, 1))
-        .otherwise(F.round(value, 0))
-    )
+    rounded = F.when(size < 10, F.round(value, 2)).when(size < 100, F.round(value, 1))
+    for digits in range(3, 15):
+        rounded = rounded.when(size < 10**digits, F.round(value, 3 - digits))
     return rounded.cast("decimal(19,4)")

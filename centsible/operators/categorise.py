@@ -66,7 +66,9 @@ def match_keyword(transactions: DataFrame, categories: DataFrame) -> DataFrame:
 
 
 def _fallback_id(categories: DataFrame) -> Column:
-    return categories.where(F.col("code") == FALLBACK_CATEGORY).agg(F.min("id")).scalar()
+    """Id of the fallback category; a dimension without it is misconfigured and fails the job."""
+    found = categories.where(F.col("code") == FALLBACK_CATEGORY).agg(F.min("id")).scalar()
+    return F.coalesce(found, F.raise_error(F.lit(f"no category {FALLBACK_CATEGORY!r}")).cast("bigint"))
 
 
 def _match_model(unmatched: DataFrame, categories: DataFrame, classifier: Classifier) -> DataFrame:

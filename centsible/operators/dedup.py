@@ -5,13 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from centsible.operators.validate import Rule, rejected_rows, valid_rows
-from centsible.schemas import ACCEPTED, DUPLICATE, FAILED
+from centsible.operators.validate import Rule, valid_rows
+from centsible.schemas import ACCEPTED, DUPLICATE, FAILED, OUTCOMES
 from centsible.sources.adapters import ADAPTERS
 
-SPREAD = 64  # sub-groups a hot key is split into
-
-
 def first_wins(df: DataFrame, key: str, order: str = "arrival_seq") -> DataFrame:
     """Keep the first row of every key.
 
@@ -51,40 +48,46 @@ def classify_outcomes(
 ) -> DataFrame:
     """Mark every row FAILED, ACCEPTED or DUPLICATE in ``outcome`` without dropping any.
 
-    Validation comes first. Valid rows of one key are then numbered in SPREAD sub-groups, and
-    only the first row of each sub-group competes for the key, while every other row is known
-    to be a repeat and is put into a group of its own. So no task gets more than a small share
-    of a hot key, and the result is the same as numbering the key as a whole.
+    Equal rows are counted first and become rows again at the end, so resent copies of one record are one
+    row per task in the shuffle. The first row of each valid key is a grouped minimum, and marking is a
+    join with one row per key, whose hot keys adaptive execution splits. Rows that arrive at the same
+    place but differ are ordered by their other columns.
     """
-    lane = F.pmod(F.xxhash64(order), F.lit(SPREAD))
-    lane_position = F.row_number().over(Window.partitionBy(key, "_lane").orderBy(order))
-    repeat = F.when(F.col("_lane_position") > 1, F.struct("_lane", "_lane_position"))
-    key_position = F.row_number().over(Window.partitionBy(key, "_repeat").orderBy(order))
-    is_repeat = F.col("_repeat").isNotNull() | (F.col("_key_position") > 1)
-    numbered = (
-        valid_rows(df, rules)
-        .withColumn("_lane", lane)
-        .withColumn("_lane_position", lane_position)
-        .withColumn("_repeat", repeat)
-        .withColumn("_key_position", key_position)
-        .withColumn("outcome", F.when(is_repeat, DUPLICATE).otherwise(ACCEPTED))
+    others = [name for name in df.columns if name not in (key, order)]
+    failed = F.coalesce(F.expr(" OR ".join(f"coalesce({broken}, false)" for _, broken in rules)), F.lit(False))
+    groups = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_copies")).withColumn("_failed", failed)
+    groups = groups.withColumn("_row", F.struct(order, *others))
+    firsts = groups.where("NOT _failed").groupBy(F.col(key).alias("_key")).agg(F.min("_row").alias("_first"))
+    marked = groups.join(firsts, F.col(key) == F.col("_key"), "left").withColumn(
+        "_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies")))
     )
-    failed = rejected_rows(df, rules).withColumn("outcome", F.lit(FAILED))
-    columns = [*df.columns, "outcome"]
-    return numbered.select(*columns).unionByName(failed.select(*columns))
+    is_first = F.col("_row").eqNullSafe(F.col("_first")) & (F.col("_copy") == 1)
+    outcome = F.when(F.col("_failed"), FAILED).when(is_first, ACCEPTED).otherwise(DUPLICATE)
+    return marked.select(*df.columns, outcome.alias("outcome"))
 
 
 def count_outcomes(
     df: DataFrame, rules: list[Rule], key: str = "source_id", order: str = "arrival_seq"
 ) -> DataFrame:
-    """Records per source and outcome. Only the first row of each key is accepted, so no
-    repeat has to be numbered."""
-    firsts = first_wins(valid_rows(df, rules).select("source_type", key, order), key, order)
+    """Records per source and outcome, each counted by itself. Rows are grouped by source and key
+    before the first arrival of a key is looked for among its sources."""
     broken = " OR ".join(f"coalesce({condition}, false)" for _, condition in rules)
-    records = df.groupBy("source_type").agg(
-        F.count(F.lit(1)).alias("total"), F.count_if(F.expr(broken)).alias(FAILED)
+    failed = df.groupBy("source_type").agg(F.count_if(F.expr(broken)).alias(FAILED))
+    per_source = (
+        valid_rows(df, rules)
+        .groupBy(key, "source_type")
+        .agg(F.count(F.lit(1)).alias("_copies"), F.min(order).alias("_at"))
     )
-    return _outcome_rows(records, firsts)
+    place = F.row_number().over(Window.partitionBy(key).orderBy("_at", "source_type"))
+    first = F.when(F.col("_place") == 1, 1).otherwise(0)
+    kept = (
+        per_source.withColumn("_place", place)
+        .groupBy("source_type")
+        .agg(F.sum(first).alias(ACCEPTED), F.sum(F.col("_copies") - first).alias(DUPLICATE))
+    )
+    same = failed["source_type"].eqNullSafe(kept["source_type"])
+    counted = failed.join(kept, same, "left").select(failed["source_type"], ACCEPTED, DUPLICATE, FAILED)
+    return counted.na.fill(0, list(OUTCOMES)).unpivot("source_type", list(OUTCOMES), "outcome", "records")
 
 
 def batch_outcomes(batch: DataFrame, rejected: DataFrame, accepted: DataFrame) -> DataFrame:
@@ -107,16 +110,28 @@ def _outcome_rows(records: DataFrame, accepted: DataFrame) -> DataFrame:
     )
 
 
-def drop_stream_repeats(
-    events: DataFrame, key: str = "source_id", event_time: str = "ingested_at", ttl: str | None = "24 hours"
-) -> DataFrame:
+def drop_stream_repeats(events: DataFrame, key: str = "source_id", ttl: str | None = "24 hours") -> DataFrame:
     """Streaming duplicate check with a time to live, counted from the first arrival and not
     prolonged by repeats. Put it after validation: only accepted rows may enter the state.
 
-    Without a ``ttl`` a key is remembered for good. The state is in RocksDB, so a batch looks
-    up its own keys only, however many are stored. Copies that differ and reach the same
-    micro-batch have no fixed order here; ``first_wins`` has one.
+    The state's clock is the processing time of the micro-batch, which the offset log replays. So no row
+    is ever late: a key that was not seen passes however old its record is, and a key is only forgotten, after
+    ``ttl`` at least and, as the clock moves with the batches, twice that at most while data flow. Copies
+    of a hot key are first reduced within sub-groups. Without a ``ttl`` a key is remembered for good. The state is in
+    RocksDB, so a batch looks up its own keys only. Copies that reach the same micro-batch have no
+    fixed order here; ``first_wins``, which the ingest job uses, has one.
     """
+    lanes = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = [name for name in events.columns if name != "seen_at"]
+    laned = stamped(events, ttl).withColumn("_lane", F.pmod(F.xxhash64(*names), F.lit(lanes)))
     if ttl is None:
-        return events.dropDuplicates([key])
-    return events.withWatermark(event_time, ttl).dropDuplicatesWithinWatermark([key])
+        return laned.dropDuplicates([key, "_lane"]).dropDuplicates([key]).drop("_lane")
+    once = laned.dropDuplicatesWithinWatermark([key, "_lane"]).dropDuplicatesWithinWatermark([key])
+    return once.drop("_lane") if "seen_at" in events.columns else once.drop("_lane", "seen_at")
+
+
+def stamped(events: DataFrame, ttl: str | None) -> DataFrame:
+    """With the processing time in ``seen_at`` as the watermark's clock; unchanged if it is there already."""
+    if ttl is None or "seen_at" in events.columns:
+        return events
+    return events.withColumn("seen_at", F.current_timestamp()).withWatermark("seen_at", ttl)

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from centsible.functions.text import is_blank
-from centsible.schemas import CARD_NETWORK, PAYMENT_PROCESSOR, REVERSED, SOURCE_TYPES, STATUSES
+from centsible.schemas import CARD_NETWORK, CURRENCIES, PAYMENT_PROCESSOR, REVERSED, STATUSES
+from centsible.sources.adapters import ADAPTERS
 
 Rule = tuple[str, str]  # reason, SQL condition that breaks it (null means not broken)
 
@@ -23,8 +24,6 @@ MAX_AGE_DAYS = 7
 MAX_AMOUNT = Decimal("100000.00")
 LARGE_REVERSAL_AMOUNT = Decimal("50000.00")
 
-CURRENCY_PATTERN = "^[A-Z]{3}$"
-
 
 def _unless(known: str) -> str:
     """True unless the test is surely true (null counts as broken)."""
@@ -36,13 +35,13 @@ def _one_of(column: str, values: tuple[str, ...]) -> str:
 
 
 def structural_rules() -> list[Rule]:
-    """What every canonical transaction must have."""
+    """What every canonical transaction must have. The known sources are the registered ones."""
     return [
         ("source_id_blank", is_blank("source_id")),
-        ("source_type_unknown", _unless(_one_of("source_type", SOURCE_TYPES))),
+        ("source_type_unknown", _unless(_one_of("source_type", tuple(ADAPTERS)))),
         ("account_id_blank", is_blank("account_id")),
         ("amount_not_positive", _unless("amount > 0")),
-        ("currency_missing", _unless(f"currency RLIKE '{CURRENCY_PATTERN}'")),
+        ("currency_missing", _unless(_one_of("currency", CURRENCIES))),
         ("merchant_name_blank", is_blank("merchant_name")),
         ("transacted_at_missing", "transacted_at IS NULL"),
         ("status_unknown", _unless(_one_of("status", STATUSES))),
@@ -51,8 +50,14 @@ def structural_rules() -> list[Rule]:
 
 def source_rules() -> list[Rule]:
     """What one source asks for beyond the structural rules. Bank feeds need a currency and a
-    time and payments an account, which the structural rules already cover."""
-    return [
+    time and payments an account, which the structural rules already cover. A registered source
+    brings its own."""
+    own = [
+        (reason, f"source_type = '{source}' AND ({broken})")
+        for source, adapter in ADAPTERS.items()
+        for reason, broken in adapter.rules
+    ]
+    return own + [
         ("card_mcc_blank", f"source_type = '{CARD_NETWORK}' AND {is_blank('merchant_mcc')}"),
         ("payment_account_blank", f"source_type = '{PAYMENT_PROCESSOR}' AND {is_blank('account_id')}"),
     ]

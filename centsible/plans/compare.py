@@ -22,9 +22,6 @@ from centsible.schemas import DAILY, MONEY, TOTAL
 
 # Fixed values.
 Z_SCORE_THRESHOLD = 2.0
-# One outlier among five categories has a z-score of exactly 2, which is no anomaly; sums in
-# another order must not lift it over the threshold.
-ROUNDING_NOISE = 1e-9
 MIN_CATEGORIES = 3
 SPIKE = "SPIKE"
 DROP = "DROP"
@@ -150,7 +147,8 @@ def category_breakdown(sums: DataFrame, categories: DataFrame, per: Sequence[str
     return (
         sums.where("is_current")
         .withColumn("current_total", F.sum("current_spend").over(report))
-        .join(names, "category_id")
+        # spend in a category that the dimension does not know stays, without a name
+        .join(names, "category_id", "left")
         .select(
             *per,
             "category_code",
@@ -172,18 +170,31 @@ def detect_anomalies(breakdown: DataFrame, per: Sequence[str] = ()) -> DataFrame
     """Categories whose change lies more than two standard deviations from the report's mean.
 
     The deviation is the population's, so at least six categories are needed for a hit; with
-    fewer than three, or with equal changes, there is none.
+    fewer than three, or with equal changes, there is none. One outlier among five has a z-score of
+    exactly 2, so the test is made in whole hundredths of a percent:
+    (n d - sum)^2 > 4 (n sum of squares - sum^2). Only changes too large for 38 digits are tested as doubles.
     """
     report = Window.partitionBy(*per)
     delta = F.coalesce(F.col("delta_pct").cast("double"), F.lit(0.0))
+    whole = F.coalesce((F.col("delta_pct") * 100).try_cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)"))
+    square = F.try_multiply(F.col("_whole"), F.col("_whole"))
+    distance = F.try_subtract(F.try_multiply(F.col("_n"), F.col("_whole")), F.col("_sum"))
+    spread = F.try_subtract(
+        F.try_multiply(F.col("_n"), F.col("_squares")), F.try_multiply(F.col("_sum"), F.col("_sum"))
+    )
+    exact = F.try_multiply(distance, distance) > F.try_multiply(F.lit(4).cast("decimal(38,0)"), spread)
+    rough = F.abs("_z") > Z_SCORE_THRESHOLD
     scored = (
         breakdown.withColumn("_delta", delta)
-        .withColumn("_n", F.count(F.lit(1)).over(report))
+        .withColumn("_whole", whole)
+        .withColumn("_sum", F.try_sum("_whole").over(report))
+        .withColumn("_squares", F.try_sum(square).over(report))
+        .withColumn("_n", F.count(F.lit(1)).over(report).cast("decimal(38,0)"))
         .withColumn("_mean", F.avg("_delta").over(report))
         .withColumn("_stddev", F.stddev_pop("_delta").over(report))
         .where((F.col("_n") >= MIN_CATEGORIES) & (F.col("_stddev") > 0) & F.col("delta_pct").isNotNull())
         .withColumn("_z", (F.col("_delta") - F.col("_mean")) / F.col("_stddev"))
-        .where(F.abs("_z") > Z_SCORE_THRESHOLD + ROUNDING_NOISE)
+        .where(F.coalesce(exact, rough))
     )
     above = F.col("_z") > 0
     return (

@@ -59,7 +59,7 @@ def category_summary(
         select_rollup(rollup, account_id, period_type, date_from, date_to)
         .groupBy("category_id")
         .agg(_total("total_spend"), _count(), _total("total_reversed"))
-        .join(names, "category_id")
+        .join(names, "category_id", "left")  # spend in an unknown category stays, without a name
         .select("category_code", "category_label", "total_spend", "transaction_count", "total_reversed")
         .orderBy(F.col("total_spend").desc(), F.col("category_code").asc())
     )

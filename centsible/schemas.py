@@ -18,6 +18,19 @@ SETTLED = "SETTLED"
 REVERSED = "REVERSED"
 STATUSES = (PENDING, SETTLED, REVERSED)
 
+# ISO 4217 codes of currencies and funds in use.
+CURRENCIES = tuple(
+    """
+    AED AFN ALL AMD AOA ARS AUD AWG AZN BAM BBD BDT BGN BHD BIF BMD BND BOB BOV BRL BSD BTN BWP BYN BZD
+    CAD CDF CHE CHF CHW CLF CLP CNY COP COU CRC CUP CVE CZK DJF DKK DOP DZD EGP ERN ETB EUR FJD FKP GBP
+    GEL GHS GIP GMD GNF GTQ GYD HKD HNL HTG HUF IDR ILS INR IQD IRR ISK JMD JOD JPY KES KGS KHR KMF KPW
+    KRW KWD KYD KZT LAK LBP LKR LRD LSL LYD MAD MDL MGA MKD MMK MNT MOP MRU MUR MVR MWK MXN MXV MYR MZN
+    NAD NGN NIO NOK NPR NZD OMR PAB PEN PGK PHP PKR PLN PYG QAR RON RSD RUB RWF SAR SBD SCR SDG SEK SGD
+    SHP SLE SOS SRD SSP STN SVC SYP SZL THB TJS TMT TND TOP TRY TTD TWD TZS UAH UGX USD USN UYI UYU UYW
+    UZS VED VES VND VUV WST XAF XCD XOF XPF YER ZAR ZMW ZWG
+    """.split()
+)
+
 DAILY = "DAILY"
 WEEKLY = "WEEKLY"
 MONTHLY = "MONTHLY"
@@ -184,3 +197,5 @@ MANIFEST_SCHEMA = _struct(
     covers_batch=LONG,
     version=LONG,
 )
+
+RECORD_KEY_SCHEMA = _struct(record_key=STRING, batch_id=LONG)

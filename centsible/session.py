@@ -20,6 +20,10 @@ RUNTIME_CONF = {
 }
 
 
+INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+PIECES_PER_CORE = 8
+
+
 def build_session(app_name: str = "centsible", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app_name)
     if master:
@@ -34,10 +38,13 @@ def prepare(spark: SparkSession) -> SparkSession:
     for key, value in RUNTIME_CONF.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
-    sc = spark.sparkContext
-    if sc.master.startswith("local") and spark.conf.get("spark.sql.shuffle.partitions") == "200":
-        # on one machine the default of 200 is mostly start-up cost; a cluster sets its own
-        spark.conf.set("spark.sql.shuffle.partitions", str(sc.defaultParallelism))
+    cores = spark.sparkContext.defaultParallelism
+    if spark.conf.get("spark.sql.shuffle.partitions") == "200":
+        # left at the default: one state partition per core for streams, and for batches several pieces
+        # per core, which adaptive execution merges to its advisory size
+        spark.conf.set("spark.sql.shuffle.partitions", str(cores))
+        if spark.conf.get(INITIAL_PARTITIONS, None) is None:
+            spark.conf.set(INITIAL_PARTITIONS, str(PIECES_PER_CORE * cores))
     return spark
 
 
@@ -48,11 +55,11 @@ def shared_dir(spark: SparkSession) -> str:
     fall back to a temporary folder, because there driver and executors share a disk.
     """
     sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if folder is None:
         if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        folder = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="centsible-")
+        folder = tempfile.mkdtemp(prefix="centsible-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder)
     return folder

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 from centsible.functions.status import bank_status, card_status, payment_status
 from centsible.schemas import (
@@ -23,7 +24,8 @@ from centsible.schemas import (
     SOURCE_SCHEMAS,
 )
 
-ARRIVAL_COLUMNS = ("ingested_at", "arrival_seq")
+# record_key is the raw key that the ingest job checks, seen_at the clock of the streaming check
+ARRIVAL_COLUMNS = ("ingested_at", "arrival_seq", "record_key", "seen_at")
 
 
 def _canonical(raw: DataFrame, source_type: str, mapping: Mapping[str, str]) -> DataFrame:
@@ -92,20 +94,24 @@ def normalise_card(raw: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class SourceAdapter:
-    """How one source is normalised, and which raw column says a record was seen before."""
+    """How one source is normalised, which raw column says a record was seen before, the schema of
+    its records, and validation rules ``(reason, SQL condition that breaks it)`` of its own."""
 
     normalise: Callable[[DataFrame], DataFrame]
     record_key: str
+    schema: StructType | None = None
+    rules: tuple[tuple[str, str], ...] = ()
 
 
 ADAPTERS: dict[str, SourceAdapter] = {
-    BANK_FEED: SourceAdapter(normalise_bank, "transaction_id"),
-    PAYMENT_PROCESSOR: SourceAdapter(normalise_payment, "event_id"),
-    CARD_NETWORK: SourceAdapter(normalise_card, "record_id"),
+    BANK_FEED: SourceAdapter(normalise_bank, "transaction_id", SOURCE_SCHEMAS[BANK_FEED]),
+    PAYMENT_PROCESSOR: SourceAdapter(normalise_payment, "event_id", SOURCE_SCHEMAS[PAYMENT_PROCESSOR]),
+    CARD_NETWORK: SourceAdapter(normalise_card, "record_id", SOURCE_SCHEMAS[CARD_NETWORK]),
 }
 
 
 def register_adapter(source_type: str, adapter: SourceAdapter) -> None:
+    """Add a source: its records are normalised, known to validation and judged by the adapter's rules."""
     ADAPTERS[source_type] = adapter
 
 

@@ -17,6 +17,7 @@ _INPUT_SCHEMA = pa.schema(
         ("parent_id", pa.int64()),
         ("mcc_codes", pa.string()),
         ("keywords", pa.string()),
+        ("path", pa.string()),
     ]
 )
 
@@ -50,16 +51,18 @@ def load_categories(spark: SparkSession, rows: list[tuple] | None = None) -> Dat
     Comma lists become arrays with blank items dropped; the dotted path is the parent's code
     followed by the own code; the external id is derived from the code.
     """
-    columns = zip(*(SEED if rows is None else rows))
-    # from Arrow, so that Spark knows the size and can decide to broadcast it
-    raw = spark.createDataFrame(pa.table(list(map(list, columns)), schema=_INPUT_SCHEMA))
-    parents = raw.select(F.col("id").alias("parent_id"), F.col("code").alias("parent_code"))
-    return raw.join(parents, "parent_id", "left").select(
+    rows = SEED if rows is None else rows
+    codes = {row[0]: row[1] for row in rows}
+    paths = [".".join(filter(None, (codes.get(row[3]), row[1]))) for row in rows]
+    columns = [*map(list, zip(*rows)), paths] if rows else [[] for _ in _INPUT_SCHEMA]
+    # from Arrow and without a join, so that Spark knows the size and can decide to broadcast it
+    raw = spark.createDataFrame(pa.table(columns, schema=_INPUT_SCHEMA))
+    return raw.select(
         "id",
         stable_id(F.col("code")).alias("external_id"),
         "code",
         "label",
-        F.concat_ws(".", "parent_code", "code").alias("path"),
+        "path",
         "parent_id",
         comma_list(F.col("mcc_codes")).alias("mcc_codes"),
         comma_list(F.col("keywords")).alias("keywords"),

@@ -20,6 +20,8 @@ from centsible.operators.categorise import with_category
 from centsible.operators.rollup import expand_periods, merge_daily, merge_rollups
 
 
+EVENT_FORMAT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}  # no digit is lost
+
 ID_BLOOM_FILTERS = {
     "parquet.bloom.filter.enabled#external_id": "true",
     "parquet.bloom.filter.enabled#source_id": "true",
@@ -49,6 +51,10 @@ class Store:
     def _read(self, table: str, schema: T.StructType) -> DataFrame:
         return read_or_empty(self.spark, self.path(table), schema)
 
+    def _committed(self, table: str, schema: T.StructType) -> DataFrame:
+        """A table that the manifest names: if it is missing, reading fails."""
+        return self.spark.read.schema(schema).parquet(self.path(table))
+
     def _write_batch(
         self, df: DataFrame, table: str, batch_id: int, partition_by: list[str] | None = None
     ) -> None:
@@ -86,7 +92,7 @@ class Store:
         recent = self._recent_transactions().where(F.col("batch_id") > covered)
         if generation == 0:
             return recent
-        base = self._read("transactions_base", S.TRANSACTION_BASE_SCHEMA)
+        base = self._committed("transactions_base", S.TRANSACTION_BASE_SCHEMA)
         committed = base.where(F.col("generation") <= generation).drop("generation")
         return committed.unionByName(recent)
 
@@ -118,6 +124,17 @@ class Store:
         )
         self._commit("transactions_manifest", generation + 1, max(up_to_batch, covered))
 
+    # raw record keys that were seen (sources whose key is not the transaction's id)
+
+    def record_keys(self) -> DataFrame:
+        return self._read("record_keys", S.RECORD_KEY_SCHEMA)
+
+    def batch_record_keys(self, batch_id: int) -> DataFrame:
+        return self.record_keys().where(F.col("batch_id") == batch_id)
+
+    def write_record_keys(self, rows: DataFrame, batch_id: int) -> None:
+        self._write_batch(rows, "record_keys", batch_id)
+
     # dead letters and outcome counts
 
     def dead_letters(self) -> DataFrame:
@@ -155,7 +172,7 @@ class Store:
         fresh = expand_periods(parts, period_types)
         if version == 0:
             return fresh
-        base = self._read(f"rollup_base/version={version}", S.ROLLUP_SCHEMA)
+        base = self._committed(f"rollup_base/version={version}", S.ROLLUP_SCHEMA)
         return merge_rollups(base.where(F.col("period_type").isin(*period_types)), fresh)
 
     def compact_rollup(self, up_to_batch: int) -> None:
@@ -168,7 +185,7 @@ class Store:
         )
         merged = expand_periods(merge_daily(parts))
         if version:
-            base = self._read(f"rollup_base/version={version}", S.ROLLUP_SCHEMA)
+            base = self._committed(f"rollup_base/version={version}", S.ROLLUP_SCHEMA)
             merged = merge_rollups(base, merged)
         new = version + 1
         (
@@ -215,7 +232,7 @@ def accepted_events(transactions: DataFrame) -> DataFrame:
     """Accepted transactions as topic rows keyed by source id."""
     return transactions.select(
         F.col("source_id").alias("key"),
-        F.to_json(F.struct(*S.NORMALISED_SCHEMA.names)).alias("value"),
+        F.to_json(F.struct(*S.NORMALISED_SCHEMA.names), EVENT_FORMAT).alias("value"),
     )
 
 
@@ -223,7 +240,7 @@ def categorised_events(transactions: DataFrame, categories: DataFrame) -> DataFr
     """Stored transactions as topic rows that carry the category and its tier."""
     columns = [*S.NORMALISED_SCHEMA.names, "category_code", "category_tier"]
     return with_category(transactions, categories).select(
-        F.col("source_id").alias("key"), F.to_json(F.struct(*columns)).alias("value")
+        F.col("source_id").alias("key"), F.to_json(F.struct(*columns), EVENT_FORMAT).alias("value")
     )
 
 

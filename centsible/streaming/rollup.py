@@ -1,4 +1,4 @@
-"""Rollups as streaming aggregations, for consumers that want them without the tables."""
+"""Rollups of a stream for consumers that want them without the tables."""
 
 from __future__ import annotations
 
@@ -10,21 +10,17 @@ from centsible.schemas import DAILY, MONEY, REVERSED, SETTLED, WEEKLY
 
 # Windows count from 1970-01-01, a Thursday, so Monday weeks start four days later.
 _WINDOWS = {DAILY: ("1 day", None), WEEKLY: ("7 days", "4 days")}
+MEASURES = ["total_spend", "transaction_count", "total_reversed"]
 
 
-def windowed_rollup(transactions: DataFrame, period_type: str, lateness: str = "7 days") -> DataFrame:
-    """Spend, count and reversals per account, category and day or Monday week of a stream.
-
-    State is dropped once a window is ``lateness`` old. Months have no fixed length and come
-    from the rollup table instead.
-    """
+def windowed_sums(transactions: DataFrame, period_type: str) -> DataFrame:
+    """Spend, count and reversals per account, category and day or Monday week."""
     length, start = _WINDOWS[period_type]
     bucket = F.window("transacted_at", length, length, start) if start else F.window("transacted_at", length)
     settled = F.col("status") == SETTLED
     zero = F.lit(0).cast(MONEY)
     return (
-        transactions.where(F.col("status").isin(SETTLED, REVERSED))
-        .withWatermark("transacted_at", lateness)
+        transactions.where(F.col("status").isin(SETTLED, REVERSED) & F.col("category_id").isNotNull())
         .groupBy("account_id", "category_id", bucket.alias("bucket"))
         .agg(
             F.sum(F.when(settled, F.col("amount")).otherwise(zero)).cast(MONEY).alias("total_spend"),
@@ -36,36 +32,29 @@ def windowed_rollup(transactions: DataFrame, period_type: str, lateness: str = "
             "category_id",
             F.to_date("bucket.start").alias("period_date"),
             F.lit(period_type).alias("period_type"),
-            "total_spend",
-            "transaction_count",
-            "total_reversed",
+            *MEASURES,
         )
     )
 
 
-def start_update_sink(
-    rollup: DataFrame, path: str, checkpoint: str, every: str | None = None
+def start_windowed_rollup(
+    transactions: DataFrame, period_type: str, path: str, checkpoint: str, every: str | None = None
 ) -> StreamingQuery:
-    """Write the rollup rows each batch changed below its ``batch_id``."""
+    """Write each micro-batch's sums below its ``batch_id``.
+
+    The sums add up, so there is no state, no watermark and no lateness: a row of any age lands in the part
+    of the batch that brings it. Months have no fixed length and come from the rollup table instead.
+    """
 
-    def write(changed: DataFrame, batch_id: int) -> None:
-        changed.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    def write(batch: DataFrame, batch_id: int) -> None:
+        windowed_sums(batch, period_type).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     trigger = {"processingTime": every} if every else {"availableNow": True}
-    return (
-        rollup.writeStream.outputMode("update")
-        .foreachBatch(write)
-        .option("checkpointLocation", checkpoint)
-        .trigger(**trigger)
-        .start()
-    )
+    writer = transactions.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return writer.trigger(**trigger).start()
 
 
-def latest_rows(updates: DataFrame) -> DataFrame:
-    """The last written version of every rollup row."""
-    measures = ["total_spend", "transaction_count", "total_reversed"]
-    return (
-        updates.groupBy("account_id", "category_id", "period_date", "period_type")
-        .agg(F.max_by(F.struct(*measures), "batch_id").alias("last"))
-        .select("account_id", "category_id", "period_date", "period_type", "last.*")
-    )
+def windowed_rollup(parts: DataFrame) -> DataFrame:
+    """The rollup as of all written parts."""
+    keys = ["account_id", "category_id", "period_date", "period_type"]
+    return parts.groupBy(*keys).agg(*[F.sum(m).cast(parts.schema[m].dataType).alias(m) for m in MEASURES])

@@ -64,14 +64,9 @@ TABLES = {
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, spread_by: str | None = None) -> DataFrame:
-    """A given table. One in fewer pieces than there are cores (the small ones are a single
-    row group, which cannot be split) is dealt out by ``spread_by`` so that all cores get work;
-    a table large enough to keep them busy is read as it lies, without a shuffle."""
+    """A given table, dealt out by ``spread_by``: the key of the join that follows."""
     df = spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if spread_by and df.rdd.getNumPartitions() < cores:
-        df = df.repartition(cores, spread_by)
-    return df
+    return df.repartition(spread_by) if spread_by else df
 
 
 def categories(spark: SparkSession) -> DataFrame:
@@ -122,7 +117,7 @@ def card_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bank_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")
-    orders = table(spark, sf_dir, "orders", "o_orderkey").join(
+    orders = table(spark, sf_dir, "orders", "o_custkey").join(
         customers, F.col("o_custkey") == F.col("c_custkey")
     )
     at = "CAST(o_orderdate AS TIMESTAMP)"
@@ -140,7 +135,7 @@ def bank_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def payment_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = "CAST(ts AS TIMESTAMP)"
-    return table(spark, sf_dir, "events", "event_id").selectExpr(
+    return table(spark, sf_dir, "events").selectExpr(
         "concat('evt_', event_id) AS event_id",
         f"{translate('event_type', PAYMENT_EVENT_TYPE, 'event_type')} AS event_type",
         "concat('pi_', event_id) AS payment_id",

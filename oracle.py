@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from centsible import testbed as tb
+from centsible.sources.categories import SEED
 
 YEAR = ("DATE '1998-01-01'", "DATE '1998-12-31'")
 YEAR_BEFORE = ("DATE '1997-01-01'", "DATE '1997-12-31'")
@@ -227,10 +228,12 @@ def _anomalies(frame: str, report: str, columns: str) -> str:
         category_label || ' spend ' || (tenths // 10) || '.' || (tenths % 10) || '% '
             || CASE WHEN z > 0 THEN 'above' ELSE 'below' END || ' compared to previous period' AS description
         FROM (SELECT *, (delta - avg(delta) OVER w) / nullif(stddev_pop(delta) OVER w, 0) AS z,
-                count(*) OVER w AS n
-            FROM (SELECT *, {delta} AS delta, {one_decimal} AS tenths FROM {frame})
+                count(*) OVER w AS n, CAST(sum(whole) OVER w AS HUGEINT) AS s,
+                CAST(sum(whole * whole) OVER w AS HUGEINT) AS q
+            FROM (SELECT *, {delta} AS delta, {one_decimal} AS tenths,
+                CAST({ratio('cur - prev', 'prev')} AS HUGEINT) AS whole FROM {frame})
             WINDOW w AS (PARTITION BY {report}))
-        WHERE n >= 3 AND abs(z) > 2 + 1e-9"""
+        WHERE n >= 3 AND (n * whole - s) * (n * whole - s) > 4 * (n * q - s * s)"""
 
 
 def _breakdown(frame: str, columns: str = "") -> str:
@@ -247,9 +250,37 @@ COUNTS = """SELECT source_type, outcome, CAST(sum(n) AS BIGINT) AS records FROM
 FRAGMENTS["numbered"] = """SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY s1, s2, s3, s4) AS place
     FROM v WHERE len(reasons) = 0"""
 NEEDS["numbered"] = ["v"]
-# the card stream has no age limit
-FRAGMENTS["card_ok"] = "SELECT * FROM card_n WHERE amount > 0 AND amount <= 100000"
-NEEDS["card_ok"] = ["card_n"]
+FRAGMENTS["seed"] = (
+    "SELECT * FROM (VALUES "
+    + ", ".join("(" + ", ".join(map(_text, row)) + ")" for row in SEED)
+    + ") AS c(id, code, label, parent_id, mcc_codes, keywords)"
+)
+FRAGMENTS["seed_mcc"] = FRAGMENTS["mcc_rule"].replace("FROM cat", "FROM seed")
+FRAGMENTS["seed_kw"] = FRAGMENTS["kw_rule"].replace("FROM cat", "FROM seed")
+NEEDS["seed_mcc"] = NEEDS["seed_kw"] = ["seed"]
+# one field broken, by the last digit of the id, and the rules in the order of their report
+FRAGMENTS["bad"] = f"""SELECT CASE WHEN d = '6' THEN 'UNHEARD_OF' ELSE source_type END AS source_type,
+    CASE WHEN source_type = 'PAYMENT_PROCESSOR' AND d <> '6' THEN TIMESTAMP '{tb.PAYMENTS_AS_OF}'
+        ELSE transacted_at + INTERVAL 1 HOUR END AS seen, source_type AS true_type, d, merchant_name,
+    CASE WHEN d = '4' THEN NULL ELSE transacted_at END AS transacted_at,
+    CASE WHEN d = '8' THEN -amount ELSE amount END AS amount, merchant_mcc
+    FROM (SELECT *, right(source_id, 1) AS d FROM u)"""
+NEEDS["bad"] = ["u"]
+FRAGMENTS["judged_bad"] = """SELECT *, [r FOR r IN [
+        CASE WHEN d = '0' THEN 'source_id_blank' END,
+        CASE WHEN d = '6' THEN 'source_type_unknown' END,
+        CASE WHEN d = '1' THEN 'account_id_blank' END,
+        CASE WHEN NOT coalesce(amount > 0, false) THEN 'amount_not_positive' END,
+        CASE WHEN d = '2' THEN 'currency_missing' END,
+        CASE WHEN d = '3' THEN 'merchant_name_blank' END,
+        CASE WHEN d = '4' THEN 'transacted_at_missing' END,
+        CASE WHEN d = '5' THEN 'status_unknown' END,
+        CASE WHEN d = '7' AND source_type = 'CARD_NETWORK' THEN 'card_mcc_blank' END,
+        CASE WHEN d = '1' AND source_type = 'PAYMENT_PROCESSOR' THEN 'payment_account_blank' END,
+        CASE WHEN transacted_at > seen + INTERVAL 5 MINUTE THEN 'in_future' END,
+        CASE WHEN transacted_at < seen - INTERVAL 7 DAY THEN 'too_old' END,
+        CASE WHEN amount > 100000 THEN 'amount_too_large' END] IF r IS NOT NULL] AS reasons FROM bad"""
+NEEDS["judged_bad"] = ["bad"]
 
 
 def oracle_sql() -> dict[str, str]:
@@ -284,10 +315,44 @@ def oracle_sql() -> dict[str, str]:
         ),
         "ingest_report": sql(COUNTS, "v", "numbered"),
         "processing_counters": sql(
-            """SELECT source_type, CASE WHEN len(reasons) > 0 THEN 'failure' ELSE 'success' END AS result,
-            count(*) AS records FROM v GROUP BY ALL""",
+            """SELECT source_type, result, CAST(sum(n) AS BIGINT) AS records FROM (
+            SELECT source_type, 'failure' AS result, CASE WHEN len(reasons) > 0 THEN 1 ELSE 0 END AS n FROM v
+            UNION ALL SELECT source_type, 'success', CASE WHEN len(reasons) > 0 THEN 0 ELSE 1 END FROM v) GROUP BY ALL""",
             "v",
         ),
+        "validation_all_rules": sql(
+            """SELECT source_type, reason, count(*) AS records
+            FROM (SELECT source_type, unnest(reasons) AS reason FROM judged_bad) GROUP BY ALL""",
+            "judged_bad",
+        ),
+        "registered_source_ingest": sql(
+            """SELECT source_id, 'LEDGER' AS source_type, account_id, CAST(amount AS DOUBLE) AS amount, currency,
+            merchant_name, merchant_mcc, transacted_at, status FROM bank_n WHERE amount >= 1000 AND amount <= 100000
+            QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY s1, s2, s3, s4) = 1""",
+            "bank_n",
+        ),
+        "topic_round_trip": sql(f"SELECT {CANONICAL} FROM firsts", "firsts"),
+        "topic_bad_field": sql(
+            """SELECT source_id, 'amount_not_positive' AS reject_reason, true AS keeps_text
+            FROM firsts WHERE ends_with(source_id, '7')""",
+            "firsts",
+        ),
+        "categorise_seed": sql(
+            """SELECT m.merchant_name, m.merchant_mcc, coalesce(r.id, min(k.id), 19) AS category_id,
+            CASE WHEN coalesce(r.id, min(k.id)) IS NULL THEN 'fallback' ELSE 'rules' END AS category_tier
+            FROM (SELECT DISTINCT merchant_name, merchant_mcc FROM u) m
+            LEFT JOIN seed_mcc r ON m.merchant_mcc = r.mcc
+            LEFT JOIN seed_kw k ON contains(lower(m.merchant_name), kw)
+            GROUP BY m.merchant_name, m.merchant_mcc, r.id""",
+            "u",
+            "seed_mcc",
+            "seed_kw",
+        ),
+        "category_by_code": sql(
+            """SELECT c.id, c.code, c.label, p.code || '.' || c.code AS path, c.parent_id
+            FROM seed c JOIN seed p ON c.parent_id = p.id WHERE c.code = 'fuel'""",
+            "seed",
+        ),
         "dedup_first_wins": sql(f"SELECT {CANONICAL} FROM firsts", "firsts"),
         "source_repeats": sql(
             """SELECT record_id, pan_last_four, merchant_name, CAST(amount AS DOUBLE) AS amount FROM card
@@ -409,7 +474,7 @@ def oracle_sql() -> dict[str, str]:
         "list_transactions": sql(
             f"""SELECT {OUTPUT} FROM t JOIN cat ON category_id = cat.id WHERE account_id = 'cus_8'
             AND created_at >= TIMESTAMP '2024-01-03' AND created_at < TIMESTAMP '2024-01-29' """
-            + ordered_page.format("created_at DESC, source_id", 20, 20),
+            + ordered_page.format("created_at, source_id", 20, 20),
             "t",
             "cat",
         ),
@@ -431,6 +496,23 @@ def oracle_sql() -> dict[str, str]:
         "deep_page": sql(
             f"SELECT {CANONICAL} FROM t " + ordered_page.format("t.amount, source_id", 100, 10000), "t"
         ),
+        "list_transactions_after": sql(
+            f"""SELECT {OUTPUT} FROM t JOIN cat ON category_id = cat.id
+            WHERE t.amount > 20000 OR t.amount = 20000 AND source_id > 'CN-1-1' """
+            + ordered_page.format("t.amount, source_id", 50, 0),
+            "t",
+            "cat",
+        ),
+        "stored_listing": sql(
+            f"""SELECT {OUTPUT} FROM t JOIN cat ON category_id = cat.id WHERE account_id = 'cus_8'
+            AND transacted_at >= TIMESTAMP '2024-01-03' AND transacted_at < TIMESTAMP '2024-01-29' """
+            + ordered_page.format("created_at, source_id", 30, 0),
+            "t",
+            "cat",
+        ),
+        "stored_by_id": sql(
+            f"SELECT {OUTPUT} FROM t JOIN cat ON category_id = cat.id WHERE source_id = 'pi_7'", "t", "cat"
+        ),
         "transaction_by_id": sql(
             f"SELECT {OUTPUT} FROM t JOIN cat ON category_id = cat.id WHERE source_id = 'pi_7'", "t", "cat"
         ),
@@ -478,7 +560,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         "category_by_mcc": sql(
             """SELECT external_id, code, label, path, array_to_string(mcc_codes, ',') AS mcc_codes
-            FROM pcat WHERE list_has_any(mcc_codes, ['5007', '5011']) ORDER BY path, code LIMIT 1000""",
+            FROM pcat WHERE list_has_any(mcc_codes, ['5007', '5011']) ORDER BY label, code LIMIT 1000""",
             "pcat",
         ),
         "category_tree": sql(
@@ -488,13 +570,10 @@ def oracle_sql() -> dict[str, str]:
         ),
         "root_categories": sql("SELECT id, code, label FROM pcat WHERE parent_id IS NULL", "pcat"),
         # streams, against the batch answer
-        "stream_dedup": sql(
-            "SELECT DISTINCT source_id, account_id FROM card_ok", "card_ok"
-        ),
+        "stream_dedup": sql(f"SELECT {CANONICAL} FROM firsts", "firsts"),
+        "stream_dedup_ttl": sql("SELECT DISTINCT source_id, account_id FROM firsts", "firsts"),
         "stream_transactions": sql(
-            "SELECT source_id, CAST(amount AS DOUBLE) AS amount, category_id, category_tier FROM t"
-            " WHERE source_type = 'CARD_NETWORK'",
-            "t",
+            "SELECT source_id, CAST(amount AS DOUBLE) AS amount, category_id, category_tier FROM t", "t"
         ),
         "stream_rollup": sql(
             """SELECT account_id, category_id, CAST(date_trunc('month', transacted_at) AS DATE)::VARCHAR AS period_date,
@@ -502,15 +581,18 @@ def oracle_sql() -> dict[str, str]:
             CAST(sum(CASE WHEN status = 'SETTLED' THEN amount ELSE 0 END) AS DOUBLE) AS total_spend,
             CAST(sum(CASE WHEN status = 'SETTLED' THEN 1 ELSE 0 END) AS BIGINT) AS transaction_count,
             CAST(sum(CASE WHEN status = 'REVERSED' THEN amount ELSE 0 END) AS DOUBLE) AS total_reversed
-            FROM t WHERE source_type = 'CARD_NETWORK' AND status IN ('SETTLED', 'REVERSED') GROUP BY ALL""",
+            FROM t WHERE status IN ('SETTLED', 'REVERSED') GROUP BY ALL""",
             "t",
         ),
         "stream_outcomes": sql(
-            """SELECT 'CARD_NETWORK' AS source_type, unnest(['ACCEPTED', 'DUPLICATE', 'FAILED']) AS outcome,
-            unnest([(SELECT count(DISTINCT source_id) FROM card_ok),
-                (SELECT count(*) - count(DISTINCT source_id) FROM card_ok),
-                (SELECT count(*) FROM card_n) - (SELECT count(*) FROM card_ok)]) AS records""",
-            "card_ok",
+            """SELECT source_type, outcome, CAST(sum(n) AS BIGINT) AS records FROM (
+            SELECT source_type, 'FAILED' AS outcome, CASE WHEN coalesce(amount > 0 AND amount <= 100000, false) THEN 0 ELSE 1 END AS n FROM u
+            UNION ALL SELECT source_type, 'ACCEPTED', 1 FROM firsts
+            UNION ALL SELECT source_type, 'DUPLICATE', CASE WHEN place > 1 THEN 1 ELSE 0 END FROM (SELECT source_type,
+                row_number() OVER (PARTITION BY source_id ORDER BY s1, s2, s3, s4) AS place FROM ok)) GROUP BY ALL""",
+            "u",
+            "ok",
+            "firsts",
         ),
         "windowed_rollup": sql(
             """SELECT account_id, category_id, CAST(date_trunc('week', transacted_at) AS DATE)::VARCHAR AS period_date,

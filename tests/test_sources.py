@@ -4,6 +4,7 @@ from decimal import Decimal
 
 import pytest
 
+from centsible.operators.validate import structural_rules
 from centsible.schemas import BANK_FEED, BANK_SCHEMA, CARD_NETWORK, CARD_SCHEMA, PAYMENT_PROCESSOR, PAYMENT_SCHEMA
 from centsible.sources import adapters
 from centsible.sources.readers import parse_events, read_records
@@ -114,6 +115,7 @@ def test_another_source_can_be_registered(spark):
     adapters.register_adapter("LEDGER", adapters.SourceAdapter(adapters.normalise_bank, "transaction_id"))
     try:
         assert adapters.normalise(bank(spark), "LEDGER").count() == 1
+        assert ("source_type_unknown", "NOT coalesce(source_type IN ('BANK_FEED', 'PAYMENT_PROCESSOR', 'CARD_NETWORK', 'LEDGER'), false)") in structural_rules()
     finally:
         del adapters.ADAPTERS["LEDGER"]
 
@@ -136,7 +138,9 @@ def test_topic_events(spark, make):
     from centsible.sources.tables import accepted_events
 
     events = accepted_events(make({"source_id": "k1", "amount": "7.25"}))
-    broken = spark.createDataFrame([("k2", "{not json")], "key string, value string")
+    half = '{"source_id":"k3","amount":"oops","status":"SETTLED","raw_payload":"{}"}'
+    broken = spark.createDataFrame([("k2", "{not json"), ("k3", half)], "key string, value string")
     rows = {r.source_id: r for r in parse_events(events.unionByName(broken)).collect()}
+    assert rows["k3"].raw_payload == half and rows["k3"].amount is None and rows["k3"].ingested_at is not None
     assert rows["k1"].amount == Decimal("7.2500") and rows["k1"].merchant_name == "Some Merchant"
     assert rows[None].raw_payload == "{not json"

@@ -40,6 +40,8 @@ def reasons(make, **record):
         ({"account_id": "", "source_type": "PAYMENT_PROCESSOR"}, ["account_id_blank", "payment_account_blank"]),
         ({"currency": None}, ["currency_missing"]),
         ({"currency": "rand"}, ["currency_missing"]),
+        ({"currency": "QQQ"}, ["currency_missing"]),
+        ({"currency": "ZAR\n"}, ["currency_missing"]),
         ({"merchant_name": "  "}, ["merchant_name_blank"]),
         ({"transacted_at": None}, ["transacted_at_missing"]),
         ({"status": None}, ["status_unknown"]),
