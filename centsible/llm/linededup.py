@@ -10,8 +10,8 @@ away, and two lines with the same variant at the same place differ in that word
 equal keys and keeping their earliest lines is enough to know each line's earlier neighbours, so no pairs
 within a group are listed. All neighbours found this way are verified on the words themselves.
 
-Two lines one word apart share their first or their last half. So only lines whose half occurs in another
-line, a small part of all, emit variants.
+Two lines one word apart share nearly their first or nearly their last half. So only lines of which such a part
+occurs in another line, a small part of all, emit variants, and only of the rest of the line.
 
 Edge cases: blank lines and lines of null or empty texts are neither dropped nor compared; rows with equal doc_id and
 text are one document and get the same decisions; a null doc_id comes last; an empty table gives no rows.
@@ -31,6 +31,7 @@ from centsible.llm.arrays import (
     NOT_SPACE,
     U64,
     Runs,
+    column,
     constants,
     mix,
     pieces,
@@ -40,6 +41,7 @@ from centsible.llm.arrays import (
     spans,
     text_column,
 )
+from centsible.llm.bloom import BloomFilter
 from centsible.llm.frames import map_batches, text_id, written
 
 NEAR_WORDS = 8
@@ -64,8 +66,13 @@ def _lines(texts: pa.Array):
         yield row[a] + first_row, line[a], a, b, Runs(words), size[b] - size[a]
 
 
+def _middles(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of the compared halves of a line of n words: its own, and that of a line of n - 1 words."""
+    return n // 4 * 2, (n - 1) // 4 * 2
+
+
 def line_rows(docs: DataFrame) -> DataFrame:
-    """One row per line with words: doc_id, tid, line, hash, n_words, n_bytes and the keys of its halves."""
+    """One row per line with words: doc_id, tid, line, hash, n_words, n_bytes and the keys of its first and last parts."""
 
     def run(batches):
         for batch in batches:
@@ -74,35 +81,31 @@ def line_rows(docs: DataFrame) -> DataFrame:
                 for row, line, a, b, runs, n_bytes in _lines(text_column(batch)):
                     n = b - a
                     long = np.flatnonzero(n >= NEAR_WORDS)
-                    la, lb, ln = a[long], b[long], n[long]
-                    upper, lower = ln // 2, (ln - 1) // 2
-                    keys = np.column_stack(
-                        [mix(runs.hashes(la, la + h) + FRONT) for h in (upper, lower)]
-                        + [mix(runs.hashes(lb - h, lb) + BACK) for h in (upper, lower)]
-                    )
-                    # an odd number of words has one middle only
-                    use = np.ones(keys.shape, bool)
-                    use[upper == lower, 1] = use[upper == lower, 3] = False
-                    count = np.zeros(len(n) + 1, np.int32)
-                    count[long + 1] = use.sum(1)
-                    halves = pa.ListArray.from_arrays(
-                        pa.array(np.cumsum(count).astype(np.int32)), pa.array(signed(keys[use]))
-                    )
+                    la, lb = a[long], b[long]
+                    own, other = _middles(n[long])
+                    both = own != other
+                    size = np.concatenate((own, other[both]))
+                    begin, end = np.concatenate((la, la[both])), np.concatenate((lb, lb[both]))
+                    line_of = np.concatenate((long, long[both]))
+                    order = np.argsort(line_of, kind="stable")
+                    begin, end, size = begin[order], end[order], size[order]
+                    columns = [
+                        batch.column(at("doc_id")).take(pa.array(row)),
+                        batch.column(at("tid")).take(pa.array(row)),
+                        pa.array(line.astype(np.int32)),
+                        pa.array(signed(runs.hashes(a, b))),
+                        pa.array(n.astype(np.int32)),
+                        pa.array(n_bytes.astype(np.int64)),
+                    ]
+                    opens = pa.array(np.searchsorted(line_of[order], np.arange(len(n) + 1)).astype(np.int32))
+                    for keys in (runs.hashes(begin, begin + size) + FRONT, runs.hashes(end - size, end) + BACK):
+                        columns.append(pa.ListArray.from_arrays(opens, pa.array(signed(mix(keys)))))
                     yield pa.RecordBatch.from_arrays(
-                        [
-                            batch.column(at("doc_id")).take(pa.array(row)),
-                            batch.column(at("tid")).take(pa.array(row)),
-                            pa.array(line.astype(np.int32)),
-                            pa.array(signed(runs.hashes(a, b))),
-                            pa.array(n.astype(np.int32)),
-                            pa.array(n_bytes.astype(np.int64)),
-                            halves,
-                        ],
-                        ["doc_id", "tid", "line", "hash", "n_words", "n_bytes", "halves"],
+                        columns, ["doc_id", "tid", "line", "hash", "n_words", "n_bytes", "fronts", "backs"]
                     )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, tid long, line int, hash long, n_words int, n_bytes long, halves array<long>"
+    schema = f"doc_id {kind}, tid long, line int, hash long, n_words int, n_bytes long, fronts array<long>, backs array<long>"
     return map_batches(docs.select("doc_id", text_id().alias("tid"), "text"), run, schema)
 
 
@@ -114,28 +117,68 @@ def _at() -> Column:
 LINE = ["hash", "n_words", "n_bytes"]
 
 
-def _similar_half(lines: DataFrame) -> DataFrame:
-    """Hashes of the lines with a half that another line has too."""
-    halves = lines.where(F.col("n_words") >= NEAR_WORDS).select("hash", F.explode("halves").alias("half"))
-    shared = halves.groupBy("half").agg(F.min("hash").alias("low"), F.max("hash").alias("high")).where("low < high")
-    return halves.join(shared.select("half"), "half", "left_semi").select("hash").distinct()
+def _similar_lines(lines: DataFrame) -> DataFrame:
+    """hash, front, back: the lines with a first or last part that another line has too, and which."""
+    side = lambda name, front: F.transform(name, lambda k: F.struct(k.alias("part"), F.lit(front).alias("front")))
+    parts = lines.where(F.col("n_words") >= NEAR_WORDS).select(
+        "hash", F.inline(F.concat(side("fronts", True), side("backs", False)))
+    )
+    shared = parts.groupBy("part").agg(F.min("hash").alias("low"), F.max("hash").alias("high")).where("low < high")
+    similar = parts.join(shared.select("part"), "part", "left_semi")
+    return similar.groupBy("hash").agg(F.max("front").alias("front"), F.max(~F.col("front")).alias("back"))
 
 
 def _line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """doc_id, tid, line, words of the wanted lines (doc_id, tid, line)."""
-    per_doc = wanted.groupBy("doc_id", "tid").agg(F.collect_list("line").alias("lines"))  # of one document
-    per_doc = per_doc.select(F.col("doc_id").alias("w_id"), F.col("tid").alias("w_tid"), "lines")
-    texts = docs.select("doc_id", text_id().alias("tid"), "text")
-    found = texts.join(per_doc, (F.col("tid") == F.col("w_tid")) & F.col("doc_id").eqNullSafe(F.col("w_id")))
-    parts = F.split("text", "\n", -1)
-    found = found.withColumn("parts", parts).select("doc_id", "tid", "parts", F.explode("lines").alias("line"))
-    return found.select("doc_id", "tid", "line", F.col("parts")[F.col("line")].alias("text"))
+    """doc_id, tid, line, front, back, text of the wanted lines (hash, doc_id, tid, line, front, back).
+
+    A Bloom filter of the wanted hashes, of bounded size, keeps nearly all other lines out of the join.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(BloomFilter.build(wanted.select("hash")).blocks)
+
+    def run(batches):
+        bloom = BloomFilter(held.value)
+        for batch in batches:
+            at = batch.schema.get_field_index
+            texts = text_column(batch)
+            with quiet():
+                for row, line, a, b, runs, _ in _lines(texts):
+                    found = np.flatnonzero(b - a >= NEAR_WORDS)
+                    hashes = signed(runs.hashes(a[found], b[found]))
+                    hit = bloom.may_hold(hashes)
+                    found, hashes = found[hit], hashes[hit]
+                    split: dict[int, list[str]] = {}
+                    cut = []
+                    for r, n in zip(row[found].tolist(), line[found].tolist()):
+                        if r not in split:
+                            split = {r: texts[r].as_py().split("\n")}
+                        cut.append(split[r][n])
+                    source = pa.array(row[found])
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            batch.column(at("doc_id")).take(source),
+                            batch.column(at("tid")).take(source),
+                            pa.array(line[found].astype(np.int32)),
+                            pa.array(hashes),
+                            pa.array(cut, pa.string()),
+                        ],
+                        ["doc_id", "tid", "line", "hash", "text"],
+                    )
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    source = docs.select("doc_id", text_id().alias("tid"), "text")
+    found = map_batches(source, run, f"doc_id {kind}, tid long, line int, hash long, text string")
+    ids = wanted.withColumnsRenamed({"doc_id": "w_id", "tid": "w_tid", "line": "w_line", "hash": "w_hash"})
+    same = (F.col("hash") == F.col("w_hash")) & (F.col("tid") == F.col("w_tid")) & (F.col("line") == F.col("w_line"))
+    joined = found.join(ids, same & F.col("doc_id").eqNullSafe(F.col("w_id")))
+    return joined.select("doc_id", "tid", "line", "front", "back", "text").dropDuplicates(["doc_id", "tid", "line"])
 
 
 def variants(lines: DataFrame) -> DataFrame:
-    """key, kind and place (doc_id, tid, line) of the deletion neighbourhood of lines (doc_id, tid, line, text).
+    """key, kind and place (doc_id, tid, line) of the deletion neighbourhood of lines (doc_id, tid, line,
+    front, back, text).
 
-    kind 0: one word deleted, with its place; 1: the line itself; 2: one word deleted.
+    kind 0: one word deleted, with its place; 1: the line itself; 2: one word deleted. Words of a part that
+    is only known to be shared are not deleted: the edit is in the rest.
     """
 
     def run(batches):
@@ -143,8 +186,12 @@ def variants(lines: DataFrame) -> DataFrame:
             with quiet():
                 for row, _, a, b, runs, _ in _lines(text_column(batch)):
                     n = b - a
-                    gone = ranges(a, n)
-                    owner = np.repeat(np.arange(len(n)), n)
+                    least = _middles(n)[1]
+                    front, back = (column(batch, c).astype(bool)[row] for c in ("front", "back"))
+                    begin = np.where(front & ~back, a + least, a)
+                    size = np.where(back & ~front, b - least, b) - begin
+                    gone = ranges(begin, size)
+                    owner = np.repeat(np.arange(len(n)), size)
                     less = runs.without(a[owner], b[owner], gone)
                     placed = mix(less + PLACED + (gone - a[owner]).astype(U64) * PLACE)
                     key = np.concatenate((placed, runs.hashes(a, b), less))
@@ -188,8 +235,9 @@ def _verified(pairs: DataFrame) -> DataFrame:
 
 def near_lines(docs: DataFrame, firsts: DataFrame, lines: DataFrame) -> DataFrame:
     """place and ``near``, its earliest neighbour, of the first lines that have an earlier one a word away."""
-    wanted = firsts.join(_similar_half(lines), "hash", "left_semi").select("first.doc_id", "first.tid", "first.line")
-    texts = written(_line_texts(docs, wanted), "lines").dropDuplicates(["doc_id", "tid", "line"])
+    similar = written(_similar_lines(lines), "similar")
+    wanted = firsts.join(similar, "hash").select("hash", "first.doc_id", "first.tid", "first.line", "front", "back")
+    texts = written(_line_texts(docs, written(wanted, "wanted")), "lines")
     emitted = variants(texts).select("key", "kind", _at().alias("place"))
     # the earliest line of each key that is near all others of it, and the earliest that is near the line itself
     groups = emitted.groupBy("key").agg(
@@ -217,11 +265,11 @@ def line_decisions(docs: DataFrame) -> DataFrame:
     Documents without a line that has words are left out.
     """
     lines = written(line_rows(docs), "line-hashes")
-    firsts = lines.groupBy(*LINE).agg(F.min(_at()).alias("first"))
-    near = near_lines(docs, firsts, lines)
+    firsts = written(lines.groupBy(*LINE).agg(F.min(_at()).alias("first")), "first-lines")
+    near = written(near_lines(docs, firsts, lines), "near-lines")
     # no null-safe join on a structure with a null id: the id's absence is part of the structure
     firsts = firsts.join(near, firsts["first"].eqNullSafe(near["place"]), "left").drop("place")
-    judged = lines.drop("halves").join(firsts, LINE).withColumn("place", _at())
+    judged = lines.drop("fronts", "backs").join(firsts, LINE).withColumn("place", _at())
     again = ~F.col("place").eqNullSafe(F.col("first"))
     target = F.when(again, F.col("first")).otherwise(F.col("near"))
     decision = F.when(
@@ -243,11 +291,14 @@ def line_decisions(docs: DataFrame) -> DataFrame:
 def with_decisions(docs: DataFrame) -> DataFrame:
     """All columns of ``docs`` and ``n_lines`` and ``dropped``."""
     made = line_decisions(docs).select(F.col("doc_id").alias("d_id"), F.col("tid").alias("d_tid"), "n_lines", "dropped")
-    if clash := {c.lower() for c in docs.columns} & {"d_id", "d_tid", "n_lines", "dropped"}:
+    if clash := {c.lower() for c in docs.columns} & {"d_id", "d_tid", "own_tid", "n_lines", "dropped"}:
         raise ValueError(f"the input has a column {sorted(clash)} already")
-    joined = docs.join(made, (text_id() == F.col("d_tid")) & F.col("doc_id").eqNullSafe(F.col("d_id")), "left")
+    # the hash is made before the join, so that the text is shuffled only if the caller reads it
+    hashed = docs.withColumn("own_tid", text_id())
+    same = (F.col("own_tid") == F.col("d_tid")) & F.col("doc_id").eqNullSafe(F.col("d_id"))
+    joined = hashed.join(made, same, "left")
     kind = made.schema["dropped"].dataType
-    return joined.drop("d_id", "d_tid").withColumns(
+    return joined.drop("d_id", "d_tid", "own_tid").withColumns(
         {
             "n_lines": F.coalesce("n_lines", F.lit(0).cast(T.LongType())),
             "dropped": F.coalesce("dropped", F.array().cast(kind)),

@@ -14,6 +14,11 @@ def distance(a, b):
     return row[-1]
 
 
+def one_apart(a, b):
+    # one edit changes the length by one at most and the set of words by two
+    return abs(len(a) - len(b)) <= 1 and len(set(a) ^ set(b)) <= 2 and distance(a, b) <= 1
+
+
 def by_hand(rows):
     """{(doc_id, text): (n_lines, dropped)} by comparing every line with all earlier ones."""
     docs = sorted({(i is None, i, t or "") for i, t in rows}, key=lambda r: (r[0], r[1] or 0))
@@ -28,7 +33,7 @@ def by_hand(rows):
             same = next((e for e in earlier if e[0] == words), None)
             near = None
             if len(words) >= 8 and not same:
-                near = next((e for e in earlier if len(e[0]) >= 8 and distance(e[0], words) <= 1), None)
+                near = next((e for e in earlier if len(e[0]) >= 8 and one_apart(e[0], words)), None)
             if found := same or near:
                 dropped.append((line, found[1], found[2], 0 if same else 1))
             earlier.append((words, doc_id, line))

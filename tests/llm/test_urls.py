@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from centsible.llm import urls
+from centsible.llm import bloom, urls
 
 RULES = [
     ("org", "/", "allow"),
@@ -62,19 +62,19 @@ def test_long_list_and_small_filter(spark):
     """False positives of a filter that is far too small change nothing."""
     rules = spark.range(3000).selectExpr("concat('h', id, '.net') AS host", "'/' AS path", "'block' AS verdict")
     pages = spark.range(6000).selectExpr("id AS page_id", "concat('http://h', id, '.net/') AS url")
-    held = urls.BloomFilter.build(rules.selectExpr("concat(host, path) AS form"), "form")
-    assert 0 < held.blocks.nbytes <= 3000 * urls.BITS_PER_KEY
+    held = bloom.BloomFilter.build(rules.selectExpr("xxhash64(concat(host, path))"))
+    assert 0 < held.blocks.nbytes <= 3000 * bloom.BITS_PER_KEY
     got = urls.judge_urls(pages, rules).collect()
     assert all((r.verdict == "block") == (r.page_id < 3000) for r in got) and len(got) == 6000
 
 
 def test_filter_holds_every_key_and_few_others(spark):
     keys = spark.range(4000).selectExpr("cast(id AS string) AS k")
-    held = urls.BloomFilter.build(keys, "k")
+    held = bloom.BloomFilter.build(keys.selectExpr("xxhash64(k)"))
     probe = spark.range(8000).selectExpr("id", "xxhash64(cast(id AS string)) AS h").toPandas()
     found = held.may_hold(probe.h.to_numpy())
     assert found[probe.id < 4000].all() and found[probe.id >= 4000].mean() < 0.02
-    crowded = urls.BloomFilter.build(keys, "k", max_bytes=32)
+    crowded = bloom.BloomFilter.build(keys.selectExpr("xxhash64(k)"), max_bytes=32)
     assert len(crowded.blocks) == 1 and crowded.may_hold(np.asarray(probe.h))[probe.id < 4000].all()
 
 
