@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from centsible.session import scratch_path
 
+BATCH_BYTES = "8m"
 PACKAGE = Path(__file__).resolve().parent.parent
 
 
@@ -33,8 +34,10 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def map_batches(df: DataFrame, function: Callable, schema) -> DataFrame:
-    """``mapInArrow`` with this package at hand on the executors."""
+    """``mapInArrow`` with this package at hand on the executors, in batches of bounded size: a batch ends after so
+    many bytes or rows, whichever comes first, so long texts do not add up in a worker."""
     ship_package(df.sparkSession)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return df.mapInArrow(function, schema)
 
 
@@ -50,16 +53,35 @@ def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
-    """The same, bucketed by a key: joins on it do not shuffle this side again."""
+def bucketed(df: DataFrame, name: str, key: str) -> tuple[DataFrame, str]:
+    """The same, bucketed by a key: joins on it do not shuffle this side again. With the name of its catalog
+    entry, to be dropped after use."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     table_name = path.rpartition("/")[2].replace("-", "_")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # the catalog entry lives as long as the session; the files are the shared folder's
     writer = df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key)
     writer.option("path", path).saveAsTable(table_name)
-    return spark.table(table_name)
+    return spark.table(table_name), table_name
+
+
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """The frame without columns of the given names (in any case): room for those that an operator adds."""
+    return df.drop(*[c for c in df.columns if c.lower() in names])
+
+
+OWN = "own_columns"
+
+
+def set_aside(df: DataFrame, *used: str) -> DataFrame:
+    """The used columns, and all others inside one, where their names clash with nothing."""
+    others = [df[c].alias(c) for c in df.columns if c not in used]
+    return df.select(*used, (F.struct(*others) if others else F.lit(None).cast("int")).alias(OWN))
+
+
+def brought_back(df: DataFrame, original: DataFrame, *used: str) -> list[Column]:
+    """The columns of the original of a frame made by ``set_aside``, in their order."""
+    return [df[c] if c in used else df[OWN].getField(c).alias(c) for c in original.columns]
 
 
 def text_id() -> Column:

@@ -3,12 +3,12 @@
 The join is exact. Documents with equal sets are one class; classes are compared, not their copies.
 
 1. *Inverted lists.* Shingles are put in one order for the whole corpus: those that occur in many documents of a piece of
-   the corpus last. If two sets reach the overlap T that the similarity asks for, then the first
-   ``n - ceil(0.8 n) + l`` shingles of both share l at least, so only these are listed.
+   the corpus last. Of each set only the first ``n - ceil(0.8 n) + l`` are listed. If two sets reach the overlap T that
+   the similarity asks for, they share a number of these that follows from their sizes.
 2. *Candidates.* A list's class with the lowest hash is its hub. Each class is first compared with the lowest
    hub of its lists; in a group of near copies that links nearly all of them, whatever the group's size.
    What is left are lists whose members are not yet known to be connected. There a growing share of the
-   classes is compared with the members of their lists in other components that share l listed shingles,
+   classes is compared with the members of their lists in other components that share enough listed shingles,
    until all were. No pair within a component is listed.
 3. *T-occurrence search.* A hub (query) and its candidates meet in blocks. The candidates are indexed by the
    hub's shingles; DivideSkip sets the longest lists aside, heap-merges the short ones, keeps what occurs
@@ -30,7 +30,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from centsible.llm.arrays import (
@@ -43,6 +43,7 @@ from centsible.llm.arrays import (
     per_row_unique,
     pieces,
     quiet,
+    ranges,
     shingles,
     signed,
     span_hashes,
@@ -50,7 +51,8 @@ from centsible.llm.arrays import (
     text_column,
     unsigned,
 )
-from centsible.llm.frames import map_batches, text_id, written
+from centsible.llm.bloom import BloomFilter
+from centsible.llm.frames import bucketed, map_batches, text_id, written
 from centsible.llm.graph import components
 
 #: Shingles are counted in pieces of the corpus of so many.
@@ -58,8 +60,10 @@ COUNTED_TOGETHER = 4 << 20
 #: At most so many frequent shingles are told apart in the order, in so many slots.
 FREQUENT = 1 << 20
 SLOT_BITS = 23
-#: The share of classes that are compared with all members of their open lists, round by round.
-ROUNDS = (1 / 64, 1 / 8, 1.0)
+#: So many classes are compared with all members of their open lists first, and GROWTH times as many each turn.
+FIRST_TURN, GROWTH = 50, 16
+#: Pairs that a task holds at once.
+AT_ONCE = 1 << 20
 #: Candidates of one hub that are searched together.
 BLOCK = 200
 SET, TURN = constants(2, 701)
@@ -76,14 +80,22 @@ def sets_of(texts: pa.Array):
         yield first_row, end_row, flat, opens, mix(total[opens[1:]] - total[opens[:-1]] + n.astype(U64))
 
 
-def extra(n):
-    """l: how many listed shingles a linked pair must share; some more to list, far fewer chance pairs."""
-    return 1 + n // 40
+def listed(n):
+    """How many shingles of a set of n are listed: enough for a linked pair to share one, and some more,
+    which makes far fewer chance pairs."""
+    return np.minimum(n, n - (4 * n + 4) // 5 + 1 + n // 40)
 
 
-def listed(n):
-    """How many shingles of a set of n are listed."""
-    return np.minimum(n, n - (4 * n + 4) // 5 + extra(n))
+def shared_prefixes(n, m):
+    """l and how far the listed shingles of sets of n and m members reach that decide whether these are linked.
+
+    If both share T shingles, the first n - T + l of the one and the first m - T + l of the other
+    have l in common. That is a part of what is listed, which has to do for partners of any size, and leaves
+    out the most frequent shingles of it.
+    """
+    overlap = -(-80 * (n + m) // 180)
+    shared = 1 + np.minimum(n, m) // 40
+    return shared, n - overlap + shared, m - overlap + shared
 
 
 # ---- sets, classes and the order of shingles -------------------------------------------------
@@ -161,7 +173,7 @@ def _levels(profile: DataFrame) -> np.ndarray:
 
 
 def _postings(docs: DataFrame, levels: np.ndarray) -> DataFrame:
-    """key, cls, n: the first shingles of each set, by (level, hash); copies within a task give them once."""
+    """key, cls, n, place: the first shingles of each set, by (level, hash); copies within a task give them once."""
     held = docs.sparkSession.sparkContext.broadcast(levels)  # 2**SLOT_BITS bytes
 
     def run(batches):
@@ -176,36 +188,40 @@ def _postings(docs: DataFrame, levels: np.ndarray) -> DataFrame:
                     for i, (c, a, b, p) in enumerate(zip(cls.tolist(), opens.tolist(), opens[1:].tolist(), take.tolist())):
                         if b > a and c not in seen:
                             seen.add(c)
-                            found.append(keys[a:b] if p >= b - a else np.partition(keys[a:b], p - 1)[:p])
+                            found.append(np.sort(keys[a:b] if p >= b - a else np.partition(keys[a:b], p - 1)[:p]))
                             owner.append(i)
-                    owner = np.repeat(np.array(owner, np.int64), take[owner])
+                    owner = np.array(owner, np.int64)
+                    place = ranges(np.zeros(len(owner), np.int64), take[owner])
+                    owner = np.repeat(owner, take[owner])
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(signed(np.concatenate(found))),
                             pa.array(signed(cls[owner])),
                             pa.array(n[owner].astype(np.int32)),
+                            pa.array(place.astype(np.int32)),
                         ],
-                        ["key", "cls", "n"],
+                        ["key", "cls", "n", "place"],
                     )
 
-    return map_batches(docs.select("text"), run, "key long, cls long, n int")
+    return map_batches(docs.select("text"), run, "key long, cls long, n int, place int")
 
 
 def _lists(postings: DataFrame) -> DataFrame:
-    """key, cls, n, hub, hub_n of all lists of two classes or more; the hub is a list's first class."""
+    """key, cls, n, place, hub, hub_n of all lists of two classes or more; the hub is a list's first class."""
 
     def run(batches):
         # the last row seen: whether it was given out (a row of its list stood before it), and its list's hub
-        key, cls, n = (np.zeros(0, t) for t in (np.int64, np.int64, np.int32))
+        kinds = {"key": np.int64, "cls": np.int64, "n": np.int32, "place": np.int32}
+        key, cls, n, place = (np.zeros(0, t) for t in kinds.values())
         given, hub = False, (0, 0)
         for batch in batches:
             if not batch.num_rows:
                 continue
             carried = len(key) == 1
-            key, cls, n = (np.concatenate((x, column(batch, c))) for x, c in ((key, "key"), (cls, "cls"), (n, "n")))
+            key, cls, n, place = (np.concatenate((x, column(batch, c))) for x, c in zip((key, cls, n, place), kinds))
             fresh = np.ones(len(key), bool)
             fresh[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
-            key, cls, n = key[fresh], cls[fresh], n[fresh]
+            key, cls, n, place = key[fresh], cls[fresh], n[fresh], place[fresh]
             opens = np.ones(len(key), bool)
             opens[1:] = key[1:] != key[:-1]
             first = np.flatnonzero(opens)[np.cumsum(opens) - 1]
@@ -219,13 +235,13 @@ def _lists(postings: DataFrame) -> DataFrame:
             if given:
                 out[0] = False
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x[out]) for x in (key, cls, n, hub_cls, hub_n)], ["key", "cls", "n", "hub", "hub_n"]
+                [pa.array(x[out]) for x in (key, cls, n, place, hub_cls, hub_n)], [*kinds, "hub", "hub_n"]
             )
             given, hub = bool(before[-1]), (hub_cls[-1], hub_n[-1])
-            key, cls, n = key[-1:], cls[-1:], n[-1:]
+            key, cls, n, place = key[-1:], cls[-1:], n[-1:], place[-1:]
 
     ordered = postings.repartition("key").sortWithinPartitions("key", "cls")
-    return map_batches(ordered, run, "key long, cls long, n int, hub long, hub_n int")
+    return map_batches(ordered, run, "key long, cls long, n int, place int, hub long, hub_n int")
 
 
 # ---- T-occurrence search ---------------------------------------------------------------------
@@ -284,17 +300,43 @@ def search_block(query: np.ndarray, flat: np.ndarray, opens: np.ndarray) -> list
     return divide_skip(lists, [overlap_needed(len(query), m) for m in n.tolist()])
 
 
-def _search(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """u, v of the linked ones among candidate pairs (hub, cls). ``texts``: cls, text of all classes in them.
+def _texts(docs: DataFrame, wanted: DataFrame) -> tuple[DataFrame, str]:
+    """rid, text of the wanted documents, bucketed by rid, and some others.
+
+    A Bloom filter of bounded size keeps nearly all other documents from being shuffled; what passes it
+    by chance is never asked for.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(BloomFilter.build(wanted.select("rid")).blocks)
+
+    def run(batches):
+        bloom = BloomFilter(held.value)
+        for batch in batches:
+            hit = pa.array(bloom.may_hold(np.ascontiguousarray(column(batch, "rid"))))
+            yield batch.filter(hit)
+
+    source = docs.select(_rid(F.col("doc_id").cast("long"), text_id()).alias("rid"), "text")
+    return bucketed(map_batches(source, run, "rid long, text string"), "texts", "rid")
+
+
+def _rid(doc_id: Column, tid: Column) -> Column:
+    """64 bits of a document's id and text."""
+    return F.xxhash64(doc_id, tid)
+
+
+def _search(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """u, v of the linked ones among candidate pairs (hub, cls). ``classes``: cls, rid; ``texts``: rid, text of all
+    classes in them, bucketed, so that only ids are shuffled to them and only the texts that are asked for go on.
 
     A hub and at most about BLOCK of its candidates make a block; a hub with more has more blocks.
     """
+    pairs = written(pairs, "pairs")
     per_hub = pairs.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     dealt = pairs.join(per_hub, "hub").select("hub", "cls", F.pmod(F.xxhash64("cls"), "blocks").alias("block"))
-    members = dealt.join(texts, "cls").select("hub", "block", F.lit(1).alias("member"), "cls", "text")
-    queries = dealt.select("hub", "block").distinct().join(texts.withColumnRenamed("cls", "hub"), "hub")
-    queries = queries.select("hub", "block", F.lit(0).alias("member"), F.col("hub").alias("cls"), "text")
-    rows = queries.union(members).repartition("hub", "block").sortWithinPartitions("hub", "block", "member")
+    members = dealt.select("hub", "block", F.lit(1).alias("member"), "cls")
+    queries = dealt.select("hub", "block", F.lit(0).alias("member"), F.col("hub").alias("cls")).distinct()
+    asked = queries.union(members).join(classes, "cls")
+    rows = asked.join(texts, "rid").select("hub", "block", "member", "cls", "text")
+    rows = rows.repartition("hub", "block").sortWithinPartitions("hub", "block", "member")
 
     def run(batches):
         block, query = None, None
@@ -306,7 +348,7 @@ def _search(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 flat, opens = _joined_sets(batch.column(at("text")))
                 heads = np.flatnonzero(np.append(True, (hub[1:] != hub[:-1]) | (part[1:] != part[:-1])))
                 for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(hub)]):
-                    if member[a] == 0:
+                    while a < b and member[a] == 0:  # once, or again for repeated rows
                         block, query = (hub[a], part[a]), flat[opens[a] : opens[a + 1]].copy()
                         a += 1
                     if a < b:
@@ -341,49 +383,60 @@ def _first_pairs(lists: DataFrame) -> DataFrame:
 
 
 def _open_lists(lists: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """key, cls, n, root of the lists with classes of two components or more."""
-    rows = lists.select("key", "cls", "n")
+    """key, cls, n, place, root of the lists with classes of two components or more."""
+    rows = lists.select("key", "cls", "n", "place")
     if roots is None:
         rows = rows.withColumn("root", F.col("cls"))
     else:
         known = rows.join(roots.withColumnRenamed("node", "cls"), "cls", "left")
-        rows = known.select("key", "cls", "n", F.coalesce("root", "cls").alias("root"))
+        rows = known.select("key", "cls", "n", "place", F.coalesce("root", "cls").alias("root"))
     apart = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
     return rows.join(apart.select("key"), "key", "left_semi")
 
 
+def _has_turn(turn: int, share: float) -> Column:
+    """Whether it is a class's turn: a given share of all classes, drawn anew each time."""
+    bound = min(int(share * (1 << 53)), 1 << 53)
+    return F.shiftrightunsigned(F.xxhash64("cls", F.lit(turn)), 11) < bound
+
+
 def _further_pairs(lists: DataFrame, turn: int, share: float) -> DataFrame:
     """hub, cls: the classes whose turn it is with the members of their open lists in other components, where
     both share as many lists as linked sets must."""
-    bound = int(share * (1 << 53)) if share < 1 else (1 << 53)
-    hub = F.shiftrightunsigned(F.xxhash64("cls", F.lit(turn)), 11) < bound
-    ordered = lists.withColumn("turn", F.when(hub, 0).otherwise(1))
-    ordered = ordered.repartition("key").sortWithinPartitions("key", "turn", "cls")
+    ordered = lists.withColumn("late", F.when(_has_turn(turn, share), 0).otherwise(1))
+    ordered = ordered.repartition("key").sortWithinPartitions("key", "late", "cls")
+    names = ["key", "late", "cls", "n", "place", "root"]
 
     def run(batches):
-        key, hubs = None, np.zeros((4, 0), np.int64)
+        held = np.zeros((6, 0), np.int64)  # hubs of the list that goes on
         for batch in batches:
-            columns = np.stack([column(batch, c).astype(np.int64) for c in ("key", "turn", "cls", "n", "root")])
-            heads = np.flatnonzero(np.append(True, columns[0, 1:] != columns[0, :-1])) if batch.num_rows else []
-            found = [np.zeros((3, 0), np.int64)]
-            for a, b in zip(list(heads), [*list(heads[1:]), batch.num_rows]):
-                if columns[0, a] != key:
-                    key, hubs = columns[0, a], np.zeros((3, 0), np.int64)
-                rows = columns[2:, a:b]
-                old = hubs.shape[1]
-                hubs = np.concatenate((hubs, rows[:, columns[1, a:b] == 0]), axis=1)
-                for k in range(rows.shape[1]):
-                    cls, n, root = rows[:, k]
-                    # a hub meets the hubs before it, another class all hubs
-                    upto = old + k if columns[1, a + k] == 0 else hubs.shape[1]
-                    h = hubs[:, :upto]
-                    fits = (h[2] != root) & (80 * np.maximum(h[1], n) <= 100 * np.minimum(h[1], n))
-                    if fits.any():
-                        h = h[:, fits]
-                        need = 1 + np.minimum(h[1], n) // 40
-                        found.append(np.stack((np.minimum(h[0], cls), np.maximum(h[0], cls), need)))
-            hub, cls, need = np.concatenate(found, axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(hub), pa.array(cls), pa.array(need)], ["hub", "cls", "need"])
+            if not batch.num_rows:
+                continue
+            old = held.shape[1]
+            rows = np.concatenate((held, np.stack([column(batch, c).astype(np.int64) for c in names])), axis=1)
+            key, late, cls, n, place, root = rows
+            opens = np.append(True, key[1:] != key[:-1])
+            first = np.flatnonzero(opens)[np.cumsum(opens) - 1]
+            # hubs stand first in a list: each row meets the hubs before it
+            hubs = np.concatenate(([0], np.cumsum(late == 0)))
+            meets = hubs[:-1] - hubs[first]
+            meets[:old] = 0  # they met before
+            total = np.concatenate(([0], np.cumsum(meets)))
+            a = 0
+            while a < len(key):
+                b = max(a + 1, int(np.searchsorted(total, total[a] + AT_ONCE, "right")) - 1)
+                left = np.repeat(np.arange(a, b), meets[a:b])
+                right = ranges(first[a:b], meets[a:b])
+                fits = root[left] != root[right]
+                left, right = left[fits], right[fits]
+                big, small = np.maximum(n[left], n[right]), np.minimum(n[left], n[right])
+                shared, left_end, right_end = shared_prefixes(n[left], n[right])
+                fits = (80 * big <= 100 * small) & (place[left] < left_end) & (place[right] < right_end)
+                pair = np.sort(np.stack((cls[left[fits]], cls[right[fits]])), axis=0)
+                columns = [*pair, shared[fits]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["hub", "cls", "need"])
+                a = b
+            held = rows[:, (key == key[-1]) & (late == 0)]
 
     met = map_batches(ordered, run, "hub long, cls long, need long").groupBy("hub", "cls")
     return met.agg(F.count("*").alias("have"), F.max("need").alias("need")).where("have >= need").select("hub", "cls")
@@ -391,27 +444,30 @@ def _further_pairs(lists: DataFrame, turn: int, share: float) -> DataFrame:
 
 def _links(docs: DataFrame, classes: DataFrame, lists: DataFrame) -> DataFrame | None:
     """node, root of all classes that are linked with another; None if there are none."""
-    spark = docs.sparkSession
-    first = written(_first_pairs(lists), "pairs")
-    wanted = lists.select("cls").distinct().join(classes, "cls").select("cls", "first.*")
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_id().alias("tid"), "text")
-    wanted = wanted.withColumnsRenamed({"doc_id": "w_id", "tid": "w_tid"})
-    texts = source.join(wanted, (F.col("tid") == F.col("w_tid")) & F.col("doc_id").eqNullSafe(F.col("w_id")))
-    texts = written(texts.select("cls", "text").dropDuplicates(["cls"]), "class-texts")
-    links, roots = written(_search(first, texts), "links"), None
+    first = _first_pairs(lists)
+    classes = classes.select("cls", _rid(F.col("first.doc_id"), F.col("first.tid")).alias("rid"))
+    wanted = written(classes.join(lists.select("cls").distinct(), "cls"), "listed-classes")
+    texts, table_name = _texts(docs, wanted)
+    links, roots = written(_search(first, wanted, texts), "links"), None
     if not links.isEmpty():
         roots = written(components(links), "roots")
-    for turn, share in enumerate(ROUNDS):
-        open_lists = written(_open_lists(lists, roots), "open-lists")
-        if open_lists.isEmpty():
-            break
-        more = written(_search(_further_pairs(open_lists, turn, share), texts), "links")
+    turn, share, open_lists = 0, 0.0, None
+    n_classes = wanted.count()
+    while share < 1:
+        if open_lists is None:
+            open_lists = written(_open_lists(lists, roots), "open-lists")
+            if open_lists.isEmpty():
+                break
+        share = FIRST_TURN * GROWTH**turn / max(n_classes, 1)
+        more = written(_search(_further_pairs(open_lists, turn, share), wanted, texts), "links")
+        # classes that had their turn have met all members of their lists
+        lists = open_lists = open_lists.where(~_has_turn(turn, share))
+        turn += 1
         if not more.isEmpty():
             links = links.union(more)
             roots = written(components(links), "roots")
-        # classes that had their turn have met all members of their lists
-        bound = int(share * (1 << 53)) if share < 1 else (1 << 53)
-        lists = open_lists.where(F.shiftrightunsigned(F.xxhash64("cls", F.lit(turn)), 11) >= bound)
+            open_lists = None
+    docs.sparkSession.sql(f"DROP TABLE {table_name}")  # the catalog's entry; what was found is written
     return roots
 
 
@@ -442,4 +498,4 @@ def one_per_component(docs: DataFrame) -> DataFrame:
     gone = found.where("cls IS NOT NULL AND doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
     # a table of known size: Spark broadcasts it if it is small and shuffles the documents if not
     gone = written(gone, "gone")
-    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")

@@ -82,7 +82,9 @@ def test_near_copies_of_all_degrees(spark):
 
 
 def test_every_turn_is_taken(spark, monkeypatch):
-    monkeypatch.setattr(ngramjoin, "ROUNDS", (1 / 4, 1 / 2, 1.0))
+    monkeypatch.setattr(ngramjoin, "FIRST_TURN", 5)
+    monkeypatch.setattr(ngramjoin, "GROWTH", 3)
+    monkeypatch.setattr(ngramjoin, "AT_ONCE", 7)
     monkeypatch.setattr(ngramjoin, "BLOCK", 3)
     monkeypatch.setattr(ngramjoin, "COUNTED_TOGETHER", 200)
     monkeypatch.setattr(ngramjoin, "FREQUENT", 20)
@@ -130,6 +132,24 @@ def test_overlap_needed():
             assert ngramjoin.linked(need, n, m) and not ngramjoin.linked(need - 1, n, m)
 
 
+def test_linked_sets_share_the_needed_lists():
+    """Against random sets under random orders, also with the smallest overlap that links."""
+    rng = random.Random(9)
+    for _ in range(3000):
+        n = rng.randrange(1, 120)
+        m = rng.randrange(max(1, -(-4 * n // 5)), n * 5 // 4 + 1)
+        least = ngramjoin.overlap_needed(n, m)
+        if least > min(n, m):
+            continue
+        common = rng.randrange(least, min(n, m) + 1)
+        keys = rng.sample(range(10**6), n + m - common)
+        a, b = set(keys[:n]), set(keys[n - common :])
+        shared, *ends = ngramjoin.shared_prefixes(np.int64(len(a)), np.int64(len(b)))
+        assert all(end <= ngramjoin.listed(np.int64(len(s))) for s, end in zip((a, b), ends))
+        first = [set(sorted(s)[: int(end)]) for s, end in zip((a, b), ends)]
+        assert len(first[0] & first[1]) >= shared
+
+
 def test_components(spark):
     rng = random.Random(6)
     edges = [(n, n + 1) for n in range(40)] + [(100, n) for n in range(101, 160)] + [(rng.randrange(200, 400), rng.randrange(200, 400)) for _ in range(120)]
