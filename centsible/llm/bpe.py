@@ -7,8 +7,8 @@ the same pairs, because repeated scans grow with the square of the length.
 
 Edge cases: null and empty texts have no ids; a text of white space only has none; special tokens
 written out in a text become their ids, as the library does; repeated rows are encoded each; an empty
-table gives no rows. ``encode`` keeps all columns of its input and adds ``ids`` and ``n_tokens``; it
-raises if the input has one of these already (``decode`` likewise for its output column).
+table gives no rows. ``encode`` keeps all columns of its input and adds ``ids`` and ``n_tokens``, which
+replace columns of these names (``decode`` likewise for its output column).
 """
 
 from __future__ import annotations
@@ -28,11 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from centsible.llm.arrays import pieces, text_column
-from centsible.llm.frames import map_batches
+from centsible.llm.frames import map_batches, without
 
 SHORT = 200
 #: Words kept with their ids per Python worker; all are forgotten when the number is reached.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 100_000
 KEPT_LENGTH = 40
 NO_RANK = 1 << 60
 # Fixed value: what the library counts as white space.
@@ -174,15 +174,10 @@ def read_spec(path: str) -> str:
         return file.read()
 
 
-def _new(df: DataFrame, *names: str) -> None:
-    clash = {c.lower() for c in df.columns} & set(names)
-    if clash:
-        raise ValueError(f"the input has a column {sorted(clash)} already")
-
-
-def encode(docs: DataFrame, path: str) -> DataFrame:
-    """All columns of ``docs`` and ``ids`` (array of int) and ``n_tokens`` (long) of the column ``text``."""
-    _new(docs, "ids", "n_tokens")
+def encode(docs: DataFrame, path: str, decoded: str | None = None) -> DataFrame:
+    """All columns of ``docs`` and ``ids`` (array of int) and ``n_tokens`` (long) of the column ``text``; on demand
+    also the ids decoded again, in a column of the given name, by the same workers."""
+    docs = without(docs, "ids", "n_tokens", *([decoded] if decoded else []))
     held = docs.sparkSession.sparkContext.broadcast(read_spec(path))  # one vocabulary file
 
     def run(batches):
@@ -194,18 +189,22 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
                 count = np.fromiter(map(len, ids), np.int64, len(ids))
                 begin = np.concatenate(([0], np.cumsum(count))).astype(np.int32)
                 flat = np.frombuffer(b"".join(x.tobytes() for x in ids), np.int32)
-                found = pa.ListArray.from_arrays(pa.array(begin), pa.array(flat))
+                found = [pa.ListArray.from_arrays(pa.array(begin), pa.array(flat)), pa.array(count)]
+                if decoded:
+                    found.append(pa.array(map(bpe.decode, ids), pa.string()))
                 yield pa.RecordBatch.from_arrays(
-                    [*piece.columns, found, pa.array(count)], [*piece.schema.names, "ids", "n_tokens"]
+                    [*piece.columns, *found], [*piece.schema.names, *(f.name for f in added)]
                 )
 
     added = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType())]
+    if decoded:
+        added.append(T.StructField(decoded, T.StringType()))
     return map_batches(docs, run, T.StructType([*docs.schema.fields, *added]))
 
 
 def decode(docs: DataFrame, path: str, column: str = "decoded") -> DataFrame:
     """All columns of ``docs`` and the text of its ``ids`` (null ids: null)."""
-    _new(docs, column)
+    docs = without(docs, column)
     held = docs.sparkSession.sparkContext.broadcast(read_spec(path))
 
     def run(batches):
@@ -225,6 +224,6 @@ def decode(docs: DataFrame, path: str, column: str = "decoded") -> DataFrame:
     return map_batches(docs, run, T.StructType([*docs.schema.fields, T.StructField(column, T.StringType())]))
 
 
-def _slices(batch: pa.RecordBatch, size: int = 4 << 20):
+def _slices(batch: pa.RecordBatch, size: int = 2 << 20):
     for first, end, _, _ in pieces(text_column(batch), size):
         yield batch.slice(first, end - first)

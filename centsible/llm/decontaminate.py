@@ -12,7 +12,7 @@ block is broadcast and searched in all documents, one after the other on the sam
 Words are compared by 64-bit hashes. Edge cases: null text and text without words has no words, no spans
 and is not contaminated; a null or wordless item has no phrase; rows that share an item_id are one item, a null
 item_id counts as ``null``; repeated rows are each searched; an empty benchmark hits nothing; an empty
-table gives no rows. All columns (or those in ``keep``) are kept; a clash with an added one raises.
+table gives no rows. All columns (or those in ``keep``) are kept; the added ones replace columns of the same name.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from centsible.llm.arrays import LOWER, WORD_BYTES, pieces, quiet, ranges, span_hashes, spans, text_column
 from centsible.llm.fmindex import FmIndex
-from centsible.llm.frames import map_batches
+from centsible.llm.frames import map_batches, without
 
 PHRASE = 13
 BLOCK_BYTES = 16 << 20
@@ -233,9 +233,8 @@ def blocks(benchmark: DataFrame) -> Iterator[Phrases]:
 def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """The kept columns of ``docs`` and ``n_words``, ``spans`` (merged, in words and in code points) and ``items``
     (ids of the items with a phrase in the text, sorted)."""
+    docs = without(docs, *(f.name for f in ADDED))
     kept = docs.columns if keep is None else keep
-    if clash := {c.lower() for c in docs.columns} & {f.name for f in ADDED}:
-        raise ValueError(f"the input has a column {sorted(clash)} already")
     context, found = docs.sparkSession.sparkContext, docs
     passes = [context.broadcast(block) for block in blocks(benchmark)]  # each of a bounded size
     for n, held in enumerate(passes):

@@ -9,7 +9,7 @@ The prediction is the language with the largest share of the chosen set.
 Edge cases: null text and text without a letter are ``und`` with score 0; rows without a language are not
 learned; without any training text every document is ``und``; ties between languages go to the first by
 name; repeated rows are each judged; an empty table gives no rows; ``predict`` keeps all columns of its
-input and raises if it has one that it adds.
+input; those that it adds replace columns of the same name.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from centsible.llm.arrays import NOT_SPACE, U64, constants, pieces, quiet, ranges, spans, text_column
-from centsible.llm.frames import grouped, map_batches
+from centsible.llm.frames import grouped, map_batches, without
 
 GRAM = 4
 BUCKETS = 1 << 16
@@ -188,8 +188,7 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
         T.StructField("score", T.DoubleType()),
         T.StructField("shares", T.MapType(T.StringType(), T.DoubleType())),
     ]
-    if clash := {c.lower() for c in docs.columns} & {f.name for f in added}:
-        raise ValueError(f"the input has a column {sorted(clash)} already")
+    docs = without(docs, *(f.name for f in added))
     held = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers a language
 
     def run(batches):

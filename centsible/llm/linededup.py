@@ -42,7 +42,7 @@ from centsible.llm.arrays import (
     text_column,
 )
 from centsible.llm.bloom import BloomFilter
-from centsible.llm.frames import map_batches, text_id, written
+from centsible.llm.frames import brought_back, map_batches, set_aside, text_id, without, written
 
 NEAR_WORDS = 8
 FRONT, BACK, PLACED, PLACE = constants(4, 601)
@@ -289,20 +289,18 @@ def line_decisions(docs: DataFrame) -> DataFrame:
 
 
 def with_decisions(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs`` and ``n_lines`` and ``dropped``."""
+    """All columns of ``docs`` and ``n_lines`` and ``dropped`` (which replace columns of these names)."""
     made = line_decisions(docs).select(F.col("doc_id").alias("d_id"), F.col("tid").alias("d_tid"), "n_lines", "dropped")
-    if clash := {c.lower() for c in docs.columns} & {"d_id", "d_tid", "own_tid", "n_lines", "dropped"}:
-        raise ValueError(f"the input has a column {sorted(clash)} already")
+    docs = without(docs, "n_lines", "dropped")
     # the hash is made before the join, so that the text is shuffled only if the caller reads it
-    hashed = docs.withColumn("own_tid", text_id())
+    hashed = set_aside(docs, "doc_id", "text").withColumn("own_tid", text_id())
     same = (F.col("own_tid") == F.col("d_tid")) & F.col("doc_id").eqNullSafe(F.col("d_id"))
     joined = hashed.join(made, same, "left")
     kind = made.schema["dropped"].dataType
-    return joined.drop("d_id", "d_tid", "own_tid").withColumns(
-        {
-            "n_lines": F.coalesce("n_lines", F.lit(0).cast(T.LongType())),
-            "dropped": F.coalesce("dropped", F.array().cast(kind)),
-        }
+    return joined.select(
+        *brought_back(joined, docs, "doc_id", "text"),
+        F.coalesce("n_lines", F.lit(0).cast(T.LongType())).alias("n_lines"),
+        F.coalesce("dropped", F.array().cast(kind)).alias("dropped"),
     )
 
 

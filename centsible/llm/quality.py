@@ -10,7 +10,8 @@ at most ``max_passages`` passages at even distances. Scoring reads all passages
 
 Edge cases: null and empty texts are one empty passage; a label that is null, or that differs between
 rows of one doc_id, is not learned; with no label to learn every score is 0.5 and with a single class it is
-that class; repeated rows are scored each; an empty table gives no rows; ``score`` keeps all columns of its input and raises if it has one that it adds.
+that class; repeated rows are scored each; an empty table gives no rows; ``score`` keeps all columns of its
+input; those that it adds replace columns of the same name.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from centsible.llm.arrays import LOWER, NOT_SPACE, pieces, quiet, span_hashes, spans, text_column
-from centsible.llm.frames import map_batches, text_id
+from centsible.llm.frames import map_batches, text_id, without
 
 PASSAGE = 128
 MAX_DOCS = 6000
@@ -231,8 +232,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_passag
 def score(docs: DataFrame, model: MilModel | float) -> DataFrame:
     """All columns of ``docs`` and ``score`` (0 to 1), ``n_passages`` and ``top_passage``, the one with the most weight."""
     added = [("score", T.DoubleType()), ("n_passages", T.LongType()), ("top_passage", T.LongType())]
-    if clash := {c.lower() for c in docs.columns} & {n for n, _ in added}:
-        raise ValueError(f"the input has a column {sorted(clash)} already")
+    docs = without(docs, *(n for n, _ in added))
     held = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand numbers
 
     def run(batches):

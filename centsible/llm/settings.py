@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from centsible.llm import bpe, quality
+from centsible.llm.frames import brought_back, set_aside, without
 
 #: Folder of the public vocabulary files.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", os.path.dirname(public_tokenizers.__file__))
@@ -27,10 +28,12 @@ def quality_model(docs: DataFrame, labels: DataFrame) -> quality.MilModel | floa
 
 
 def token_digests(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs`` but the text, and n_tokens, ids_sha256, decoded_sha256."""
-    decoded = bpe.decode(bpe.encode(docs, VOCABULARY).drop("text"), VOCABULARY)
-    return decoded.select(
-        *[c for c in docs.columns if c != "text"],
+    """All columns of ``docs`` but the text, and n_tokens, ids_sha256, decoded_sha256, which replace
+    columns of these names."""
+    docs = without(docs, "n_tokens", "ids_sha256", "decoded_sha256")
+    encoded = bpe.encode(set_aside(docs, "doc_id", "text"), VOCABULARY, decoded="decoded")
+    return encoded.select(
+        *brought_back(encoded, docs.drop("text"), "doc_id"),
         "n_tokens",
         sha256(F.concat_ws(" ", F.col("ids").cast("array<string>"))).alias("ids_sha256"),
         sha256(F.col("decoded")).alias("decoded_sha256"),

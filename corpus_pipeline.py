@@ -3,6 +3,9 @@
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return
 the columns of ``documents``. ``run`` writes each stage's result as Parquet into the shared folder and
 reads it again for the next one, so a lost executor never reaches back beyond a stage.
+
+Further columns of any name and type come through unread. A null text has no lines, shingles, words or tokens; it
+is scored as an empty text. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -11,21 +14,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from centsible.llm import decontaminate, linededup, ngramjoin, quality
-from centsible.llm.frames import table, written
+from centsible.llm.frames import brought_back, set_aside, table, written
 from centsible.llm.settings import LEAST_QUALITY, quality_model, token_digests
 
+USED = ("doc_id", "text")
+
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
     model = quality_model(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).where(F.col("score") >= LEAST_QUALITY).select(*docs.columns)
+    scored = quality.score(set_aside(docs, *USED), model).where(F.col("score") >= LEAST_QUALITY)
+    return scored.select(*brought_back(scored, docs, *USED))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that occur earlier (up to one word) go, and documents that had lines and keep none."""
-    cut = linededup.dedup_lines(docs)
+    cut = linededup.dedup_lines(set_aside(docs, *USED))
     kept = cut.where((F.col("n_lines") == 0) | (F.col("n_lines") > F.size("dropped")))
-    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    columns = brought_back(kept, docs, *USED)
+    length = F.length("text").cast("long").alias("n_chars")
+    return kept.select(*[length if name == "n_chars" else c for name, c in zip(docs.columns, columns)])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,9 +43,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents go in which benchmark phrases cover a twentieth of the words or more."""
-    found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"))
+    found = decontaminate.find_contamination(set_aside(docs, *USED), table(spark, sf_dir, "benchmark"))
     bad = decontaminate.is_contaminated(decontaminate.n_hit(F.col("spans")), F.col("n_words"))
-    return found.where(~bad).select(*docs.columns)
+    clean = found.where(~bad)
+    return clean.select(*brought_back(clean, docs, *USED))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -67,8 +67,10 @@ def test_cache_is_bounded(mine, monkeypatch):
 def test_empty_and_clashing(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert bpe.encode(empty, PATH).count() == 0
-    with pytest.raises(ValueError):
-        bpe.encode(spark.createDataFrame([(1, "a", 2)], "doc_id long, text string, IDS int"), PATH)
+    both = bpe.encode(spark.createDataFrame([(1, "Hi there"), (2, None)], "doc_id long, text string"), PATH, "again")
+    assert [(r.again, r.n_tokens) for r in both.collect()] == [("hi</w> there</w>", 2), ("", 0)]
+    clash = spark.createDataFrame([(1, "a", 2)], "doc_id long, text string, IDS int")
+    assert bpe.encode(clash, PATH).columns == ["doc_id", "text", "ids", "n_tokens"]
 
 
 def test_query(spark, library):

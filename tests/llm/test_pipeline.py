@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 import corpus_pipeline
 from centsible.llm import settings
 
-SF = "/root/testdata/sf0.01"
+SF = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -67,3 +67,22 @@ def test_empty_table(spark):
         docs = stage(spark, docs, SF)
         assert docs.columns == COLUMNS and docs.count() == 0
     assert corpus_pipeline.encode(spark, docs, SF).count() == 0
+
+
+def test_nulls_repeats_and_clashing_columns(spark):
+    """Columns named like those that the stages add come through every stage unchanged."""
+    names = ["score", "n_passages", "n_lines", "dropped", "spans", "items", "n_words", "own_tid", "gone_id", "cls", "tid", "line", "ids"]
+    texts = ["one two three four five six seven", None, "", "ONE two three four five six seven", "x" * 50_000, "last\nlines\nhere"]
+    rows = [(n if n else None, t, "en", "s", 1, *[f"{n}{c}" for c in names]) for n, t in enumerate([*texts, texts[0]])]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in names)
+    docs = spark.createDataFrame(rows, schema)
+    for number, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        result = stage(spark, docs, SF)
+        own = {tuple(r[c] for c in names) for r in docs.collect()}
+        kept = [c for c in result.columns if c in names]
+        if number < 4:
+            assert result.columns == docs.columns
+            assert {tuple(r[c] for c in names) for r in result.collect()} <= own
+        else:
+            assert set(kept) == set(names) and result.count() == docs.count()
+        docs = corpus_pipeline.written(result, f"clash{number}") if number < 4 else result
