@@ -684,10 +684,12 @@ _QUERIES["stream_rollup"] = stream_rollup_monthly
 
 def _corpus() -> tuple[dict[str, Query], dict[str, str]]:
     """The text corpus queries and their SQL; none where that subpackage is not installed."""
+    here = os.path.dirname(os.path.abspath(__file__))
+    installed = all(os.path.exists(os.path.join(here, f)) for f in ("centsible/llm/queries.py", "corpus_pipeline.py"))
     try:
         from centsible.llm import queries as corpus_queries
-    except ModuleNotFoundError as error:
-        if error.name not in ("centsible.llm", "corpus_pipeline"):
+    except ImportError:
+        if installed:
             raise
         return {}, {}
     return corpus_queries.QUERIES, corpus_queries.SQL
