@@ -2,7 +2,70 @@
 
 from __future__ import annotations
 
+from centsible.llm.secrets import BASE_RULES, MORE_RULES
+
+LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _secret_spans() -> str:
+    """Matches of every rule, with their places by running sums of what lies between them."""
+    selects = []
+    for order, rule in enumerate(BASE_RULES + MORE_RULES):
+        pattern = rule.pattern.replace("'", "''")
+        selects.append(
+            f"""SELECT doc_id, kind, number, after - whole AS first, after AS last FROM (
+            SELECT doc_id, '{rule.kind}' AS kind, {order} AS number, whole, judged,
+                sum(gap + whole) OVER (PARTITION BY doc_id ORDER BY i) AS after FROM (
+            SELECT doc_id, i, length(gaps[i]) AS gap, length(wholes[i]) AS whole, length(parts[i]) AS judged FROM (
+            SELECT doc_id, gaps, wholes, parts, unnest(range(1, len(wholes) + 1)) AS i FROM (
+            SELECT doc_id, string_split_regex(text, '{pattern}') AS gaps, regexp_extract_all(text, '{pattern}') AS wholes,
+                regexp_extract_all(text, '{pattern}', {rule.group}) AS parts FROM documents))))
+            WHERE judged >= {rule.least}"""
+        )
+    return " UNION ALL ".join(selects)
+
+
+def _listed(where: str = "") -> str:
+    spans = "concat(kind, ':', CAST(first AS BIGINT), ':', CAST(last AS BIGINT))"
+    return f"coalesce(string_agg({spans}, ',' ORDER BY first, number){where}, '')"
+
+
+_BASE = ", ".join(f"'{rule.kind}'" for rule in BASE_RULES)
+
 SQL = {
+    "op1_ngram_join": f"""
+        WITH RECURSIVE worded AS (SELECT doc_id, list_filter(regexp_split_to_array({LOWER}, '[\\x09-\\x0D\\x20]+'),
+            lambda w: w <> '') AS words FROM documents),
+        sets AS (SELECT DISTINCT doc_id, array_to_string(words[i:i + 4], ' ') AS shingle FROM (
+            SELECT doc_id, words, unnest(range(1, greatest(len(words) - 4, least(len(words), 1)) + 1)) AS i FROM worded)),
+        sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+        links AS (SELECT c.a, c.b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common
+            FROM sets x JOIN sets y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY ALL) c
+            JOIN sizes p ON p.doc_id = c.a JOIN sizes q ON q.doc_id = c.b WHERE 100 * common >= 80 * (p.n + q.n - common)),
+        reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON r.other = l.a)
+        SELECT r.doc_id, coalesce(any_value(s.n), 0) AS n_shingles, min(other) AS component_id
+        FROM reach r LEFT JOIN sizes s ON s.doc_id = r.doc_id GROUP BY r.doc_id""",
+    "op2_decontaminate": f"""
+        WITH worded AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents),
+        items AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM benchmark),
+        phrases AS (SELECT DISTINCT item, size, array_to_string(words[i:i + size - 1], ' ') AS phrase FROM (
+            SELECT item, words, size, unnest(range(1, len(words) - size + 2)) AS i FROM (
+                SELECT *, least(len(words), 13) AS size FROM items WHERE len(words) > 0))),
+        windows AS (SELECT doc_id, size, i, array_to_string(words[i:i + size - 1], ' ') AS phrase FROM (
+            SELECT doc_id, words, size, unnest(range(1, len(words) - size + 2)) AS i
+            FROM worded, (SELECT DISTINCT size FROM phrases) WHERE len(words) >= size)),
+        hits AS (SELECT w.doc_id, w.i, w.size, p.item FROM windows w JOIN phrases p ON w.size = p.size AND w.phrase = p.phrase),
+        covered AS (SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest(range(i, i + size)) AS place FROM hits) GROUP BY doc_id),
+        found AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(len(d.words), 0) AS n_words, coalesce(c.n, 0) AS n_hit, coalesce(f.n, 0) AS n_items,
+            sha256(coalesce(f.ids, '')) AS items_sha256, coalesce(c.n, 0) > 0 AND 20 * coalesce(c.n, 0) >= coalesce(len(d.words), 0) AS contaminated
+        FROM worded d LEFT JOIN covered c ON c.doc_id = d.doc_id LEFT JOIN found f ON f.doc_id = d.doc_id""",
+    "op10_secret_scan": f"""
+        WITH found AS ({_secret_spans()}),
+        listed AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+            count(*) FILTER (kind = 'hex') AS n_hex, {_listed(f" FILTER (kind IN ({_BASE}))")} AS base, {_listed()} AS spans FROM found GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+            sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents d LEFT JOIN listed l ON l.doc_id = d.doc_id""",
     # document, line and earliest equal or near line; words as lists, a line's class as its words joined
     "op7_line_dedup": """
         WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents),
