@@ -586,12 +586,29 @@ def topic_round_trip(spark, sf):
     return parse_events(tables.accepted_events(tb.transactions(spark, sf))).select(*CANONICAL)
 
 
+def _judged_events(spark, sf):
+    """All accepted events, those whose id ends in 7 with an amount that is no number, read from the topic and
+    judged together, so that what a broken event does to sound ones shows."""
+    events = tables.accepted_events(tb.transactions(spark, sf))
+    spoilt = F.regexp_replace("value", '"amount":[0-9.]+', '"amount":"oops"')
+    events = events.withColumn("value", F.when(F.expr("endswith(key, '7')"), spoilt).otherwise(F.col("value")))
+    return parse_events(events), validate.ingest_rules(max_age_days=None)
+
+
+def _keeps_text(payload):
+    return F.coalesce(F.contains(payload, F.lit("oops")), F.lit(False)).alias("keeps_text")
+
+
 def topic_bad_field(spark, sf):
     """Events with an amount that is no number: rejected, and the dead letter keeps the event's text."""
-    events = tables.accepted_events(tb.transactions(spark, sf)).where("endswith(key, '7')")
-    broken = events.withColumn("value", F.regexp_replace("value", '"amount":[0-9.]+', '"amount":"oops"'))
-    letters = tables.to_dead_letters(validate.rejected_rows(parse_events(broken), validate.ingest_rules(max_age_days=None)))
-    return letters.select("source_id", "reject_reason", F.contains("raw_payload", F.lit("oops")).alias("keeps_text"))
+    letters = tables.to_dead_letters(validate.rejected_rows(*_judged_events(spark, sf)))
+    return letters.select("source_id", "reject_reason", _keeps_text(F.col("raw_payload")))
+
+
+def topic_outcomes(spark, sf):
+    """The same events, sound and broken, each with its fields and its reason for rejection."""
+    judged = validate.with_reject_reasons(*_judged_events(spark, sf))
+    return judged.select(*CANONICAL, "reject_reason", _keeps_text(F.col("raw_payload")))
 
 
 def windowed_rollup(spark, sf):
@@ -627,6 +644,7 @@ _QUERIES: dict[str, Query] = {
         registered_source_ingest,
         topic_round_trip,
         topic_bad_field,
+        topic_outcomes,
         categorise_seed,
         category_by_code,
         categorise_mcc,

@@ -337,6 +337,12 @@ def oracle_sql() -> dict[str, str]:
             FROM firsts WHERE ends_with(source_id, '7')""",
             "firsts",
         ),
+        "topic_outcomes": sql(
+            f"""SELECT {CANONICAL.replace("CAST(amount", "CAST(CASE WHEN NOT ends_with(source_id, '7') THEN amount END")},
+            CASE WHEN ends_with(source_id, '7') THEN 'amount_not_positive' END AS reject_reason,
+            ends_with(source_id, '7') AS keeps_text FROM firsts""",
+            "firsts",
+        ),
         "categorise_seed": sql(
             """SELECT m.merchant_name, m.merchant_mcc, coalesce(r.id, min(k.id), 19) AS category_id,
             CASE WHEN coalesce(r.id, min(k.id)) IS NULL THEN 'fallback' ELSE 'rules' END AS category_tier
