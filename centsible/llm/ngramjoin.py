@@ -9,7 +9,8 @@ The join is exact. Documents with equal sets are one class; classes are compared
    hub of its lists; in a group of near copies that links nearly all of them, whatever the group's size.
    What is left are lists whose members are not yet known to be connected. There a growing share of the
    classes is compared with the members of their lists in other components that share enough listed shingles,
-   until all were. No pair within a component is listed.
+   until all were. No pair within a component is listed. ``class_links`` and ``link_counts`` search every
+   pair of classes that share enough listed shingles instead, those within a component too.
 3. *T-occurrence search.* A hub (query) and its candidates meet in blocks. The candidates are indexed by the
    hub's shingles; DivideSkip sets the longest lists aside, heap-merges the short ones, keeps what occurs
    there T minus their number times, probes the long lists by binary search and retains what reaches T.
@@ -442,12 +443,17 @@ def _further_pairs(lists: DataFrame, turn: int, share: float) -> DataFrame:
     return met.agg(F.count("*").alias("have"), F.max("need").alias("need")).where("have >= need").select("hub", "cls")
 
 
+def _listed(docs: DataFrame, classes: DataFrame, lists: DataFrame) -> tuple[DataFrame, DataFrame, str]:
+    """cls, rid of the classes in lists; rid, text of their documents and the name of that table."""
+    classes = classes.select("cls", _rid(F.col("first.doc_id"), F.col("first.tid")).alias("rid"))
+    wanted = written(classes.join(lists.select("cls").distinct(), "cls"), "listed-classes")
+    return wanted, *_texts(docs, wanted)
+
+
 def _links(docs: DataFrame, classes: DataFrame, lists: DataFrame) -> DataFrame | None:
     """node, root of all classes that are linked with another; None if there are none."""
     first = _first_pairs(lists)
-    classes = classes.select("cls", _rid(F.col("first.doc_id"), F.col("first.tid")).alias("rid"))
-    wanted = written(classes.join(lists.select("cls").distinct(), "cls"), "listed-classes")
-    texts, table_name = _texts(docs, wanted)
+    wanted, texts, table_name = _listed(docs, classes, lists)
     links, roots = written(_search(first, wanted, texts), "links"), None
     if not links.isEmpty():
         roots = written(components(links), "roots")
@@ -471,13 +477,19 @@ def _links(docs: DataFrame, classes: DataFrame, lists: DataFrame) -> DataFrame |
     return roots
 
 
-def shingle_components(docs: DataFrame) -> DataFrame:
-    """doc_id, tid, n_shingles, component_id and ``cls`` (64-bit id of the set; null if empty) of every document."""
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The documents with n and cls; cls and ``first``, its first document; the inverted lists."""
     profile = written(_profile(docs), "profile")
     rows = profile.where("shingle IS NULL").select("doc_id", "tid", "n", "cls")
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tid")
     classes = rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min(first).alias("first"))
     lists = written(_lists(_postings(docs, _levels(profile))), "lists")
+    return rows, classes, lists
+
+
+def shingle_components(docs: DataFrame) -> DataFrame:
+    """doc_id, tid, n_shingles, component_id and ``cls`` (64-bit id of the set; null if empty) of every document."""
+    rows, classes, lists = _classes(docs)
     roots = _links(docs, classes, lists)
     if roots is None:
         least = classes.select("cls", F.col("first.doc_id").alias("least"))
@@ -491,6 +503,34 @@ def shingle_components(docs: DataFrame) -> DataFrame:
     return joined.select("doc_id", "tid", F.col("n").alias("n_shingles"), component.alias("component_id"), "cls")
 
 
+def class_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members, links): doc_id, tid, n_shingles and cls of every document, and u < v of every two linked classes.
+
+    Members of a class have equal sets; they are linked with each other and with all members of the classes
+    theirs is linked with. There are as many links as linked pairs of different sets, so in a group of near copies
+    they grow with the square of its size; ``shingle_components`` finds the components without them.
+    """
+    rows, classes, lists = _classes(docs)
+    wanted, texts, table_name = _listed(docs, classes, lists)
+    pairs = _further_pairs(_open_lists(lists, None), 0, 1.0)  # it is every class's turn
+    links = written(_search(pairs, wanted, texts).distinct(), "links")
+    docs.sparkSession.sql(f"DROP TABLE {table_name}")  # the catalog's entry; what was found is written
+    return rows.withColumnRenamed("n", "n_shingles"), links
+
+
+def link_counts(docs: DataFrame) -> DataFrame:
+    """doc_id, tid, n_shingles, cls (null if empty) and n_links of every document: the number of other rows
+    that it is linked with, those with an equal set included."""
+    members, links = class_links(docs)
+    sizes = members.where("cls IS NOT NULL").groupBy("cls").agg(F.count("*").alias("size"))
+    both = links.union(links.select("v", "u"))
+    others = both.join(sizes, both["v"] == sizes["cls"]).groupBy("u").agg(F.sum("size").alias("others"))
+    counted = sizes.join(others, sizes["cls"] == others["u"], "left")
+    counted = counted.select("cls", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    joined = members.join(counted, "cls", "left")
+    return joined.select("doc_id", "tid", "n_shingles", "cls", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
 def one_per_component(docs: DataFrame) -> DataFrame:
     """All columns of the rows of ``docs`` that stay if each component keeps one document: the one with the
     smallest doc_id. Rows that repeat that id stay too; rows without words or without a doc_id all stay."""

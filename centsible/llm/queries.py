@@ -23,6 +23,11 @@ def op1_ngram_join(spark, sf_dir):
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+def op1_ngram_links(spark, sf_dir):
+    found = ngramjoin.link_counts(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "cls", "n_links")
+
+
 def op2_decontaminate(spark, sf_dir):
     docs, benchmark = (table(spark, sf_dir, name) for name in ("documents", "benchmark"))
     found = decontaminate.find_contamination(docs.select("doc_id", "text"), benchmark, keep=["doc_id"])
@@ -103,6 +108,7 @@ QUERIES = {
     function.__name__: function
     for function in (
         op1_ngram_join,
+        op1_ngram_links,
         op2_decontaminate,
         op3_quality,
         op4_language,
