@@ -37,7 +37,7 @@ from centsible.llm.arrays import (
     spans,
     text_column,
 )
-from centsible.llm.frames import map_batches, ship_package, table_rows_per_range
+from centsible.llm.frames import map_batches, ship_package, table_rows_per_range, written
 
 CUT = 3
 TABLES = 3
@@ -116,9 +116,9 @@ class Sketches:
             np.bitwise_xor.at(self.key, cell, digests)
             np.bitwise_xor.at(self.check, cell, check)
 
-    def peel(self) -> tuple[np.ndarray, np.ndarray]:
-        """How many digests were recovered from each sketch, and which sketches were emptied by it."""
-        recovered = np.zeros(len(self.sizes), np.int64)
+    def recover(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The recovered digests, their sketches and their signs, and which sketches were emptied by it."""
+        found = [(np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int32))]
         while True:
             single = np.flatnonzero(np.abs(self.count) == 1)
             single = single[mix(self.key[single] ^ CHECK) == self.check[single]]
@@ -128,10 +128,15 @@ class Sketches:
             digests = self.key[single]
             _, once = np.unique(mix(digests + owner.astype(U64) * REPEAT), return_index=True)
             digests, owner, sign = digests[once], owner[once], self.count[single][once]
-            recovered += np.bincount(owner, minlength=len(recovered))
+            found.append((digests, owner, sign))
             self.add(digests, owner, -sign)
         left = np.concatenate(([0], np.cumsum((self.count != 0) | (self.key != 0) | (self.check != 0))))
-        return recovered, left[self.base[1:]] == left[self.base[:-1]]
+        return *(np.concatenate(part) for part in zip(*found)), left[self.base[1:]] == left[self.base[:-1]]
+
+    def peel(self) -> tuple[np.ndarray, np.ndarray]:
+        """How many digests were recovered from each sketch, and which sketches were emptied by it."""
+        _, owner, _, emptied = self.recover()
+        return np.bincount(owner, minlength=len(self.sizes)), emptied
 
 
 def _owned(digests, begin, rows):
@@ -191,6 +196,133 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return map_batches(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_digests long, fingerprint string")
 
 
+# ---- the digests by which two versions differ ------------------------------------------------
+
+CELL_BYTES = 20
+
+
+def _sizes(total: np.ndarray) -> np.ndarray:
+    """Cells per table for texts with so many digests: doublings of 4, so that sketches fold to each other's size."""
+    return 4 << np.ceil(np.log2(np.maximum(1, (total // 8 + 1) / 4))).astype(np.int64)
+
+
+def _packed(sketches: Sketches) -> list[bytes]:
+    ends = zip(sketches.base, sketches.base[1:])
+    return [
+        sketches.count[a:b].astype("<i4").tobytes() + sketches.key[a:b].astype("<u8").tobytes() + sketches.check[a:b].astype("<u8").tobytes()
+        for a, b in ends
+    ]
+
+
+def _cells_of(data: bytes) -> int:
+    return len(data) // (CELL_BYTES * TABLES)
+
+
+def _unpacked(data: bytes, size: int) -> list[np.ndarray]:
+    """count, key and check of a stored sketch, folded to a smaller size: neighbouring cells become one."""
+    n = _cells_of(data) * TABLES
+    parts = [np.frombuffer(data, "<i4", n), np.frombuffer(data, "<u8", n, 4 * n), np.frombuffer(data, "<u8", n, 12 * n)]
+    times, rest = divmod(_cells_of(data), size)
+    if rest or times & (times - 1):
+        raise ValueError("sketches fold to half their cells only")
+    folds = (np.add, np.bitwise_xor, np.bitwise_xor)
+    return [fold.reduce(part.reshape(n // times, times), axis=1, dtype=part.dtype) for fold, part in zip(folds, parts)]
+
+
+def sketches(docs: DataFrame, cells: int | None = None) -> DataFrame:
+    """doc_id, n_digests and the sketch of every text, to be stored; its cells per table follow the text's length
+    if they are not given."""
+
+    def run(batches):
+        for batch in batches:
+            with quiet():
+                side = paragraph_digests(text_column(batch))
+                total = np.diff(side[1])
+                made = Sketches(_sizes(total) if cells is None else np.full(len(total), cells))
+                made.add(*_owned(*side, np.arange(len(total))), np.int32(1))
+                columns = [batch.column(0), pa.array(total), pa.array(_packed(made), pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_digests", "sketch"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return map_batches(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_digests long, sketch binary")
+
+
+def _lists(digests, owner, rows: int) -> pa.Array:
+    order = np.lexsort((digests.view(np.int64), owner))
+    begin = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=rows))))
+    return pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(digests[order].view(np.int64)))
+
+
+def _judged(ids: pa.Array, digests, owner, sign, emptied) -> pa.RecordBatch:
+    kept = emptied[owner]
+    old, new = kept & (sign > 0), kept & (sign < 0)
+    lists = [_lists(digests[side], owner[side], len(emptied)) for side in (old, new)]
+    return pa.RecordBatch.from_arrays([ids, *lists, pa.array(emptied)], ["doc_id", "removed", "added", "emptied"])
+
+
+def subtracted(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Stored ``sketches`` of two versions -> doc_id, the digests ``removed`` and ``added``, and ``emptied``: false where
+    the cells were too few to recover them (both are empty then). A document that one version lacks is empty there."""
+    kind = old.schema["doc_id"].dataType.simpleString()
+    a, b = old.select("doc_id", "sketch"), new.select(F.col("doc_id").alias("new_id"), F.col("sketch").alias("new_sketch"))
+    pairs = a.join(b, a["doc_id"].eqNullSafe(b["new_id"]), "full")
+    pairs = pairs.select(F.coalesce("doc_id", "new_id").alias("doc_id"), "sketch", "new_sketch")
+
+    def run(batches):
+        for batch in batches:
+            both = list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()))
+            size = np.array([min(_cells_of(x) for x in pair if x is not None) for pair in both], np.int64)
+            left = Sketches(size)
+            for pair, n, base, end in zip(both, size.tolist(), left.base, left.base[1:]):
+                for data, sign in zip(pair, (1, -1)):
+                    if data is not None:
+                        count, key, check = _unpacked(data, n)
+                        left.count[base:end] += sign * count
+                        left.key[base:end] ^= key
+                        left.check[base:end] ^= check
+            with quiet():
+                yield _judged(batch.column(0), *left.recover())
+
+    return map_batches(pairs, run, f"doc_id {kind}, removed array<long>, added array<long>, emptied boolean")
+
+
+def version_differences(old: DataFrame, new: DataFrame, cells: int | None = None) -> DataFrame:
+    """doc_id and the paragraph digests ``removed`` and ``added`` between two versions (doc_id, text) of documents.
+
+    The sketches of both are subtracted and peeled; the texts of the pairs where that gets stuck, and of no others,
+    are sketched again with twice the cells until all is recovered. A version has one row per doc_id.
+    """
+    for side in (old, new):
+        if not side.groupBy("doc_id").count().where("count > 1").isEmpty():
+            raise ValueError("a doc_id is repeated within a version")
+    kind = old.schema["doc_id"].dataType.simpleString()
+    first = written(subtracted(sketches(old, cells), sketches(new, cells)), "differences")
+    done = first.where("emptied").select("doc_id", "removed", "added")
+    failed = first.where("NOT emptied").select(F.col("doc_id").alias("id"))
+    texts = failed.join(old.select("doc_id", "text"), F.col("id").eqNullSafe(F.col("doc_id")), "left").select("id", "text")
+    other = new.select(F.col("doc_id").alias("new_id"), F.col("text").alias("new_text"))
+    pairs = texts.join(other, F.col("id").eqNullSafe(F.col("new_id")), "left").select("id", "text", "new_text")
+
+    def run(batches):
+        for batch in batches:
+            with quiet():
+                a, b = (paragraph_digests(batch.column(n).cast(pa.large_string())) for n in (1, 2))
+                waiting = np.arange(batch.num_rows)
+                begun = np.maximum(*(_sizes(np.diff(x[1])) for x in (a, b))) if cells is None else np.full(len(waiting), cells)
+                sizes = 2 * begun
+                while len(waiting):
+                    left = Sketches(sizes[waiting])
+                    for side, sign in ((a, 1), (b, -1)):
+                        left.add(*_owned(*side, waiting), np.int32(sign))
+                    *recovered, emptied = left.recover()
+                    judged = _judged(batch.column(0).take(pa.array(waiting)), *recovered, emptied)
+                    yield judged.filter(pa.array(emptied)).select(["doc_id", "removed", "added"])
+                    waiting = waiting[~emptied]
+                    sizes[waiting] *= 2
+
+    return done.unionByName(map_batches(pairs, run, f"doc_id {kind}, removed array<long>, added array<long>"))
+
+
 # ---- a document, its edited version and its neighbour ---------------------------------------
 
 
