@@ -557,18 +557,27 @@ def stream_dedup(spark, sf):
     return _ingested(spark, sf).transactions().select(*CANONICAL)
 
 
-def stream_dedup_ttl(spark, sf):
-    """Accepted stream with the default time to live; records of any age arrive, none is late."""
+def _accepted(spark, sf, columns):
     out, checkpoint = scratch_path(spark, "accepted"), scratch_path(spark, "checkpoint")
 
     def run(raw):
         accepted = ingest.accepted_stream(raw, max_age_days=None)
-        return ingest.start_file_sink(accepted.select("source_id", "account_id"), out, checkpoint)
+        return ingest.start_file_sink(accepted.select(*columns), out, checkpoint)
 
     _streams(spark, sf, run)
     return spark.read.parquet(out)
 
 
+def stream_dedup_ttl(spark, sf):
+    """Accepted stream with the default time to live; records of any age arrive, none is late."""
+    return _accepted(spark, sf, ["source_id", "account_id"])
+
+
+def stream_accepted(spark, sf):
+    """The same with all fields of the first arrivals."""
+    return _accepted(spark, sf, CANONICAL)
+
+
 def stream_transactions(spark, sf):
     return _ingested(spark, sf).transactions().select("source_id", "amount", "category_id", "category_tier")
 
@@ -692,6 +701,7 @@ _QUERIES: dict[str, Query] = {
         root_categories,
         stream_dedup,
         stream_dedup_ttl,
+        stream_accepted,
         stream_transactions,
         stream_outcomes,
         windowed_rollup,

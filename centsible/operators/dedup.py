@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from centsible.operators.validate import Rule, valid_rows
 from centsible.schemas import ACCEPTED, DUPLICATE, FAILED, OUTCOMES
@@ -110,24 +112,69 @@ def _outcome_rows(records: DataFrame, accepted: DataFrame) -> DataFrame:
     )
 
 
-def drop_stream_repeats(events: DataFrame, key: str = "source_id", ttl: str | None = "24 hours") -> DataFrame:
+def drop_stream_repeats(
+    events: DataFrame, key: str = "source_id", ttl: str | None = "24 hours", order: str = "arrival_seq"
+) -> DataFrame:
     """Streaming duplicate check with a time to live, counted from the first arrival and not
     prolonged by repeats. Put it after validation: only accepted rows may enter the state.
 
     The state's clock is the processing time of the micro-batch, which the offset log replays. So no row
     is ever late: a key that was not seen passes however old its record is, and a key is only forgotten, after
-    ``ttl`` at least and, as the clock moves with the batches, twice that at most while data flow. Copies
-    of a hot key are first reduced within sub-groups. Without a ``ttl`` a key is remembered for good. The state is in
-    RocksDB, so a batch looks up its own keys only. Copies that reach the same micro-batch have no
-    fixed order here; ``first_wins``, which the ingest job uses, has one.
+    ``ttl`` at least and, as the clock moves with the batches, twice that at most while data flow. Of the
+    copies that reach the same micro-batch the first by ``order`` stays. Without a ``ttl`` a key is remembered for
+    good. The state is in RocksDB, so a batch looks up its own keys only.
     """
-    lanes = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    names = [name for name in events.columns if name != "seen_at"]
-    laned = stamped(events, ttl).withColumn("_lane", F.pmod(F.xxhash64(*names), F.lit(lanes)))
+    once = earliest_of_batch(stamped(events, ttl), key, order)
     if ttl is None:
-        return laned.dropDuplicates([key, "_lane"]).dropDuplicates([key]).drop("_lane")
-    once = laned.dropDuplicatesWithinWatermark([key, "_lane"]).dropDuplicatesWithinWatermark([key])
-    return once.drop("_lane") if "seen_at" in events.columns else once.drop("_lane", "seen_at")
+        return once.dropDuplicates([key])
+    once = once.dropDuplicatesWithinWatermark([key])
+    return once if "seen_at" in events.columns else once.drop("seen_at")
+
+
+def earliest_of_batch(events: DataFrame, key: str, order: str = "arrival_seq") -> DataFrame:
+    """The first row of every key in each micro-batch of a stream, without state. Copies of a hot key are reduced
+    before the shuffle too; a task holds the rows of its part of the micro-batch."""
+    schema = events.schema  # with the watermark, which is part of a column's metadata
+    key_at, order_at = schema.names.index(key), schema.names.index(order)
+
+    def place(value):
+        if isinstance(value, dict):
+            return tuple(place(v) for v in value.values())
+        return (value is not None, value)  # nulls first, as Spark orders them
+
+    def run(batches):
+        held, firsts = [], {}
+        for batch in batches:
+            rows = zip(batch.column(key_at).to_pylist(), batch.column(order_at).to_pylist())
+            for row, (name, at) in enumerate(rows):
+                at = place(at)
+                if name not in firsts or at < firsts[name][0]:
+                    firsts[name] = (at, len(held), row)
+            held.append(batch)
+        stay = [[] for _ in held]
+        for _, number, row in firsts.values():
+            stay[number].append(row)
+        for batch, rows in zip(held, stay):
+            if rows:
+                yield batch.take(sorted(rows))
+
+    lanes = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return events.mapInArrow(run, schema).repartition(lanes, key).mapInArrow(run, schema)
+
+
+def numbered(raw: DataFrame) -> DataFrame:
+    """A raw stream with the row's number in its task behind ``arrival_seq``: rows of one file block arrive in order."""
+    schema = T.StructType([*raw.schema.fields, T.StructField("_row", T.LongType())])
+
+    def run(batches):
+        seen = 0
+        for batch in batches:
+            rows = pa.array(range(seen, seen + batch.num_rows), pa.int64())
+            seen += batch.num_rows
+            yield pa.RecordBatch.from_arrays([*batch.columns, rows], [*batch.schema.names, "_row"])
+
+    rows = raw.mapInArrow(run, schema)
+    return rows.withColumn("arrival_seq", F.struct("arrival_seq", "_row")).drop("_row")
 
 
 def stamped(events: DataFrame, ttl: str | None) -> DataFrame:

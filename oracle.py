@@ -578,6 +578,7 @@ def oracle_sql() -> dict[str, str]:
         # streams, against the batch answer
         "stream_dedup": sql(f"SELECT {CANONICAL} FROM firsts", "firsts"),
         "stream_dedup_ttl": sql("SELECT DISTINCT source_id, account_id FROM firsts", "firsts"),
+        "stream_accepted": sql(f"SELECT {CANONICAL} FROM firsts", "firsts"),
         "stream_transactions": sql(
             "SELECT source_id, CAST(amount AS DOUBLE) AS amount, category_id, category_tier FROM t", "t"
         ),
