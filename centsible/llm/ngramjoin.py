@@ -489,18 +489,23 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 def shingle_components(docs: DataFrame) -> DataFrame:
     """doc_id, tid, n_shingles, component_id and ``cls`` (64-bit id of the set; null if empty) of every document."""
+    return _rooted(docs).drop("root")
+
+
+def _rooted(docs: DataFrame) -> DataFrame:
+    """The same with ``root``, which tells components apart that share their smallest doc_id."""
     rows, classes, lists = _classes(docs)
     roots = _links(docs, classes, lists)
     if roots is None:
-        least = classes.select("cls", F.col("first.doc_id").alias("least"))
+        least = classes.select("cls", F.col("cls").alias("root"), F.col("first.doc_id").alias("least"))
     else:
         grown = classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left")
         grown = grown.select("cls", F.coalesce("root", "cls").alias("root"), F.col("first.doc_id").alias("doc_id"))
         per_root = grown.groupBy("root").agg(F.min("doc_id").alias("least"))
-        least = grown.join(per_root, "root").select("cls", "least")
+        least = grown.join(per_root, "root").select("cls", "root", "least")
     joined = rows.join(least, "cls", "left")
     component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("least"))
-    return joined.select("doc_id", "tid", F.col("n").alias("n_shingles"), component.alias("component_id"), "cls")
+    return joined.select("doc_id", "tid", F.col("n").alias("n_shingles"), component.alias("component_id"), "cls", "root")
 
 
 def class_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -533,9 +538,12 @@ def link_counts(docs: DataFrame) -> DataFrame:
 
 def one_per_component(docs: DataFrame) -> DataFrame:
     """All columns of the rows of ``docs`` that stay if each component keeps one document: the one with the
-    smallest doc_id. Rows that repeat that id stay too; rows without words or without a doc_id all stay."""
-    found = shingle_components(docs)
-    gone = found.where("cls IS NOT NULL AND doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    smallest doc_id and, among texts that share it, the smallest ``tid``. Rows that repeat that document stay too;
+    rows without words or without a doc_id all stay. Other texts under a removed row's doc_id are not touched."""
+    found = written(_rooted(docs).where("cls IS NOT NULL AND doc_id IS NOT NULL").select("root", "doc_id", "tid"), "rooted")
+    kept = found.groupBy(F.col("root").alias("of")).agg(F.min(F.struct("doc_id", "tid")).alias("kept"))
+    gone = found.join(kept, found["root"] == kept["of"]).where(F.struct("doc_id", "tid") != F.col("kept"))
     # a table of known size: Spark broadcasts it if it is small and shuffles the documents if not
-    gone = written(gone, "gone")
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    gone = written(gone.select(F.col("doc_id").alias("gone_id"), F.col("tid").alias("gone_tid")).distinct(), "gone")
+    same = docs["doc_id"].eqNullSafe(gone["gone_id"]) & text_id().eqNullSafe(gone["gone_tid"])
+    return docs.join(gone, same, "left_anti")
