@@ -5,7 +5,19 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from centsible.llm import decontaminate, fingerprints, langid, linededup, ngramjoin, quality, secrets, sharding, sql, urls
+from centsible.llm import (
+    decontaminate,
+    fingerprints,
+    langid,
+    linededup,
+    ngramjoin,
+    quality,
+    secrets,
+    sharding,
+    sql,
+    urls,
+    vectorcodes,
+)
 from centsible.llm.frames import table
 from centsible.llm.settings import LEAST_QUALITY, quality_model, sha256, token_digests
 
@@ -104,6 +116,18 @@ def op10_secret_scan(spark, sf_dir):
     )
 
 
+def op12_vector_codes(spark, sf_dir):
+    rows, books = vectorcodes.compress(table(spark, sf_dir, "embeddings"))
+    summed = vectorcodes.with_label_error(rows)
+    return summed.select(
+        "vec_id",
+        vectorcodes.code_text(F.col("codes")).alias("code"),
+        "error",
+        "label_error",
+        F.sha2(F.lit(vectorcodes.codebook_text(books)), 256).alias("codebooks_sha256"),
+    )
+
+
 QUERIES = {
     function.__name__: function
     for function in (
@@ -118,6 +142,7 @@ QUERIES = {
         op8_rendezvous_shards,
         op9_url_filter,
         op10_secret_scan,
+        op12_vector_codes,
     )
 }
 QUERIES["pipeline"] = corpus_pipeline.run

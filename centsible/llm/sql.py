@@ -30,6 +30,42 @@ def _listed(where: str = "") -> str:
     return f"coalesce(string_agg({spans}, ',' ORDER BY first, number){where}, '')"
 
 
+def _vector_codes(parts: int = 4, entries: int = 256, rounds: int = 4, wide: int = 16) -> str:
+    """Plain Lloyd rounds: every part beside every entry, every time."""
+    steps = [
+        f"""kept AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) - 1 AS n, vec_id, label,
+            list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"""parts AS MATERIALIZED (SELECT n, p, v[p * {wide} + 1 : (p + 1) * {wide}] AS x
+            FROM kept, (SELECT unnest(range({parts})) AS p))""",
+        f"book0 AS MATERIALIZED (SELECT p, n AS k, x AS c FROM parts WHERE n < {entries})",
+    ]
+    for turn in range(rounds + 1):
+        apart = "list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+        steps.append(
+            f"""near{turn} AS MATERIALIZED (SELECT n, p, min(struct_pack(e := {apart}, k := k)) AS best
+            FROM parts JOIN book{turn} USING (p) GROUP BY n, p)"""
+        )
+        if turn < rounds:
+            steps.append(
+                f"""sums{turn} AS MATERIALIZED (SELECT p, k, i, CAST(sum(y) AS HUGEINT) AS s, count(*) AS m FROM (
+                SELECT p, best.k AS k, unnest(x) AS y, unnest(range(len(x))) AS i
+                FROM near{turn} JOIN parts USING (n, p)) GROUP BY p, k, i)"""
+            )
+            steps.append(
+                f"""book{turn + 1} AS MATERIALIZED (SELECT p, k, coalesce(moved, c) AS c FROM book{turn} LEFT JOIN (
+                SELECT p, k, list(CAST((s - ((s % m) + m) % m) // m AS BIGINT) ORDER BY i) AS moved FROM sums{turn} GROUP BY p, k)
+                USING (p, k))"""
+            )
+    return f"""WITH {", ".join(steps)},
+        coded AS (SELECT n, string_agg(printf('%02x', best.k), '' ORDER BY p) AS code, CAST(sum(best.e) AS BIGINT) AS error
+            FROM near{rounds} GROUP BY n),
+        books AS (SELECT sha256(string_agg(CAST(y AS VARCHAR), ',' ORDER BY p, k, i)) AS digest FROM (
+            SELECT p, k, unnest(c) AS y, unnest(range(len(c))) AS i FROM book{rounds}))
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+            digest AS codebooks_sha256 FROM kept JOIN coded USING (n), books"""
+
+
 _BASE = ", ".join(f"'{rule.kind}'" for rule in BASE_RULES)
 
 SQL = {
@@ -102,4 +138,5 @@ SQL = {
             row_number() OVER (PARTITION BY u.n ORDER BY length(r.host || r.path) DESC NULLS LAST) AS place
             FROM urls u LEFT JOIN rules r ON (u.host = r.host OR ends_with(u.host, '.' || r.host)) AND starts_with(u.path, r.path))
         SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fits WHERE place = 1""",
+    "op12_vector_codes": _vector_codes(),
 }
