@@ -14,6 +14,7 @@ from centsible.llm import (
     quality,
     secrets,
     sharding,
+    spelling,
     sql,
     urls,
     vectorcodes,
@@ -128,6 +129,11 @@ def op12_vector_codes(spark, sf_dir):
     )
 
 
+def op13_spelling(spark, sf_dir):
+    found = spelling.spelling_variants(table(spark, sf_dir, "documents"))
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
 QUERIES = {
     function.__name__: function
     for function in (
@@ -143,6 +149,7 @@ QUERIES = {
         op9_url_filter,
         op10_secret_scan,
         op12_vector_codes,
+        op13_spelling,
     )
 }
 QUERIES["pipeline"] = corpus_pipeline.run

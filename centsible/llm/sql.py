@@ -66,6 +66,38 @@ def _vector_codes(parts: int = 4, entries: int = 256, rounds: int = 4, wide: int
             digest AS codebooks_sha256 FROM kept JOIN coded USING (n), books"""
 
 
+def _spelling() -> str:
+    """Near words by equal deletions at equal places, or by a deletion that equals a word."""
+    table = []
+    for value in range(256):
+        for _ in range(8):
+            value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+        table.append(str(value))
+    step = "xor(crcs[(xor(c, b) & 255) + 1], c >> 8)"
+    return f"""WITH RECURSIVE crc AS (SELECT [{", ".join(table)}]::BIGINT[] AS crcs),
+        runs AS (SELECT doc_id, word, count(*) AS k FROM (SELECT doc_id,
+            unnest(regexp_extract_all({LOWER}, '[A-Za-z\\x{{00C0}}-\\x{{00FF}}]+')) AS word FROM documents) GROUP BY ALL),
+        hexed AS (SELECT word, k, hex(concat(doc_id, ':', word)) AS digits FROM runs),
+        checked AS (SELECT word, k, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(length(digits) // 2),
+            lambda i: CAST((instr('0123456789ABCDEF', digits[2 * i + 1]) - 1) * 16 + instr('0123456789ABCDEF', digits[2 * i + 2]) - 1 AS BIGINT))),
+            lambda c, b: {step})) AS h FROM hexed, crc),
+        slipped AS (SELECT CASE WHEN h % 97 = 0 THEN substr(word, 1, CAST(h % length(word) AS BIGINT)) ||
+            substr(word, CAST(h % length(word) AS BIGINT) + 2) ELSE word END AS word, k FROM checked),
+        words AS MATERIALIZED (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM slipped WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
+        cuts AS MATERIALIZED (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest
+            FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+        pairs AS MATERIALIZED (SELECT a.word, b.word AS other FROM cuts a JOIN cuts b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+            UNION SELECT c.word, w.word FROM cuts c JOIN words w ON c.rest = w.word
+            UNION SELECT w.word, c.word FROM cuts c JOIN words w ON c.rest = w.word),
+        best AS (SELECT p.word, count(*) AS n_near, min(struct_pack(m := -w.n, form := p.other)) AS b
+            FROM pairs p JOIN words w ON p.other = w.word GROUP BY p.word),
+        forms AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -b.m >= 2 * w.n THEN b.form END AS form,
+            CASE WHEN -b.m >= 2 * w.n THEN -b.m END AS form_n FROM words w LEFT JOIN best USING (word)),
+        chain AS (SELECT word, word AS root, form AS next FROM forms
+            UNION ALL SELECT c.word, f.word, f.form FROM chain c JOIN forms f ON c.next = f.word)
+        SELECT word, form, root, n, n_near, form_n FROM forms JOIN (SELECT word, root FROM chain WHERE next IS NULL) USING (word)"""
+
+
 _BASE = ", ".join(f"'{rule.kind}'" for rule in BASE_RULES)
 
 SQL = {
@@ -139,4 +171,5 @@ SQL = {
             FROM urls u LEFT JOIN rules r ON (u.host = r.host OR ends_with(u.host, '.' || r.host)) AND starts_with(u.path, r.path))
         SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fits WHERE place = 1""",
     "op12_vector_codes": _vector_codes(),
+    "op13_spelling": _spelling(),
 }
