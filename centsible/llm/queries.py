@@ -9,6 +9,7 @@ from centsible.llm import (
     decontaminate,
     fingerprints,
     langid,
+    licenses,
     linededup,
     ngramjoin,
     quality,
@@ -117,6 +118,22 @@ def op10_secret_scan(spark, sf_dir):
     )
 
 
+def op11_license_scan(spark, sf_dir):
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = licenses.phrases_of(F.col("spans"))
+    words = F.transform(base, lambda s: s["word"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(words).alias("first_word"),
+        F.array_max(words).alias("last_word"),
+        licenses.labels_text(base).alias("base_labels"),
+        licenses.labels_text(F.col("spans")).alias("labels"),
+        licenses.likeness(F.col("spans")).alias("score"),
+    )
+
+
 def op12_vector_codes(spark, sf_dir):
     rows, books = vectorcodes.compress(table(spark, sf_dir, "embeddings"))
     summed = vectorcodes.with_label_error(rows)
@@ -148,6 +165,7 @@ QUERIES = {
         op8_rendezvous_shards,
         op9_url_filter,
         op10_secret_scan,
+        op11_license_scan,
         op12_vector_codes,
         op13_spelling,
     )
