@@ -40,9 +40,12 @@ class BloomFilter:
             for w in range(WORDS)
         ]
         filled = np.zeros((blocks, WORDS), np.uint32)
-        # at most max_bytes of blocks, whatever the length of the list
-        for row in hashed.groupBy(_block(F.col("h"), blocks).alias("block")).agg(*words).toLocalIterator():
-            filled[row["block"]] = [row[f"w{w}"] for w in range(WORDS)]
+        # one job; at most max_bytes of blocks and their numbers, whatever the length of the list
+        rows = hashed.groupBy(_block(F.col("h"), blocks).cast("int").alias("block")).agg(*words)
+        found = rows.select("block", *[F.col(f"w{w}").cast("long").alias(f"w{w}") for w in range(WORDS)]).toArrow()
+        block = found["block"].to_numpy()
+        for w in range(WORDS):
+            filled[block, w] = found[f"w{w}"].to_numpy().astype(np.uint32)
         return cls(filled)
 
     def may_hold(self, hashes: np.ndarray) -> np.ndarray:

@@ -10,12 +10,13 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from centsible.session import scratch_path
 
 BATCH_BYTES = "8m"
+MOST_PIECES = 1 << 16
 PACKAGE = Path(__file__).resolve().parent.parent
 
 
@@ -53,13 +54,34 @@ def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, name: str, key: str) -> tuple[DataFrame, str]:
+def written_counted(df: DataFrame, name: str, *counts: Column) -> tuple[DataFrame, tuple]:
+    """The same, and aggregates of its rows, taken while they are written: no job of their own."""
+    seen = Observation()
+    names = [f"c{n}" for n in range(len(counts))]
+    table = written(df.observe(seen, *[c.alias(n) for c, n in zip(counts, names)]), name)
+    return table, tuple(seen.get[n] for n in names)
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the files that a frame reads; what has no known size counts nothing."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(n).stats().sizeInBytes()) for n in range(leaves.size())]
+    return sum(size for size in sizes if size < 1 << 60)
+
+
+def pieces_for(df: DataFrame, piece_bytes: int = 64 << 20) -> int:
+    """How many pieces of about so many bytes the input of a frame has, but at least as many as the session's
+    shuffles have."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, min(-(-input_bytes(df) // piece_bytes), MOST_PIECES))
+
+
+def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> tuple[DataFrame, str]:
     """The same, bucketed by a key: joins on it do not shuffle this side again. With the name of its catalog
     entry, to be dropped after use."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     table_name = path.rpartition("/")[2].replace("-", "_")
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     writer = df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key)
     writer.option("path", path).saveAsTable(table_name)
     return spark.table(table_name), table_name

@@ -53,8 +53,8 @@ from centsible.llm.arrays import (
     unsigned,
 )
 from centsible.llm.bloom import BloomFilter
-from centsible.llm.frames import bucketed, map_batches, text_id, written
-from centsible.llm.graph import components
+from centsible.llm.frames import bucketed, map_batches, pieces_for, text_id, written, written_counted
+from centsible.llm.graph import components, forest_roots
 
 #: Shingles are counted in pieces of the corpus of so many.
 COUNTED_TOGETHER = 4 << 20
@@ -164,9 +164,9 @@ def _levels(profile: DataFrame) -> np.ndarray:
             break
         least = level
     slots = np.zeros(1 << SLOT_BITS, np.uint8)
-    for r in counts.where(F.col("level") >= least).toLocalIterator():  # at most FREQUENT rows
-        slot = (r.shingle & 0xFFFFFFFFFFFFFFFF) >> (64 - SLOT_BITS)
-        slots[slot] = max(slots[slot], r.level)
+    frequent = counts.where(F.col("level") >= least).toArrow()  # at most FREQUENT rows, in one job
+    place = unsigned(frequent["shingle"].to_numpy()) >> U64(64 - SLOT_BITS)
+    np.maximum.at(slots, place, frequent["level"].to_numpy().astype(np.uint8))
     return slots
 
 
@@ -316,7 +316,7 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> tuple[DataFrame, str]:
             yield batch.filter(hit)
 
     source = docs.select(_rid(F.col("doc_id").cast("long"), text_id()).alias("rid"), "text")
-    return bucketed(map_batches(source, run, "rid long, text string"), "texts", "rid")
+    return bucketed(map_batches(source, run, "rid long, text string"), "texts", "rid", pieces_for(source))
 
 
 def _rid(doc_id: Column, tid: Column) -> Column:
@@ -325,18 +325,18 @@ def _rid(doc_id: Column, tid: Column) -> Column:
 
 
 def _search(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """u, v of the linked ones among candidate pairs (hub, cls). ``classes``: cls, rid; ``texts``: rid, text of all
-    classes in them, bucketed, so that only ids are shuffled to them and only the texts that are asked for go on.
+    """u, v of the linked ones among candidate pairs (hub, cls), a table. ``classes``: cls, rid; ``texts``: rid, text
+    of all classes in them, bucketed, so that only ids are shuffled to them and only the texts that are asked for go on.
 
-    A hub and at most about BLOCK of its candidates make a block; a hub with more has more blocks.
+    A hub and at most about BLOCK of its candidates make a block; a hub with more has more blocks. Its text is
+    looked up once and dealt to its blocks afterwards.
     """
-    pairs = written(pairs, "pairs")
     per_hub = pairs.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = pairs.join(per_hub, "hub").select("hub", "cls", F.pmod(F.xxhash64("cls"), "blocks").alias("block"))
-    members = dealt.select("hub", "block", F.lit(1).alias("member"), "cls")
-    queries = dealt.select("hub", "block", F.lit(0).alias("member"), F.col("hub").alias("cls")).distinct()
-    asked = queries.union(members).join(classes, "cls")
-    rows = asked.join(texts, "rid").select("hub", "block", "member", "cls", "text")
+    dealt = pairs.join(per_hub, "hub").withColumn("block", F.pmod(F.xxhash64("cls"), "blocks").cast("int"))
+    members = dealt.select("hub", "cls", F.lit(1).alias("member"), F.col("block").alias("low"), F.col("block").alias("high"))
+    hubs = per_hub.select("hub", F.col("hub").alias("cls"), F.lit(0).alias("member"), F.lit(0).alias("low"), (F.col("blocks") - 1).alias("high"))
+    asked = hubs.union(members).join(classes, "cls").join(texts, "rid")
+    rows = asked.select("hub", F.explode(F.sequence("low", "high")).alias("block"), "member", "cls", "text")
     rows = rows.repartition("hub", "block").sortWithinPartitions("hub", "block", "member")
 
     def run(batches):
@@ -383,14 +383,12 @@ def _first_pairs(lists: DataFrame) -> DataFrame:
     return near.groupBy("cls").agg(F.min("hub").alias("hub"))
 
 
-def _open_lists(lists: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """key, cls, n, place, root of the lists with classes of two components or more."""
-    rows = lists.select("key", "cls", "n", "place")
-    if roots is None:
-        rows = rows.withColumn("root", F.col("cls"))
-    else:
-        known = rows.join(roots.withColumnRenamed("node", "cls"), "cls", "left")
-        rows = known.select("key", "cls", "n", "place", F.coalesce("root", "cls").alias("root"))
+def _open_lists(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """key, cls, n, place, root of the lists with classes of two components or more; ``roots`` (node, root) says
+    which of the components that ``rows`` name have grown together."""
+    if roots is not None:
+        known = rows.join(roots.withColumnsRenamed({"node": "was", "root": "now"}), F.col("root") == F.col("was"), "left")
+        rows = known.select("key", "cls", "n", "place", F.coalesce("now", "root").alias("root"))
     apart = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
     return rows.join(apart.select("key"), "key", "left_semi")
 
@@ -402,8 +400,8 @@ def _has_turn(turn: int, share: float) -> Column:
 
 
 def _further_pairs(lists: DataFrame, turn: int, share: float) -> DataFrame:
-    """hub, cls: the classes whose turn it is with the members of their open lists in other components, where
-    both share as many lists as linked sets must."""
+    """hub, cls and their components: the classes whose turn it is with the members of their open lists in other
+    components, where both share as many lists as linked sets must."""
     ordered = lists.withColumn("late", F.when(_has_turn(turn, share), 0).otherwise(1))
     ordered = ordered.repartition("key").sortWithinPartitions("key", "late", "cls")
     names = ["key", "late", "cls", "n", "place", "root"]
@@ -433,14 +431,20 @@ def _further_pairs(lists: DataFrame, turn: int, share: float) -> DataFrame:
                 big, small = np.maximum(n[left], n[right]), np.minimum(n[left], n[right])
                 shared, left_end, right_end = shared_prefixes(n[left], n[right])
                 fits = (80 * big <= 100 * small) & (place[left] < left_end) & (place[right] < right_end)
-                pair = np.sort(np.stack((cls[left[fits]], cls[right[fits]])), axis=0)
-                columns = [*pair, shared[fits]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["hub", "cls", "need"])
+                left, right = left[fits], right[fits]
+                swapped = cls[left] > cls[right]
+                left, right = np.where(swapped, right, left), np.where(swapped, left, right)
+                columns = [cls[left], cls[right], root[left], root[right], shared[fits]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c) for c in columns], ["hub", "cls", "hub_root", "cls_root", "need"]
+                )
                 a = b
             held = rows[:, (key == key[-1]) & (late == 0)]
 
-    met = map_batches(ordered, run, "hub long, cls long, need long").groupBy("hub", "cls")
-    return met.agg(F.count("*").alias("have"), F.max("need").alias("need")).where("have >= need").select("hub", "cls")
+    kinds = "hub long, cls long, hub_root long, cls_root long, need long"
+    met = map_batches(ordered, run, kinds).groupBy("hub", "cls", "hub_root", "cls_root")
+    enough = met.agg(F.count("*").alias("have"), F.max("need").alias("need")).where("have >= need")
+    return enough.select("hub", "cls", "hub_root", "cls_root")
 
 
 def _listed(docs: DataFrame, classes: DataFrame, lists: DataFrame) -> tuple[DataFrame, DataFrame, str]:
@@ -451,30 +455,48 @@ def _listed(docs: DataFrame, classes: DataFrame, lists: DataFrame) -> tuple[Data
 
 
 def _links(docs: DataFrame, classes: DataFrame, lists: DataFrame) -> DataFrame | None:
-    """node, root of all classes that are linked with another; None if there are none."""
-    first = _first_pairs(lists)
+    """node, root of all classes that are linked with another; None if there are none.
+
+    The first links hang each class below one of lower hash: a forest. Links of later turns lie between components, so
+    only the components they name are put together, and the classes are told their new one at the end.
+    """
     wanted, texts, table_name = _listed(docs, classes, lists)
-    links, roots = written(_search(first, wanted, texts), "links"), None
-    if not links.isEmpty():
-        roots = written(components(links), "roots")
-    turn, share, open_lists = 0, 0.0, None
-    n_classes = wanted.count()
+    pairs, (n_pairs,) = written_counted(_first_pairs(lists), "pairs", F.count("*"))
+    grown: list[DataFrame] = []
+    if n_pairs:
+        links = _search(pairs, wanted, texts).select(F.col("v").alias("node"), F.col("u").alias("parent"))
+        links, (n_links,) = written_counted(links, "links", F.count("*"))
+        grown += [forest_roots(links)] if n_links else []
+    turn, share, n_classes = 0, 0.0, wanted.count()
+    rows = lists.select("key", "cls", "n", "place", F.col("cls").alias("root"))
+    latest, open_lists = (grown[-1] if grown else None), None
     while share < 1:
         if open_lists is None:
-            open_lists = written(_open_lists(lists, roots), "open-lists")
-            if open_lists.isEmpty():
+            open_lists, (n_open,) = written_counted(_open_lists(rows, latest), "open-lists", F.count("*"))
+            if not n_open:
                 break
         share = FIRST_TURN * GROWTH**turn / max(n_classes, 1)
-        more = written(_search(_further_pairs(open_lists, turn, share), wanted, texts), "links")
+        pairs, (n_pairs,) = written_counted(_further_pairs(open_lists, turn, share), "pairs", F.count("*"))
         # classes that had their turn have met all members of their lists
-        lists = open_lists = open_lists.where(~_has_turn(turn, share))
+        rows = open_lists = open_lists.where(~_has_turn(turn, share))
         turn += 1
-        if not more.isEmpty():
-            links = links.union(more)
-            roots = written(components(links), "roots")
-            open_lists = None
+        if not n_pairs:
+            continue
+        found = _search(pairs.select("hub", "cls"), wanted, texts)
+        named = found.join(pairs, (found["u"] == pairs["hub"]) & (found["v"] == pairs["cls"]))
+        between = named.select(F.col("hub_root").alias("u"), F.col("cls_root").alias("v")).distinct()
+        links, (n_links,) = written_counted(between, "links", F.count("*"))
+        if n_links:
+            latest, open_lists = components(links), None
+            grown.append(latest)
     docs.sparkSession.sql(f"DROP TABLE {table_name}")  # the catalog's entry; what was found is written
-    return roots
+    if not grown:
+        return None
+    roots = wanted.select(F.col("cls").alias("node"), F.col("cls").alias("root"))
+    for latest in grown:
+        ends = latest.select(F.col("node").alias("was"), F.col("root").alias("now"))
+        roots = roots.join(ends, roots["root"] == ends["was"], "left").select("node", F.coalesce("now", "root").alias("root"))
+    return written(roots, "roots")
 
 
 def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -517,8 +539,9 @@ def class_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     rows, classes, lists = _classes(docs)
     wanted, texts, table_name = _listed(docs, classes, lists)
-    pairs = _further_pairs(_open_lists(lists, None), 0, 1.0)  # it is every class's turn
-    links = written(_search(pairs, wanted, texts).distinct(), "links")
+    every = lists.select("key", "cls", "n", "place", F.col("cls").alias("root"))
+    pairs = _further_pairs(_open_lists(every, None), 0, 1.0).select("hub", "cls")  # it is every class's turn
+    links = written(_search(written(pairs, "pairs"), wanted, texts).distinct(), "links")
     docs.sparkSession.sql(f"DROP TABLE {table_name}")  # the catalog's entry; what was found is written
     return rows.withColumnRenamed("n", "n_shingles"), links
 
