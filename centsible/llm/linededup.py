@@ -1,8 +1,9 @@
 """Line dedup: a line is dropped if an earlier line of the corpus is equal or one word away from it.
 
-Lines are compared as sequences of words (A-Z lower-cased, white space only separates). The edit bound is one word
-inserted, deleted or replaced, for lines of at least ``NEAR_WORDS`` words; shorter lines must be equal. "Earlier" is
-by doc_id, then by the text's hash, then by line number; of each set of equal lines the first one stands for all.
+Lines are compared as sequences of words (A-Z lower-cased, white space only separates). With ``edits`` = 1 two lines are
+near that one word inserted, deleted or replaced makes equal, if both have ``least_words`` words (two unless the caller
+asks for more); with ``edits`` = 0 lines must be equal. "Earlier" is by doc_id, then by the text's hash, then by line
+number; of each set of equal lines the first one stands for all.
 
 Near lines are found by their deletion neighbourhood. Every line emits its hash, the hash of each
 variant with one word deleted, and the same with the place of the deletion: a line that equals a variant of another is one insertion
@@ -11,7 +12,8 @@ equal keys and keeping their earliest lines is enough to know each line's earlie
 within a group are listed. All neighbours found this way are verified on the words themselves.
 
 Two lines one word apart share nearly their first or nearly their last half. So only lines of which such a part
-occurs in another line, a small part of all, emit variants, and only of the rest of the line.
+occurs in another line, a small part of all, emit variants, and only of the rest of the line. Lines of ``TINY`` words
+at most have no such part and emit all their few variants.
 
 Edge cases: blank lines and lines of null or empty texts are neither dropped nor compared; rows with equal doc_id and
 text are one document and get the same decisions; a null doc_id comes last; an empty table gives no rows.
@@ -44,7 +46,9 @@ from centsible.llm.arrays import (
 from centsible.llm.bloom import BloomFilter
 from centsible.llm.frames import brought_back, map_batches, set_aside, text_id, without, written
 
-NEAR_WORDS = 8
+#: A line of two words is the shortest of which a word can be deleted.
+LEAST_WORDS = 2
+TINY = 4
 FRONT, BACK, PLACED, PLACE = constants(4, 601)
 
 
@@ -67,7 +71,7 @@ def _lines(texts: pa.Array):
 
 
 def _middles(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sizes of the compared halves of a line of n words: its own, and that of a line of n - 1 words."""
+    """Sizes of the compared halves of a line of n words: its own, and that of a line of n - 1 words; 0 is none."""
     return n // 4 * 2, (n - 1) // 4 * 2
 
 
@@ -80,10 +84,10 @@ def line_rows(docs: DataFrame) -> DataFrame:
             with quiet():
                 for row, line, a, b, runs, n_bytes in _lines(text_column(batch)):
                     n = b - a
-                    long = np.flatnonzero(n >= NEAR_WORDS)
+                    long = np.flatnonzero(n >= TINY)
                     la, lb = a[long], b[long]
                     own, other = _middles(n[long])
-                    both = own != other
+                    both = (own != other) & (other > 0)
                     size = np.concatenate((own, other[both]))
                     begin, end = np.concatenate((la, la[both])), np.concatenate((lb, lb[both]))
                     line_of = np.concatenate((long, long[both]))
@@ -117,18 +121,19 @@ def _at() -> Column:
 LINE = ["hash", "n_words", "n_bytes"]
 
 
-def _similar_lines(lines: DataFrame) -> DataFrame:
-    """hash, front, back: the lines with a first or last part that another line has too, and which."""
+def _similar_lines(lines: DataFrame, least_words: int) -> DataFrame:
+    """hash, front, back: the lines with a first or last part that another line has too, and which; and all tiny lines."""
+    lines = lines.where(F.col("n_words") >= least_words)
     side = lambda name, front: F.transform(name, lambda k: F.struct(k.alias("part"), F.lit(front).alias("front")))
-    parts = lines.where(F.col("n_words") >= NEAR_WORDS).select(
-        "hash", F.inline(F.concat(side("fronts", True), side("backs", False)))
-    )
+    parts = lines.select("hash", "n_words", F.inline(F.concat(side("fronts", True), side("backs", False))))
     shared = parts.groupBy("part").agg(F.min("hash").alias("low"), F.max("hash").alias("high")).where("low < high")
-    similar = parts.join(shared.select("part"), "part", "left_semi")
-    return similar.groupBy("hash").agg(F.max("front").alias("front"), F.max(~F.col("front")).alias("back"))
+    similar = parts.where(F.col("n_words") > TINY).join(shared.select("part"), "part", "left_semi")
+    similar = similar.groupBy("hash").agg(F.max("front").alias("front"), F.max(~F.col("front")).alias("back"))
+    tiny = lines.where(F.col("n_words") <= TINY).select("hash").distinct()
+    return similar.union(tiny.select("hash", F.lit(False), F.lit(False)))
 
 
-def _line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def _line_texts(docs: DataFrame, wanted: DataFrame, least_words: int) -> DataFrame:
     """doc_id, tid, line, front, back, text of the wanted lines (hash, doc_id, tid, line, front, back).
 
     A Bloom filter of the wanted hashes, of bounded size, keeps nearly all other lines out of the join.
@@ -142,7 +147,7 @@ def _line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             texts = text_column(batch)
             with quiet():
                 for row, line, a, b, runs, _ in _lines(texts):
-                    found = np.flatnonzero(b - a >= NEAR_WORDS)
+                    found = np.flatnonzero(b - a >= least_words)
                     hashes = signed(runs.hashes(a[found], b[found]))
                     hit = bloom.may_hold(hashes)
                     found, hashes = found[hit], hashes[hit]
@@ -233,11 +238,11 @@ def _verified(pairs: DataFrame) -> DataFrame:
     return map_batches(pairs, run, pairs.schema)
 
 
-def near_lines(docs: DataFrame, firsts: DataFrame, lines: DataFrame) -> DataFrame:
+def near_lines(docs: DataFrame, firsts: DataFrame, lines: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """place and ``near``, its earliest neighbour, of the first lines that have an earlier one a word away."""
-    similar = written(_similar_lines(lines), "similar")
+    similar = written(_similar_lines(lines, least_words), "similar")
     wanted = firsts.join(similar, "hash").select("hash", "first.doc_id", "first.tid", "first.line", "front", "back")
-    texts = written(_line_texts(docs, written(wanted, "wanted")), "lines")
+    texts = written(_line_texts(docs, written(wanted, "wanted"), least_words), "lines")
     emitted = variants(texts).select("key", "kind", _at().alias("place"))
     # the earliest line of each key that is near all others of it, and the earliest that is near the line itself
     groups = emitted.groupBy("key").agg(
@@ -259,16 +264,22 @@ def _same(name: str, left: DataFrame, right: DataFrame) -> Column:
     return left[name].eqNullSafe(right[name])
 
 
-def line_decisions(docs: DataFrame) -> DataFrame:
+def line_decisions(docs: DataFrame, least_words: int = LEAST_WORDS, edits: int = 1) -> DataFrame:
     """doc_id, tid, n_lines (with words) and ``dropped``: array of (line, first_doc_id, first_line, distance), by line.
 
+    Lines of fewer than ``least_words`` words, and all lines if ``edits`` is 0, must be equal to be dropped.
     Documents without a line that has words are left out.
     """
+    if edits not in (0, 1) or least_words < LEAST_WORDS:
+        raise ValueError("edits is 0 or 1, least_words 2 or more")
     lines = written(line_rows(docs), "line-hashes")
     firsts = written(lines.groupBy(*LINE).agg(F.min(_at()).alias("first")), "first-lines")
-    near = written(near_lines(docs, firsts, lines), "near-lines")
-    # no null-safe join on a structure with a null id: the id's absence is part of the structure
-    firsts = firsts.join(near, firsts["first"].eqNullSafe(near["place"]), "left").drop("place")
+    if edits:
+        near = written(near_lines(docs, firsts, lines, least_words), "near-lines")
+        # no null-safe join on a structure with a null id: the id's absence is part of the structure
+        firsts = firsts.join(near, firsts["first"].eqNullSafe(near["place"]), "left").drop("place")
+    else:
+        firsts = firsts.withColumn("near", F.lit(None).cast(firsts.schema["first"].dataType))
     judged = lines.drop("fronts", "backs").join(firsts, LINE).withColumn("place", _at())
     again = ~F.col("place").eqNullSafe(F.col("first"))
     target = F.when(again, F.col("first")).otherwise(F.col("near"))
@@ -288,9 +299,9 @@ def line_decisions(docs: DataFrame) -> DataFrame:
     )
 
 
-def with_decisions(docs: DataFrame) -> DataFrame:
+def with_decisions(docs: DataFrame, least_words: int = LEAST_WORDS, edits: int = 1) -> DataFrame:
     """All columns of ``docs`` and ``n_lines`` and ``dropped`` (which replace columns of these names)."""
-    made = line_decisions(docs).select(F.col("doc_id").alias("d_id"), F.col("tid").alias("d_tid"), "n_lines", "dropped")
+    made = line_decisions(docs, least_words, edits).select(F.col("doc_id").alias("d_id"), F.col("tid").alias("d_tid"), "n_lines", "dropped")
     docs = without(docs, "n_lines", "dropped")
     # the hash is made before the join, so that the text is shuffled only if the caller reads it
     hashed = set_aside(docs, "doc_id", "text").withColumn("own_tid", text_id())
@@ -304,9 +315,9 @@ def with_decisions(docs: DataFrame) -> DataFrame:
     )
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS, edits: int = 1) -> DataFrame:
     """All columns of ``docs`` with the dropped lines cut out of ``text``, and ``n_lines`` and ``dropped``."""
-    judged = with_decisions(docs)
+    judged = with_decisions(docs, least_words, edits)
     parts = F.split("text", "\n", -1)
     kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.transform("dropped", lambda d: d["line"]))
     text = F.array_join(F.transform(kept, lambda i: parts[i]), "\n")

@@ -144,12 +144,12 @@ SQL = {
         lines AS (SELECT doc_id, line, len(words) AS n, array_to_string(words, ' ') AS class, words FROM worded WHERE len(words) > 0),
         placed AS (SELECT *, row_number() OVER (ORDER BY doc_id, line) AS place FROM lines),
         firsts AS (SELECT class, min(place) AS place, any_value(words) AS words, any_value(n) AS n FROM placed GROUP BY class),
-        gaps AS (SELECT place, class, words, n, unnest(range(1, n + 1)) AS gap FROM firsts WHERE n >= 8),
+        gaps AS (SELECT place, class, words, n, unnest(range(1, n + 1)) AS gap FROM firsts WHERE n >= 2),
         cut AS (SELECT place, class, n, gap, array_to_string(list_concat(words[1:gap - 1], words[gap + 1:]), ' ') AS rest FROM gaps),
         replaced AS (SELECT n, gap, rest, min(place) AS low FROM cut GROUP BY n, gap, rest HAVING count(*) > 1),
         pairs AS (
             SELECT c.place, r.low AS near FROM cut c JOIN replaced r ON c.n = r.n AND c.gap = r.gap AND c.rest = r.rest WHERE r.low < c.place
-            UNION ALL SELECT greatest(c.place, f.place), least(c.place, f.place) FROM cut c JOIN firsts f ON c.rest = f.class AND f.n >= 8),
+            UNION ALL SELECT greatest(c.place, f.place), least(c.place, f.place) FROM cut c JOIN firsts f ON c.rest = f.class AND f.n >= 2),
         near AS (SELECT place, min(near) AS near FROM pairs GROUP BY place),
         judged AS (SELECT p.doc_id, p.line, p.place <> f.place AS again, CASE WHEN p.place <> f.place THEN f.place ELSE e.near END AS target
             FROM placed p JOIN firsts f ON p.class = f.class LEFT JOIN near e ON e.place = f.place),

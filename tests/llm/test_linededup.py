@@ -1,7 +1,10 @@
 from __future__ import annotations
 
+import itertools
 import random
 
+import pytest
+
 from centsible.llm import linededup as ld
 
 
@@ -19,7 +22,7 @@ def one_apart(a, b):
     return abs(len(a) - len(b)) <= 1 and len(set(a) ^ set(b)) <= 2 and distance(a, b) <= 1
 
 
-def by_hand(rows):
+def by_hand(rows, least=2, edits=1):
     """{(doc_id, text): (n_lines, dropped)} by comparing every line with all earlier ones."""
     docs = sorted({(i is None, i, t or "") for i, t in rows}, key=lambda r: (r[0], r[1] or 0))
     earlier, out = [], {}
@@ -32,8 +35,8 @@ def by_hand(rows):
             n_lines += 1
             same = next((e for e in earlier if e[0] == words), None)
             near = None
-            if len(words) >= 8 and not same:
-                near = next((e for e in earlier if len(e[0]) >= 8 and one_apart(e[0], words)), None)
+            if len(words) >= least and edits and not same:
+                near = next((e for e in earlier if len(e[0]) >= least and one_apart(e[0], words)), None)
             if found := same or near:
                 dropped.append((line, found[1], found[2], 0 if same else 1))
             earlier.append((words, doc_id, line))
@@ -41,10 +44,10 @@ def by_hand(rows):
     return out
 
 
-def check(spark, rows):
+def check(spark, rows, *limits):
     docs = spark.createDataFrame([(i, t, "clash", "x") for i, t in rows], "doc_id long, text string, line string, hash string")
-    want = by_hand(rows)
-    got = ld.with_decisions(docs).collect()
+    want = by_hand(rows, *limits)
+    got = ld.with_decisions(docs, *limits).collect()
     assert len(got) == len(rows)
     for r in got:
         assert (r.n_lines, [tuple(d) for d in r.dropped]) == want[r.doc_id, r.text or ""], r.text
@@ -58,9 +61,10 @@ def line(rng, n):
     return [rng.choice(WORDS) + str(rng.randrange(3)) for _ in range(n)]
 
 
-def test_random_edits(spark):
+@pytest.mark.parametrize("limits", [(2, 1), (8, 1), (5, 1), (2, 0)])
+def test_random_edits(spark, limits):
     rng = random.Random(4)
-    lines = [line(rng, rng.choice([3, 7, 8, 9, 12, 30])) for _ in range(30)]
+    lines = [line(rng, rng.choice([1, 2, 3, 4, 5, 6, 7, 8, 9, 12, 30])) for _ in range(40)]
     rows = []
     for doc in range(60):
         parts = []
@@ -77,7 +81,21 @@ def test_random_edits(spark):
                     del words[at]
             parts.append(rng.choice([" ", "  ", "\t"]).join(words).title())
         rows.append((doc, rng.choice(["\n", "\n\n", "\r\n"]).join(parts)))
-    check(spark, rows)
+    check(spark, rows, *limits)
+
+
+def test_tiny_lines(spark):
+    """Every pair of lines of up to five words of two kinds, and which are one word apart."""
+    kinds = [words for n in range(1, 6) for words in itertools.product("ab", repeat=n)]
+    random.Random(3).shuffle(kinds)
+    check(spark, [(n, " ".join(words)) for n, words in enumerate(kinds)])
+
+
+def test_limits_that_make_no_sense(spark):
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    for limits in ((1, 1), (2, 2)):
+        with pytest.raises(ValueError):
+            ld.line_decisions(docs, *limits)
 
 
 def test_repeated_words_and_chains(spark):
