@@ -5,11 +5,12 @@ the rates of byte-class pairs and by how its words repeat, and encoded by one ta
 attention (tanh times sigmoid) weighs the passages, the weighted mean is the document's representation, and a logistic
 unit scores it. Attention and encoder are learned from document labels only, by Adam on the log loss.
 
-Fitting takes a bounded sample: the ``max_docs`` labelled documents with the lowest hash of doc_id, and of each
-at most ``max_passages`` passages at even distances. Scoring reads all passages of all documents.
+Fitting takes a bounded sample of labelled rows: the ``max_docs`` labelled documents with the lowest hash of doc_id, one
+row each, and of these, in the same order, those whose passages are ``max_passages`` together at most. All passages
+of a document in the sample are learned from. Scoring reads all passages of all documents.
 
 Edge cases: null and empty texts are one empty passage; a label that is null, or that differs between
-rows of one doc_id, is not learned; with no label to learn every score is 0.5 and with a single class it is
+rows of one doc_id, is not learned; of rows with the same doc_id the text with the smallest hash is learned from; with no label to learn every score is 0.5 and with a single class it is
 that class; repeated rows are scored each; an empty table gives no rows; ``score`` keeps all columns of its
 input; those that it adds replace columns of the same name.
 """
@@ -25,11 +26,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from centsible.llm.arrays import LOWER, NOT_SPACE, pieces, quiet, span_hashes, spans, text_column
-from centsible.llm.frames import map_batches, text_id, without
+from centsible.llm.frames import map_batches, text_id, without, written
 
 PASSAGE = 128
 MAX_DOCS = 6000
-MAX_PASSAGES = 32
+#: Of all sampled documents together: about 60 MB of features.
+MAX_PASSAGES = 100_000
 HIDDEN, GATES = 24, 12
 EPOCHS, BATCH, RATE, DECAY = 30, 64, 4e-3, 1e-4
 
@@ -52,13 +54,18 @@ N_CLASSES = int(CLASSES.max()) + 1
 N_FEATURES = N_CLASSES * N_CLASSES + 6
 
 
+def passage_counts(data: np.ndarray, begin: np.ndarray):
+    """Number of passages of each row of a piece, and the spans of its words."""
+    found = spans(NOT_SPACE[data], begin)
+    return np.maximum(1, -(-np.diff(found[2]) // PASSAGE)), found
+
+
 def passage_features(texts: pa.Array):
     """Per piece of the column: features of all passages and where each row's passages begin."""
     for _, _, data, begin in pieces(texts):
-        starts, ends, first = spans(NOT_SPACE[data], begin)
+        n_passages, (starts, ends, first) = passage_counts(data, begin)
         words = span_hashes(data, starts, ends, LOWER)
         n_words = np.diff(first)
-        n_passages = np.maximum(1, -(-n_words // PASSAGE))
         row_of_word = np.repeat(np.arange(len(n_words)), n_words)
         opens = np.concatenate(([0], np.cumsum(n_passages)))
         passage = opens[row_of_word] + (np.arange(len(words)) - first[row_of_word]) // PASSAGE
@@ -199,26 +206,43 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_passag
         .where("quality = high")
     )
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs).select("doc_id", "quality")
-    rows = docs.select("doc_id", "text", text_id().alias("tid")).join(F.broadcast(sample), "doc_id")  # max_docs rows
+    rows = docs.select("doc_id", F.struct(text_id().alias("tid"), "text").alias("row")).join(F.broadcast(sample), "doc_id")
+    # one row per sampled id: max_docs at most, however often an id is repeated
+    rows = rows.groupBy("doc_id", "quality").agg(F.min("row").alias("row"))
+    rows = written(rows.select("doc_id", "quality", "row.text", F.xxhash64("doc_id").alias("turn")), "labelled")
+
+    def count(batches):
+        for batch in batches:
+            n = [np.zeros(0, np.int64)]
+            with quiet():
+                n += [passage_counts(data, begin)[0] for _, _, data, begin in pieces(text_column(batch))]
+            names = ["doc_id", "turn"]
+            columns = [batch.column(batch.schema.get_field_index(c)) for c in names]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(n))], [*names, "n"])
+
+    kind = rows.schema["doc_id"]
+    counted = map_batches(rows, count, T.StructType([kind]).add("turn", "long").add("n", "long")).collect()
+    room, taken = max_passages, []
+    for r in sorted(counted, key=lambda r: (r.turn, r.doc_id)):
+        if r.n <= room:
+            taken.append(r.doc_id)
+            room -= r.n
+    if len(taken) < len(counted):
+        ids = docs.sparkSession.createDataFrame([(i,) for i in taken], T.StructType([kind]))
+        rows = rows.join(F.broadcast(ids), "doc_id")  # max_docs ids
 
     def run(batches):
         for batch in batches:
             with quiet():
-                texts, found, count = text_column(batch), [], []
-                for x, opens in passage_features(texts):
-                    for a, b in zip(opens[:-1], opens[1:]):
-                        keep = np.unique(np.linspace(a, b - 1, min(b - a, max_passages)).round().astype(int))
-                        found.append(x[keep].tobytes())
-                        count.append(len(keep))
-                at = batch.schema.get_field_index
-                names = ["doc_id", "tid", "quality"]
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(at(n)) for n in names), pa.array(found, pa.binary())], [*names, "features"]
-                )
+                found = []
+                for x, opens in passage_features(text_column(batch)):
+                    found += [x[a:b].tobytes() for a, b in zip(opens[:-1], opens[1:])]
+                columns = [batch.column(batch.schema.get_field_index(n)) for n in ("doc_id", "quality")]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.binary())], ["doc_id", "quality", "features"])
 
-    schema = T.StructType([*(rows.schema[n] for n in ("doc_id", "tid", "quality")), T.StructField("features", T.BinaryType())])
-    # at most max_docs documents of max_passages passages
-    got = sorted(map_batches(rows, run, schema).toLocalIterator(), key=lambda r: (r.doc_id, r.tid))
+    schema = T.StructType([*(rows.schema[n] for n in ("doc_id", "quality")), T.StructField("features", T.BinaryType())])
+    # at most max_docs documents of max_passages passages together
+    got = sorted(map_batches(rows, run, schema).collect(), key=lambda r: r.doc_id)
     if not got:
         return 0.5
     label = np.array([float(r.quality) for r in got])

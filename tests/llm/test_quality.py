@@ -73,3 +73,39 @@ def test_gradients_by_finite_differences():
         down = loss()
         w[name][at] = keep
         assert abs((up - down) / 2e-6 - grad[at]) < 1e-6, name
+
+
+def test_all_passages_of_the_sample_are_learned(spark):
+    """What marks a bad document stands in one far passage; thinned texts would hide it."""
+    good = " ".join(f"word{n % 50}" for n in range(128 * 40))
+    at = 128 * 37
+    bad = good.split()
+    bad[at : at + 128] = ["$$$"] * 128
+    rows = [(n, good if n % 2 else " ".join(bad)) for n in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(n, n % 2) for n in range(40)], "doc_id long, quality int")
+    found = quality.score(docs, quality.fit(docs, labels)).collect()
+    assert all(r.n_passages == 40 and (r.score >= 0.5) == r.doc_id % 2 for r in found)
+    assert {r.top_passage for r in found if r.doc_id % 2 == 0} == {37}
+
+
+def test_bounds_of_the_sample(spark):
+    """One row per id however often it is repeated; whole documents as long as their passages have room."""
+    rows = [(1, "a b " * 20)] * 500 + [(2, "$ " * 128 * 9)] + [(3, "c d"), (4, "$ %")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (4, 0)], "doc_id long, quality int")
+    seen = []
+    keep, quality.fit_bags = quality.fit_bags, lambda x, opens, label, seed=7: seen.append((np.diff(opens).tolist(), label.tolist()))
+    try:
+        quality.fit(docs, labels)
+        quality.fit(docs, labels, max_passages=5)
+    finally:
+        quality.fit_bags = keep
+    assert seen == [([1, 9, 1, 1], [1.0, 0.0, 1.0, 0.0]), ([1, 1, 1], [1.0, 1.0, 0.0])]
+
+
+def test_very_long_text(spark):
+    docs = spark.createDataFrame([(1, "lorem ipsum " * 100_000), (2, "x" * 2_000_000), (3, "dolor")], "doc_id long, text string")
+    model = quality.fit(docs, spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, quality int"))
+    got = {r.doc_id: r.n_passages for r in quality.score(docs, model).collect()}
+    assert got == {1: 1563, 2: 1, 3: 1}
