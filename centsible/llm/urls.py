@@ -2,12 +2,12 @@
 
 A rule is a host and a path prefix with a verdict. It fits its host and all subdomains if the path of
 the URL starts with the rule's; the longest rule (host and path together, then host, then block before
-allow) wins. The listed canonical URLs are the rules' ``host + path``. Each URL asks for
-the few listed forms it could match; the filter answers "surely not listed" for most of them, and only
+allow) wins. The listed canonical URLs are the rules' pairs of host and path. Each URL asks for
+the few listed pairs it could match; the filter answers "surely not listed" for most of them, and only
 possible hits go into the join, which removes false positives.
 
 Edge cases: a null URL or one without ``://`` has an empty host and path and fits no rule with a host;
-repeated rows are judged once and given back as often as they came; an empty rule list leaves every URL
+repeated rows are all given back; an empty rule list leaves every URL
 with the default verdict; an empty table gives no rows; rules that repeat count once; a rule with a null host or
 verdict raises. Other columns of the pages are not read.
 """
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from centsible.llm.bloom import BloomFilter
-from centsible.llm.frames import map_batches
+from centsible.llm.frames import map_batches, written
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -37,14 +37,15 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def _listed_forms(host: Column, path: Column, label_counts: list[int], path_lengths: list[int]) -> Column:
-    """Every ``host + path`` that a fitting rule could have, of the sizes that rules do have."""
+    """Every (host, path) that a fitting rule could have, of the sizes that rules do have."""
     labels = F.split(host, r"\.")
     hosts = [
         F.when(F.size(labels) >= n, F.array_join(F.slice(labels, F.size(labels) - F.lit(n - 1), n), "."))
         for n in label_counts
     ]
     paths = [F.when(F.length(path) >= n, F.substr(path, F.lit(1), F.lit(n))) for n in path_lengths]
-    return F.array_compact(F.array(*[F.concat(h, p) for h in hosts for p in paths]))
+    pairs = [F.when(h.isNotNull() & p.isNotNull(), F.struct(h.alias("h"), p.alias("p"))) for h in hosts for p in paths]
+    return F.array_compact(F.array(*pairs))
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
@@ -58,8 +59,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
         "verdict",
     )
     listed = rules.select(
-        F.concat("host", "path").alias("form"),
-        F.length("host").alias("host_length"),
+        F.col("host").alias("rule_host"),
+        F.col("path").alias("rule_path"),
         F.size(F.split("host", r"\.")).alias("labels"),
         F.length("path").alias("path_length"),
         F.col("verdict").alias("rule_verdict"),
@@ -68,39 +69,45 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
     label_counts, path_lengths = sorted(sizes[0]), sorted(sizes[1])
 
     host, path = host_and_path(F.col("url"))
-    rows = pages.groupBy("page_id", "url").agg(F.count("*").alias("copies"))
-    rows = rows.select("page_id", "url", "copies", host.alias("host"), path.alias("path"))
+    rows = pages.select("page_id", host.alias("host"), path.alias("path"))
     if label_counts:
         forms = _listed_forms(F.col("host"), F.col("path"), label_counts, path_lengths)
     else:
-        forms = F.array().cast("array<string>")
-    asked = rows.withColumn("forms", forms).withColumn("hashes", F.transform("forms", lambda f: F.xxhash64(f)))
-    held = pages.sparkSession.sparkContext.broadcast(BloomFilter.build(listed.select(F.xxhash64("form"))).blocks)
+        forms = F.array().cast("array<struct<h: string, p: string>>")
+    asked = rows.withColumn("hashes", F.transform(forms, lambda f: F.xxhash64(f["h"], f["p"])))
+    held = pages.sparkSession.sparkContext.broadcast(BloomFilter.build(listed.select(F.xxhash64("rule_host", "rule_path"))).blocks)
 
     def probe(batches):
         bloom = BloomFilter(held.value)
         for batch in batches:
             at = batch.schema.get_field_index
-            forms, hashes = batch.column(at("forms")), batch.column(at("hashes"))
+            hashes = batch.column(at("hashes"))
             hit = bloom.may_hold(hashes.flatten().to_numpy(zero_copy_only=False).astype(np.int64))
-            owner = np.repeat(np.arange(batch.num_rows), forms.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-            begin = np.searchsorted(owner[hit], np.arange(batch.num_rows + 1)).astype(np.int32)
-            hits = pa.ListArray.from_arrays(pa.array(begin), forms.flatten().filter(pa.array(hit)))
-            names = ["page_id", "url", "copies", "host", "path"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(at(n)) for n in names), hits], [*names, "hits"])
+            owner = np.repeat(np.arange(batch.num_rows), hashes.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            possible = np.bincount(owner[hit], minlength=batch.num_rows) > 0
+            names = ["page_id", "host", "path"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(at(n)) for n in names), pa.array(possible)], [*names, "possible"])
 
-    schema = T.StructType([*rows.schema.fields, T.StructField("hits", T.ArrayType(T.StringType()))])
-    possible = map_batches(asked, probe, schema)
-    joined = possible.withColumn("form", F.explode_outer("hits")).join(listed, "form", "left")
+    possible = map_batches(asked, probe, T.StructType([*rows.schema.fields, T.StructField("possible", T.BooleanType())]))
+    # a verdict belongs to host and path, so each pair is judged once, however many pages have it
+    pairs = possible.where("possible").select("host", "path").distinct()
+    fitting = pairs.withColumn("form", F.explode(forms)).select("host", "path", F.col("form.h").alias("rule_host"), F.col("form.p").alias("rule_path"))
     best = F.max(
-        F.when(
-            F.col("rule_verdict").isNotNull(),
-            F.struct(F.length("form").alias("n"), "host_length", F.col("rule_verdict").alias("verdict"), F.col("form").alias("rule")),
+        F.struct(
+            (F.length("rule_host") + F.length("rule_path")).alias("n"),
+            F.length("rule_host").alias("host_length"),
+            F.col("rule_verdict").alias("verdict"),
+            F.concat("rule_host", "rule_path").alias("rule"),
         )
     )
-    judged = joined.groupBy("page_id", "url", "host", "path", "copies").agg(best.alias("best"))
-    judged = judged.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return judged.select(
+    judged = fitting.join(listed, ["rule_host", "rule_path"]).groupBy("host", "path").agg(best.alias("best"))
+    # a table of known size: Spark broadcasts it if it is small; else pages that cannot be listed spread by their
+    # own hash, and adaptive execution splits the pages of a hot pair
+    judged = written(judged.select(F.col("host").alias("of_host"), F.col("path").alias("of_path"), "best"), "judged-urls")
+    spread = F.when(F.col("possible"), 0).otherwise(1 + F.pmod(F.xxhash64("page_id", "host", "path"), F.lit(1 << 30)))
+    same = (F.col("spread") == F.col("of_spread")) & (F.col("host") == F.col("of_host")) & (F.col("path") == F.col("of_path"))
+    joined = possible.withColumn("spread", spread).join(judged.withColumn("of_spread", F.lit(0).cast("long")), same, "left")
+    return joined.select(
         "page_id",
         "host",
         "path",
