@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 import public_tokenizers
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,9 +9,7 @@ from pyspark.sql import functions as F
 from centsible.llm import bpe, quality
 from centsible.llm.frames import brought_back, set_aside, without
 
-#: Folder of the public vocabulary files.
-TOKENIZERS = os.environ.get("TOKENIZERS_DIR", os.path.dirname(public_tokenizers.__file__))
-VOCABULARY = os.path.join(TOKENIZERS, "word_bpe_49k.json")
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 #: A document with a lower quality score is rejected.
 LEAST_QUALITY = 0.3
 
