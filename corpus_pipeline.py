@@ -18,6 +18,8 @@ from centsible.llm.frames import brought_back, set_aside, table, written
 from centsible.llm.settings import LEAST_QUALITY, quality_model, token_digests
 
 USED = ("doc_id", "text")
+#: Of a shorter line one word is too large a part to call two lines near; it goes only if it is repeated.
+LEAST_WORDS = 8
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +31,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that occur earlier (up to one word) go, and documents that had lines and keep none."""
-    cut = linededup.dedup_lines(set_aside(docs, *USED))
+    cut = linededup.dedup_lines(set_aside(docs, *USED), LEAST_WORDS)
     kept = cut.where((F.col("n_lines") == 0) | (F.col("n_lines") > F.size("dropped")))
     columns = brought_back(kept, docs, *USED)
     length = F.length("text").cast("long").alias("n_chars")
