@@ -62,7 +62,7 @@ COUNTED_TOGETHER = 4 << 20
 FREQUENT = 1 << 20
 SLOT_BITS = 23
 #: So many classes are compared with all members of their open lists first, and GROWTH times as many each turn.
-FIRST_TURN, GROWTH = 50, 16
+FIRST_TURN, GROWTH = 200, 64
 #: Pairs that a task holds at once.
 AT_ONCE = 1 << 20
 #: Candidates of one hub that are searched together.
@@ -332,7 +332,10 @@ def _search(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame
     looked up once and dealt to its blocks afterwards.
     """
     per_hub = pairs.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = pairs.join(per_hub, "hub").withColumn("block", F.pmod(F.xxhash64("cls"), "blocks").cast("int"))
+    # a row per BLOCK pairs at most, and a table of known size: mostly broadcast, so that no hub's pairs meet in a task
+    busy = written(per_hub.where("blocks > 1"), "busy-hubs").withColumnsRenamed({"hub": "busy", "blocks": "busy_blocks"})
+    blocks = F.coalesce("busy_blocks", F.lit(1))
+    dealt = pairs.join(busy, F.col("hub") == F.col("busy"), "left").withColumn("block", F.pmod(F.xxhash64("cls"), blocks).cast("int"))
     members = dealt.select("hub", "cls", F.lit(1).alias("member"), F.col("block").alias("low"), F.col("block").alias("high"))
     hubs = per_hub.select("hub", F.col("hub").alias("cls"), F.lit(0).alias("member"), F.lit(0).alias("low"), (F.col("blocks") - 1).alias("high"))
     asked = hubs.union(members).join(classes, "cls").join(texts, "rid")
