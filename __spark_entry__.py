@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import sys
 from collections.abc import Callable
-from datetime import date
+from datetime import date, timedelta
 from decimal import Decimal
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -25,10 +25,10 @@ from centsible.plans.ingest import ingest as batch_ingest  # noqa: E402
 from centsible.schemas import BANK_SCHEMA, CARD_NETWORK, DAILY, MONTHLY, PAYMENT_PROCESSOR, WEEKLY  # noqa: E402
 from centsible.session import prepare, scratch_path  # noqa: E402
 from centsible.sources import tables  # noqa: E402
-from centsible.sources.adapters import SourceAdapter, normalise, register_adapter  # noqa: E402
+from centsible.sources.adapters import SourceAdapter, normalise, register_adapter, unregister_adapter  # noqa: E402
 from centsible.sources.categories import load_categories  # noqa: E402
 from centsible.sources.readers import parse_events, stream_records  # noqa: E402
-from centsible.streaming import ingest  # noqa: E402
+from centsible.streaming import accepted, ingest  # noqa: E402
 from centsible.streaming import rollup as stream_rollup  # noqa: E402
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -206,7 +206,10 @@ def registered_source_ingest(spark, sf):
 
     rules = (("ledger_amount_too_small", "amount < 1000"),)
     register_adapter("LEDGER", SourceAdapter(normalise_ledger, "transaction_id", BANK_SCHEMA, rules))
-    stored = batch_ingest({"LEDGER": tb.bank_records(spark, sf)}, tb.categories(spark), max_age_days=None)
+    try:
+        stored = batch_ingest({"LEDGER": tb.bank_records(spark, sf)}, tb.categories(spark), max_age_days=None)
+    finally:
+        unregister_adapter("LEDGER")  # its rules are in the plan by now
     return stored.select(*CANONICAL)
 
 
@@ -338,6 +341,22 @@ def category_summary(spark, sf):
     )
 
 
+def stored_summary(spark, sf):
+    """The category summary from a stored rollup: parts of three batches, two of them folded into the base."""
+    store = tables.Store(spark, scratch_path(spark, "rollup"))
+    rows = tb.transactions(spark, sf)
+    for batch_id, status in enumerate(("status = 'SETTLED' AND amount < 30000", "status = 'SETTLED' AND amount >= 30000", "status <> 'SETTLED'")):
+        store.write_rollup_part(rollup.daily_rollup(rows.where(status)), batch_id)
+    store.compact_rollup(up_to_batch=1)
+    return spending.category_summary(
+        store.rollup((MONTHLY,)),
+        tb.categories(spark),
+        period_type=MONTHLY,
+        date_from=date(1997, 1, 1),
+        date_to=date(1998, 12, 31),
+    )
+
+
 def by_category(spark, sf):
     return spending.by_category(_rollup(spark, sf, DAILY), tb.categories(spark))
 
@@ -557,25 +576,88 @@ def stream_dedup(spark, sf):
     return _ingested(spark, sf).transactions().select(*CANONICAL)
 
 
-def _accepted(spark, sf, columns):
-    out, checkpoint = scratch_path(spark, "accepted"), scratch_path(spark, "checkpoint")
-
-    def run(raw):
-        accepted = ingest.accepted_stream(raw, max_age_days=None)
-        return ingest.start_file_sink(accepted.select(*columns), out, checkpoint)
-
-    _streams(spark, sf, run)
-    return spark.read.parquet(out)
+def _accepted(spark, sf):
+    store, checkpoint = tables.Store(spark, scratch_path(spark, "accepted")), scratch_path(spark, "checkpoint")
+    _streams(spark, sf, lambda raw: accepted.start_accepted(raw, store, checkpoint, max_age_days=None))
+    return store.accepted()
 
 
 def stream_dedup_ttl(spark, sf):
     """Accepted stream with the default time to live; records of any age arrive, none is late."""
-    return _accepted(spark, sf, ["source_id", "account_id"])
+    return _accepted(spark, sf).select("source_id", "account_id")
 
 
 def stream_accepted(spark, sf):
     """The same with all fields of the first arrivals."""
-    return _accepted(spark, sf, CANONICAL)
+    return _accepted(spark, sf).select(*CANONICAL)
+
+
+def stream_dedup_forgets(spark, sf):
+    """All records three times, the last after their time to live: the accepted stream forgot them and accepts them again,
+    the stored ids make them duplicates."""
+    folder, raw = scratch_path(spark, "raw"), tb.raw_sources(spark, sf)
+    recent, store = (tables.Store(spark, scratch_path(spark, name)) for name in ("recent", "store"))
+    checkpoint, dimension = scratch_path(spark, "checkpoint"), tb.categories(spark)
+
+    def stored(rows, batch_id):
+        ingest.process_batch(rows, batch_id, store, dimension, max_age_days=None)
+
+    for hours in (0, 23, 25):
+        streams = {}
+        for source, records in raw.items():
+            seen = records.withColumn("seen_at", F.lit(tb.PAYMENTS_AS_OF + timedelta(hours=hours)))
+            seen.write.parquet(f"{folder}/{source}/after{hours}")
+            streams[source] = stream_records(spark, source, f"{folder}/{source}/*", "parquet", seen.schema)
+        accepted.start_accepted(streams, recent, checkpoint, sink=stored, max_age_days=None).awaitTermination()
+    return store.outcomes().where("records > 0").select("batch_id", "source_type", "outcome", "records")
+
+
+def _payment_lifecycles(spark, sf):
+    """Payment events of which three share a payment, sent again in part, in two batches."""
+    folder, store = scratch_path(spark, "payments"), tables.Store(spark, scratch_path(spark, "store"))
+    checkpoint, events = scratch_path(spark, "checkpoint"), tb.payment_lifecycles(spark, sf)
+    for step in (0, 1):
+        records = events.where(F.col("step") == step).drop("step")
+        records.write.parquet(f"{folder}/step{step}")
+        stream = {PAYMENT_PROCESSOR: stream_records(spark, PAYMENT_PROCESSOR, f"{folder}/*", "parquet", records.schema)}
+        job = ingest.start_ingest(stream, store, tb.categories(spark), checkpoint, max_age_days=None)
+        job.awaitTermination()
+    return store
+
+
+def stream_payment_repeats(spark, sf):
+    """What is stored of payments with several events, some of them sent again under another payment id."""
+    return _payment_lifecycles(spark, sf).transactions().select(*CANONICAL)
+
+
+def stream_payment_outcomes(spark, sf):
+    """The same: outcomes of all events, the ones sent again by themselves."""
+    return reports.ingest_report(_payment_lifecycles(spark, sf).outcomes())
+
+
+def _frail_model(requests):
+    """The widget model, which breaks on dear widgets."""
+    dear = requests["merchant_name"].str.contains("widget") & (requests["amount"].astype("float64") > 90000)
+    if dear.any():
+        raise ValueError("too dear")
+    return _widget_model(requests)
+
+
+def dead_letter_stages(spark, sf):
+    """Rows that break at each stage, in one batch with sound ones: no fallback category, a model that fails on some
+    rows, times before the year 1 and events too large for a message."""
+    store = tables.Store(spark, scratch_path(spark, "store"))
+    ending = F.substring("source_id", -2, 2)
+    rows = tb.unified(spark, sf).withColumns(
+        {
+            "merchant_name": F.when(ending == "37", F.lit("x" * 5000)).otherwise(F.col("merchant_name")),
+            "transacted_at": F.when(ending == "41", F.lit("0000-06-01").cast("timestamp")).otherwise(F.col("transacted_at")),
+        }
+    )
+    dimension = tb.categories(spark).where("code <> 'uncategorised'")
+    model = classify.python_classifier(_frail_model)
+    ingest.process_batch(rows, 0, store, dimension, model, max_age_days=None, max_event_bytes=4000)
+    return store.dead_letters().select("source_id", "stage", "reject_reason")
 
 
 def stream_transactions(spark, sf):
@@ -672,6 +754,7 @@ _QUERIES: dict[str, Query] = {
         rollup_reversals,
         rollup_incremental,
         category_summary,
+        stored_summary,
         by_category,
         time_series,
         account_time_series,
@@ -702,6 +785,10 @@ _QUERIES: dict[str, Query] = {
         stream_dedup,
         stream_dedup_ttl,
         stream_accepted,
+        stream_dedup_forgets,
+        stream_payment_repeats,
+        stream_payment_outcomes,
+        dead_letter_stages,
         stream_transactions,
         stream_outcomes,
         windowed_rollup,

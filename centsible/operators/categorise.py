@@ -17,6 +17,8 @@ from centsible.schemas import FALLBACK_CATEGORY
 # Adds ml_code (string, null = no answer) and ml_confidence (double) to unmatched rows.
 Classifier = Callable[[DataFrame], DataFrame]
 
+ML_ERROR = "ml_error"
+
 RULES = "rules"
 ML = "ml"
 FALLBACK = "fallback"
@@ -65,9 +67,12 @@ def match_keyword(transactions: DataFrame, categories: DataFrame) -> DataFrame:
     )
 
 
-def _fallback_id(categories: DataFrame) -> Column:
-    """Id of the fallback category; a dimension without it is misconfigured and fails the job."""
+def _fallback_id(categories: DataFrame, strict: bool) -> Column:
+    """Id of the fallback category. A dimension without it is misconfigured: that fails the job, or, if not strict,
+    leaves the rows that need it without a category."""
     found = categories.where(F.col("code") == FALLBACK_CATEGORY).agg(F.min("id")).scalar()
+    if not strict:
+        return found
     return F.coalesce(found, F.raise_error(F.lit(f"no category {FALLBACK_CATEGORY!r}")).cast("bigint"))
 
 
@@ -75,13 +80,16 @@ def _match_model(unmatched: DataFrame, categories: DataFrame, classifier: Classi
     """Model answers as category ids; an unknown code is no match."""
     codes = categories.select(F.col("code").alias("ml_code"), F.col("id").alias("ml_category_id"))
     answered = classifier(unmatched)
+    if ML_ERROR not in answered.columns:
+        answered = answered.withColumn(ML_ERROR, F.lit(None).cast("string"))
     return answered.join(codes, "ml_code", "left").drop("ml_code", "ml_confidence")
 
 
 def categorise(
-    transactions: DataFrame, categories: DataFrame, classifier: Classifier | None = None
+    transactions: DataFrame, categories: DataFrame, classifier: Classifier | None = None, strict: bool = True
 ) -> DataFrame:
-    """Add ``category_id`` (never null) and ``category_tier`` (rules / ml / fallback)."""
+    """Add ``category_id`` (never null if strict) and ``category_tier`` (rules / ml / fallback); not strict, also
+    ``ml_error``, what the model said to rows it failed on."""
     by_mcc = match_mcc(transactions, categories)
     # coalesce stops at the first hit, so keywords are only searched where no code matched
     rule_id = F.coalesce("mcc_category_id", keyword_category(F.col("merchant_name"), F.col("_rules")))
@@ -91,19 +99,19 @@ def categorise(
         .drop("mcc_category_id", "_rules")
     )
     if classifier is None:
-        model_id = F.lit(None).cast("bigint")
+        model_id, error = F.lit(None).cast("bigint"), F.lit(None).cast("string")
     else:
         unmatched = matched.where(F.col("rule_id").isNull())
         rest = matched.where(F.col("rule_id").isNotNull())
-        matched = _match_model(unmatched, categories, classifier).unionByName(
-            rest.withColumn("ml_category_id", F.lit(None).cast("bigint"))
-        )
-        model_id = F.col("ml_category_id")
+        rest = rest.withColumn("ml_category_id", F.lit(None).cast("bigint")).withColumn(ML_ERROR, F.lit(None).cast("string"))
+        matched = _match_model(unmatched, categories, classifier).unionByName(rest)
+        model_id, error = F.col("ml_category_id"), F.col(ML_ERROR)
     tier = F.when(F.col("rule_id").isNotNull(), RULES).when(model_id.isNotNull(), ML).otherwise(FALLBACK)
     return matched.select(
         *transactions.columns,
-        F.coalesce(F.col("rule_id"), model_id, _fallback_id(categories)).alias("category_id"),
+        F.coalesce(F.col("rule_id"), model_id, _fallback_id(categories, strict)).alias("category_id"),
         tier.alias("category_tier"),
+        *([] if strict else [error.alias(ML_ERROR)]),
     )
 
 

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from centsible.operators.validate import Rule, valid_rows
-from centsible.schemas import ACCEPTED, DUPLICATE, FAILED, OUTCOMES
+from centsible.schemas import ACCEPTED, DUPLICATE, FAILED, OUTCOMES, REPEATED
+from centsible.session import scratch_path
 from centsible.sources.adapters import ADAPTERS
 
+
 def first_wins(df: DataFrame, key: str, order: str = "arrival_seq") -> DataFrame:
     """Keep the first row of every key.
 
@@ -45,140 +47,73 @@ def drop_stored(
     return batch.join(hits, key, "left_anti")
 
 
+def drop_known(rows: DataFrame, known: DataFrame | None, key: str) -> DataFrame:
+    """Remove rows whose key is in a table of known ones, at most as many as the rows have."""
+    return rows if known is None else rows.join(known, key, "left_anti")
+
+
 def classify_outcomes(
     df: DataFrame, rules: list[Rule], key: str = "source_id", order: str = "arrival_seq"
 ) -> DataFrame:
     """Mark every row FAILED, ACCEPTED or DUPLICATE in ``outcome`` without dropping any.
 
-    Equal rows are counted first and become rows again at the end, so resent copies of one record are one
-    row per task in the shuffle. The first row of each valid key is a grouped minimum, and marking is a
-    join with one row per key, whose hot keys adaptive execution splits. Rows that arrive at the same
-    place but differ are ordered by their other columns.
+    The rows are written once with a number each, so that copies that are alike can be told apart, however often a record
+    was sent. The first row of each valid key is a grouped minimum, and marking is a join with one row per key, whose
+    hot keys adaptive execution splits. Rows that arrive at the same place but differ are ordered by their other columns.
     """
     others = [name for name in df.columns if name not in (key, order)]
     failed = F.coalesce(F.expr(" OR ".join(f"coalesce({broken}, false)" for _, broken in rules)), F.lit(False))
-    groups = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_copies")).withColumn("_failed", failed)
-    groups = groups.withColumn("_row", F.struct(order, *others))
-    firsts = groups.where("NOT _failed").groupBy(F.col(key).alias("_key")).agg(F.min("_row").alias("_first"))
-    marked = groups.join(firsts, F.col(key) == F.col("_key"), "left").withColumn(
-        "_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies")))
-    )
-    is_first = F.col("_row").eqNullSafe(F.col("_first")) & (F.col("_copy") == 1)
-    outcome = F.when(F.col("_failed"), FAILED).when(is_first, ACCEPTED).otherwise(DUPLICATE)
+    rows = df.withColumn("_failed", failed).withColumn("_row", F.monotonically_increasing_id())
+    path = scratch_path(df.sparkSession, "arrived")
+    rows.write.parquet(path)
+    rows = df.sparkSession.read.schema(rows.schema).parquet(path)
+    place = F.struct(order, *others, "_row")
+    firsts = rows.where("NOT _failed").groupBy(key).agg(F.min(place).alias("_first"))
+    firsts = firsts.select(F.col(key).alias("_key"), F.col("_first._row").alias("_first"))
+    marked = rows.join(firsts, F.col(key) == F.col("_key"), "left")
+    outcome = F.when(F.col("_failed"), FAILED).when(F.col("_row") == F.col("_first"), ACCEPTED).otherwise(DUPLICATE)
     return marked.select(*df.columns, outcome.alias("outcome"))
 
 
 def count_outcomes(
     df: DataFrame, rules: list[Rule], key: str = "source_id", order: str = "arrival_seq"
 ) -> DataFrame:
-    """Records per source and outcome, each counted by itself. Rows are grouped by source and key
-    before the first arrival of a key is looked for among its sources."""
+    """Records per source and outcome, each counted by itself."""
     broken = " OR ".join(f"coalesce({condition}, false)" for _, condition in rules)
-    failed = df.groupBy("source_type").agg(F.count_if(F.expr(broken)).alias(FAILED))
-    per_source = (
-        valid_rows(df, rules)
-        .groupBy(key, "source_type")
-        .agg(F.count(F.lit(1)).alias("_copies"), F.min(order).alias("_at"))
-    )
-    place = F.row_number().over(Window.partitionBy(key).orderBy("_at", "source_type"))
-    first = F.when(F.col("_place") == 1, 1).otherwise(0)
-    kept = (
-        per_source.withColumn("_place", place)
-        .groupBy("source_type")
-        .agg(F.sum(first).alias(ACCEPTED), F.sum(F.col("_copies") - first).alias(DUPLICATE))
-    )
-    same = failed["source_type"].eqNullSafe(kept["source_type"])
-    counted = failed.join(kept, same, "left").select(failed["source_type"], ACCEPTED, DUPLICATE, FAILED)
-    return counted.na.fill(0, list(OUTCOMES)).unpivot("source_type", list(OUTCOMES), "outcome", "records")
-
-
-def batch_outcomes(batch: DataFrame, rejected: DataFrame, accepted: DataFrame) -> DataFrame:
-    """The same for a batch whose rejected and accepted rows are written: whatever else came
-    in is a duplicate."""
-    total = batch.groupBy("source_type").agg(F.count(F.lit(1)).alias("total"))
-    failed = rejected.groupBy("source_type").agg(F.count(F.lit(1)).alias(FAILED))
-    # null-safe: a record that could not be read has no source type
-    same = total["source_type"].eqNullSafe(failed["source_type"])
-    records = total.join(failed, same, "left").select(total["source_type"], "total", FAILED)
-    return _outcome_rows(records, accepted)
-
-
-def _outcome_rows(records: DataFrame, accepted: DataFrame) -> DataFrame:
-    kept = accepted.groupBy("source_type").agg(F.count(F.lit(1)).alias(ACCEPTED))
-    counted = records.join(kept, "source_type", "left").na.fill(0, [ACCEPTED, FAILED])
-    duplicates = F.col("total") - F.col(ACCEPTED) - F.col(FAILED)
-    return counted.select("source_type", ACCEPTED, duplicates.alias(DUPLICATE), FAILED).unpivot(
-        "source_type", [ACCEPTED, DUPLICATE, FAILED], "outcome", "records"
+    failed = df.groupBy("source_type").agg(F.count_if(F.expr(broken)).alias("records"))
+    firsts = count_firsts(valid_rows(df, rules), key, order)
+    return outcome_rows(
+        failed.select("source_type", F.lit(FAILED).alias("outcome"), "records"),
+        firsts.select("source_type", F.lit(ACCEPTED).alias("outcome"), F.col("firsts").alias("records")),
+        firsts.select("source_type", F.lit(DUPLICATE).alias("outcome"), F.col("repeats").alias("records")),
     )
 
 
-def drop_stream_repeats(
-    events: DataFrame, key: str = "source_id", ttl: str | None = "24 hours", order: str = "arrival_seq"
+def count_firsts(
+    rows: DataFrame, key: str, order: str = "arrival_seq", known: DataFrame | None = None
 ) -> DataFrame:
-    """Streaming duplicate check with a time to live, counted from the first arrival and not
-    prolonged by repeats. Put it after validation: only accepted rows may enter the state.
-
-    The state's clock is the processing time of the micro-batch, which the offset log replays. So no row
-    is ever late: a key that was not seen passes however old its record is, and a key is only forgotten, after
-    ``ttl`` at least and, as the clock moves with the batches, twice that at most while data flow. Of the
-    copies that reach the same micro-batch the first by ``order`` stays. Without a ``ttl`` a key is remembered for
-    good. The state is in RocksDB, so a batch looks up its own keys only.
-    """
-    once = earliest_of_batch(stamped(events, ttl), key, order)
-    if ttl is None:
-        return once.dropDuplicates([key])
-    once = once.dropDuplicatesWithinWatermark([key])
-    return once if "seen_at" in events.columns else once.drop("seen_at")
-
-
-def earliest_of_batch(events: DataFrame, key: str, order: str = "arrival_seq") -> DataFrame:
-    """The first row of every key in each micro-batch of a stream, without state. Copies of a hot key are reduced
-    before the shuffle too; a task holds the rows of its part of the micro-batch."""
-    schema = events.schema  # with the watermark, which is part of a column's metadata
-    key_at, order_at = schema.names.index(key), schema.names.index(order)
-
-    def place(value):
-        if isinstance(value, dict):
-            return tuple(place(v) for v in value.values())
-        return (value is not None, value)  # nulls first, as Spark orders them
-
-    def run(batches):
-        held, firsts = [], {}
-        for batch in batches:
-            rows = zip(batch.column(key_at).to_pylist(), batch.column(order_at).to_pylist())
-            for row, (name, at) in enumerate(rows):
-                at = place(at)
-                if name not in firsts or at < firsts[name][0]:
-                    firsts[name] = (at, len(held), row)
-            held.append(batch)
-        stay = [[] for _ in held]
-        for _, number, row in firsts.values():
-            stay[number].append(row)
-        for batch, rows in zip(held, stay):
-            if rows:
-                yield batch.take(sorted(rows))
-
-    lanes = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return events.mapInArrow(run, schema).repartition(lanes, key).mapInArrow(run, schema)
-
-
-def numbered(raw: DataFrame) -> DataFrame:
-    """A raw stream with the row's number in its task behind ``arrival_seq``: rows of one file block arrive in order."""
-    schema = T.StructType([*raw.schema.fields, T.StructField("_row", T.LongType())])
-
-    def run(batches):
-        seen = 0
-        for batch in batches:
-            rows = pa.array(range(seen, seen + batch.num_rows), pa.int64())
-            seen += batch.num_rows
-            yield pa.RecordBatch.from_arrays([*batch.columns, rows], [*batch.schema.names, "_row"])
-
-    rows = raw.mapInArrow(run, schema)
-    return rows.withColumn("arrival_seq", F.struct("arrival_seq", "_row")).drop("_row")
-
-
-def stamped(events: DataFrame, ttl: str | None) -> DataFrame:
-    """With the processing time in ``seen_at`` as the watermark's clock; unchanged if it is there already."""
-    if ttl is None or "seen_at" in events.columns:
-        return events
-    return events.withColumn("seen_at", F.current_timestamp()).withWatermark("seen_at", ttl)
+    """source_type, firsts and repeats: how many rows are the first of a key that is not ``known`` (a table of one column
+    named like the key), and how many are not. Rows are grouped by key and source before the first
+    arrival of a key is looked for among its sources, so a hot key is one row per task in the shuffle."""
+    per_source = rows.groupBy(key, "source_type").agg(F.count(F.lit(1)).alias("_copies"), F.min(order).alias("_at"))
+    place = F.row_number().over(Window.partitionBy(key).orderBy("_at", "source_type"))
+    placed = per_source.withColumn("_place", place)
+    if known is None:
+        placed = placed.withColumn("_known", F.lit(False))
+    else:
+        placed = placed.join(known.select(key, F.lit(True).alias("_known")), key, "left")
+    first = F.when((F.col("_place") == 1) & ~F.coalesce("_known", F.lit(False)), 1).otherwise(0)
+    return placed.groupBy("source_type").agg(F.sum(first).alias("firsts"), F.sum(F.col("_copies") - first).alias("repeats"))
+
+
+def outcome_rows(*counts: DataFrame) -> DataFrame:
+    """source_type, outcome, records from several counts: the three outcomes of each source, zero where nothing was
+    counted, and repeated raw records where there are any."""
+    rows = reduce(DataFrame.unionByName, counts)
+    kinds = (*OUTCOMES, REPEATED)
+    wide = rows.groupBy("source_type").agg(
+        *[F.coalesce(F.sum(F.when(F.col("outcome") == kind, F.col("records"))), F.lit(0)).alias(kind) for kind in kinds]
+    )
+    return wide.unpivot("source_type", list(kinds), "outcome", "records").where(
+        (F.col("outcome") != REPEATED) | (F.col("records") > 0)
+    )

@@ -40,6 +40,8 @@ ACCEPTED = "ACCEPTED"
 DUPLICATE = "DUPLICATE"
 FAILED = "FAILED"
 OUTCOMES = (ACCEPTED, DUPLICATE, FAILED)
+#: Not an outcome of ingest: the source sent the same raw record again.
+REPEATED = "REPEATED"
 
 FALLBACK_CATEGORY = "uncategorised"
 
@@ -140,7 +142,6 @@ TRANSACTION_SCHEMA = _struct(
     batch_id=LONG,
     transacted_date=DATE,
 )
-TRANSACTION_BASE_SCHEMA = T.StructType(TRANSACTION_SCHEMA.fields + [T.StructField("generation", LONG)])
 ROLLUP_KEYS = ["account_id", "category_id", "period_date", "period_type"]
 ROLLUP_SCHEMA = _struct(
     account_id=STRING,
@@ -192,10 +193,5 @@ EVENT_SCHEMA = _struct(
     value=STRING,
     batch_id=LONG,
 )
-# Versions of a compacted table.
-MANIFEST_SCHEMA = _struct(
-    covers_batch=LONG,
-    version=LONG,
-)
-
-RECORD_KEY_SCHEMA = _struct(record_key=STRING, batch_id=LONG)
+# What the accepted stream keeps of each first arrival.
+ACCEPTED_SCHEMA = T.StructType([*NORMALISED_SCHEMA.fields, T.StructField("ingested_at", TIMESTAMP), T.StructField("batch_id", LONG)])

@@ -115,6 +115,11 @@ def register_adapter(source_type: str, adapter: SourceAdapter) -> None:
     ADAPTERS[source_type] = adapter
 
 
+def unregister_adapter(source_type: str) -> None:
+    """Forget a source that was added."""
+    del ADAPTERS[source_type]
+
+
 def normalise(raw: DataFrame, source_type: str) -> DataFrame:
     return ADAPTERS[source_type].normalise(raw)
 

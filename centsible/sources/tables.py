@@ -1,15 +1,16 @@
-"""Stored tables: Parquet folders written once per batch.
+"""Stored tables: Parquet folders written once, named by a manifest.
 
-Every table has one sub-folder per ``batch_id`` that a replayed batch overwrites, so a restart
-after a lost driver or executor rewrites the same rows instead of adding them twice. Readers
-pass the schema, which makes a table without any batch readable as an empty DataFrame.
+A batch writes its rows of every table into folders of their own and commits them together; a batch that is
+run again replaces what it committed before. Parts are merged level by level, so their number grows with the logarithm
+of the batches, and old versions are removed. See ``manifest.py`` and, for the keys, ``keys.py``.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,184 +19,210 @@ from centsible import schemas as S
 from centsible.functions.text import stable_id
 from centsible.operators.categorise import with_category
 from centsible.operators.rollup import expand_periods, merge_daily, merge_rollups
+from centsible.operators.stages import EVENT_FORMAT, event_value
+from centsible.sources import keys as K
+from centsible.sources.manifest import Manifest, Part, size_of
 
 
-EVENT_FORMAT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}  # no digit is lost
-
 ID_BLOOM_FILTERS = {
     "parquet.bloom.filter.enabled#external_id": "true",
     "parquet.bloom.filter.enabled#source_id": "true",
     "parquet.bloom.filter.adaptive.enabled": "true",
 }
+SCHEMAS = {
+    "transactions": S.TRANSACTION_SCHEMA,
+    "dead_letters": S.DEAD_LETTER_SCHEMA,
+    "outcomes": S.OUTCOME_SCHEMA,
+    "categorised_events": S.EVENT_SCHEMA,
+    "rollup_parts": S.ROLLUP_PART_SCHEMA,
+    "rollup_base": S.ROLLUP_SCHEMA,
+    "accepted": S.ACCEPTED_SCHEMA,
+}
+#: Key indexes: stored ids, record keys of stored batches, and both of the accepted stream, by hour.
+IDS, RECORD_KEYS, RECENT_IDS, RECENT_RECORDS = "ids", "record_keys", "recent_ids", "recent_records"
+BY_DAY = "day"
 
 
-def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
+def read_parts(spark: SparkSession, paths: list[str], schema: T.StructType) -> DataFrame:
+    """Exactly these folders: a missing one fails."""
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
 @dataclass(frozen=True)
 class Store:
-    """The tables of one deployment, below one root folder of shared storage."""
+    """The tables of one deployment, below one root folder of shared storage.
+
+    ``fan`` parts of a level are merged into one of the next. A merged part of the transactions gets a folder per
+    day if a day fills ``day_bytes`` on average; smaller ones are sorted by day, so their row groups can be skipped.
+    """
 
     spark: SparkSession
     root: str
-
-    def path(self, table: str) -> str:
-        return f"{self.root}/{table}"
-
-    def _read(self, table: str, schema: T.StructType) -> DataFrame:
-        return read_or_empty(self.spark, self.path(table), schema)
-
-    def _committed(self, table: str, schema: T.StructType) -> DataFrame:
-        """A table that the manifest names: if it is missing, reading fails."""
-        return self.spark.read.schema(schema).parquet(self.path(table))
-
-    def _write_batch(
-        self, df: DataFrame, table: str, batch_id: int, partition_by: list[str] | None = None
-    ) -> None:
-        writer = df.drop("batch_id").write.mode("overwrite")
-        if partition_by:
-            writer = writer.partitionBy(*partition_by)
-        writer.parquet(f"{self.path(table)}/batch_id={batch_id}")
-
-    # manifests: which compacted version is current, and the last batch it covers
-
-    def _newest(self, manifest: str) -> tuple[int, int]:
-        """(version, last batch covered); (0, -1) before the first compaction."""
-        newest = self._read(manifest, S.MANIFEST_SCHEMA).agg(
-            F.max(F.struct("version", "covers_batch")).alias("newest")
-        )
-        found = newest.select("newest.*").first()
-        return (found.version, found.covers_batch) if found.version is not None else (0, -1)
-
-    def _commit(self, manifest: str, version: int, covers_batch: int) -> None:
-        """Written last: until then readers use the version before."""
-        row = self.spark.range(1).select(
-            F.lit(covers_batch).cast("bigint").alias("covers_batch")
-        )
-        row.coalesce(1).write.mode("overwrite").parquet(f"{self.path(manifest)}/version={version}")
-
-    # transactions: a compacted base partitioned by day, plus the batches since
-
-    def _recent_transactions(self) -> DataFrame:
-        return self._read("transactions", S.TRANSACTION_SCHEMA)
+    fan: int = 8
+    keep: int = 16
+    day_bytes: int = 64 << 20
+
+    @property
+    def manifest(self) -> Manifest:
+        return Manifest(self.spark, self.root, self.keep)
+
+    def path(self, name: str) -> str:
+        return f"{self.root}/{name}"
+
+    def parts(self, *tables: str) -> list[Part]:
+        return [part for part in self.manifest.newest()[1] if part.table in tables]
+
+    def _new(self, table: str, level: int, first: int, last: int, key: str | None = None) -> Part:
+        return Part(table, f"{table}/level{level}-{first}-{last}-{uuid.uuid4().hex[:12]}", level, first, last, key)
+
+    def read(self, parts: Iterable[Part], table: str) -> DataFrame:
+        schema, parts = SCHEMAS[table], list(parts)
+        flat = read_parts(self.spark, [self.path(p.path) for p in parts if p.key != BY_DAY], schema)
+        days = [self.path(p.path) for p in parts if p.key == BY_DAY]
+        return flat.unionByName(read_parts(self.spark, days, schema).select(*schema.names)) if days else flat
+
+    def table(self, table: str) -> DataFrame:
+        return self.read(self.parts(table), table)
+
+    def put(self, table: str, rows: DataFrame, batch_id: int, key: str | None = None) -> Part:
+        """The rows of a batch as a part that is not committed yet."""
+        part = self._new(table, 0, batch_id, batch_id, key)
+        rows.select(*SCHEMAS[table].names).write.parquet(self.path(part.path))
+        return part
+
+    def write(self, table: str, rows: DataFrame, batch_id: int) -> None:
+        """The same, committed."""
+        self.manifest.commit([self.put(table, rows, batch_id)])
+
+    # merging
+
+    def _due(self, tables: tuple[str, ...], below: int) -> list[Part]:
+        """Parts of a table and level that are enough to be merged; none of a batch that may be run again."""
+        groups: dict[tuple, list[Part]] = {}
+        for part in sorted(self.parts(*tables), key=lambda p: (p.first, p.path)):
+            if part.last < below:
+                shared = None if part.key == BY_DAY else part.key
+                groups.setdefault((part.table, shared, part.level), []).append(part)
+        return next((group[: self.fan] for group in groups.values() if len(group) >= self.fan), [])
+
+    def merge(self, below: int, *tables: str) -> None:
+        """Merge parts of batches before ``below`` until no table has ``fan`` of a level."""
+        while due := self._due(tables, below):
+            self.manifest.commit([self._merged(due)], drop=due)
+
+    def _merged(self, parts: list[Part]) -> Part:
+        table, level = parts[0].table, max(p.level for p in parts)
+        key = None if parts[0].key == BY_DAY else parts[0].key
+        part = self._new(table, level + 1, min(p.first for p in parts), max(p.last for p in parts), key)
+        if table not in SCHEMAS:
+            K.merge_keys(self.spark, [self.path(p.path) for p in parts], self.path(part.path), level, self.fan)
+            return part
+        rows = self.read(parts, table)
+        if table != "transactions":
+            rows.hint("rebalance").write.parquet(self.path(part.path))
+            return part
+        size = sum(size_of(self.spark, self.path(p.path)) for p in parts)
+        by_day = size >= self.day_bytes and size >= self.day_bytes * rows.select("transacted_date").distinct().count()
+        sized = rows.hint("rebalance", "transacted_date") if by_day else rows.hint("rebalance")
+        writer = sized.sortWithinPartitions("transacted_date", "account_id").write.options(**ID_BLOOM_FILTERS)
+        (writer.partitionBy("transacted_date") if by_day else writer).parquet(self.path(part.path))
+        return part._replace(key=BY_DAY) if by_day else part
+
+    # transactions
 
     def transactions(self) -> DataFrame:
-        """Every stored transaction. A range of days reads only those day folders of the base
-        and skips row groups of the recent batches, whose files are sorted by day."""
-        generation, covered = self._newest("transactions_manifest")
-        recent = self._recent_transactions().where(F.col("batch_id") > covered)
-        if generation == 0:
-            return recent
-        base = self._committed("transactions_base", S.TRANSACTION_BASE_SCHEMA)
-        committed = base.where(F.col("generation") <= generation).drop("generation")
-        return committed.unionByName(recent)
-
-    def batch_transactions(self, batch_id: int) -> DataFrame:
-        return self._recent_transactions().where(F.col("batch_id") == batch_id)
+        """Every stored transaction. A range of days reads only those day folders of large merged parts, and skips
+        row groups of the others, whose files are sorted by day."""
+        return self.table("transactions")
+
+    def put_transactions(self, rows: DataFrame, batch_id: int) -> Part:
+        """Few files per batch: the rebalance hint lets AQE merge small partitions and split large ones."""
+        return self.put("transactions", rows.hint("rebalance").sortWithinPartitions("transacted_date", "account_id"), batch_id)
 
     def write_transactions(self, rows: DataFrame, batch_id: int) -> None:
-        """Few files per batch: the rebalance hint lets AQE merge small partitions and split
-        large ones."""
-        sized = rows.hint("rebalance").sortWithinPartitions("transacted_date", "account_id")
-        self._write_batch(sized, "transactions", batch_id)
+        self.manifest.commit([self.put_transactions(rows, batch_id)])
 
     def compact_transactions(self, up_to_batch: int) -> None:
-        """Rewrite the batches since the last compaction as a new generation of the base,
-        partitioned by day. Earlier generations are not touched, so the cost follows the new
-        rows only. AQE merges small days and splits a day too large for one task. Bloom filters
-        on the two ids let a point lookup skip row groups."""
-        generation, covered = self._newest("transactions_manifest")
-        batches = self._recent_transactions().where(
-            (F.col("batch_id") > covered) & (F.col("batch_id") <= up_to_batch)
-        )
-        (
-            batches.hint("rebalance", "transacted_date")
-            .sortWithinPartitions("transacted_date", "account_id")
-            .write.mode("overwrite")
-            .options(**ID_BLOOM_FILTERS)
-            .partitionBy("transacted_date")
-            .parquet(self.path(f"transactions_base/generation={generation + 1}"))
-        )
-        self._commit("transactions_manifest", generation + 1, max(up_to_batch, covered))
-
-    # raw record keys that were seen (sources whose key is not the transaction's id)
-
-    def record_keys(self) -> DataFrame:
-        return self._read("record_keys", S.RECORD_KEY_SCHEMA)
-
-    def batch_record_keys(self, batch_id: int) -> DataFrame:
-        return self.record_keys().where(F.col("batch_id") == batch_id)
-
-    def write_record_keys(self, rows: DataFrame, batch_id: int) -> None:
-        self._write_batch(rows, "record_keys", batch_id)
-
-    # dead letters and outcome counts
+        """Merge all parts that were not merged yet, up to a batch, into one. Merged ones are not touched, so the cost
+        follows the new rows only. Bloom filters on the two ids let a point lookup skip row groups."""
+        fresh = [p for p in self.parts("transactions") if p.level == 0 and p.last <= up_to_batch]
+        if fresh:
+            self.manifest.commit([self._merged(fresh)], drop=fresh)
+        self.merge(up_to_batch + 1, "transactions")
+
+    # keys
+
+    def put_keys(self, table: str, rows: DataFrame, batch_id: int, key: str | None = None) -> Part:
+        """Keys (key, seen_at) of a batch as a part of an index that is not committed yet."""
+        part = self._new(table, 0, batch_id, batch_id, key)
+        K.write_keys(rows, self.path(part.path), 0, self.fan)
+        return part
+
+    def known(self, table: str, keys: DataFrame, batch_id: int, since=None) -> DataFrame:
+        """Those of the distinct keys (a stored table) that batches other than this one have left in the index."""
+        levels: dict[int, list[str]] = {}
+        for part in self.parts(table):
+            if part.level or part.first != batch_id:
+                levels.setdefault(part.level, []).append(self.path(part.path))
+        return K.known_keys(keys, levels, self.fan, since)
+
+    # other tables of a batch
 
     def dead_letters(self) -> DataFrame:
-        return self._read("dead_letters", S.DEAD_LETTER_SCHEMA)
-
-    def write_dead_letters(self, rows: DataFrame, batch_id: int) -> None:
-        self._write_batch(rows, "dead_letters", batch_id)
+        return self.table("dead_letters")
 
     def outcomes(self) -> DataFrame:
-        return self._read("outcomes", S.OUTCOME_SCHEMA)
-
-    def write_outcomes(self, rows: DataFrame, batch_id: int) -> None:
-        self._write_batch(rows, "outcomes", batch_id)
-
-    # events for downstream consumers
+        return self.table("outcomes")
 
     def categorised_events(self) -> DataFrame:
-        return self._read("categorised_events", S.EVENT_SCHEMA)
-
-    def write_categorised_events(self, rows: DataFrame, batch_id: int) -> None:
-        self._write_batch(rows, "categorised_events", batch_id)
+        return self.table("categorised_events")
 
-    # rollup: a compacted base plus one daily part per batch since
+    def accepted(self) -> DataFrame:
+        return self.table("accepted")
 
-    def rollup_parts(self) -> DataFrame:
-        return self._read("rollup_parts", S.ROLLUP_PART_SCHEMA)
+    # rollup: a base by month, plus one daily part per batch since
 
     def write_rollup_part(self, daily: DataFrame, batch_id: int) -> None:
-        self._write_batch(daily, "rollup_parts", batch_id)
+        self.write("rollup_parts", daily.withColumn("batch_id", F.lit(batch_id).cast("bigint")), batch_id)
 
     def rollup(self, period_types: tuple[str, ...] = S.PERIOD_TYPES) -> DataFrame:
-        """The current rollup: base plus every part the base does not cover."""
-        version, covered = self._newest("rollup_manifest")
-        parts = merge_daily(self.rollup_parts().where(F.col("batch_id") > covered))
-        fresh = expand_periods(parts, period_types)
-        if version == 0:
+        """The current rollup: base plus the parts since."""
+        parts = self.parts("rollup_base", "rollup_parts")
+        base = [p for p in parts if p.table == "rollup_base"]
+        daily = merge_daily(self.read([p for p in parts if p.table == "rollup_parts"], "rollup_parts"))
+        fresh = expand_periods(daily, period_types)
+        if not base:
             return fresh
-        base = self._committed(f"rollup_base/version={version}", S.ROLLUP_SCHEMA)
-        return merge_rollups(base.where(F.col("period_type").isin(*period_types)), fresh)
+        return merge_rollups(self.read(base, "rollup_base").where(F.col("period_type").isin(*period_types)), fresh)
 
     def compact_rollup(self, up_to_batch: int) -> None:
-        """Fold the parts up to a batch into a new base version. The old base and the parts
-        stay untouched for readers that started before; the manifest row, written last, makes
-        the new version current."""
-        version, covered = self._newest("rollup_manifest")
-        parts = self.rollup_parts().where(
-            (F.col("batch_id") > covered) & (F.col("batch_id") <= up_to_batch)
-        )
-        merged = expand_periods(merge_daily(parts))
-        if version:
-            base = self._committed(f"rollup_base/version={version}", S.ROLLUP_SCHEMA)
-            merged = merge_rollups(base, merged)
-        new = version + 1
+        """Fold the parts up to a batch into the base. Only the months they touch are written anew; the others keep
+        their files. A period belongs to the month it begins in."""
+        parts = self.parts("rollup_base", "rollup_parts")
+        folded = [p for p in parts if p.table == "rollup_parts" and p.last <= up_to_batch]
+        if not folded:
+            return
+        month = F.coalesce(F.date_format("period_date", "yyyy-MM"), F.lit("none"))
+        fresh = expand_periods(merge_daily(self.read(folded, "rollup_parts")))
+        touched = {r.month for r in fresh.select(month.alias("month")).distinct().collect()}  # a row per month
+        old = [p for p in parts if p.table == "rollup_base" and p.key in touched]
+        merged = merge_rollups(self.read(old, "rollup_base"), fresh) if old else fresh
+        place = self._new("rollup_base", 1, min(p.first for p in folded), max(p.last for p in folded))
         (
-            merged.hint("rebalance", "period_type")
-            .sortWithinPartitions("period_type", "account_id", "period_date")
-            .write.mode("overwrite")
-            .partitionBy("period_type")
-            .parquet(self.path(f"rollup_base/version={new}"))
+            merged.withColumn("month", month)
+            .hint("rebalance", "month")
+            .sortWithinPartitions("month", "period_type", "account_id", "period_date")
+            .write.partitionBy("month")
+            .parquet(self.path(place.path))
         )
-        self._commit("rollup_manifest", new, max(up_to_batch, covered))
+        new = [place._replace(path=f"{place.path}/month={m}", key=m) for m in sorted(touched)]
+        self.manifest.commit(new, drop=folded + old)
+
+    def maintain(self, below: int) -> None:
+        """What a job does after each batch: merge what is due, and fold rollup parts once there are ``fan``."""
+        self.merge(below, *(t for t in SCHEMAS if not t.startswith("rollup")), IDS, RECORD_KEYS, RECENT_IDS, RECENT_RECORDS)
+        if sum(p.last < below for p in self.parts("rollup_parts")) >= self.fan:
+            self.compact_rollup(below - 1)
 
 
 def to_transactions(categorised: DataFrame, batch_id: int | Column = 0) -> DataFrame:
@@ -214,14 +241,15 @@ def to_transactions(categorised: DataFrame, batch_id: int | Column = 0) -> DataF
     )
 
 
-def to_dead_letters(rejected: DataFrame, stage: str = "validation", batch_id: int | Column = 0) -> DataFrame:
+def to_dead_letters(rejected: DataFrame, stage: str | Column = "validation", batch_id: int | Column = 0) -> DataFrame:
     """Rejected rows with every reason, where they came from and the stage they failed at."""
+    stage = stage if isinstance(stage, Column) else F.lit(stage)
     batch = batch_id if isinstance(batch_id, Column) else F.lit(batch_id)
     return rejected.select(
         *S.NORMALISED_SCHEMA.names,
         "ingested_at",
         F.to_json(F.struct("arrival_seq")).alias("origin"),
-        F.lit(stage).alias("stage"),
+        stage.alias("stage"),
         "reject_reason",
         "reject_reasons",
         batch.cast("bigint").alias("batch_id"),
@@ -238,10 +266,7 @@ def accepted_events(transactions: DataFrame) -> DataFrame:
 
 def categorised_events(transactions: DataFrame, categories: DataFrame) -> DataFrame:
     """Stored transactions as topic rows that carry the category and its tier."""
-    columns = [*S.NORMALISED_SCHEMA.names, "category_code", "category_tier"]
-    return with_category(transactions, categories).select(
-        F.col("source_id").alias("key"), F.to_json(F.struct(*columns), EVENT_FORMAT).alias("value")
-    )
+    return event_value(with_category(transactions, categories)).select(F.col("source_id").alias("key"), "value")
 
 
 def write_topic(events: DataFrame, bootstrap_servers: str, topic: str) -> None:

@@ -149,6 +149,23 @@ def payment_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def payment_lifecycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payment events in two steps (``step``): three events share a payment, and some are sent again under another payment
+    id, with the first of their kind (every seventh) or a step later (every fifth of the first step)."""
+    number = "CAST(substring(event_id, 5) AS BIGINT)"
+    events = payment_events(spark, sf_dir).selectExpr("*", f"{number} AS number", f"CAST({number} % 2 AS INT) AS step")
+    first = events.withColumn("payment_id", F.expr("concat('pi_', number DIV 3)"))
+    again = events.withColumns(
+        {
+            "payment_id": F.expr("concat('pi_again_', number)"),
+            "retry_attempt": F.lit(1),
+            "arrival_seq": F.col("arrival_seq").withField("second", F.lit(1).cast("bigint")),
+        }
+    )
+    later = again.where("number % 5 = 0 AND step = 0").withColumn("step", F.lit(1))
+    return first.unionByName(again.where("number % 7 = 0")).unionByName(later).drop("number")
+
+
 def raw_sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {
         CARD_NETWORK: card_records(spark, sf_dir),

@@ -156,6 +156,11 @@ FRAGMENTS = {
             lower(p_type) || '_' || brand, p_brand, lower(p_type) || '.' || lower(p_type) || '_' || brand,
             type_id, list_sort(list_distinct(list('50' || lpad(CAST(p_size AS VARCHAR), 2, '0'))))
         FROM typed GROUP BY p_type, p_brand, brand, type_id)""",
+    # the first valid event of each payment, even event numbers first
+    "life": """SELECT * REPLACE ('pi_' || payment AS source_id) FROM (
+        SELECT *, CAST(substr(source_id, 4) AS BIGINT) AS number, number // 3 AS payment FROM payment_n
+        WHERE amount > 0 AND amount <= 100000)
+        QUALIFY row_number() OVER (PARTITION BY payment ORDER BY number % 2, s1, s2, s3, s4) = 1""",
     "typed": "SELECT *, lower(replace(p_brand, '#', '_')) AS brand, CAST("
     + _case("p_type", {name: str(i) for i, name in enumerate(tb.PART_TYPE_MCC, start=1)})
     + " AS BIGINT) * 1000 AS type_id FROM part",
@@ -173,6 +178,7 @@ NEEDS = {
     "merchant_kw": ["u", "kw_rule"],
     "t": ["firsts", "mcc_rule", "merchant_kw"],
     "d": ["t"],
+    "life": ["payment_n"],
     "r": ["d"],
     "cmp": ["d"],
     "cmp_a": ["d"],
@@ -443,6 +449,14 @@ def oracle_sql() -> dict[str, str]:
             "r",
             "cat",
         ),
+        "stored_summary": sql(
+            f"""SELECT code AS category_code, label AS category_label, {SUMS},
+            CAST(sum(total_reversed) AS DOUBLE) AS total_reversed
+            FROM r JOIN cat ON category_id = id WHERE period_type = 'MONTHLY'
+            AND period_date BETWEEN DATE '1997-01-01' AND DATE '1998-12-31' GROUP BY ALL""",
+            "r",
+            "cat",
+        ),
         "by_category": sql(
             f"""SELECT code AS category_code, label AS category_label, {SUMS},
             CAST(sum(total_reversed) AS DOUBLE) AS total_reversed
@@ -579,6 +593,38 @@ def oracle_sql() -> dict[str, str]:
         "stream_dedup": sql(f"SELECT {CANONICAL} FROM firsts", "firsts"),
         "stream_dedup_ttl": sql("SELECT DISTINCT source_id, account_id FROM firsts", "firsts"),
         "stream_accepted": sql(f"SELECT {CANONICAL} FROM firsts", "firsts"),
+        "stream_dedup_forgets": sql(
+            """SELECT CAST(batch_id AS BIGINT) AS batch_id, source_type, outcome, count(*) AS records
+            FROM firsts, (VALUES (0, 'ACCEPTED'), (2, 'DUPLICATE')) AS b(batch_id, outcome) GROUP BY ALL""",
+            "firsts",
+        ),
+        "stream_payment_repeats": sql(f"SELECT {CANONICAL} FROM life", "life"),
+        "stream_payment_outcomes": sql(
+            """SELECT 'PAYMENT_PROCESSOR' AS source_type, outcome, CAST(sum(n) AS BIGINT) AS records FROM (
+            SELECT 'FAILED' AS outcome, CASE WHEN coalesce(amount > 0 AND amount <= 100000, false) THEN 0 ELSE 1 END AS n FROM payment_n
+            UNION ALL SELECT 'ACCEPTED', 1 FROM life
+            UNION ALL SELECT 'DUPLICATE', CASE WHEN amount > 0 AND amount <= 100000 THEN 1 ELSE 0 END FROM payment_n
+            UNION ALL SELECT 'DUPLICATE', -1 FROM life
+            UNION ALL SELECT 'REPEATED', CASE WHEN event_id % 7 = 0 THEN 1 ELSE 0 END + CASE WHEN event_id % 10 = 0 THEN 1 ELSE 0 END FROM events)
+            GROUP BY ALL HAVING outcome <> 'REPEATED' OR sum(n) > 0""",
+            "life",
+        ),
+        "dead_letter_stages": sql(
+            """SELECT source_id, 'validation' AS stage, CASE WHEN amount > 0 THEN 'amount_too_large' ELSE 'amount_not_positive' END AS reject_reason
+            FROM u WHERE NOT coalesce(amount > 0 AND amount <= 100000, false)
+            UNION ALL
+            SELECT * FROM (SELECT source_id,
+                CASE WHEN failed THEN 'model' WHEN NOT known THEN 'categorisation' WHEN ending = '41' THEN 'transaction' WHEN ending = '37' THEN 'event' END AS stage,
+                CASE WHEN failed THEN 'model_failed' WHEN NOT known THEN 'category_missing' WHEN ending = '41' THEN 'date_out_of_range' WHEN ending = '37' THEN 'event_too_large' END AS reject_reason
+                FROM (SELECT source_id, ending, rule_id IS NULL AND widget AND amount > 90000 AS failed,
+                    rule_id IS NOT NULL OR (widget AND amount <= 50000) AS known FROM (
+                    SELECT source_id, amount, right(source_id, 2) AS ending, right(source_id, 2) <> '37' AND contains(f.merchant_name, 'widget') AS widget,
+                        coalesce(m.id, CASE WHEN right(source_id, 2) <> '37' THEN k.id END) AS rule_id
+                        FROM firsts f LEFT JOIN mcc_rule m ON f.merchant_mcc = m.mcc LEFT JOIN merchant_kw k ON f.merchant_name = k.merchant_name)))
+            WHERE stage IS NOT NULL""",
+            "u",
+            "t",
+        ),
         "stream_transactions": sql(
             "SELECT source_id, CAST(amount AS DOUBLE) AS amount, category_id, category_tier FROM t", "t"
         ),

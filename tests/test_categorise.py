@@ -71,6 +71,19 @@ def test_failing_classifier_means_no_match(make, categories):
     assert assigned(make, categories, model, merchant_name="Known") == ("uncategorised", "fallback")
 
 
+def test_a_model_that_fails_on_one_row_answers_the_others(make, categories):
+    def predict(requests):
+        if (requests["merchant_name"] == "poison").any():
+            raise ValueError("cannot read this")
+        return pd.DataFrame({"code": ["travel"] * len(requests), "confidence": 0.5})
+
+    names = [f"nobody {n}" for n in range(9)] + ["poison"] * 2
+    rows = make(*[{"merchant_name": name} for name in names]).coalesce(1)
+    found = cg.categorise(rows, categories, classify.python_classifier(predict), strict=False)
+    got = sorted((r.merchant_name, r.category_tier, r.ml_error) for r in found.collect())
+    assert got == sorted([(f"nobody {n}", "ml", None) for n in range(9)] + [("poison", "fallback", "ValueError: cannot read this")] * 2)
+
+
 def test_text_model_learns_from_rules(make, categories):
     rows = [{"merchant_name": f"{w} pizza corner"} for w in ("red", "blue", "green")]
     rows += [{"merchant_name": f"{w} hotel tower"} for w in ("red", "blue", "green")]

@@ -111,3 +111,11 @@ def test_source_repeats_use_the_event_id_for_payments(spark):
 def test_source_repeats_card(spark):
     raw = spark.createDataFrame([], CARD_SCHEMA).withColumn("arrival_seq", F.lit(1))
     assert dedup.drop_source_repeats(raw, CARD_NETWORK).count() == 0
+
+
+def test_no_row_is_rebuilt_from_a_count(make):
+    """One record for all rows: copies stay rows, and nothing is expanded in one task."""
+    same = {"source_id": "x", "arrival_seq": 1}
+    out = dedup.classify_outcomes(make(*[same] * 200), RULES)
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r.outcome for r in out.collect()) == ["ACCEPTED"] + ["DUPLICATE"] * 199

@@ -85,7 +85,7 @@ def test_incremental_equals_recomputed(spark, facts, tmp_path):
 
 def test_transactions_survive_compaction(spark, facts, tmp_path):
     rows = facts(*MIXED)
-    store = Store(spark, str(tmp_path))
+    store = Store(spark, str(tmp_path), day_bytes=1)
     assert store.transactions().count() == 0
     for batch_id in range(3):
         store.write_transactions(rows.where(F.pmod(F.xxhash64("source_id"), F.lit(3)) == batch_id), batch_id)
