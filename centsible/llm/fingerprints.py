@@ -3,11 +3,12 @@
 A text is cut into lines and, so that a small edit of a long line stays small, each line further after
 every word whose hash is divisible by ``CUT``; each part goes with the white space before it, so
 the parts make up the whole text. The digests of the parts (a repeat counts as another digest) are
-put into the cells of a sketch: a count, the XOR of the digests and the XOR of their check values. The sketches of two versions
-subtract cell by cell; what both hold cancels out, and peeling cells with a single digest recovers the
-digests by which they differ. If peeling gets stuck, both are sketched again with twice the cells.
+put into the cells of a sketch: a count, the XOR of the digests and the XOR of their check values. A text's fingerprint is its
+sketch, with cells as its length asks for, a power of two. Two fingerprints are folded to the smaller one's cells and
+subtracted; what both hold cancels out, and peeling cells with a single digest recovers the
+digests by which they differ. If peeling gets stuck, both texts are sketched again with twice the cells.
 
-The likeness of two texts is 1 - differing digests / all digests of both (1 if both are empty).
+The likeness of two fingerprints is 1 - differing digests / all digests of both (1 if both are empty).
 
 Edge cases: null text is empty text, without digests and with an all-zero fingerprint; equal texts have
 equal fingerprints; repeated rows are each fingerprinted; rows that share a doc_id follow each other by
@@ -37,12 +38,14 @@ from centsible.llm.arrays import (
     spans,
     text_column,
 )
-from centsible.llm.frames import map_batches, ship_package, table_rows_per_range, written
+from centsible.llm.frames import map_batches, pieces_for, quantile_cuts, ship_package, written
 
 CUT = 3
 TABLES = 3
-#: Cells per table of the fingerprint that is given out.
-SHOWN = 4
+#: Bytes of input, as stored, in a range of ids; there are MOST_RANGES at most.
+RANGE_BYTES, MOST_RANGES = 16 << 20, 1 << 15
+#: Ranges of equally many rows are put together to ranges of about equal size from so many times as many.
+FINER = 4
 SEEDS = constants(TABLES, 301)
 CHECK = constants(1, 401)[0]
 REPEAT = constants(1, 501)[0]
@@ -145,11 +148,12 @@ def _owned(digests, begin, rows):
 
 
 def differences(a, a_rows, b, b_rows) -> np.ndarray:
-    """Number of digests by which text ``a_rows[i]`` of a and ``b_rows[i]`` of b differ. a, b: (digests, begins)."""
-    total = np.diff(a[1])[a_rows] + np.diff(b[1])[b_rows]
+    """Number of digests by which text ``a_rows[i]`` of a and ``b_rows[i]`` of b differ. a, b: (digests, begins).
+
+    The first sketches are the fingerprints of both, folded to the smaller one's cells."""
     out = np.zeros(len(a_rows), np.int64)
     waiting = np.arange(len(a_rows))
-    sizes = np.maximum(4, total // 8 + 1)
+    sizes = np.minimum(_sizes(np.diff(a[1]))[a_rows], _sizes(np.diff(b[1]))[b_rows])
     while len(waiting):
         sketches = Sketches(sizes[waiting])
         for side, rows, sign in ((a, a_rows, 1), (b, b_rows, -1)):
@@ -168,16 +172,26 @@ def likeness(a, a_rows, b, b_rows) -> np.ndarray:
 
 
 def shown(side) -> list[str]:
-    """The fingerprints as text: the cells of a sketch of fixed size in hex."""
-    rows = len(side[1]) - 1
-    sketches = Sketches(np.full(rows, SHOWN))
-    digests, owner = _owned(*side, np.arange(rows))
-    sketches.add(digests, owner, np.int32(1))
-    width = TABLES * SHOWN
-    count = sketches.count.astype(">i4").reshape(rows, width)
-    key = sketches.key.astype(">u8").reshape(rows, width)
-    check = sketches.check.astype(">u8").reshape(rows, width)
-    return [c.tobytes().hex() + k.tobytes().hex() + h.tobytes().hex() for c, k, h in zip(count, key, check)]
+    """The fingerprints as text: counts, XORs of the digests and of their checks of all cells, in hex."""
+    total = np.diff(side[1])
+    made = Sketches(_sizes(total))
+    made.add(*_owned(*side, np.arange(len(total))), np.int32(1))
+    return [data.hex() for data in _packed(made)]
+
+
+def differing(fingerprint: str, other: str) -> int | None:
+    """By how many digests two given fingerprints differ; None if their cells are too few to tell."""
+    sides = [bytes.fromhex(text) for text in (fingerprint, other)]
+    size = min(_cells_of(data) for data in sides)
+    left = Sketches(np.array([size]))
+    for data, sign in zip(sides, (1, -1)):
+        count, key, check = _unpacked(data, size)
+        left.count += sign * count
+        left.key ^= key
+        left.check ^= check
+    with quiet():
+        recovered, emptied = left.peel()
+    return int(recovered[0]) if emptied[0] else None
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -392,40 +406,55 @@ def edited_neighbours(docs: DataFrame) -> DataFrame:
     """Each document with its edited version: the last third replaced by as much of the next document, by
     descending doc_id (after the last comes the first).
 
-    The ids are split into ranges of about equal length by their quantiles; a range's first row is also
-    sent to the range before it, so that every task finds the next row of its last one. Only the ids
+    The ids are split into ranges of about as many bytes; a range's first row is also
+    sent to the range before it, so that every task finds the next row of its last one. Only the ids and the lengths
     are read for that, and the texts are shuffled once. Rows that share a doc_id stay in one range.
     """
     spark = docs.sparkSession
     ship_package(spark)
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    cuts = table_rows_per_range(ids, "doc_id")
-    held = spark.sparkContext.broadcast(np.array(cuts, np.int64))  # one number per shuffle partition
-
-    @F.pandas_udf("int")
-    def range_of(values):
-        known = values.notna().to_numpy()
-        place = np.full(len(values), len(held.value) + 1, np.int32)
-        numbers = values.to_numpy()[known].astype(np.int64)
-        place[known] = len(held.value) - np.searchsorted(held.value, numbers, "right")
-        return _series(place)
-
-    heads = ids.groupBy(range_of("doc_id").alias("part")).agg(F.max("doc_id").alias("head")).orderBy("part").collect()
-    if not heads:
+    parts = min(pieces_for(docs, RANGE_BYTES), MOST_RANGES)
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length("text").alias("size"))
+    held = spark.sparkContext.broadcast(np.array(quantile_cuts(ids, "doc_id", FINER * parts), np.int64))  # a number per cut
+
+    def ranges_by(numbers):
+        """Which range each id is in; ``numbers`` has it for each place among the cuts, and for null ids last."""
+
+        @F.pandas_udf("int")
+        def range_of(values):
+            known = values.notna().to_numpy()
+            place = np.full(len(values), len(held.value) + 1, np.int64)
+            whole = values.to_numpy()[known].astype(np.int64)
+            place[known] = len(held.value) - np.searchsorted(held.value, whole, "right")
+            return _series(numbers.value[place])
+
+        return range_of
+
+    finest = spark.sparkContext.broadcast(np.arange(len(held.value) + 2, dtype=np.int32))
+    sizes = ids.groupBy(ranges_by(finest)("doc_id").alias("part")).agg(F.max("doc_id").alias("head"), F.sum("size").alias("size"))
+    fine = sizes.orderBy("part").collect()  # a row per cut
+    if not fine:
         empty = ", ".join(f"{name} {kind}" for name, kind in EDITED)
         return spark.createDataFrame([], empty)
-    order = [h["part"] for h in heads]
-    before = {part: order[n - 1] for n, part in enumerate(order)}
-    links = spark.createDataFrame([(h["part"], h["head"], before[h["part"]]) for h in heads], "part int, head long, to int")
+    enough = sum(r["size"] or 0 for r in fine) / parts
+    merged, heads, filled = np.zeros(len(held.value) + 2, np.int32), [], enough
+    for r in fine:
+        if filled >= enough:
+            heads.append(r["head"])
+            filled = 0
+        merged[r["part"]] = len(heads) - 1
+        filled += r["size"] or 0
+    range_of = ranges_by(spark.sparkContext.broadcast(merged))
+    links = [(part, head, (part - 1) % len(heads)) for part, head in enumerate(heads)]
+    links = spark.createDataFrame(links, "part int, head long, to int")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("part", range_of("doc_id"))
-    rows = rows.join(F.broadcast(links), "part")  # one row per shuffle partition
+    rows = rows.join(F.broadcast(links), "part")  # one row per range
     places = F.array(
         F.struct(F.col("part").alias("part"), F.lit(False).alias("closing")),
         F.when(F.col("doc_id").eqNullSafe(F.col("head")), F.struct(F.col("to").alias("part"), F.lit(True).alias("closing"))),
     )
     sent = rows.select("doc_id", "text", F.explode(F.array_compact(places)).alias("place"))
     sent = sent.select("place.part", "place.closing", "doc_id", "text")
-    in_order = sent.repartition(len(order), "part").sortWithinPartitions(
+    in_order = sent.repartitionById(len(heads), "part").sortWithinPartitions(
         "part", "closing", F.col("doc_id").desc_nulls_last(), "text"
     )
     return map_batches(in_order, _neighbours, ", ".join(f"{name} {kind}" for name, kind in EDITED))

@@ -142,9 +142,8 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(waiting)
 
 
-def table_rows_per_range(rows: DataFrame, column: str) -> list[int]:
-    """Cut points that split a whole-number column into about equal ranges, one per shuffle partition."""
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def quantile_cuts(rows: DataFrame, column: str, parts: int) -> list[int]:
+    """Cut points that split a whole-number column into about so many ranges of equally many rows."""
     if parts < 2:
         return []
     shares = [n / parts for n in range(1, parts)]

@@ -49,6 +49,42 @@ def test_query(spark):
     assert np.median([r.near_edited for r in rows]) > 0.6 > 0.1 > np.median([r.near_next for r in rows])
 
 
+def test_near_is_counted_from_the_given_fingerprints(spark):
+    """What two given fingerprints tell by themselves is what the query says; of most edited texts they tell it."""
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = {r.doc_id: r for r in queries.op5_fingerprint(spark, SF).collect()}
+    order = sorted(rows, reverse=True)
+    told = 0
+    for doc_id, after in zip(order, order[1:] + order[:1]):
+        r = rows[doc_id]
+        cut = len(texts[doc_id]) // 3
+        edited = texts[doc_id][: len(texts[doc_id]) - cut] + texts[after][:cut]
+        (a, b, c), _ = sets([texts[doc_id], edited, texts[after]])
+        for other, n, near in ((r.edited_fingerprint, len(a) + len(b), r.near_edited), (rows[after].fingerprint, len(a) + len(c), r.near_next)):
+            found = fp.differing(r.fingerprint, other)
+            assert found is None or near == 1.0 - found / max(1, n)
+        told += fp.differing(r.fingerprint, r.fingerprint) == 0
+    assert told == len(rows)
+
+
+def test_small_edits_of_long_texts_are_told_by_the_fingerprints(spark):
+    words = [f"word{n}" for n in range(4000)]
+    edited = words[:100] + ["other"] + words[101:3000] + words[3002:]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(edited))], "doc_id long, text string")
+    a, b = (r.fingerprint for r in fp.fingerprints(docs).orderBy("doc_id").collect())
+    (x, y), _ = sets([" ".join(words), " ".join(edited)])
+    assert fp.differing(a, b) == len(x ^ y) > 0
+
+
+def test_ranges_of_about_equal_size(spark, monkeypatch):
+    """A few ids have nearly all the text."""
+    rows = [(n, "long text " * 2000 if n in (50, 51, 52) else "short") for n in range(300)] + [(None, "x"), (None, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(fp, "pieces_for", lambda df, size: 7)
+    key = lambda r: (str(r[0]), r[1:])
+    assert sorted(result(fp.edited_neighbours(docs).collect()), key=key) == sorted(by_hand(rows), key=key)
+
+
 def test_nulls_ties_and_clashing_names(spark):
     rows = [(3, "c\nd é" * 20), (3, "a b c d e f"), (2, None), (None, "last one"), (None, "last one"), (9, ""), (5, "x" * 50_000)]
     docs = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, part int, closing int")
