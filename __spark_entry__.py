@@ -29,6 +29,7 @@ from centsible.sources.adapters import SourceAdapter, normalise, register_adapte
 from centsible.sources.categories import load_categories  # noqa: E402
 from centsible.sources.readers import parse_events, stream_records  # noqa: E402
 from centsible.streaming import accepted, ingest  # noqa: E402
+from centsible.streaming.counters import Counters  # noqa: E402
 from centsible.streaming import rollup as stream_rollup  # noqa: E402
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,6 +97,14 @@ def payload_field_query(spark, sf):
     return pt.payload_fields(tb.transactions(spark, sf), **fields)
 
 
+def stored_payload_query(spark, sf):
+    """The same fields from source records that were parsed once, when they were stored."""
+    store = tables.Store(spark, scratch_path(spark, "payloads"))
+    store.manifest.commit([store.put_payloads(tb.transactions(spark, sf), 0)])
+    fields = {"city": "$.merchant_city", "auth_code": "$.auth_code", "event_type": "$.event_type"}
+    return pt.stored_payload_fields(store.payloads(), **fields)
+
+
 # ---- validation and dedup ------------------------------------------------------------------
 
 
@@ -263,7 +272,13 @@ def categorise_seed(spark, sf):
 
 
 def category_by_code(spark, sf):
-    return pc.category_by_code(load_categories(spark), "fuel").select("id", "code", "label", "path", "parent_id")
+    found = pc.category_by_code(tb.part_categories(spark, sf), "promo_brand_12")
+    return found.select("id", "code", "label", "path", "parent_id")
+
+
+def category_paths(spark, sf):
+    """Paths of a tree of four levels."""
+    return cg.category_paths(tb.part_tree(spark, sf)).select("id", "code", "path", "depth")
 
 
 def _event_fields(events, *names):
@@ -509,6 +524,25 @@ def compare_series(spark, sf):
     return compare.compare_series(_rollup(spark, sf, MONTHLY), tb.categories(spark), YEAR_1998_BY_MONTH)
 
 
+def compare_report(spark, sf):
+    """The whole report of a year by months, from one reading of the rollup; its lists as text."""
+    report = compare.compare_report(_rollup(spark, sf, MONTHLY), tb.categories(spark), YEAR_1998_BY_MONTH)
+    text = lambda rows, *names: F.transform(rows, lambda r: F.concat_ws(":", *[r[n].cast("string") for n in names]))
+    breakdown = ("category_code", "current_spend", "previous_spend", "delta_pct", "share_of_total_current")
+    return report.select(
+        *[
+            F.col(f"{period}.{field}").alias(f"{period}_{name}")
+            for period in ("current", "previous")
+            for field, name in (("total_spend", "spend"), ("transaction_count", "count"))
+        ],
+        "delta.spend_percentage",
+        "delta.direction",
+        F.array_join(text("by_category", *breakdown), ",").alias("by_category"),
+        F.array_join(text("time_series", "period_date", "current_spend", "previous_spend"), ",").alias("time_series"),
+        F.array_join(F.array_sort(text("anomalies", "category_code", "reason")), ",").alias("anomalies"),
+    )
+
+
 def anomalies(spark, sf):
     return compare.detect_anomalies(compare_by_account(spark, sf), ["account_id"])
 
@@ -560,13 +594,13 @@ def _streams(spark, sf, run):
         run(streams).awaitTermination()
 
 
-def _ingested(spark, sf):
+def _ingested(spark, sf, **options):
     store = tables.Store(spark, scratch_path(spark, "store"))
     checkpoint = scratch_path(spark, "checkpoint")
     _streams(
         spark,
         sf,
-        lambda raw: ingest.start_ingest(raw, store, tb.categories(spark), checkpoint, max_age_days=None),
+        lambda raw: ingest.start_ingest(raw, store, tb.categories(spark), checkpoint, **{"max_age_days": None, **options}),
     )
     return store
 
@@ -668,6 +702,19 @@ def stream_outcomes(spark, sf):
     return reports.ingest_report(_ingested(spark, sf).outcomes())
 
 
+def stream_counters(spark, sf):
+    """The counters of the running job, as successes and failures."""
+    live = Counters()
+    _ingested(spark, sf, counters=live)
+    return reports.processing_counters(live.frame(spark))
+
+
+def stream_age_guard(spark, sf):
+    """The ingest with the age rules on, at one moment: outcomes per source."""
+    as_of = f"CASE WHEN source_type = '{PAYMENT_PROCESSOR}' THEN TIMESTAMP '{tb.PAYMENTS_AS_OF}' ELSE ingested_at END"
+    return reports.ingest_report(_ingested(spark, sf, as_of=as_of, max_age_days=7).outcomes())
+
+
 def stream_rollup_monthly(spark, sf):
     return _ingested(spark, sf).rollup((MONTHLY,)).select(*ROLLUP)
 
@@ -721,6 +768,7 @@ _QUERIES: dict[str, Query] = {
         normalise_payment,
         unified_transactions,
         payload_field_query,
+        stored_payload_query,
         validation_rejects,
         large_reversals,
         ingest_outcomes,
@@ -738,6 +786,7 @@ _QUERIES: dict[str, Query] = {
         topic_outcomes,
         categorise_seed,
         category_by_code,
+        category_paths,
         categorise_mcc,
         categorise_keyword,
         categorise_tiers,
@@ -775,6 +824,7 @@ _QUERIES: dict[str, Query] = {
         compare_by_category,
         compare_by_account,
         compare_series,
+        compare_report,
         anomalies,
         list_categories,
         list_categories_meta,
@@ -791,6 +841,8 @@ _QUERIES: dict[str, Query] = {
         dead_letter_stages,
         stream_transactions,
         stream_outcomes,
+        stream_counters,
+        stream_age_guard,
         windowed_rollup,
     )
 }
@@ -802,12 +854,14 @@ def _corpus() -> tuple[dict[str, Query], dict[str, str]]:
     here = os.path.dirname(os.path.abspath(__file__))
     installed = all(os.path.exists(os.path.join(here, f)) for f in ("centsible/llm/queries.py", "corpus_pipeline.py"))
     try:
+        import corpus_pipeline
         from centsible.llm import queries as corpus_queries
     except ImportError:
         if installed:
             raise
         return {}, {}
-    return corpus_queries.QUERIES, corpus_queries.SQL
+    sql = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return {**corpus_queries.QUERIES, "pipeline": corpus_pipeline.run}, {**corpus_queries.SQL, **sql}
 
 
 def _registered(query: Query) -> Query:

@@ -1,7 +1,8 @@
 """Category assignment in tiers: merchant code, then keyword, then model, then fallback.
 
-No tier shuffles the transactions: the merchant codes are a small equi-join side that Spark
-broadcasts after checking its size, and the keyword rules travel as one array value.
+No tier shuffles the transactions while the dimension is small: the merchant codes are an equi-join side that Spark
+broadcasts after checking its size, and up to ``FEW_KEYWORDS`` keywords travel as one array value. More keywords are
+looked up once per merchant name, by an equi-join of the name's windows of the keywords' lengths.
 """
 
 from __future__ import annotations
@@ -19,6 +20,9 @@ Classifier = Callable[[DataFrame], DataFrame]
 
 ML_ERROR = "ml_error"
 
+#: So many keywords are tried one after the other on each name.
+FEW_KEYWORDS = 500
+
 RULES = "rules"
 ML = "ml"
 FALLBACK = "fallback"
@@ -38,15 +42,16 @@ def match_mcc(transactions: DataFrame, categories: DataFrame) -> DataFrame:
     return transactions.join(mcc_rules(categories), "merchant_mcc", "left")
 
 
-def keyword_rules(categories: DataFrame) -> Column:
-    """All keywords with their category id, as one array (a scalar subquery run once)."""
+def keyword_pairs(categories: DataFrame) -> DataFrame:
+    """id, keyword: every keyword in small letters, with its category."""
     keyword = F.lower(F.btrim("keyword"))
-    return (
-        categories.select("id", F.explode("keywords").alias("keyword"))
-        .where(f"NOT {is_blank('keyword')}")
-        .agg(F.collect_list(F.struct(F.col("id"), keyword.alias("keyword"))))
-        .scalar()
-    )
+    exploded = categories.select("id", F.explode("keywords").alias("keyword")).where(f"NOT {is_blank('keyword')}")
+    return exploded.select("id", keyword.alias("keyword"))
+
+
+def keyword_rules(categories: DataFrame) -> Column:
+    """All keywords with their category id, as one array (a scalar subquery run once). For few keywords."""
+    return keyword_pairs(categories).agg(F.collect_list(F.struct("id", "keyword"))).scalar()
 
 
 def keyword_category(merchant_name: Column, rules: Column) -> Column:
@@ -56,8 +61,28 @@ def keyword_category(merchant_name: Column, rules: Column) -> Column:
     return F.array_min(F.transform(hits, lambda rule: rule["id"]))
 
 
+def merchant_categories(merchants: DataFrame, categories: DataFrame) -> DataFrame:
+    """merchant_name, keyword_category_id of the names that hold a keyword, for keywords of any number.
+
+    Every distinct name is cut into its windows of the lengths that keywords have, and windows and keywords are joined:
+    the work follows the names' lengths, not the number of keywords. Hot names are one row here.
+    """
+    pairs = keyword_pairs(categories).groupBy("keyword").agg(F.min("id").alias("id"))
+    lengths = [r.n for r in pairs.select(F.char_length("keyword").alias("n")).distinct().collect()]  # small numbers
+    names = merchants.select("merchant_name").where("merchant_name IS NOT NULL").distinct()
+    names = names.withColumn("name", F.lower("merchant_name"))
+    sizes = F.array(*[F.lit(n) for n in sorted(lengths)]).cast("array<int>")
+    sized = names.withColumn("size", F.explode(sizes)).where("char_length(name) >= size")
+    placed = sized.withColumn("place", F.explode(F.expr("sequence(1, char_length(name) - size + 1)")))
+    windows = placed.select("merchant_name", F.expr("substring(name, place, size)").alias("keyword"))
+    hits = windows.join(pairs, "keyword")
+    return hits.groupBy("merchant_name").agg(F.min("id").alias("keyword_category_id"))
+
+
 def match_keyword(transactions: DataFrame, categories: DataFrame) -> DataFrame:
     """Add ``keyword_category_id``."""
+    if keyword_pairs(categories).count() > FEW_KEYWORDS:
+        return transactions.join(merchant_categories(transactions, categories), "merchant_name", "left")
     return (
         transactions.withColumn("_rules", keyword_rules(categories))
         .withColumn(
@@ -91,13 +116,19 @@ def categorise(
     """Add ``category_id`` (never null if strict) and ``category_tier`` (rules / ml / fallback); not strict, also
     ``ml_error``, what the model said to rows it failed on."""
     by_mcc = match_mcc(transactions, categories)
-    # coalesce stops at the first hit, so keywords are only searched where no code matched
-    rule_id = F.coalesce("mcc_category_id", keyword_category(F.col("merchant_name"), F.col("_rules")))
-    matched = (
-        by_mcc.withColumn("_rules", keyword_rules(categories))
-        .withColumn("rule_id", rule_id)
-        .drop("mcc_category_id", "_rules")
-    )
+    if keyword_pairs(categories).count() > FEW_KEYWORDS:
+        names = by_mcc.where("mcc_category_id IS NULL")
+        matched = by_mcc.join(merchant_categories(names, categories), "merchant_name", "left")
+        matched = matched.withColumn("rule_id", F.coalesce("mcc_category_id", "keyword_category_id"))
+        matched = matched.drop("mcc_category_id", "keyword_category_id")
+    else:
+        # coalesce stops at the first hit, so keywords are only searched where no code matched
+        rule_id = F.coalesce("mcc_category_id", keyword_category(F.col("merchant_name"), F.col("_rules")))
+        matched = (
+            by_mcc.withColumn("_rules", keyword_rules(categories))
+            .withColumn("rule_id", rule_id)
+            .drop("mcc_category_id", "_rules")
+        )
     if classifier is None:
         model_id, error = F.lit(None).cast("bigint"), F.lit(None).cast("string")
     else:
@@ -131,6 +162,27 @@ def orphans(df: DataFrame, categories: DataFrame) -> DataFrame:
     return df.join(categories.select(F.col("id").alias("category_id")), "category_id", "left_anti")
 
 
+def category_paths(categories: DataFrame) -> DataFrame:
+    """Categories with ``path``, the codes from the root down, and ``depth``, for a tree of any depth.
+
+    A category whose parent is not in the dimension is a root. One that no root leads to hangs on a cycle; that fails
+    the job.
+    """
+    found = categories.sparkSession.sql(
+        """WITH RECURSIVE nodes AS (
+            SELECT c.id, c.code, p.id AS parent FROM {categories} c LEFT JOIN {categories} p ON c.parent_id = p.id),
+        tree(id, path, depth) AS (
+            SELECT id, code, 1 FROM nodes WHERE parent IS NULL
+            UNION ALL SELECT n.id, concat(t.path, '.', n.code), t.depth + 1 FROM nodes n JOIN tree t ON n.parent = t.id)
+        SELECT id AS node, path, depth FROM tree""",
+        categories=categories,
+    )
+    others = categories.drop("path", "depth")
+    joined = others.join(found, others["id"] == found["node"], "left").drop("node")
+    cycle = F.raise_error(F.concat(F.lit("category without a root: "), F.col("code"))).cast("string")
+    return joined.withColumn("path", F.coalesce("path", cycle))
+
+
 def with_parent(categories: DataFrame) -> DataFrame:
     """Category tree: each category with its parent and its depth in the dotted path."""
     parent = categories.select(

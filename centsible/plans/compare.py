@@ -19,6 +19,7 @@ from centsible.functions.numbers import direction, percent, three_significant_di
 from centsible.functions.periods import bucket_ordinal, previous_window
 from centsible.plans.spending import select_rollup
 from centsible.schemas import DAILY, MONEY, TOTAL
+from centsible.session import scratch_path
 
 # Fixed values.
 Z_SCORE_THRESHOLD = 2.0
@@ -167,6 +168,12 @@ def by_spend(breakdown: DataFrame, per: Sequence[str] = ()) -> DataFrame:
 
 
 def detect_anomalies(breakdown: DataFrame, per: Sequence[str] = ()) -> DataFrame:
+    """``find_anomalies`` in order, the farthest from the mean first."""
+    found = find_anomalies(breakdown, per)
+    return found.orderBy(*per, F.col("_size").desc(), F.col("category_code").asc()).drop("_size")
+
+
+def find_anomalies(breakdown: DataFrame, per: Sequence[str] = ()) -> DataFrame:
     """Categories whose change lies more than two standard deviations from the report's mean.
 
     The deviation is the population's, so at least six categories are needed for a hit; with
@@ -197,20 +204,18 @@ def detect_anomalies(breakdown: DataFrame, per: Sequence[str] = ()) -> DataFrame
         .where(F.coalesce(exact, rough))
     )
     above = F.col("_z") > 0
-    return (
-        scored.orderBy(*per, F.abs("_z").desc(), F.col("category_code").asc())
-        .select(
-            *per,
-            "category_code",
-            F.when(above, SPIKE).otherwise(DROP).alias("reason"),
-            three_significant_digits(F.col("_z")).alias("z_score"),
-            F.format_string(
-                "%s spend %.1f%% %s compared to previous period",
-                F.col("category_label"),
-                F.abs(F.col("_delta")),
-                F.when(above, "above").otherwise("below"),
-            ).alias("description"),
-        )
+    return scored.select(
+        *per,
+        "category_code",
+        F.when(above, SPIKE).otherwise(DROP).alias("reason"),
+        three_significant_digits(F.col("_z")).alias("z_score"),
+        F.format_string(
+            "%s spend %.1f%% %s compared to previous period",
+            F.col("category_label"),
+            F.abs(F.col("_delta")),
+            F.when(above, "above").otherwise("below"),
+        ).alias("description"),
+        F.abs("_z").alias("_size"),
     )
 
 
@@ -219,9 +224,18 @@ def compare_series(
 ) -> DataFrame:
     """Current and previous spend per bucket. The n-th bucket of the current window is paired
     with the n-th of the previous one; buckets without current rows are left out."""
+    per_bucket = (
+        _in_buckets(_both_windows(rollup, categories, request), request, *per)
+        .groupBy(*per, "bucket")
+        .agg(F.max("day").alias("period_date"), *_both_spends())
+    )
+    return series_of(per_bucket, per).orderBy(*per, "period_date")
+
+
+def _in_buckets(rows: DataFrame, request: ComparisonRequest, *columns: str) -> DataFrame:
+    """Each row with its bucket in the window, or windows, that it lies in: bucket, day, now, before and their counts."""
     previous_from, _ = request.previous
-    day, spend = F.col("period_date"), F.col("total_spend")
-    none = F.lit(None)
+    day, spend, count, none = F.col("period_date"), F.col("total_spend"), F.col("transaction_count"), F.lit(None)
     sides = F.array(
         F.when(
             request.in_current(),
@@ -230,6 +244,8 @@ def compare_series(
                 day.alias("day"),
                 spend.alias("now"),
                 none.cast(MONEY).alias("before"),
+                count.alias("now_count"),
+                none.cast("bigint").alias("before_count"),
             ),
         ),
         F.when(
@@ -239,22 +255,21 @@ def compare_series(
                 none.cast("date").alias("day"),
                 none.cast(MONEY).alias("now"),
                 spend.alias("before"),
+                none.cast("bigint").alias("now_count"),
+                count.alias("before_count"),
             ),
         ),
     )
-    return (
-        _both_windows(rollup, categories, request)
-        .select(*per, F.inline(F.array_compact(sides)))
-        .groupBy(*per, "bucket")
-        .agg(
-            F.max("day").alias("period_date"),
-            _total(F.col("now")).alias("current_spend"),
-            _total(F.col("before")).alias("previous_spend"),
-        )
-        .where(F.col("period_date").isNotNull())
-        .select(*per, "period_date", "current_spend", "previous_spend")
-        .orderBy(*per, "period_date")
-    )
+    return rows.select(*columns, F.inline(F.array_compact(sides)))
+
+
+def _both_spends() -> list[Column]:
+    return [_total(F.col("now")).alias("current_spend"), _total(F.col("before")).alias("previous_spend")]
+
+
+def series_of(per_bucket: DataFrame, per: Sequence[str] = ()) -> DataFrame:
+    """The buckets of the current window; the day of a bucket is that of its current rows."""
+    return per_bucket.where(F.col("period_date").isNotNull()).select(*per, "period_date", "current_spend", "previous_spend")
 
 
 def compare(
@@ -275,28 +290,62 @@ def compare(
     )
 
 
-def nested(comparison: Comparison) -> DataFrame:
-    """One row with the whole report of a comparison made without ``per``: two period structs,
-    the delta struct and three lists, each bounded by the number of categories or buckets."""
+def compare_report(rollup: DataFrame, categories: DataFrame, request: ComparisonRequest) -> DataFrame:
+    """One row with the whole report: two period structs, the delta struct and three lists, each bounded by the number
+    of categories or buckets.
+
+    The rollup is read once: one grouping by category and, beside it, by bucket gives a table of as many rows, from
+    which totals, breakdown, series and anomalies are made.
+    """
+    rows = _in_buckets(_both_windows(rollup, categories, request), request, "category_id")
+    cells = rows.groupingSets([["category_id"], ["bucket"]], "category_id", "bucket").agg(
+        F.grouping("bucket").alias("by_category"),
+        F.max("day").alias("period_date"),
+        *_both_spends(),
+        F.coalesce(F.sum("now_count"), F.lit(0)).alias("current_count"),
+        F.coalesce(F.sum("before_count"), F.lit(0)).alias("previous_count"),
+        F.max(F.col("now").isNotNull()).alias("is_current"),
+    )
+    path = scratch_path(rollup.sparkSession, "comparison")
+    cells.coalesce(1).write.parquet(path)
+    cells = rollup.sparkSession.read.schema(cells.schema).parquet(path)
+    sums = cells.where("by_category = 1")
+    totals = report_totals(sums)
+    breakdown = category_breakdown(sums, categories)
+    spend = F.struct(-F.col("current_spend"), "category_code")
+    return nested(
+        period_summaries(totals, request),
+        spend_delta(totals),
+        (breakdown, spend),
+        (series_of(cells.where("by_category = 0")), F.struct("period_date")),
+        (find_anomalies(breakdown), F.struct(-F.col("_size"), "category_code")),
+    )
+
+
+def nested(
+    periods: DataFrame,
+    delta: DataFrame,
+    by_category: tuple[DataFrame, Column],
+    time_series: tuple[DataFrame, Column],
+    anomalies: tuple[DataFrame, Column],
+) -> DataFrame:
+    """The parts of a report, the lists with what they are sorted by, as one row."""
 
-    def as_list(df: DataFrame, name: str) -> Column:
-        numbered = df.select(F.struct(F.monotonically_increasing_id().alias("_place"), *df.columns).alias("row"))
-        rows = F.array_sort(F.collect_list("row"))
-        fields = df.columns
-        return numbered.agg(
-            F.transform(rows, lambda row: F.struct(*[row[f].alias(f) for f in fields])).alias(name)
-        ).scalar()
+    def as_list(part: tuple[DataFrame, Column], name: str) -> Column:
+        df, order = part
+        fields = [c for c in df.columns if not c.startswith("_")]
+        rows = F.array_sort(F.collect_list(F.struct(order.alias("order"), F.struct(*fields).alias("row"))))
+        return df.agg(F.transform(rows, lambda row: row["row"]).alias(name)).scalar()
 
     def only(df: DataFrame, condition: str | None = None) -> Column:
         rows = df.where(condition) if condition else df
         return rows.select(F.struct(*rows.columns)).scalar()
 
-    spark = comparison.delta.sparkSession
-    return spark.range(1).select(
-        only(comparison.periods, "period = 'current'").alias("current"),
-        only(comparison.periods, "period = 'previous'").alias("previous"),
-        only(comparison.delta).alias("delta"),
-        as_list(comparison.by_category, "by_category").alias("by_category"),
-        as_list(comparison.time_series, "time_series").alias("time_series"),
-        as_list(comparison.anomalies, "anomalies").alias("anomalies"),
+    return delta.sparkSession.range(1).select(
+        only(periods, "period = 'current'").alias("current"),
+        only(periods, "period = 'previous'").alias("previous"),
+        only(delta).alias("delta"),
+        as_list(by_category, "by_category").alias("by_category"),
+        as_list(time_series, "time_series").alias("time_series"),
+        as_list(anomalies, "anomalies").alias("anomalies"),
     )

@@ -204,3 +204,13 @@ def payload_fields(transactions: DataFrame, **paths: str) -> DataFrame:
         "source_type",
         *[F.get_json_object("raw_payload", path).alias(name) for name, path in paths.items()],
     )
+
+
+def stored_payload_fields(payloads: DataFrame, **paths: str) -> DataFrame:
+    """The same from the stored source records, which were parsed when they were written. A field that is no text is given
+    as its JSON."""
+    return payloads.select(
+        "source_id",
+        "source_type",
+        *[F.try_variant_get("payload", path, "string").alias(name) for name, path in paths.items()],
+    )

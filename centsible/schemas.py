@@ -195,3 +195,13 @@ EVENT_SCHEMA = _struct(
 )
 # What the accepted stream keeps of each first arrival.
 ACCEPTED_SCHEMA = T.StructType([*NORMALISED_SCHEMA.fields, T.StructField("ingested_at", TIMESTAMP), T.StructField("batch_id", LONG)])
+
+# The source records as parsed values, written once per transaction.
+PAYLOAD_SCHEMA = T.StructType(
+    [
+        T.StructField("source_id", STRING),
+        T.StructField("source_type", STRING),
+        T.StructField("payload", T.VariantType()),
+        T.StructField("batch_id", LONG),
+    ]
+)

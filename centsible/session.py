@@ -39,9 +39,9 @@ def prepare(spark: SparkSession) -> SparkSession:
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
     cores = spark.sparkContext.defaultParallelism
-    if spark.conf.get("spark.sql.shuffle.partitions") == "200":
-        # left at the default: one state partition per core for streams, and for batches several pieces
-        # per core, which adaptive execution merges to its advisory size
+    if "spark.sql.shuffle.partitions" not in spark.conf.getAll:
+        # not set by anyone, to whatever number: one state partition per core for streams, and for batches several
+        # pieces per core, which adaptive execution merges to its advisory size
         spark.conf.set("spark.sql.shuffle.partitions", str(cores))
         if spark.conf.get(INITIAL_PARTITIONS, None) is None:
             spark.conf.set(INITIAL_PARTITIONS, str(PIECES_PER_CORE * cores))

@@ -45,15 +45,25 @@ SEED = [
 ]
 
 
+def _codes_from_root(row: tuple, by_id: dict[int, tuple]) -> list[str]:
+    codes, seen = [row[1]], {row[0]}
+    while (parent := by_id.get(row[3])) is not None:
+        if parent[0] in seen:
+            raise ValueError(f"the parents of category {codes[-1]!r} lead in a circle")
+        row = parent
+        seen.add(row[0])
+        codes.append(row[1])
+    return codes[::-1]
+
+
 def load_categories(spark: SparkSession, rows: list[tuple] | None = None) -> DataFrame:
     """Category rows ``(id, code, label, parent_id, mcc_codes, keywords)`` as the dimension.
 
-    Comma lists become arrays with blank items dropped; the dotted path is the parent's code
-    followed by the own code; the external id is derived from the code.
+    Comma lists become arrays with blank items dropped; the dotted path has the codes from the root down to the
+    own code; the external id is derived from the code. Parents that lead in a circle are an error.
     """
     rows = SEED if rows is None else rows
-    codes = {row[0]: row[1] for row in rows}
-    paths = [".".join(filter(None, (codes.get(row[3]), row[1]))) for row in rows]
+    paths = [".".join(_codes_from_root(row, {row[0]: row for row in rows})) for row in rows]
     columns = [*map(list, zip(*rows)), paths] if rows else [[] for _ in _INPUT_SCHEMA]
     # from Arrow and without a join, so that Spark knows the size and can decide to broadcast it
     raw = spark.createDataFrame(pa.table(columns, schema=_INPUT_SCHEMA))

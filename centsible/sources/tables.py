@@ -37,6 +37,7 @@ SCHEMAS = {
     "rollup_parts": S.ROLLUP_PART_SCHEMA,
     "rollup_base": S.ROLLUP_SCHEMA,
     "accepted": S.ACCEPTED_SCHEMA,
+    "payloads": S.PAYLOAD_SCHEMA,
 }
 #: Key indexes: stored ids, record keys of stored batches, and both of the accepted stream, by hour.
 IDS, RECORD_KEYS, RECENT_IDS, RECENT_RECORDS = "ids", "record_keys", "recent_ids", "recent_records"
@@ -150,6 +151,16 @@ class Store:
             self.manifest.commit([self._merged(fresh)], drop=fresh)
         self.merge(up_to_batch + 1, "transactions")
 
+    # source records
+
+    def put_payloads(self, rows: DataFrame, batch_id: int) -> Part:
+        """The source records of transactions, parsed once. A payload that is no JSON becomes null."""
+        parsed = rows.select("source_id", "source_type", F.try_parse_json("raw_payload").alias("payload"), F.lit(batch_id).cast("bigint").alias("batch_id"))
+        return self.put("payloads", parsed.hint("rebalance"), batch_id)
+
+    def payloads(self) -> DataFrame:
+        return self.table("payloads")
+
     # keys
 
     def put_keys(self, table: str, rows: DataFrame, batch_id: int, key: str | None = None) -> Part:

@@ -225,3 +225,24 @@ def part_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
             no_list.alias("keywords"),
         )
     )
+
+
+def part_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree of four levels taken from the part table, without paths: type, brand, tens of the size, size."""
+    numbers = {name: str(i) for i, name in enumerate(PART_TYPE_MCC, start=1)}
+    parts = table(spark, sf_dir, "part").selectExpr(
+        f"CAST({translate('p_type', numbers)} AS BIGINT) * 1000000 AS type_id",
+        "lower(p_type) AS type",
+        "CAST(split_part(p_brand, '#', 2) AS BIGINT) AS brand",
+        "CAST(p_size AS BIGINT) AS size",
+    )
+    levels = F.expr(
+        """array(
+        named_struct('id', type_id, 'code', type, 'parent_id', CAST(NULL AS BIGINT)),
+        named_struct('id', type_id + brand * 10000, 'code', concat('b', brand), 'parent_id', type_id),
+        named_struct('id', type_id + brand * 10000 + (size DIV 10 + 1) * 100, 'code', concat('t', size DIV 10),
+            'parent_id', type_id + brand * 10000),
+        named_struct('id', type_id + brand * 10000 + (size DIV 10 + 1) * 100 + size % 10 + 1, 'code', concat('s', size),
+            'parent_id', type_id + brand * 10000 + (size DIV 10 + 1) * 100))"""
+    )
+    return parts.select(F.inline(levels)).distinct()

@@ -143,6 +143,7 @@ FRAGMENTS = {
         max(now) AS is_current
         FROM (SELECT *, period_date >= {YEAR[0]} AS now FROM d
             WHERE period_date BETWEEN {YEAR_BEFORE[0]} AND {YEAR[1]}) GROUP BY ALL""",
+    "months": "SELECT period_date, sum(total_spend) AS spend FROM r WHERE period_type = 'MONTHLY' GROUP BY ALL",
     "brk": """SELECT code AS category_code, label AS category_label, cur, prev,
         sum(cur) OVER () AS cur_total FROM cmp JOIN cat ON category_id = id WHERE is_current""",
     "brk_a": """SELECT account_id, code AS category_code, label AS category_label, cur, prev,
@@ -161,6 +162,9 @@ FRAGMENTS = {
         SELECT *, CAST(substr(source_id, 4) AS BIGINT) AS number, number // 3 AS payment FROM payment_n
         WHERE amount > 0 AND amount <= 100000)
         QUALIFY row_number() OVER (PARTITION BY payment ORDER BY number % 2, s1, s2, s3, s4) = 1""",
+    "sized": "SELECT lower(p_type) AS type, CAST(split_part(p_brand, '#', 2) AS BIGINT) AS brand, CAST(p_size AS BIGINT) AS size, CAST("
+    + _case("p_type", {name: str(i) for i, name in enumerate(tb.PART_TYPE_MCC, start=1)})
+    + " AS BIGINT) * 1000000 AS type_id FROM part",
     "typed": "SELECT *, lower(replace(p_brand, '#', '_')) AS brand, CAST("
     + _case("p_type", {name: str(i) for i, name in enumerate(tb.PART_TYPE_MCC, start=1)})
     + " AS BIGINT) * 1000 AS type_id FROM part",
@@ -183,6 +187,7 @@ NEEDS = {
     "cmp": ["d"],
     "cmp_a": ["d"],
     "brk": ["cmp", "cat"],
+    "months": ["r"],
     "brk_a": ["cmp_a", "cat"],
     "pcat": ["typed"],
 }
@@ -300,6 +305,9 @@ def oracle_sql() -> dict[str, str]:
         "payload_field_query": sql(
             "SELECT source_id, source_type, merchant_city AS city, auth_code, event_type FROM firsts", "firsts"
         ),
+        "stored_payload_query": sql(
+            "SELECT source_id, source_type, merchant_city AS city, auth_code, event_type FROM firsts", "firsts"
+        ),
         # validation and dedup
         "validation_rejects": sql(
             """SELECT source_id, source_type, CAST(amount AS DOUBLE) AS amount, transacted_at,
@@ -360,10 +368,16 @@ def oracle_sql() -> dict[str, str]:
             "seed_mcc",
             "seed_kw",
         ),
-        "category_by_code": sql(
-            """SELECT c.id, c.code, c.label, p.code || '.' || c.code AS path, c.parent_id
-            FROM seed c JOIN seed p ON c.parent_id = p.id WHERE c.code = 'fuel'""",
-            "seed",
+        "category_by_code": sql("SELECT id, code, label, path, parent_id FROM pcat WHERE code = 'promo_brand_12'", "pcat"),
+        "category_paths": sql(
+            """SELECT id, code, path, depth FROM (
+            SELECT type_id AS id, type AS code, type AS path, 1 AS depth FROM sized
+            UNION SELECT type_id + brand * 10000, 'b' || brand, type || '.b' || brand, 2 FROM sized
+            UNION SELECT type_id + brand * 10000 + (size // 10 + 1) * 100, 't' || (size // 10),
+                type || '.b' || brand || '.t' || (size // 10), 3 FROM sized
+            UNION SELECT type_id + brand * 10000 + (size // 10 + 1) * 100 + size % 10 + 1, 's' || size,
+                type || '.b' || brand || '.t' || (size // 10) || '.s' || size, 4 FROM sized)""",
+            "sized",
         ),
         "dedup_first_wins": sql(f"SELECT {CANONICAL} FROM firsts", "firsts"),
         "source_repeats": sql(
@@ -565,6 +579,25 @@ def oracle_sql() -> dict[str, str]:
             ON month(c.period_date) = month(p.period_date)""",
             "r",
         ),
+        "compare_report": sql(
+            f"""SELECT CAST(cur AS DOUBLE) AS current_spend, CAST(cur_n AS BIGINT) AS current_count,
+            CAST(prev AS DOUBLE) AS previous_spend, CAST(prev_n AS BIGINT) AS previous_count,
+            {percent('cur - prev', 'prev')} AS spend_percentage,
+            CASE WHEN cur > prev THEN 'INCREASE' WHEN cur < prev THEN 'DECREASE' ELSE 'FLAT' END AS direction,
+            coalesce((SELECT string_agg(concat_ws(':', category_code, CAST(cur AS DECIMAL(38,4)), CAST(prev AS DECIMAL(38,4)),
+                CAST({percent('cur - prev', 'prev')} AS DECIMAL(24,2)), CAST({percent('cur', 'cur_total')} AS DECIMAL(24,2))), ','
+                ORDER BY cur DESC, category_code) FROM brk), '') AS by_category,
+            coalesce((SELECT string_agg(concat_ws(':', c.period_date, CAST(c.spend AS DECIMAL(38,4)), CAST(coalesce(p.spend, 0) AS DECIMAL(38,4))), ','
+                ORDER BY c.period_date) FROM months c LEFT JOIN months p ON p.period_date = c.period_date - INTERVAL 1 YEAR
+                WHERE c.period_date BETWEEN {YEAR[0]} AND {YEAR[1]}), '') AS time_series,
+            coalesce((SELECT string_agg(category_code || ':' || reason, ',' ORDER BY category_code || ':' || reason)
+                FROM ({_anomalies("brk", "1", "")})), '') AS anomalies
+            FROM (SELECT coalesce(sum(cur), 0) AS cur, coalesce(sum(prev), 0) AS prev, coalesce(sum(cur_n), 0) AS cur_n,
+                coalesce(sum(prev_n), 0) AS prev_n FROM cmp)""",
+            "cmp",
+            "brk",
+            "months",
+        ),
         "anomalies": sql(_anomalies("brk_a", "account_id", "account_id,"), "brk_a"),
         # category dimension
         "list_categories": sql(
@@ -647,6 +680,12 @@ def oracle_sql() -> dict[str, str]:
             "ok",
             "firsts",
         ),
+        "stream_counters": sql(
+            """SELECT source_type, CASE WHEN coalesce(amount > 0 AND amount <= 100000, false) THEN 'success' ELSE 'failure' END AS result,
+            count(*) AS records FROM u GROUP BY ALL""",
+            "u",
+        ),
+        "stream_age_guard": sql(COUNTS, "v", "numbered"),
         "windowed_rollup": sql(
             """SELECT account_id, category_id, CAST(date_trunc('week', transacted_at) AS DATE)::VARCHAR AS period_date,
             'WEEKLY' AS period_type,

@@ -118,3 +118,47 @@ def test_orphans(make, categories):
         "category_id", F.when(F.col("source_id") == "id-0", 77).otherwise(F.col("category_id")).cast("bigint")
     )
     assert [r.source_id for r in cg.orphans(rows, categories).collect()] == ["id-0"]
+
+
+def test_a_hundred_thousand_keywords(spark, make):
+    """Names are cut once each and joined; no list of keywords is tried on a row."""
+    keywords = [(n, f"Key{n}Word{n}") for n in range(100_000)]
+    dimension = spark.createDataFrame(keywords, "id long, keyword string").groupBy((F.col("id") % 50 + 1).alias("id")).agg(F.collect_list("keyword").alias("keywords"))
+    names = ["a key77word77 shop", "KEY5WORD5 and key3word3", "key1word", "", None, "x" * 3000 + "key99999word99999", "a KEY77word77 shop"]
+    rows = make(*[{"merchant_name": n} for n in names * 3])
+    found = cg.match_keyword(rows, dimension)
+    got = {r.merchant_name: r.keyword_category_id for r in found.collect()}
+    assert found.count() == 21
+    # key77word77 holds no other keyword than itself: 77 % 50 + 1; the lowest of two wins
+    assert got == {names[0]: 28, names[1]: 4, names[2]: None, "": None, None: None, names[5]: 50, names[6]: 28}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list(struct" not in plan and "scalar-subquery" not in plan
+
+
+@pytest.mark.parametrize("few", [0, 500])
+def test_keywords_either_way(make, categories, few, monkeypatch):
+    monkeypatch.setattr(cg, "FEW_KEYWORDS", few)
+    names = ["Netflix", "WOOLWORTHS pharmacy", "apple music", "nothing", None, "Uber Eats", "booking.com flight"]
+    rows = make(*[{"merchant_name": n, "merchant_mcc": m} for n in names for m in (None, "5411")])
+    expected = {n: min([c.id for c in categories.collect() for k in c.keywords or [] if n and k in n.lower()], default=None) for n in names}
+    assert {r.merchant_name: r.keyword_category_id for r in cg.match_keyword(rows, categories).collect()} == expected
+    by_name = {(r.merchant_name, r.merchant_mcc): r.category_id for r in cg.categorise(rows, categories).collect()}
+    assert all(by_name[n, None] == (expected[n] or 19) for n in names) and len({by_name[n, "5411"] for n in names}) == 1
+
+
+def test_paths_of_a_tree_of_any_depth(spark):
+    rows = [(1, "a", None), (2, "b", 1), (3, "c", 2), (4, "d", 3), (5, "e", 99)]
+    tree = spark.createDataFrame(rows, "id long, code string, parent_id long")
+    assert {r.code: (r.path, r.depth) for r in cg.category_paths(tree).collect()} == {
+        "a": ("a", 1), "b": ("a.b", 2), "c": ("a.b.c", 3), "d": ("a.b.c.d", 4), "e": ("e", 1)
+    }
+    loaded = load_categories(spark, [(i, c, c.upper(), p, None, None) for i, c, p in rows])
+    assert {r.code: r.path for r in loaded.collect()} == {"a": "a", "b": "a.b", "c": "a.b.c", "d": "a.b.c.d", "e": "e"}
+
+
+def test_parents_in_a_circle(spark):
+    rows = [(1, "a", 2), (2, "b", 1), (3, "c", None)]
+    with pytest.raises(ValueError, match="circle"):
+        load_categories(spark, [(i, c, c, p, None, None) for i, c, p in rows])
+    with pytest.raises(Exception, match="without a root"):
+        cg.category_paths(spark.createDataFrame(rows, "id long, code string, parent_id long")).collect()

@@ -194,9 +194,19 @@ def test_many_reports_at_once(rollup, categories):
         assert mine == alone
 
 
-def test_nested_report(rollup, categories):
+def test_whole_report(rollup, categories):
     rows = changes(rollup, (100, 900), *[(100, 100 + i) for i in range(5)])
-    report = cp.nested(cp.compare(rows, categories, MARCH)).first()
+    report = cp.compare_report(rows, categories, MARCH).first()
     assert report.current.total_spend == Decimal(1410) and report.delta.direction == "INCREASE"
     assert [r.category_code for r in report.by_category][0] == "groceries" and len(report.by_category) == 6
     assert len(report.time_series) == 1 and report.anomalies[0].reason == "SPIKE"
+    parts = cp.compare(rows, categories, MARCH)
+    assert report.by_category == parts.by_category.collect() and report.time_series == parts.time_series.collect()
+    assert report.anomalies == parts.anomalies.collect() and report.delta == parts.delta.first()
+    assert report.previous.asDict() == {k: v for k, v in parts.periods.where("period = 'previous'").first().asDict().items()}
+
+
+def test_whole_report_of_nothing(rollup, categories):
+    report = cp.compare_report(rollup(("A", 2, "2020-01-01", "1")), categories, MARCH).first()
+    assert report.current.total_spend == 0 and report.delta.direction == "FLAT"
+    assert report.by_category == report.time_series == report.anomalies == []

@@ -9,6 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from centsible.operators import rollup as ro
+from centsible.plans import transactions as pt
 from centsible.schemas import TRANSACTION_SCHEMA
 from centsible.sources import keys as K
 from centsible.sources.manifest import Manifest, Part, names_in
@@ -181,3 +182,13 @@ def test_a_batch_does_not_read_the_stored_transactions(spark, categories, make,
     ingest.process_batch(make({"source_id": "k0"}, {"source_id": "k3"}, {"source_id": "new"}), 4, store, categories, as_of=AS_OF)
     outcomes = {r.outcome: r.records for r in store.outcomes().where("batch_id = 4").collect()}
     assert outcomes == {"ACCEPTED": 1, "DUPLICATE": 2, "FAILED": 0}
+
+
+def test_payloads_are_parsed_once(spark, make, tmp_path):
+    store = Store(spark, str(tmp_path))
+    rows = make({"raw_payload": '{"city":"Paarl","n":{"k":3}}'}, {"raw_payload": "{}"}, {"raw_payload": "no json"}, {"raw_payload": None})
+    store.manifest.commit([store.put_payloads(rows, 0)])
+    found = pt.stored_payload_fields(store.payloads(), city="$.city", k="$.n.k", n="$.n")
+    got = {r.source_id: (r.city, r.k, r.n) for r in found.collect()}
+    assert got == {"id-0": ("Paarl", "3", '{"k":3}'), "id-1": (None,) * 3, "id-2": (None,) * 3, "id-3": (None,) * 3}
+    assert "parse_json" not in found._jdf.queryExecution().optimizedPlan().toString()
