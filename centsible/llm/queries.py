@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from centsible.llm import (
     decontaminate,
     fingerprints,
@@ -170,7 +169,4 @@ QUERIES = {
         op13_spelling,
     )
 }
-QUERIES["pipeline"] = corpus_pipeline.run
 SQL = dict(sql.SQL)
-if corpus_pipeline.ORACLE_SQL:
-    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
