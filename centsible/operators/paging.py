@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from centsible.session import scratch_path
 
 DEFAULT_PAGE_SIZE = 20
+#: Pages that end by this row are a top-k of so many rows at most.
+SHALLOW = 5_000
 
 
 class SortKey(NamedTuple):
@@ -47,16 +49,17 @@ def sorted_by(df: DataFrame, keys: list[SortKey]) -> DataFrame:
 def take_page(df: DataFrame, keys: list[SortKey], page: int, size: int) -> DataFrame:
     """Rows ``page * size`` up to ``(page + 1) * size`` of the sorted rows; pages start at 0.
 
-    Only the sort keys are sorted. They are range-partitioned and written to the shared folder (counting
+    A page that ends within the first ``SHALLOW`` rows is a top-k, which reads the input once and keeps so many rows a task.
+    Beyond that only the sort keys are sorted. They are range-partitioned and written to the shared folder (counting
     and reading must see the same ranges); the ranges' running counts give the place of each range, only
     ranges that overlap the page are numbered, and the rows of the page are then picked by
     their keys, at most ``size``. So no task holds what lies before the page, at any depth. The keys together
-    must be unique. The first page needs no counting: it is a top-k of ``size`` rows.
+    must be unique.
     """
     if page < 0 or size < 1:
         raise ValueError("page must be >= 0 and size >= 1")
-    if page == 0:
-        return sorted_by(df, keys).limit(size)
+    if (page + 1) * size <= SHALLOW or page == 0:
+        return sorted_by(df, keys).offset(page * size).limit(size)
     skip, names, columns = page * size, [key.name for key in keys], [key.column for key in keys]
     path = scratch_path(df.sparkSession, "sort-keys")
     ranged = df.select(*names).repartitionByRange(*columns).withColumn("_part", F.spark_partition_id())

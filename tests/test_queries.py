@@ -72,17 +72,21 @@ def test_sort_is_allow_listed(facts, categories, order, direction):
 KEYS = [paging.SortKey("amount", descending=True), paging.SortKey("source_id")]
 
 
-def test_pages_sort_only_their_keys(facts):
-    """The first page is a top-k; the others sort and write the two keys, never whole rows."""
-    plan = paging.take_page(facts, KEYS, 0, 10)._jdf.queryExecution().executedPlan().toString()
-    assert "TakeOrderedAndProject" in plan
+def test_pages_sort_only_their_keys(facts, monkeypatch):
+    """Shallow pages are a top-k; the others sort and write the two keys, never whole rows."""
+    for page in (0, 2):
+        plan = paging.take_page(facts, KEYS, page, 10)._jdf.queryExecution().executedPlan().toString()
+        assert "TakeOrderedAndProject" in plan and "LeftSemi" not in plan
+    monkeypatch.setattr(paging, "SHALLOW", 0)
     plan = paging.take_page(facts, KEYS, 2, 10)._jdf.queryExecution().optimizedPlan().toString()
     scans = [line for line in plan.splitlines() if line.endswith("parquet")]  # the written keys
     assert "LeftSemi" in plan and scans and all("raw_payload" not in line for line in scans)
 
 
+@pytest.mark.parametrize("shallow", [0, 100, 5000])
 @pytest.mark.parametrize("page, size", [(0, 7), (3, 20), (8, 10), (9, 10), (40, 10)])
-def test_page_equals_slice_of_all(facts, page, size):
+def test_page_equals_slice_of_all(facts, page, size, shallow, monkeypatch):
+    monkeypatch.setattr(paging, "SHALLOW", shallow)
     everything = [r.source_id for r in paging.sorted_by(facts, KEYS).collect()]
     found = [r.source_id for r in paging.take_page(facts, KEYS, page, size).collect()]
     assert found == everything[page * size : (page + 1) * size]
