@@ -82,3 +82,10 @@ def test_query(spark, library):
         ids = library.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
         assert (r.n_tokens, r.ids_sha256) == (len(ids), sha(" ".join(map(str, ids))))
         assert r.decoded_sha256 == sha(library.decode(ids, skip_special_tokens=False))
+
+
+def test_repeated_rows(spark, library):
+    docs = spark.createDataFrame([(1, "Same text, twice"), (1, "Same text, twice"), (2, None), (2, None)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_tokens) for r in settings.token_digests(docs).collect())
+    n = len(library.encode("Same text, twice", add_special_tokens=False).ids)
+    assert got == [(1, n), (1, n), (2, 0), (2, 0)]

@@ -166,3 +166,19 @@ def test_components(spark):
         parent[b] = a
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {x: find(x) for x in parent}
+
+
+def test_forest_roots(spark):
+    """A chain of two hundred nodes, a star and a pair."""
+    rows = [(n, n - 1) for n in range(1, 200)] + [(n, 1000) for n in range(1001, 1050)] + [(3000, 2000)]
+    got = {r.node: r.root for r in graph.forest_roots(spark.createDataFrame(rows, "node long, parent long")).collect()}
+    assert got == {n: 0 for n in range(200)} | {n: 1000 for n in range(1000, 1050)} | {2000: 2000, 3000: 2000}
+
+
+def test_names_that_clash(spark):
+    columns = ["doc_id", "text", "cls", "n", "hub", "root", "rid", "key", "place", "block"]
+    rows = [(i, t, *(["x"] * 8)) for i, t in [(1, "one two three four five six"), (2, "One two three four five six"), (3, None)]]
+    docs = spark.createDataFrame(rows, columns)
+    got = sorted((r.doc_id, r.component_id) for r in ngramjoin.shingle_components(docs).collect())
+    assert got == [(1, 1), (2, 1), (3, 3)]
+    assert sorted(r.doc_id for r in ngramjoin.one_per_component(docs).collect()) == [1, 3]

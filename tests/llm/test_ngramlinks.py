@@ -57,3 +57,9 @@ def test_query(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = queries.op1_ngram_links(spark, sf).collect()
     assert sorted((r.doc_id, r.n_shingles, r.n_links) for r in got) == sorted(links_by_hand(rows))
+
+
+def test_long_texts(spark):
+    words = [f"w{n % 977}x{n}" for n in range(30_000)]
+    other = words[:15_000] + ["new"] * 40 + words[15_040:]
+    check(spark, [(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(words[:20_000])), (4, "y" * 500_000)])

@@ -1,9 +1,11 @@
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 
 import pytest
+import xxhash
 
 from centsible.llm import queries, sharding
 
@@ -55,3 +57,29 @@ def test_empty_and_bad_weights(spark):
     assert sharding.assign_shards(spark.createDataFrame([], "doc_id long, text string"), [1.0]).count() == 0
     with pytest.raises(ValueError):
         sharding.assign_shards(spark.createDataFrame([(1, "a")], "doc_id long, text string"), [1.0, 0.0])
+
+
+def winner(key, weights):
+    """The shard with the least draw, one after the other."""
+    draws = []
+    for shard, weight in enumerate(weights):
+        seed = xxhash.xxh64_intdigest(key.encode(), 42)
+        number = xxhash.xxh64_intdigest(f"shard {shard}".encode(), seed)
+        draws.append((-math.log(((number >> 11) + 0.5) / 2.0**53) / weight, shard))
+    return min(draws)[1]
+
+
+def test_every_row_goes_to_the_shard_that_wins_its_key(spark):
+    got = queries.op8_rendezvous_shards(spark, SF).collect()
+    assert got and all(r.shard == winner(str(r.doc_id), [1.0] * 8) for r in got)
+    assert all(r.grown_shard == winner(str(r.doc_id), [1.0] * 9) for r in got)
+    weights = [0.5, 3.0, 1.25]
+    keys = spark.createDataFrame([(n, "t") for n in range(300)] + [(None, "t")], "doc_id long, text string")
+    placed = sharding.assign_shards(keys, weights).collect()
+    assert all(r.shard == winner("null" if r.doc_id is None else str(r.doc_id), weights) for r in placed)
+
+
+def test_very_long_text(spark):
+    text = "é" * 3_000_000
+    (row,) = sharding.assign_shards(spark.createDataFrame([(1, text)], "doc_id long, text string"), [1.0, 1.0]).collect()
+    assert (row["size"], row.text_crc32, row.slot) == (6_000_001, zlib.crc32(text.encode()), 0)

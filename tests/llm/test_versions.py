@@ -42,3 +42,11 @@ def test_repeated_ids_are_refused(spark):
     docs = spark.createDataFrame([(1, "a"), (1, "b")], "doc_id long, text string")
     with pytest.raises(ValueError):
         fp.version_differences(docs, docs)
+
+
+def test_empty_tables(spark):
+    none = spark.createDataFrame([], "doc_id long, text string")
+    some = spark.createDataFrame([(1, "a line\nand another"), (2, None)], "doc_id long, text string")
+    assert fp.version_differences(none, none).count() == 0
+    got = {r.doc_id: (len(r.removed), len(r.added)) for r in fp.version_differences(none, some).collect()}
+    assert got[1][0] == 0 and got[1][1] > 0 and got[2] == (0, 0)
