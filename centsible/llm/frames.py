@@ -48,10 +48,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """The frame as a table in the shared folder: computed once, readable after any executor is lost."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
+    return written_at(df, name, *partition_by)[0]
+
+
+def written_at(df: DataFrame, name: str, *partition_by: str) -> tuple[DataFrame, str]:
+    """The same and where it is, to be removed once nothing reads it."""
+    path = scratch_path(df.sparkSession, name)
     df.write.partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 def written_counted(df: DataFrame, name: str, *counts: Column) -> tuple[DataFrame, tuple]:

@@ -11,14 +11,14 @@ round only some entries have moved:
 Distances are whole numbers and exact, so the result is that of plain Lloyd rounds, and the same however Spark
 splits the rows. One job per round reads the rows of the round before and writes them with their new indexes and
 distances, and beside them one sum per task, entry and component. The codebooks, whose size does not depend
-on the number of vectors, are all that passes the driver.
+on the number of vectors, are all that passes the driver. The rows of a round are removed once those of the next are written.
 
 Edge cases: a vector that is null or holds a null, NaN or infinite component is dropped. The width is that of the kept
 vector with the smallest id; kept vectors of another width stay with null codes and take no part. A width that
 the number of parts does not divide is filled up with zeros on the right. The first codebook takes rows in the order
 of id (null last) and vector, so repeated ids and rows count as rows; with fewer rows than entries it has as many
 entries as rows. Components beyond 2**62 after scaling count as 2**62; a distance or error beyond a long is the largest
-long. An empty table gives no rows and no codebooks. Other columns stay; those named ``codes``, ``code`` or ``error``
+long. An empty table gives no rows and no codebooks. Other columns stay; those named ``codes`` or ``error``
 are replaced.
 """
 
@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from centsible.llm.arrays import text_column
-from centsible.llm.frames import OWN, brought_back, map_batches, set_aside, without, written
+from centsible.llm.frames import OWN, brought_back, map_batches, set_aside, without, written, written_at
+from centsible.sources.manifest import remove
 
 LONGEST = (1 << 63) - 1
 LARGEST_COMPONENT = (1 << 62) - 1
@@ -223,11 +224,13 @@ def compress(
     width = len(first[0].vector) if first else 0
     first = [r.vector for r in first if len(r.vector) == width]
     books = whole_numbers(np.array(first, np.float64).reshape(len(first), width), shape).transpose(1, 0, 2).copy()
-    moved, rows = None, aside
+    moved, rows, before = None, aside, None
     for turn in range(shape.rounds + 1 if first else 0):
         last = turn == shape.rounds
-        made = written(_assigned(rows, books, moved, width, shape, not last), "vector-codes", "kind")
-        rows = made.where("kind = 0").select("id", "vector", OWN, "codes", "apart")
+        made, place = written_at(_assigned(rows, books, moved, width, shape, not last), "vector-codes", "kind")
+        if before:
+            remove(vectors.sparkSession, before)
+        before, rows = place, made.where("kind = 0").select("id", "vector", OWN, "codes", "apart")
         if not last:
             new = _moved_on(books, made.where("kind = 1"))
             moved, books = (new != books).any(axis=2), new
