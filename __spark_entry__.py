@@ -484,6 +484,23 @@ def stored_listing(spark, sf):
     ).data
 
 
+def stored_search(spark, sf):
+    """The merchant search on a store, by the trigrams of its merchant names."""
+    store = tables.Store(spark, scratch_path(spark, "search"))
+    stored = store.put_transactions(tb.transactions(spark, sf), 0)
+    store.manifest.commit([stored, store.put_merchants(store.read([stored], "transactions"), 0)])
+    return pt.merchant_search(
+        store.transactions(),
+        tb.categories(spark),
+        "RING",
+        page=2,
+        page_size=50,
+        order="merchantName",
+        direction="asc",
+        names=store.merchants_with("RING"),
+    ).data
+
+
 def stored_by_id(spark, sf):
     return pt.transaction_by_id(
         _stored(spark, sf), tb.categories(spark), "30b80e7d-e46c-8d83-f242-e603b1affd7e"
@@ -817,6 +834,7 @@ _QUERIES: dict[str, Query] = {
         deep_page,
         list_transactions_after,
         stored_listing,
+        stored_search,
         stored_by_id,
         transaction_by_id,
         compare_periods,

@@ -46,6 +46,8 @@ OUTPUT = [
     "created_at",
 ]
 
+FEW_NAMES = 200
+
 
 def in_date_range(
     df: DataFrame, time_col: str, date_from: date | None, date_to: date | None
@@ -142,11 +144,19 @@ def merchant_search(
     order: str = "createdAt",
     direction: str = "asc",
     time_col: str = "created_at",
+    names: DataFrame | None = None,
 ) -> Page:
-    """Transactions whose merchant name contains the text, in any case."""
-    matching = in_date_range(transactions, time_col, date_from, date_to).where(
-        contains_ignore_case(F.col("merchant_name"), name)
-    )
+    """Transactions whose merchant name contains the text, in any case. ``names`` are the distinct names that do, as
+    ``Store.merchants_with`` finds them: up to ``FEW_NAMES`` reach the scan as a filter, more are joined."""
+    in_range = in_date_range(transactions, time_col, date_from, date_to)
+    if names is None:
+        matching = in_range.where(contains_ignore_case(F.col("merchant_name"), name))
+    else:
+        few = [r.merchant_name for r in names.limit(FEW_NAMES + 1).collect()]
+        if len(few) <= FEW_NAMES:
+            matching = in_range.where(F.col("merchant_name").isin(few))
+        else:
+            matching = in_range.join(names, "merchant_name", "left_semi")
     return _page_of(matching, categories, page, page_size, order, direction)
 
 

@@ -205,3 +205,6 @@ PAYLOAD_SCHEMA = T.StructType(
         T.StructField("batch_id", LONG),
     ]
 )
+
+# Trigrams of the distinct merchant names of each batch; every name once more under the empty text.
+MERCHANT_GRAM_SCHEMA = _struct(gram=STRING, merchant_name=STRING, batch_id=LONG)

@@ -20,6 +20,7 @@ from centsible.functions.text import stable_id
 from centsible.operators.categorise import with_category
 from centsible.operators.rollup import expand_periods, merge_daily, merge_rollups
 from centsible.operators.stages import EVENT_FORMAT, event_value
+from centsible.operators.trigrams import names_with, postings
 from centsible.sources import keys as K
 from centsible.sources.manifest import Manifest, Part, size_of
 
@@ -27,6 +28,7 @@ from centsible.sources.manifest import Manifest, Part, size_of
 ID_BLOOM_FILTERS = {
     "parquet.bloom.filter.enabled#external_id": "true",
     "parquet.bloom.filter.enabled#source_id": "true",
+    "parquet.bloom.filter.enabled#merchant_name": "true",
     "parquet.bloom.filter.adaptive.enabled": "true",
 }
 SCHEMAS = {
@@ -38,6 +40,7 @@ SCHEMAS = {
     "rollup_base": S.ROLLUP_SCHEMA,
     "accepted": S.ACCEPTED_SCHEMA,
     "payloads": S.PAYLOAD_SCHEMA,
+    "merchant_grams": S.MERCHANT_GRAM_SCHEMA,
 }
 #: Key indexes: stored ids, record keys of stored batches, and both of the accepted stream, by hour.
 IDS, RECORD_KEYS, RECENT_IDS, RECENT_RECORDS = "ids", "record_keys", "recent_ids", "recent_records"
@@ -119,6 +122,10 @@ class Store:
             K.merge_keys(self.spark, [self.path(p.path) for p in parts], self.path(part.path), level, self.fan)
             return part
         rows = self.read(parts, table)
+        if table == "merchant_grams":  # names that several batches have, once
+            once = rows.groupBy("gram", "merchant_name").agg(F.max("batch_id").alias("batch_id"))
+            once.sortWithinPartitions("gram", "merchant_name").write.parquet(self.path(part.path))
+            return part
         if table != "transactions":
             rows.hint("rebalance").write.parquet(self.path(part.path))
             return part
@@ -161,6 +168,17 @@ class Store:
     def payloads(self) -> DataFrame:
         return self.table("payloads")
 
+    # merchant names
+
+    def put_merchants(self, rows: DataFrame, batch_id: int) -> Part:
+        """Trigram postings of the distinct merchant names of a batch, sorted so that a search skips most row groups."""
+        sorted_ = postings(rows).withColumn("batch_id", F.lit(batch_id).cast("bigint")).hint("rebalance", "gram")
+        return self.put("merchant_grams", sorted_.sortWithinPartitions("gram", "merchant_name"), batch_id)
+
+    def merchants_with(self, term: str) -> DataFrame:
+        """Distinct merchant names of the store that contain a text, in any case."""
+        return names_with(self.table("merchant_grams"), term)
+
     # keys
 
     def put_keys(self, table: str, rows: DataFrame, batch_id: int, key: str | None = None) -> Part:

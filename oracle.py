@@ -524,6 +524,12 @@ def oracle_sql() -> dict[str, str]:
             "t",
             "cat",
         ),
+        "stored_search": sql(
+            f"SELECT {OUTPUT} FROM t JOIN cat ON category_id = cat.id WHERE contains(lower(merchant_name), 'ring') "
+            + ordered_page.format("merchant_name, source_id", 50, 100),
+            "t",
+            "cat",
+        ),
         "merchant_search_meta": sql(
             META.format(page=2, size=50) + " FROM t WHERE contains(lower(merchant_name), 'ring')", "t"
         ),

@@ -192,3 +192,23 @@ def test_payloads_are_parsed_once(spark, make, tmp_path):
     got = {r.source_id: (r.city, r.k, r.n) for r in found.collect()}
     assert got == {"id-0": ("Paarl", "3", '{"k":3}'), "id-1": (None,) * 3, "id-2": (None,) * 3, "id-3": (None,) * 3}
     assert "parse_json" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+NAMES = ["Corner Ring Shop", "string theory", "RING", "rin", "ri ng", "", "ÉRING", "ring ring", "x%y_z", None]
+
+
+@pytest.mark.parametrize("term", ["ring", "RING ", "ri", "", "ng r", "%y", "nowhere", "érin"])
+@pytest.mark.parametrize("few", [0, 200])
+def test_search_by_trigrams(spark, categories, make, tmp_path, term, few, monkeypatch):
+    monkeypatch.setattr(pt, "FEW_NAMES", few)
+    store = Store(spark, str(tmp_path), fan=2)
+    for batch_id in range(2):
+        rows = make(*[{"source_id": f"{batch_id}-{n}", "merchant_name": name} for n, name in enumerate(NAMES)])
+        store.manifest.commit([store.put_merchants(rows, batch_id)])
+    store.merge(2, "merchant_grams")
+    assert [p.level for p in store.parts("merchant_grams")] == [1]
+    found = sorted(r.merchant_name for r in store.merchants_with(term).collect())
+    assert found == sorted(n for n in NAMES if n is not None and term.lower() in n.lower())
+    facts = rows_of(make, "a", merchant_name="a ring b").unionByName(rows_of(make, "b", merchant_name="RING"))
+    page = pt.merchant_search(facts, categories, term, names=store.merchants_with(term))
+    assert [r.source_id for r in page.data.collect()] == (["b"] if term.lower() in "ring" else [])
