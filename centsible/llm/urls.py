@@ -101,12 +101,12 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
         )
     )
     judged = fitting.join(listed, ["rule_host", "rule_path"]).groupBy("host", "path").agg(best.alias("best"))
-    # a table of known size: Spark broadcasts it if it is small; else pages that cannot be listed spread by their
-    # own hash, and adaptive execution splits the pages of a hot pair
+    # there can be about as many pairs as pages, so they are merged and never broadcast; pages that cannot be listed
+    # spread by their own hash, and adaptive execution splits the pages of a hot pair
     judged = written(judged.select(F.col("host").alias("of_host"), F.col("path").alias("of_path"), "best"), "judged-urls")
     spread = F.when(F.col("possible"), 0).otherwise(1 + F.pmod(F.xxhash64("page_id", "host", "path"), F.lit(1 << 30)))
     same = (F.col("spread") == F.col("of_spread")) & (F.col("host") == F.col("of_host")) & (F.col("path") == F.col("of_path"))
-    joined = possible.withColumn("spread", spread).join(judged.withColumn("of_spread", F.lit(0).cast("long")), same, "left")
+    joined = possible.withColumn("spread", spread).join(judged.withColumn("of_spread", F.lit(0).cast("long")).hint("merge"), same, "left")
     return joined.select(
         "page_id",
         "host",
