@@ -24,7 +24,9 @@ def processing_counters(outcomes: DataFrame) -> DataFrame:
 def dead_letter_report(dead_letters: DataFrame) -> DataFrame:
     """Dead letters per source and broken rule; a row that breaks two rules counts for both."""
     return (
-        dead_letters.select("source_type", F.explode("reject_reasons").alias("reason"))
+        # outer: else Spark asks for a size above 0 before it, and judges every record once more for that
+        dead_letters.select("source_type", F.explode_outer("reject_reasons").alias("reason"))
+        .where("reason IS NOT NULL")
         .groupBy("source_type", "reason")
         .agg(F.count(F.lit(1)).alias("records"))
     )
