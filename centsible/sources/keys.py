@@ -20,7 +20,7 @@ from centsible.session import scratch_path
 FIRST_BUCKETS, MOST_BUCKETS = 8, 8192
 #: So many keys are looked up one by one, instead of by a join.
 FEW = 500
-BLOOM = {"parquet.bloom.filter.enabled#key": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
+BLOOM = {"parquet.bloom.filter.enabled#key": "true", "parquet.bloom.filter.adaptive.enabled": "true", "compression": "zstd"}
 
 
 def buckets(level: int, fan: int) -> int:

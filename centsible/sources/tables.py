@@ -10,6 +10,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,10 +23,13 @@ from centsible.operators.rollup import expand_periods, merge_daily, merge_rollup
 from centsible.operators.stages import EVENT_FORMAT, event_value
 from centsible.operators.trigrams import names_with, postings
 from centsible.sources import keys as K
-from centsible.sources.manifest import Manifest, Part, size_of
+from centsible.sources.manifest import Manifest, Part, names_in, size_of
 
 
+#: Payloads and events are texts that say the same words again and again.
+COMPACT = {"compression": "zstd"}
 ID_BLOOM_FILTERS = {
+    **COMPACT,
     "parquet.bloom.filter.enabled#external_id": "true",
     "parquet.bloom.filter.enabled#source_id": "true",
     "parquet.bloom.filter.enabled#merchant_name": "true",
@@ -45,6 +49,8 @@ SCHEMAS = {
 #: Key indexes: stored ids, record keys of stored batches, and both of the accepted stream, by hour.
 IDS, RECORD_KEYS, RECENT_IDS, RECENT_RECORDS = "ids", "record_keys", "recent_ids", "recent_records"
 BY_DAY = "day"
+#: What the dead letters need of a row that broke at a later stage, beside the columns of a transaction.
+BROKEN_CONTEXT = ("ingested_at", "arrival_seq", "failed_stage", "reject_reason", "reject_reasons")
 
 
 def read_parts(spark: SparkSession, paths: list[str], schema: T.StructType) -> DataFrame:
@@ -82,8 +88,9 @@ class Store:
     def read(self, parts: Iterable[Part], table: str) -> DataFrame:
         schema, parts = SCHEMAS[table], list(parts)
         flat = read_parts(self.spark, [self.path(p.path) for p in parts if p.key != BY_DAY], schema)
-        days = [self.path(p.path) for p in parts if p.key == BY_DAY]
-        return flat.unionByName(read_parts(self.spark, days, schema).select(*schema.names)) if days else flat
+        # folders by day are partitions below a root of their own, so such parts are read one by one
+        days = [read_parts(self.spark, [self.path(p.path)], schema).select(*schema.names) for p in parts if p.key == BY_DAY]
+        return reduce(DataFrame.unionByName, days, flat)
 
     def table(self, table: str) -> DataFrame:
         return self.read(self.parts(table), table)
@@ -91,7 +98,7 @@ class Store:
     def put(self, table: str, rows: DataFrame, batch_id: int, key: str | None = None) -> Part:
         """The rows of a batch as a part that is not committed yet."""
         part = self._new(table, 0, batch_id, batch_id, key)
-        rows.select(*SCHEMAS[table].names).write.parquet(self.path(part.path))
+        rows.select(*SCHEMAS[table].names).write.options(**COMPACT).parquet(self.path(part.path))
         return part
 
     def write(self, table: str, rows: DataFrame, batch_id: int) -> None:
@@ -124,14 +131,14 @@ class Store:
         rows = self.read(parts, table)
         if table == "merchant_grams":  # names that several batches have, once
             once = rows.groupBy("gram", "merchant_name").agg(F.max("batch_id").alias("batch_id"))
-            once.sortWithinPartitions("gram", "merchant_name").write.parquet(self.path(part.path))
+            once.sortWithinPartitions("gram", "merchant_name").write.options(**COMPACT).parquet(self.path(part.path))
             return part
         if table != "transactions":
-            rows.hint("rebalance").write.parquet(self.path(part.path))
+            rows.write.options(**COMPACT).parquet(self.path(part.path))  # a scan packs small files into one task
             return part
         size = sum(size_of(self.spark, self.path(p.path)) for p in parts)
         by_day = size >= self.day_bytes and size >= self.day_bytes * rows.select("transacted_date").distinct().count()
-        sized = rows.hint("rebalance", "transacted_date") if by_day else rows.hint("rebalance")
+        sized = rows.hint("rebalance", "transacted_date") if by_day else rows
         writer = sized.sortWithinPartitions("transacted_date", "account_id").write.options(**ID_BLOOM_FILTERS)
         (writer.partitionBy("transacted_date") if by_day else writer).parquet(self.path(part.path))
         return part._replace(key=BY_DAY) if by_day else part
@@ -144,8 +151,29 @@ class Store:
         return self.table("transactions")
 
     def put_transactions(self, rows: DataFrame, batch_id: int) -> Part:
-        """Few files per batch: the rebalance hint lets AQE merge small partitions and split large ones."""
-        return self.put("transactions", rows.hint("rebalance").sortWithinPartitions("transacted_date", "account_id"), batch_id)
+        """Few files per batch: small pieces of a scan or a shuffle are merged by Spark, and nothing else is moved."""
+        return self.put("transactions", rows.sortWithinPartitions("transacted_date", "account_id"), batch_id)
+
+    def put_worked(self, worked: DataFrame, batch_id: int) -> tuple[Part, DataFrame | None, str]:
+        """Rows of ``later_stages`` in one pass: the sound ones as a part of the transactions; the broken ones, if any,
+        for the dead letters; and where the latter stand until the batch is committed."""
+        whole = self._new("transactions", 0, batch_id, batch_id)
+        broken = F.col("failed_stage").isNotNull()
+        context = [F.when(broken, F.col(name)).alias(name) for name in BROKEN_CONTEXT]
+        rows = worked.select(*transaction_columns(batch_id), *context, broken.alias("broken"))
+        rows = rows.withColumn("transacted_date", F.when(~F.col("broken"), F.col("transacted_date")))
+        ordered = rows.sortWithinPartitions("broken", "transacted_date", "account_id")
+        ordered.write.options(**COMPACT).partitionBy("broken").parquet(self.path(whole.path))
+        made = names_in(self.spark, self.path(whole.path))
+        good, bad = (f"{whole.path}/broken={value}" for value in ("false", "true"))
+        if "broken=false" in made:
+            part = whole._replace(path=good)
+        else:
+            part = self.put("transactions", self.spark.createDataFrame([], S.TRANSACTION_SCHEMA), batch_id)
+        read = None
+        if "broken=true" in made:
+            read = worked.sparkSession.read.schema(rows.drop("broken").schema).parquet(self.path(bad))
+        return part, read, self.path(bad)
 
     def write_transactions(self, rows: DataFrame, batch_id: int) -> None:
         self.manifest.commit([self.put_transactions(rows, batch_id)])
@@ -163,7 +191,7 @@ class Store:
     def put_payloads(self, rows: DataFrame, batch_id: int) -> Part:
         """The source records of transactions, parsed once. A payload that is no JSON becomes null."""
         parsed = rows.select("source_id", "source_type", F.try_parse_json("raw_payload").alias("payload"), F.lit(batch_id).cast("bigint").alias("batch_id"))
-        return self.put("payloads", parsed.hint("rebalance"), batch_id)
+        return self.put("payloads", parsed, batch_id)
 
     def payloads(self) -> DataFrame:
         return self.table("payloads")
@@ -257,17 +285,22 @@ class Store:
 def to_transactions(categorised: DataFrame, batch_id: int | Column = 0) -> DataFrame:
     """Rows of the transactions table. Audit times are the arrival time and the id is derived
     from the source id, so a replay writes identical rows."""
+    return categorised.select(*transaction_columns(batch_id))
+
+
+def transaction_columns(batch_id: int | Column) -> list[Column]:
+    """Columns of the transactions table made of categorised rows."""
     batch = batch_id if isinstance(batch_id, Column) else F.lit(batch_id)
-    return categorised.select(
-        *S.NORMALISED_SCHEMA.names,
+    return [
+        *[F.col(name) for name in S.NORMALISED_SCHEMA.names],
         stable_id(F.col("source_id")).alias("external_id"),
-        "category_id",
-        "category_tier",
+        F.col("category_id"),
+        F.col("category_tier"),
         F.col("ingested_at").alias("created_at"),
         F.col("ingested_at").alias("updated_at"),
         batch.cast("bigint").alias("batch_id"),
         F.to_date("transacted_at").alias("transacted_date"),
-    )
+    ]
 
 
 def to_dead_letters(rejected: DataFrame, stage: str | Column = "validation", batch_id: int | Column = 0) -> DataFrame:
