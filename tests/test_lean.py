@@ -9,7 +9,7 @@ from centsible.operators import dedup, validate
 from centsible.schemas import TRANSACTION_SCHEMA
 from centsible.sources.manifest import names_in
 from centsible.sources.tables import BY_DAY, Store
-from centsible.streaming import ingest
+from centsible.streaming import accepted, ingest
 
 
 def plan(df):
@@ -66,3 +66,26 @@ def test_copies_are_told_by_their_numbers(spark, make, tmp_path):
     assert again.count() == 3  # two more a, and the c that was seen before
     left = dedup.without_rows(rows, again)
     assert sorted((r.source_id, r.arrival_seq.arrival_seq) for r in left.collect()) == [("a", 0), ("b", 2)]
+
+
+def test_many_copies_move_no_row(spark, make):
+    """Numbers that go are broadcast as bits, also where a table of them is no longer small."""
+    rows = ingest.in_order(make(*[{"source_id": f"id-{n % 700}"} for n in range(5000)]).repartition(3))
+    rows = ingest.stage(rows, "rows")[0]
+    gone = dedup.repeated_rows(rows, dedup.first_rows(rows, "source_id"), n_rows=5000)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        left = dedup.without_rows(rows.select("arrival_seq", "source_id"), gone, 5000)
+        assert "SortMergeJoin" not in left._jdf.queryExecution().executedPlan().toString()
+        assert left.count() == left.select("source_id").distinct().count() == 700
+        assert left.where("arrival_seq.arrival_seq >= 700").count() == 0
+        assert dedup.without_rows(rows, gone).count() == 700  # by any join
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_invalid_rows_are_not_staged_unless_they_hide_others(make):
+    rows = make({}, {"amount": "-1.00"}, {"amount": "-1.00"}).withColumn("record_key", F.when(F.col("arrival_seq") == 2, "evt"))
+    kept = accepted.worth_staging(rows, validate.ingest_rules())
+    assert sorted(r.arrival_seq for r in kept.collect()) == [0, 2]
+    assert accepted.worth_staging(rows.drop("record_key"), validate.ingest_rules()).count() == 1
