@@ -142,7 +142,8 @@ def large_reversals(spark, sf):
 
 
 def ingest_outcomes(spark, sf):
-    outcomes = dedup.classify_outcomes(tb.unified(spark, sf), _rules())
+    rows = tb.unified(spark, sf).drop("raw_payload")  # neither a rule nor the result looks at it
+    outcomes = dedup.classify_outcomes(rows, _rules())
     return outcomes.select("source_id", "amount", "outcome")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from centsible.operators.validate import Rule, valid_rows
@@ -76,14 +76,20 @@ def row_bits(numbers: DataFrame) -> DataFrame:
     return blocks.select("block", F.expr("transform(sequence(0L, 63L), i -> coalesce(try_element_at(marked, i), 0L))").alias("words"))
 
 
-def without_rows(rows: DataFrame, gone: DataFrame, n_rows: int | None = None) -> DataFrame:
-    """Rows but those whose number is in a table (row, ...). No row is moved for it, however many go: their numbers are
-    broadcast as bits. Beyond ``MOST_MARKED`` numbered rows (``n_rows``; None: not known) Spark chooses the join by its sizes."""
-    bits = row_bits(gone.select("row")).withColumnsRenamed({"block": "_block", "words": "_words"})
+def with_mark(rows: DataFrame, row: str, numbers: DataFrame, n_rows: int | None = None) -> DataFrame:
+    """Add ``_marked``: whether the row's number (``row``) is in a table (row). No row is moved for it, however many are marked:
+    their numbers are broadcast as bits. Beyond ``MOST_MARKED`` numbered rows (``n_rows``; None: not known) Spark chooses the
+    join by its sizes."""
+    bits = row_bits(numbers).withColumnsRenamed({"block": "_block", "words": "_words"})
     bits = F.broadcast(bits) if n_rows is not None and n_rows <= MOST_MARKED else bits
-    marked = rows.join(bits, F.shiftright("arrival_seq.row", 12) == F.col("_block"), "left")
-    bit = F.expr("getbit(_words[CAST(shiftright(arrival_seq.row, 6) & 63 AS INT)], CAST(arrival_seq.row & 63 AS INT))")
-    return marked.where(F.col("_words").isNull() | (bit == 0)).select(*rows.columns)
+    joined = rows.join(bits, F.shiftright(row, 12) == F.col("_block"), "left")
+    bit = F.expr(f"getbit(_words[CAST(shiftright({row}, 6) & 63 AS INT)], CAST({row} & 63 AS INT))")
+    return joined.withColumn("_marked", F.coalesce(bit == 1, F.lit(False))).drop("_block", "_words")
+
+
+def without_rows(rows: DataFrame, gone: DataFrame, n_rows: int | None = None) -> DataFrame:
+    """Rows but those whose number is in a table (row, ...)."""
+    return with_mark(rows, "arrival_seq.row", gone.select("row"), n_rows).where("NOT _marked").drop("_marked")
 
 
 def classify_outcomes(
@@ -92,20 +98,19 @@ def classify_outcomes(
     """Mark every row FAILED, ACCEPTED or DUPLICATE in ``outcome`` without dropping any.
 
     The rows are written once with a number each, so that copies that are alike can be told apart, however often a record
-    was sent. The first row of each valid key is a grouped minimum, and marking is a join with one row per key, whose
-    hot keys adaptive execution splits. Rows that arrive at the same place but differ are ordered by their other columns.
+    was sent. The first row of each valid key is a grouped minimum, and its number marks it; the written rows are not
+    shuffled. Rows that arrive at the same place but differ are ordered by their other columns.
     """
     others = [name for name in df.columns if name not in (key, order)]
     failed = F.coalesce(F.expr(" OR ".join(f"coalesce({broken}, false)" for _, broken in rules)), F.lit(False))
     rows = df.withColumn("_failed", failed).withColumn("_row", F.monotonically_increasing_id())
-    path = scratch_path(df.sparkSession, "arrived")
-    rows.write.parquet(path)
+    path, seen = scratch_path(df.sparkSession, "arrived"), Observation()
+    rows.observe(seen, F.count(F.lit(1)).alias("rows")).write.option("compression", "zstd").parquet(path)
     rows = df.sparkSession.read.schema(rows.schema).parquet(path)
     place = F.struct(order, *others, "_row")
     firsts = rows.where("NOT _failed").groupBy(key).agg(F.min(place).alias("_first"))
-    firsts = firsts.select(F.col(key).alias("_key"), F.col("_first._row").alias("_first"))
-    marked = rows.join(firsts, F.col(key) == F.col("_key"), "left")
-    outcome = F.when(F.col("_failed"), FAILED).when(F.col("_row") == F.col("_first"), ACCEPTED).otherwise(DUPLICATE)
+    marked = with_mark(rows, "_row", firsts.select(F.col("_first._row").alias("row")), seen.get["rows"])
+    outcome = F.when(F.col("_failed"), FAILED).when(F.col("_marked"), ACCEPTED).otherwise(DUPLICATE)
     return marked.select(*df.columns, outcome.alias("outcome"))
 
 

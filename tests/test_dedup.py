@@ -119,3 +119,15 @@ def test_no_row_is_rebuilt_from_a_count(make):
     out = dedup.classify_outcomes(make(*[same] * 200), RULES)
     assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(r.outcome for r in out.collect()) == ["ACCEPTED"] + ["DUPLICATE"] * 199
+
+
+def test_outcomes_move_no_wide_row(make, spark):
+    """Only firsts and their numbers are shuffled, also where no table counts as small."""
+    records = skewed(seed=9)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        out = dedup.classify_outcomes(make(*records), RULES)
+        assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r.arrival_seq, r.outcome) for r in out.collect()) == brute_outcomes(records)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
