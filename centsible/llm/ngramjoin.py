@@ -9,7 +9,9 @@ The join is exact. Documents with equal sets are one class; classes are compared
    hub of its lists; in a group of near copies that links nearly all of them, whatever the group's size.
    What is left are lists whose members are not yet known to be connected. There a growing share of the
    classes is compared with the members of their lists in other components that share enough listed shingles,
-   until all were. No pair within a component is listed. ``class_links`` and ``link_counts`` search every
+   until all were. No pair within a component is listed, and none whose sketches show that it cannot be linked: a
+   sketch has a bit for each slot of shingles, set if the slot holds an odd number of the set, so two sets differ by
+   as many shingles as their sketches by bits, or more. ``class_links`` and ``link_counts`` search every
    pair of classes that share enough listed shingles instead, those within a component too.
 3. *T-occurrence search.* A hub (query) and its candidates meet in blocks. The candidates are indexed by the
    hub's shingles; DivideSkip sets the longest lists aside, heap-merges the short ones, keeps what occurs
@@ -67,6 +69,10 @@ FIRST_TURN, GROWTH = 200, 64
 AT_ONCE = 1 << 20
 #: Candidates of one hub that are searched together.
 BLOCK = 200
+#: A sketch is so many words of 64 bits: sets of up to about a thousand shingles are told apart by it.
+SKETCH = tuple(f"sketch{n}" for n in range(8))
+#: Sets that are sketched at once.
+SKETCHED = 2048
 SET, TURN = constants(2, 701)
 
 
@@ -81,6 +87,24 @@ def sets_of(texts: pa.Array):
         yield first_row, end_row, flat, opens, mix(total[opens[1:]] - total[opens[:-1]] + n.astype(U64))
 
 
+def sketches(flat: np.ndarray, opens: np.ndarray) -> np.ndarray:
+    """Of each set one row of words: the parity of the number of shingles in each of the slots."""
+    bits, out = 64 * len(SKETCH), [np.zeros((0, len(SKETCH)), np.int64)]
+    for a in range(0, len(opens) - 1, SKETCHED):
+        begin = opens[a : a + SKETCHED + 1]
+        owner = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
+        slot = (flat[begin[0] : begin[-1]] % U64(bits)).astype(np.int64)
+        odd = np.bincount(owner * bits + slot, minlength=(len(begin) - 1) * bits) & 1
+        out.append(np.packbits(odd.astype(np.uint8).reshape(-1, bits), axis=1).view(np.int64))
+    return np.concatenate(out)
+
+
+def may_link(left: np.ndarray, right: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Whether the sketches (a column each) of sets of n and m members leave room for the overlap of linked ones."""
+    apart = np.bitwise_count(unsigned(left) ^ unsigned(right)).sum(axis=0, dtype=np.int64)
+    return (n + m - apart) // 2 >= -(-80 * (n + m) // 180)
+
+
 def listed(n):
     """How many shingles of a set of n are listed: enough for a linked pair to share one, and some more,
     which makes far fewer chance pairs."""
@@ -103,7 +127,7 @@ def shared_prefixes(n, m):
 
 
 def _profile(docs: DataFrame) -> DataFrame:
-    """Per document doc_id, tid, n, cls (0 shingles: null); and rows of frequent shingles with their count."""
+    """Per document doc_id, tid, n, cls (0 shingles: null) and sketch; and rows of frequent shingles with their count."""
 
     def run(batches):
         held, size, seen = [], 0, set()
@@ -126,6 +150,7 @@ def _profile(docs: DataFrame) -> DataFrame:
                             "tid": part.column(at("tid")),
                             "n": n,
                             "cls": pa.array(signed(cls), mask=n == 0),
+                            **dict(zip(SKETCH, sketches(flat, opens).T)),
                         },
                     )
                     # copies within the task count once
@@ -140,7 +165,7 @@ def _profile(docs: DataFrame) -> DataFrame:
         if held:
             yield frequent()
 
-    kinds = {"doc_id": pa.int64(), "tid": pa.int64(), "n": pa.int64(), "cls": pa.int64(), "shingle": pa.int64(), "count": pa.int64()}
+    kinds = dict.fromkeys(("doc_id", "tid", "n", "cls", *SKETCH, "shingle", "count"), pa.int64())
 
     def _rows(rows, columns):
         return pa.RecordBatch.from_arrays(
@@ -338,7 +363,7 @@ def _search(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame
     dealt = pairs.join(busy, F.col("hub") == F.col("busy"), "left").withColumn("block", F.pmod(F.xxhash64("cls"), blocks).cast("int"))
     members = dealt.select("hub", "cls", F.lit(1).alias("member"), F.col("block").alias("low"), F.col("block").alias("high"))
     hubs = per_hub.select("hub", F.col("hub").alias("cls"), F.lit(0).alias("member"), F.lit(0).alias("low"), (F.col("blocks") - 1).alias("high"))
-    asked = hubs.union(members).join(classes, "cls").join(texts, "rid")
+    asked = hubs.union(members).join(classes.select("cls", "rid"), "cls").join(texts, "rid")
     rows = asked.select("hub", F.explode(F.sequence("low", "high")).alias("block"), "member", "cls", "text")
     rows = rows.repartition("hub", "block").sortWithinPartitions("hub", "block", "member")
 
@@ -402,21 +427,22 @@ def _has_turn(turn: int, share: float) -> Column:
     return F.shiftrightunsigned(F.xxhash64("cls", F.lit(turn)), 11) < bound
 
 
-def _further_pairs(lists: DataFrame, turn: int, share: float) -> DataFrame:
+def _further_pairs(lists: DataFrame, classes: DataFrame, turn: int, share: float) -> DataFrame:
     """hub, cls and their components: the classes whose turn it is with the members of their open lists in other
-    components, where both share as many lists as linked sets must."""
-    ordered = lists.withColumn("late", F.when(_has_turn(turn, share), 0).otherwise(1))
+    components, where both share as many lists as linked sets must and their sketches (of ``classes``) allow it. So few
+    pairs are listed that are not linked, however many classes a list has."""
+    ordered = lists.withColumn("late", F.when(_has_turn(turn, share), 0).otherwise(1)).join(classes.select("cls", *SKETCH), "cls")
     ordered = ordered.repartition("key").sortWithinPartitions("key", "late", "cls")
-    names = ["key", "late", "cls", "n", "place", "root"]
+    names = ["key", "late", "cls", "n", "place", "root", *SKETCH]
 
     def run(batches):
-        held = np.zeros((6, 0), np.int64)  # hubs of the list that goes on
+        held = np.zeros((len(names), 0), np.int64)  # hubs of the list that goes on
         for batch in batches:
             if not batch.num_rows:
                 continue
             old = held.shape[1]
             rows = np.concatenate((held, np.stack([column(batch, c).astype(np.int64) for c in names])), axis=1)
-            key, late, cls, n, place, root = rows
+            key, late, cls, n, place, root = rows[:6]
             opens = np.append(True, key[1:] != key[:-1])
             first = np.flatnonzero(opens)[np.cumsum(opens) - 1]
             # hubs stand first in a list: each row meets the hubs before it
@@ -434,10 +460,12 @@ def _further_pairs(lists: DataFrame, turn: int, share: float) -> DataFrame:
                 big, small = np.maximum(n[left], n[right]), np.minimum(n[left], n[right])
                 shared, left_end, right_end = shared_prefixes(n[left], n[right])
                 fits = (80 * big <= 100 * small) & (place[left] < left_end) & (place[right] < right_end)
-                left, right = left[fits], right[fits]
+                left, right, shared = left[fits], right[fits], shared[fits]
+                fits = may_link(rows[6:, left], rows[6:, right], n[left], n[right])
+                left, right, shared = left[fits], right[fits], shared[fits]
                 swapped = cls[left] > cls[right]
                 left, right = np.where(swapped, right, left), np.where(swapped, left, right)
-                columns = [cls[left], cls[right], root[left], root[right], shared[fits]]
+                columns = [cls[left], cls[right], root[left], root[right], shared]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c) for c in columns], ["hub", "cls", "hub_root", "cls_root", "need"]
                 )
@@ -451,8 +479,9 @@ def _further_pairs(lists: DataFrame, turn: int, share: float) -> DataFrame:
 
 
 def _listed(docs: DataFrame, classes: DataFrame, lists: DataFrame) -> tuple[DataFrame, DataFrame, str]:
-    """cls, rid of the classes in lists; rid, text of their documents and the name of that table."""
-    classes = classes.select("cls", _rid(F.col("first.doc_id"), F.col("first.tid")).alias("rid"))
+    """cls, rid and sketch of the classes in lists; rid, text of their documents and the name of that table."""
+    sketch = [F.col(f"first.{name}").alias(name) for name in SKETCH]
+    classes = classes.select("cls", _rid(F.col("first.doc_id"), F.col("first.tid")).alias("rid"), *sketch)
     wanted = written(classes.join(lists.select("cls").distinct(), "cls"), "listed-classes")
     return wanted, *_texts(docs, wanted)
 
@@ -479,7 +508,7 @@ def _links(docs: DataFrame, classes: DataFrame, lists: DataFrame) -> DataFrame |
             if not n_open:
                 break
         share = FIRST_TURN * GROWTH**turn / max(n_classes, 1)
-        pairs, (n_pairs,) = written_counted(_further_pairs(open_lists, turn, share), "pairs", F.count("*"))
+        pairs, (n_pairs,) = written_counted(_further_pairs(open_lists, wanted, turn, share), "pairs", F.count("*"))
         # classes that had their turn have met all members of their lists
         rows = open_lists = open_lists.where(~_has_turn(turn, share))
         turn += 1
@@ -503,11 +532,11 @@ def _links(docs: DataFrame, classes: DataFrame, lists: DataFrame) -> DataFrame |
 
 
 def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The documents with n and cls; cls and ``first``, its first document; the inverted lists."""
+    """The documents with n and cls; cls and ``first``, its first document and the sketch; the inverted lists."""
     profile = written(_profile(docs), "profile")
     rows = profile.where("shingle IS NULL").select("doc_id", "tid", "n", "cls")
-    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tid")
-    classes = rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min(first).alias("first"))
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tid", *SKETCH)
+    classes = profile.where("cls IS NOT NULL").groupBy("cls").agg(F.min(first).alias("first"))
     lists = written(_lists(_postings(docs, _levels(profile))), "lists")
     return rows, classes, lists
 
@@ -543,7 +572,7 @@ def class_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows, classes, lists = _classes(docs)
     wanted, texts, table_name = _listed(docs, classes, lists)
     every = lists.select("key", "cls", "n", "place", F.col("cls").alias("root"))
-    pairs = _further_pairs(_open_lists(every, None), 0, 1.0).select("hub", "cls")  # it is every class's turn
+    pairs = _further_pairs(_open_lists(every, None), wanted, 0, 1.0).select("hub", "cls")  # it is every class's turn
     links = written(_search(written(pairs, "pairs"), wanted, texts).distinct(), "links")
     docs.sparkSession.sql(f"DROP TABLE {table_name}")  # the catalog's entry; what was found is written
     return rows.withColumnRenamed("n", "n_shingles"), links

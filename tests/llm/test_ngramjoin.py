@@ -182,3 +182,33 @@ def test_names_that_clash(spark):
     got = sorted((r.doc_id, r.component_id) for r in ngramjoin.shingle_components(docs).collect())
     assert got == [(1, 1), (2, 1), (3, 3)]
     assert sorted(r.doc_id for r in ngramjoin.one_per_component(docs).collect()) == [1, 3]
+
+
+def test_pairs_listed_follow_the_links(spark):
+    """Versions of a text that are mostly too far apart: hardly a pair is listed that is not linked."""
+    rng = random.Random(12)
+    base = [f"w{n}" for n in range(90)]
+    rows = [(n, " ".join(edited(rng, base, 0.06))) for n in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    _, classes, lists = ngramjoin._classes(docs)
+    wanted, _, table_name = ngramjoin._listed(docs, classes, lists)
+    every = lists.selectExpr("key", "cls", "n", "place", "cls AS root")
+    listed = ngramjoin._further_pairs(every, wanted, 0, 1.0).count()
+    spark.sql(f"DROP TABLE {table_name}")
+    sets = [shingle_set(t) for _, t in rows]
+    n_linked = sum(100 * len(a & b) >= 80 * len(a | b) for n, a in enumerate(sets) for b in sets[:n])
+    assert n_linked <= listed <= 1.1 * n_linked + 10
+
+
+def test_sketches_never_lose_a_link():
+    """Sets at the threshold, of sizes below and above the bits of a sketch."""
+    rng = np.random.default_rng(5)
+    for _ in range(500):
+        n, m = (int(x) for x in rng.integers(1, rng.choice([40, 3000]), 2))
+        common = min(n, m, ngramjoin.overlap_needed(n, m))
+        keys = rng.integers(0, 1 << 63, n + m - common).astype(np.uint64)
+        both = np.concatenate((keys[:n], keys[n - common :]))
+        left, right = ngramjoin.sketches(both, np.array([0, n, n + m]))
+        linked = ngramjoin.linked(common, n, m)
+        assert not linked or ngramjoin.may_link(left[:, None], right[:, None], np.array([n]), np.array([m]))[0]
+    assert ngramjoin.sketches(np.zeros(0, np.uint64), np.array([0, 0])).tolist() == [[0] * len(ngramjoin.SKETCH)]
