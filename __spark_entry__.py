@@ -283,8 +283,8 @@ def category_paths(spark, sf):
 
 
 def _event_fields(events, *names):
-    fields = [F.get_json_object("value", f"$.{n}").alias(n) for n in names]
-    return events.select("key", *fields).withColumn("amount", F.col("amount").cast("decimal(19,4)"))
+    fields = F.json_tuple("value", *names).alias(*names)  # the text is parsed once
+    return events.select("key", fields).withColumn("amount", F.col("amount").cast("decimal(19,4)"))
 
 
 def accepted_events(spark, sf):

@@ -1,10 +1,12 @@
 """What is moved and written: rules are compiled, stored rows stay where they are, copies are told by their numbers."""
 
 from datetime import date
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from centsible.operators import classify, dedup, validate
 from centsible.schemas import TRANSACTION_SCHEMA
 from centsible.sources.manifest import names_in
@@ -103,3 +105,12 @@ def test_labelled_rows_are_computed_once_to_fit(spark):
     rows = spark.createDataFrame([("gold ring", "rings"), ("steel bolt", "bolts")] * 5, "merchant_name string, category_code string")
     classify.fit_text_model(rows.mapInArrow(count, rows.schema))
     assert asked.value == 10
+
+
+def test_event_fields_come_of_one_parse(spark):
+    value = '{"source_id":"a","amount":15702.0300,"raw_payload":"{\\"amount\\":1}","category_code":null,"account_id":"\\u00e9\\""}'
+    events = spark.createDataFrame([("a", value), ("b", None), ("c", "oops")], "key string, value string")
+    fields = entry._event_fields(events, "source_id", "account_id", "amount", "category_code", "category_tier")
+    assert plan(fields).count("json_tuple") == 1 and "get_json_object" not in plan(fields)
+    got = {r.key: tuple(r)[1:] for r in fields.collect()}
+    assert got == {"a": ("a", 'é"', Decimal("15702.0300"), None, None), "b": (None,) * 5, "c": (None,) * 5}
