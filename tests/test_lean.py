@@ -4,12 +4,13 @@ from datetime import date
 from decimal import Decimal
 
 import pytest
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from centsible.operators import classify, dedup, validate
 from centsible.schemas import TRANSACTION_SCHEMA
-from centsible.sources.manifest import names_in
+from centsible.sources.manifest import names_in, renamed
 from centsible.sources.tables import BY_DAY, Store
 from centsible.streaming import accepted, ingest
 
@@ -114,3 +115,20 @@ def test_event_fields_come_of_one_parse(spark):
     assert plan(fields).count("json_tuple") == 1 and "get_json_object" not in plan(fields)
     got = {r.key: tuple(r)[1:] for r in fields.collect()}
     assert got == {"a": ("a", 'é"', Decimal("15702.0300"), None, None), "b": (None,) * 5, "c": (None,) * 5}
+
+
+def test_records_sent_again_are_not_copied(spark, tmp_path):
+    """Files that get another name are new to a stream on the same checkpoint."""
+    folder, seen = str(tmp_path / "raw"), []
+    spark.range(5).write.parquet(f"{folder}/after0")
+    for again in (None, "after23", "after25"):
+        if again:
+            renamed(spark, f"{folder}/{before}", f"{folder}/{again}")
+        before = again or "after0"
+        stream = spark.readStream.schema("id long").parquet(f"{folder}/*")
+        job = stream.writeStream.foreachBatch(lambda rows, _: seen.append(rows.count()))
+        job.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+        assert names_in(spark, folder) == [before]
+    assert seen == [5, 5, 5]
+    with pytest.raises((OSError, Py4JJavaError)):
+        renamed(spark, f"{folder}/gone", f"{folder}/other")
