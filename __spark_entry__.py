@@ -25,7 +25,7 @@ from centsible.plans.ingest import ingest as batch_ingest  # noqa: E402
 from centsible.schemas import BANK_SCHEMA, CARD_NETWORK, DAILY, MONTHLY, PAYMENT_PROCESSOR, WEEKLY  # noqa: E402
 from centsible.session import prepare, scratch_path  # noqa: E402
 from centsible.sources import tables  # noqa: E402
-from centsible.sources.manifest import renamed  # noqa: E402
+from centsible.sources.manifest import names_in, renamed  # noqa: E402
 from centsible.sources.adapters import SourceAdapter, normalise, register_adapter, unregister_adapter  # noqa: E402
 from centsible.sources.categories import load_categories  # noqa: E402
 from centsible.sources.readers import parse_events, stream_records  # noqa: E402
@@ -55,6 +55,8 @@ ROLLUP = [
     "transaction_count",
     "total_reversed",
 ]
+#: A streaming query over files of its own takes so many batches at most.
+MOST_BATCHES = 8
 YEAR_1998 = compare.ComparisonRequest(date(1998, 1, 1), date(1998, 12, 31))
 YEAR_1998_BY_MONTH = compare.ComparisonRequest(date(1998, 1, 1), date(1998, 12, 31), period_type=MONTHLY)
 
@@ -778,11 +780,13 @@ def topic_outcomes(spark, sf):
 
 
 def windowed_rollup(spark, sf):
-    """Weekly rollup as a streaming aggregation over the stored transactions."""
+    """Weekly rollup as a streaming aggregation over the stored transactions. Batches follow each other, so their number
+    is bounded: a batch takes two files, or more once there are many."""
     folder, out = scratch_path(spark, "facts"), scratch_path(spark, "weekly")
     facts = tb.transactions(spark, sf).select("account_id", "category_id", "status", "amount", "transacted_at")
     facts.write.parquet(folder)
-    stream = spark.readStream.schema(facts.schema).option("maxFilesPerTrigger", 2).parquet(folder)
+    files = sum(name.endswith(".parquet") for name in names_in(spark, folder))
+    stream = spark.readStream.schema(facts.schema).option("maxFilesPerTrigger", max(2, -(-files // MOST_BATCHES))).parquet(folder)
     checkpoint = scratch_path(spark, "checkpoint")
     stream_rollup.start_windowed_rollup(stream, WEEKLY, out, checkpoint).awaitTermination()
     return stream_rollup.windowed_rollup(spark.read.parquet(out)).select(*ROLLUP)

@@ -132,3 +132,23 @@ def test_records_sent_again_are_not_copied(spark, tmp_path):
     assert seen == [5, 5, 5]
     with pytest.raises((OSError, Py4JJavaError)):
         renamed(spark, f"{folder}/gone", f"{folder}/other")
+
+
+def test_batches_of_the_windowed_rollup_are_bounded(spark, monkeypatch):
+    """However many files there are; their sums add up to the same rollup."""
+    started = []
+    real = entry.stream_rollup.start_windowed_rollup
+
+    def start(stream, *args):
+        job = real(stream, *args)
+        started.append(job)
+        return job
+
+    monkeypatch.setattr(entry.stream_rollup, "start_windowed_rollup", start)
+    monkeypatch.setattr(entry, "MOST_BATCHES", 2)
+    spread = entry.tb.transactions
+    monkeypatch.setattr(entry.tb, "transactions", lambda *args: spread(*args).repartition(9))
+    rows = {tuple(r) for r in entry.windowed_rollup(spark, "/root/testdata/sf0.001").collect()}
+    assert started[0].lastProgress["batchId"] == 1  # 9 files in two batches, and not five
+    monkeypatch.undo()
+    assert rows == {tuple(r) for r in entry.rollup_weekly(spark, "/root/testdata/sf0.001").collect()}
