@@ -152,3 +152,24 @@ def test_batches_of_the_windowed_rollup_are_bounded(spark, monkeypatch):
     assert started[0].lastProgress["batchId"] == 1  # 9 files in two batches, and not five
     monkeypatch.undo()
     assert rows == {tuple(r) for r in entry.rollup_weekly(spark, "/root/testdata/sf0.001").collect()}
+
+
+def test_payment_steps_are_landed_by_one_write(spark, monkeypatch):
+    """Both steps come of one reading of the events."""
+    real = entry.tb.payment_lifecycles
+
+    def lifecycles(*args):
+        rows = real(*args)
+        return rows.withColumn("payment_id", counted(rows["payment_id"]))
+
+    asked = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(value):
+        asked.add(1)
+        return value
+
+    monkeypatch.setattr(entry.tb, "payment_lifecycles", lifecycles)
+    sf = "/root/testdata/sf0.001"
+    written = entry._payment_lifecycles(spark, sf).outcomes().agg(F.sum("records")).first()[0]
+    assert asked.value == written == real(spark, sf).count()
