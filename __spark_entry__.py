@@ -470,7 +470,7 @@ def list_transactions_after(spark, sf):
 def _stored(spark, sf):
     """All transactions in a store, compacted by day with Bloom filters on the ids."""
     store = tables.Store(spark, scratch_path(spark, "stored"))
-    store.write_transactions(tb.transactions(spark, sf), 0)
+    store.write_transactions(tb.transactions(spark, sf, written=True), 0)
     store.compact_transactions(up_to_batch=0)
     return store.transactions()
 

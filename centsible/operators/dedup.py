@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from centsible.operators.validate import Rule, valid_rows
 from centsible.schemas import ACCEPTED, DUPLICATE, FAILED, OUTCOMES, REPEATED
-from centsible.session import scratch_path
+from centsible.session import COMPACT, scratch_path
 from centsible.sources.adapters import ADAPTERS
 
 #: Numbers of rows are broadcast as bits for batches of at most so many rows: 128 MB.
@@ -26,6 +26,22 @@ def first_wins(df: DataFrame, key: str, order: str = "arrival_seq") -> DataFrame
     return df.withColumn("_position", position).where("_position = 1").drop("_position")
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, int]:
+    """The rows as a table in the shared folder with a number each (``_row``), and how many there are."""
+    path, seen = scratch_path(df.sparkSession, "arrived"), Observation()
+    rows = df.withColumn("_row", F.monotonically_increasing_id())
+    rows.observe(seen, F.count(F.lit(1)).alias("rows")).write.options(**COMPACT).parquet(path)
+    return df.sparkSession.read.schema(rows.schema).parquet(path), seen.get["rows"]
+
+
+def first_wins_written(df: DataFrame, key: str, order: str = "arrival_seq") -> DataFrame:
+    """The same for rows that are stored whole. They are written once with a number each; only keys, places and numbers are
+    shuffled and sorted, and the first rows are picked by their numbers where they stand."""
+    rows, n_rows = numbered(df)
+    firsts = rows.groupBy(key).agg(F.min(F.struct(order, "_row")).alias("_first"))
+    return with_mark(rows, "_row", firsts.select(F.col("_first._row").alias("row")), n_rows).where("_marked").drop("_marked", "_row")
+
+
 def drop_source_repeats(raw: DataFrame, source_type: str, order: str = "arrival_seq") -> DataFrame:
     """Source-level duplicate check on the raw record key (for payments: the event id, so a
     resent event is dropped before its payment id is looked at). Rows without a key pass on
@@ -103,13 +119,10 @@ def classify_outcomes(
     """
     others = [name for name in df.columns if name not in (key, order)]
     failed = F.coalesce(F.expr(" OR ".join(f"coalesce({broken}, false)" for _, broken in rules)), F.lit(False))
-    rows = df.withColumn("_failed", failed).withColumn("_row", F.monotonically_increasing_id())
-    path, seen = scratch_path(df.sparkSession, "arrived"), Observation()
-    rows.observe(seen, F.count(F.lit(1)).alias("rows")).write.option("compression", "zstd").parquet(path)
-    rows = df.sparkSession.read.schema(rows.schema).parquet(path)
+    rows, n_rows = numbered(df.withColumn("_failed", failed))
     place = F.struct(order, *others, "_row")
     firsts = rows.where("NOT _failed").groupBy(key).agg(F.min(place).alias("_first"))
-    marked = with_mark(rows, "_row", firsts.select(F.col("_first._row").alias("row")), seen.get["rows"])
+    marked = with_mark(rows, "_row", firsts.select(F.col("_first._row").alias("row")), n_rows)
     outcome = F.when(F.col("_failed"), FAILED).when(F.col("_marked"), ACCEPTED).otherwise(DUPLICATE)
     return marked.select(*df.columns, outcome.alias("outcome"))
 

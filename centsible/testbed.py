@@ -179,10 +179,10 @@ def unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalised(raw_sources(spark, sf_dir))
 
 
-def transactions(spark: SparkSession, sf_dir: str, classifier=None) -> DataFrame:
-    """The transactions table that results from all three sources."""
+def transactions(spark: SparkSession, sf_dir: str, classifier=None, written: bool = False) -> DataFrame:
+    """The transactions table that results from all three sources; ``written``: see ``ingest``."""
     return ingest(
-        raw_sources(spark, sf_dir), categories(spark), classifier=classifier, max_age_days=None
+        raw_sources(spark, sf_dir), categories(spark), classifier=classifier, written=written, max_age_days=None
     )
 
 
