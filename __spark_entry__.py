@@ -491,7 +491,7 @@ def stored_listing(spark, sf):
 def stored_search(spark, sf):
     """The merchant search on a store, by the trigrams of its merchant names."""
     store = tables.Store(spark, scratch_path(spark, "search"))
-    stored = store.put_transactions(tb.transactions(spark, sf), 0)
+    stored = store.put_transactions(tb.transactions(spark, sf, written=True), 0)
     store.manifest.commit([stored, store.put_merchants(store.read([stored], "transactions"), 0)])
     return pt.merchant_search(
         store.transactions(),
